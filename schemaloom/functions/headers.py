@@ -7,10 +7,12 @@ no shuffle, and a cost of n log n in the number of attributes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from schemaloom.functions.let import let
 from schemaloom.functions.typenames import effective_type, type_family
+from schemaloom.types import ATTRIBUTE
 
 DEFAULT_TECHNICAL = ("ingestion_timestamp",)
 
@@ -37,13 +39,22 @@ def unique_by_name(entries: Column) -> Column:
     The common case of unique names costs one hash pass; only rows that do repeat a
     name take the second branch.
     """
-    names = F.transform(entries, lambda e: e["name"])
-    distinct = F.array_distinct(names)
-    rebuilt = F.transform(
-        distinct,
-        lambda n: F.element_at(F.filter(entries, lambda e: e["name"] == n), -1),
-    )
-    return F.when(F.size(distinct) == F.size(names), entries).otherwise(rebuilt)
+
+    def rebuilt(found, names):
+        return F.transform(
+            F.array_distinct(names),
+            lambda n: F.element_at(F.filter(found, lambda e: e["name"] == n), -1),
+        )
+
+    def check(found):
+        return let(
+            F.transform(found, lambda e: e["name"]),
+            lambda names: F.when(F.size(F.array_distinct(names)) == F.size(names), found).otherwise(
+                rebuilt(found, names)
+            ),
+        )
+
+    return let(entries, check)
 
 
 def signature(attributes: Column) -> Column:
@@ -63,38 +74,37 @@ def signature_json(sig: Column) -> Column:
     return F.to_json(full)
 
 
-def header_shape(latest_json: Column) -> tuple[Column, Column]:
-    """(shape, attributes) of a stored "latest" record given as JSON text.
+def header_shape(df: DataFrame, latest_json: str) -> DataFrame:
+    """Add ``shape`` and ``attributes`` of a stored "latest" record given as JSON text.
 
     Shapes in order of preference: direct, wrapped_header, latest_is_header; a missing,
     empty or unreadable record is no_latest and anything else is invalid_shape.
     """
-    doc = F.try_parse_json(latest_json)
-    item = "array<struct<name:string,logical_type:string,physical_type:string,type:string,nullable:boolean>>"
-
-    def part(path):
-        return F.try_variant_get(doc, path, "variant")
-
-    def is_array(path):
-        return F.coalesce(F.schema_of_variant(part(path)).startswith("ARRAY"), F.lit(False))
-
-    def is_object(path):
-        return F.coalesce(F.schema_of_variant(part(path)).startswith("OBJECT"), F.lit(False))
-
-    top = F.coalesce(F.schema_of_variant(doc), F.lit(""))
-    shape = (
-        F.when(~top.startswith("OBJECT") | (top == "OBJECT<>"), "no_latest")
-        .when(is_object("$.header") & is_array("$.header.attributes"), "direct")
-        .when(is_object("$.header.header") & is_array("$.header.header.attributes"), "wrapped_header")
-        .when(is_array("$.attributes"), "latest_is_header")
-        .otherwise("invalid_shape")
-    )
-    attributes = (
-        F.when(shape == "direct", F.try_variant_get(doc, "$.header.attributes", item))
-        .when(shape == "wrapped_header", F.try_variant_get(doc, "$.header.header.attributes", item))
-        .when(shape == "latest_is_header", F.try_variant_get(doc, "$.attributes", item))
+    places = {
+        "direct": ("$.header", "$.header.attributes"),
+        "wrapped_header": ("$.header.header", "$.header.header.attributes"),
+        "latest_is_header": ("$", "$.attributes"),
+    }
+    doc = F.col("_doc")
+
+    def kind(path):
+        part = doc if path == "$" else F.try_variant_get(doc, path, "variant")
+        return F.coalesce(F.schema_of_variant(part), F.lit("none"))
+
+    shape = F.when(~kind("$").startswith("OBJECT") | (kind("$") == "OBJECT<>"), "no_latest")
+    for name, (owner, attributes) in places.items():
+        shape = shape.when(kind(owner).startswith("OBJECT") & kind(attributes).startswith("ARRAY"), name)
+    found = None
+    item = f"array<{ATTRIBUTE.simpleString()}>"
+    for name, (_, attributes) in places.items():
+        value = F.try_variant_get(doc, attributes, item)
+        found = F.when(F.col("shape") == name, value) if found is None else found.when(F.col("shape") == name, value)
+    return (
+        df.withColumn("_doc", F.try_parse_json(latest_json))
+        .withColumn("shape", shape.otherwise("invalid_shape"))
+        .withColumn("attributes", found)
+        .drop("_doc")
     )
-    return shape, attributes
 
 
 def resolve_previous_version(producer_value: Column, current_version: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from schemaloom.functions.let import let
 from schemaloom.functions.typenames import strip
 
 # Prefixes that vault tables carry in front of the dataset name.
@@ -20,8 +21,8 @@ def normalized_identifier(c: Column) -> Column:
 
 def physical_identifier(c: Column, rdbms: bool = True) -> Column:
     raw = F.coalesce(strip(c), F.lit(""))
-    dot = F.instr(raw, ".")
-    tail = F.when(dot > 0, F.substr(raw, dot + 1)).otherwise(raw)
+    # instr gives 0 without a dot, so the text after the first dot is the whole text
+    tail = let(raw, lambda r: F.substr(r, F.instr(r, ".") + 1))
     name = F.translate(F.trim(tail, F.lit('"')), ".-", "__")
     if rdbms:
         name = F.left(name, F.lit(RDBMS_IDENTIFIER_LIMIT))
@@ -32,10 +33,11 @@ def identifier_candidates(c: Column, rdbms: bool = True) -> Column:
     """Distinct non-empty spellings of an identifier (a handful per value)."""
     seeds = F.array(normalized_identifier(c), physical_identifier(c, rdbms))
 
-    def with_last_segment(values, sep):
-        return F.flatten(F.transform(values, lambda s: F.array(s, F.substring_index(s, sep, -1))))
+    def last_segment(sep):
+        return lambda s: F.array(s, F.substring_index(s, sep, -1))
 
-    seeds = with_last_segment(with_last_segment(seeds, "/"), ".")
+    seeds = F.flatten(F.transform(seeds, last_segment("/")))
+    seeds = F.flatten(F.transform(seeds, last_segment(".")))
 
     def variants(s):
         cut = [F.when(s.startswith(p), F.substr(s, F.lit(len(p) + 1))).otherwise("") for p in IDENTIFIER_PREFIXES]

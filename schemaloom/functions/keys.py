@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from schemaloom.functions.let import let
+
 
 def _escape_unit(value: Column) -> Column:
     return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(value), 4, "0")))
 
 
 def _escape_char(ch: Column) -> Column:
-    code = F.ascii(ch)
+    return let(F.ascii(ch), lambda code: _escape(ch, code))
+
+
+def _escape(ch: Column, code: Column) -> Column:
     above = code - 0x10000
     high = F.lit(0xD800) + F.shiftright(above, 10)
     low = F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF))
@@ -31,6 +36,7 @@ def _escape_char(ch: Column) -> Column:
 
 def json_ascii_string(c: Column) -> Column:
     """JSON text of a string with every non-ASCII character escaped; null gives ``null``."""
+    # only texts that need it are taken apart into characters
     plain = c.rlike(r"\A[ !#-\[\]-~]*\z")
     escaped = F.array_join(F.transform(F.split(c, ""), _escape_char), "")
     body = F.when(c == "", F.lit("")).when(plain, c).otherwise(escaped)
@@ -46,18 +52,13 @@ def json_ascii_object(fields: dict[str, Column]) -> Column:
     return F.concat(F.lit("{"), *parts, F.lit("}"))
 
 
-def idempotency_key(dataset_id: Column, layer: Column, kind: Column, target: Column, params_json: Column) -> Column:
-    """Content hash of an operation: equal operations on a dataset share one key."""
-    payload = json_ascii_object(
-        {
-            "dataset_id": json_ascii_string(dataset_id),
-            "layer": json_ascii_string(layer),
-            "kind": json_ascii_string(kind),
-            "target": json_ascii_string(target),
-            "params": params_json,
-        }
-    )
-    return F.sha2(payload, 256)
+def idempotency_key(dataset_id: Column, layer: Column, kind: Column, target: Column, params: Column) -> Column:
+    """Content hash of an operation: equal operations on a dataset share one key.
+
+    All arguments are JSON texts already (``json_ascii_string``, ``json_ascii_object``).
+    """
+    fields = {"dataset_id": dataset_id, "layer": layer, "kind": kind, "target": target, "params": params}
+    return F.sha2(json_ascii_object(fields), 256)
 
 
 def correlation_id(dataset_id: Column, seq: Column) -> Column:

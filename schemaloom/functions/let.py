@@ -1,0 +1,17 @@
+"""Local names inside column expressions."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression that is used several times, or inside the lambda of a higher-order function,
+    is otherwise evaluated at each place and for each element.
+    """
+    return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))

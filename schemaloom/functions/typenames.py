@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from schemaloom.functions.let import let
+
 # Every spelling that stands for a canonical type.
 TYPE_SPELLINGS = {
     "string": ["text", "varchar", "character varying", "bpchar", "char", "string"],
@@ -46,6 +48,11 @@ WIDENS_TO = {
 
 WIDENING_PAIRS = [f"{a}>{b}" for a, targets in WIDENS_TO.items() for b in targets]
 
+# One SQL text instead of a call per entry keeps building the expression cheap.
+_SPELLING_MAP = "map({})".format(
+    ", ".join(f"'{s}', '{name}'" for name, spellings in TYPE_SPELLINGS.items() for s in spellings)
+)
+
 # All characters that count as white space around a type name or identifier.
 WHITESPACE = "".join(
     chr(c)
@@ -60,13 +67,8 @@ def strip(c: Column) -> Column:
 
 def canonical_type(c: Column) -> Column:
     """Canonical name of a type; unknown names pass through lowercased, blank is null."""
-    t = F.lower(strip(c))
-    known = reduce(
-        lambda acc, kv: acc.when(t.isin(kv[1]), F.lit(kv[0])),
-        list(TYPE_SPELLINGS.items())[1:],
-        F.when(t.isin(TYPE_SPELLINGS["string"]), F.lit("string")),
-    )
-    return known.when(t == "", F.lit(None)).otherwise(t)
+    known = F.expr(_SPELLING_MAP)
+    return let(F.lower(strip(c)), lambda t: F.coalesce(F.try_element_at(known, t), F.nullif(t, F.lit(""))))
 
 
 def effective_type(attribute: Column) -> Column:
@@ -87,15 +89,19 @@ def physical_first_type(attribute: Column) -> Column:
 
 
 def type_family(c: Column) -> Column:
-    t = F.lower(strip(c))
+    """Widening family by the first matching substring; anything else, null included, is string."""
+
+    def classify(t):
+        def holds(words):
+            return reduce(lambda a, b: a | b, [t.contains(w) for w in words])
 
-    def holds(words):
-        return reduce(lambda a, b: a | b, [t.contains(w) for w in words])
+        first, *others = FAMILY_SUBSTRINGS
+        out = F.when(holds(first[1]), F.lit(first[0]))
+        for family, words in others:
+            out = out.when(holds(words), F.lit(family))
+        return out.when(t.contains("date") & ~t.contains("time"), F.lit("date")).otherwise(F.lit("string"))
 
-    out = F.when(t.isNull() | (t == ""), F.lit("string"))
-    for family, words in FAMILY_SUBSTRINGS:
-        out = out.when(holds(words), F.lit(family))
-    return out.when(t.contains("date") & ~t.contains("time"), F.lit("date")).otherwise(F.lit("string"))
+    return let(F.lower(strip(c)), classify)
 
 
 def family_widens(from_family: Column, to_family: Column) -> Column:

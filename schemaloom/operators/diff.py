@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.functions.headers import signature
+from schemaloom.functions.let import let
 from schemaloom.types import ATOM_DDL
 
 _TAGGED = "struct<name:string,side:int,pos:int,ctype:string>"
@@ -27,9 +28,8 @@ def diff_signatures(prev: Column, new: Column) -> Column:
     Both sides are merged by one sort, so an attribute meets its counterpart as its
     neighbour; no pairwise search is done and wide headers stay cheap.
     """
-    merged = F.sort_array(F.concat(_tag(prev, 0), _tag(new, 1)))
-    nothing = F.lit(None).cast(_TAGGED)
-    framed = F.concat(F.array(nothing), merged, F.array(nothing))
+    nothing = F.array(F.lit(None).cast(_TAGGED))
+    framed = F.concat(nothing, F.sort_array(F.concat(_tag(prev, 0), _tag(new, 1))), nothing)
 
     def atom(section, pos, kind, name, from_type, to_type):
         return F.struct(
@@ -43,8 +43,8 @@ def diff_signatures(prev: Column, new: Column) -> Column:
 
     null_type = F.lit(None).cast("string")
 
-    def classify(cur, i):
-        before, after = framed[i], framed[i + 2]
+    def classify(frame, cur, i):
+        before, after = F.get(frame, i - 1), F.get(frame, i + 1)
         known = before["name"].eqNullSafe(cur["name"])
         changed = known & (before["ctype"] != cur["ctype"])
         return (
@@ -62,7 +62,8 @@ def diff_signatures(prev: Column, new: Column) -> Column:
             )
         )
 
-    found = F.sort_array(F.array_compact(F.transform(merged, classify)))
+    events = let(framed, lambda frame: F.transform(frame, lambda cur, i: classify(frame, cur, i)))
+    found = F.sort_array(F.array_compact(events))
     atoms = F.transform(
         found,
         lambda a: F.struct(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from schemaloom.functions.let import let
 from schemaloom.functions.keys import idempotency_key, json_ascii_object, json_ascii_string
 
 _OP_PARAMS = {
@@ -57,17 +58,25 @@ def plan_checkpoints(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
 
-def _param_values(kind: Column, op: dict[str, Column], target: Column) -> dict[str, dict[str, Column]]:
-    new_type = F.when(kind == "DROP_COLUMN", op["from_type"]).otherwise(op["to_type"])
-    per_name = {
-        "column_name": op["column_name"],
-        "logical_type": new_type,
-        "to_logical_type": op["to_type"],
-        "from_logical_type": op["from_type"],
-    }
-    return {k: {name: per_name[name] for name in names} for k, names in _OP_PARAMS.items()} | {
-        "structure": {"table_name": target}
+def _params(op: str, values: dict[str, Column]) -> dict[str, Column]:
+    """Parameters of one kind of operation; a dropped column keeps its old type."""
+    if op not in _OP_PARAMS:
+        return {"table_name": values["target"]}
+    source = {
+        "column_name": values["column_name"],
+        "logical_type": values["from_type" if op == "DROP_COLUMN" else "to_type"],
+        "to_logical_type": values["to_type"],
+        "from_logical_type": values["from_type"],
     }
+    return {name: source[name] for name in _OP_PARAMS[op]}
+
+
+def _per_kind(build) -> Column:
+    out = None
+    for op in _OP_PARAMS:
+        value = build(op)
+        out = F.when(F.col("kind") == op, value) if out is None else out.when(F.col("kind") == op, value)
+    return out.otherwise(build("STRUCTURE"))
 
 
 def explode_operations(df: DataFrame, *keys: str, dataset: str = "dataset_id") -> DataFrame:
@@ -75,45 +84,44 @@ def explode_operations(df: DataFrame, *keys: str, dataset: str = "dataset_id") -
 
     Keys are hashed after the explode, so hashing runs in generated code per operation.
     """
-    out = df.select(*dict.fromkeys([*keys, dataset]), F.posexplode("operations").alias("op_pos", "op")).select(
-        *dict.fromkeys([*keys, dataset]), (F.col("op_pos") + 1).alias("op_seq"), "op.*"
+    kept = list(dict.fromkeys([*keys, dataset]))
+    out = df.select(*kept, F.posexplode("operations").alias("op_pos", "op")).select(
+        *kept, (F.col("op_pos") + 1).alias("op_seq"), "op.*", F.col(dataset).alias("target")
     )
-    target = F.col(dataset)
-    kind = F.col("kind")
-    sets = _param_values(kind, {c: F.col(c) for c in ("column_name", "from_type", "to_type")}, target)
-
-    def choose(build):
-        return (
-            F.when(kind == "ADD_COLUMN", build(sets["ADD_COLUMN"]))
-            .when(kind == "CHANGE_TYPE", build(sets["CHANGE_TYPE"]))
-            .when(kind == "DROP_COLUMN", build(sets["DROP_COLUMN"]))
-            .otherwise(build(sets["structure"]))
-        )
+    plain = {c: F.col(c) for c in ("column_name", "from_type", "to_type", "target")}
+    quoted = {c: F.col(f"_q_{c}") for c in plain}
 
-    def as_map(values):
-        return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
-
-    def as_json(values):
-        return json_ascii_object({k: json_ascii_string(v) for k, v in values.items()})
+    def as_map(op):
+        return F.create_map(*[x for k, v in _params(op, plain).items() for x in (F.lit(k), v)])
 
+    # every text is escaped once, in a projection of its own
     return (
-        out.withColumn("target", target)
-        .withColumn("params", choose(as_map))
+        out.withColumns({f"_q_{c}": json_ascii_string(v) for c, v in plain.items()})
+        .withColumn("params", _per_kind(as_map))
         .withColumn(
-            "idempotency_key", idempotency_key(target, F.col("layer"), kind, target, choose(as_json))
+            "idempotency_key",
+            idempotency_key(
+                quoted["target"],
+                json_ascii_string(F.col("layer")),
+                json_ascii_string(F.col("kind")),
+                quoted["target"],
+                _per_kind(lambda op: json_ascii_object(_params(op, quoted))),
+            ),
         )
+        .drop(*[f"_q_{c}" for c in plain])
     )
 
 
 def operation_summary(operations: Column) -> Column:
     """``layer::kind -> count`` of one plan, as a map in the plan's row."""
-    names = F.transform(operations, lambda o: F.concat_ws("::", o["layer"], o["kind"]))
-    return F.map_from_entries(
-        F.transform(
+
+    def count(names):
+        return F.transform(
             F.array_distinct(names),
             lambda n: F.struct(n.alias("key"), F.size(F.filter(names, lambda m: m == n)).cast("bigint").alias("value")),
         )
-    )
+
+    return F.map_from_entries(let(F.transform(operations, lambda o: F.concat_ws("::", o["layer"], o["kind"])), count))
 
 
 def prune_link_ops(operations: DataFrame, probes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from schemaloom.functions.let import let
 from schemaloom.functions.typenames import family_widens, type_family
 
 
@@ -84,12 +85,11 @@ def impact_reasons(policy: Column, only_additive: Column, lake: Column, vault: C
         )
     )
     none = F.array().cast("array<string>")
-    return (
-        F.when(~applies, none)
-        .when(F.size(caps) > 0, caps)
-        .when(policy["block_on_any_impact"], any_impact)
-        .otherwise(none)
+    blocked = let(
+        caps,
+        lambda found: F.when(F.size(found) > 0, found).when(policy["block_on_any_impact"], any_impact).otherwise(none),
     )
+    return F.when(applies, blocked).otherwise(none)
 
 
 def policy_decision(df: DataFrame, policy: str = "policy") -> DataFrame:

@@ -147,12 +147,19 @@ def change_type(df: DataFrame, name: str, type_name: str) -> DataFrame:
 
 
 def lossy_cast_report(df: DataFrame, targets: Mapping[str, str]) -> DataFrame:
-    """Rows per column whose value would become null, for all columns in one pass."""
+    """Rows per column whose value a conversion would lose, for all columns in one pass.
+
+    A value is lost if it becomes null or, between numeric types, if it does not convert back.
+    """
     types = {f.name: f.dataType for f in df.schema}
 
     def lost(name):
-        c = F.col(f"`{name}`")
-        return F.count_if(c.isNotNull() & converted(c, types[name], spark_type(targets[name])).isNull())
+        c, source, target = F.col(f"`{name}`"), types[name], spark_type(targets[name])
+        new = c.try_cast(target)
+        bad = new.isNull()
+        if isinstance(source, T.NumericType) and isinstance(target, T.NumericType):
+            bad = bad | ~new.try_cast(source).eqNullSafe(c)
+        return F.count_if(c.isNotNull() & bad)
 
     one = df.agg(F.count(F.lit(1)).alias("_rows"), *[lost(n).alias(n) for n in targets])
     rows = F.array(

@@ -19,7 +19,7 @@ def hash_key(*columns: str) -> Column:
 
 def hash_diff(*columns: str) -> Column:
     """Hash of descriptive values; null and empty text differ."""
-    return F.md5(F.concat_ws("||", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]))
+    return F.md5(F.concat_ws("||", *[F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in columns]))
 
 
 def _new_only(df: DataFrame, existing: DataFrame | None, key: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.functions.headers import DEFAULT_TECHNICAL, unique_by_name
 from schemaloom.functions.identifiers import identifier_candidates, normalized_identifier
+from schemaloom.functions.let import let
 from schemaloom.functions.typenames import effective_type, physical_first_type
 
 COLUMN_KINDS = ["ADD_COLUMN", "DROP_COLUMN", "CHANGE_TYPE"]
@@ -31,8 +32,14 @@ def _overlap(a: Column, b: Column) -> Column:
 
 def select_target_table(tables: Column, dataset_candidates: Column, rdbms: bool = True) -> Column:
     """First table known under one of the dataset's names, else the only table, else null."""
-    matching = F.filter(tables, lambda t: _overlap(identifier_candidates(t["name"], rdbms), dataset_candidates))
-    return F.when(F.size(matching) > 0, F.get(matching, F.lit(0))).when(F.size(tables) == 1, F.get(tables, F.lit(0)))
+
+    def choose(wanted):
+        return F.coalesce(
+            F.get(F.filter(tables, lambda t: _overlap(identifier_candidates(t["name"], rdbms), wanted)), F.lit(0)),
+            F.when(F.size(tables) == 1, F.get(tables, F.lit(0))),
+        )
+
+    return let(dataset_candidates, choose)
 
 
 def logical_first_columns(operations: Column) -> Column:
@@ -105,16 +112,15 @@ def verify_lake(
             "_logical": logical_first_columns(F.col(operations)),
         }
     )
-    df = df.withColumn("_merged", F.sort_array(F.concat("_exp", "_act")))
-
     def names(c):
         return F.transform(F.col(c), lambda e: e["name"])
 
-    missing = F.sort_array(F.array_except(names("_exp"), names("_act")))
-    unexpected = F.sort_array(F.array_except(names("_act"), names("_exp")))
+    def listed(first, second, text):
+        lacking = F.sort_array(F.array_except(names(first), names(second)))
+        return let(lacking, lambda x: F.when(F.size(x) > 0, F.concat(F.lit(text), F.array_join(x, ", "))))
 
-    def compare(act, i):
-        exp = F.get(F.col("_merged"), i - 1)
+    def compare(merged, act, i):
+        exp = F.get(merged, i - 1)
         exp_type = F.when(F.array_contains(F.col("_logical"), act["name"]), exp["ltype"]).otherwise(exp["ptype"])
         actual_null = F.coalesce(act["nullable"], F.lit(False))
         both = (act["side"] == 1) & exp["name"].eqNullSafe(act["name"])
@@ -142,19 +148,17 @@ def verify_lake(
         )
         return F.array(type_issue, null_issue)
 
+    column_issues = let(
+        F.sort_array(F.concat("_exp", "_act")),
+        lambda merged: F.flatten(F.transform(merged, lambda act, i: compare(merged, act, i))),
+    )
     compared = F.array_compact(
         F.concat(
             F.array(
-                F.when(
-                    F.size(missing) > 0,
-                    F.concat(F.lit("Lake table missing expected columns: "), F.array_join(missing, ", ")),
-                ),
-                F.when(
-                    F.size(unexpected) > 0,
-                    F.concat(F.lit("Lake table contains unexpected columns: "), F.array_join(unexpected, ", ")),
-                ),
+                listed("_exp", "_act", "Lake table missing expected columns: "),
+                listed("_act", "_exp", "Lake table contains unexpected columns: "),
             ),
-            F.flatten(F.transform(F.col("_merged"), compare)),
+            column_issues,
         )
     )
     no_target = F.array(
@@ -172,7 +176,7 @@ def verify_lake(
         .when(F.col("_target").isNull(), no_target)
         .otherwise(compared)
     )
-    return df.withColumn("lake_issues", issues).drop("_target", "_exp", "_act", "_logical", "_merged")
+    return df.withColumn("lake_issues", issues).drop("_target", "_exp", "_act", "_logical")
 
 
 def verify_vault(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.types import NOTIFICATION
@@ -45,18 +45,18 @@ def read_notifications(spark: SparkSession, path: str, streaming: bool = False,
     return parse(read_values(spark, path, streaming, max_files))
 
 
-def validation_error(value: Column) -> Column:
-    """First broken rule of a raw notification, or null.
+def validate(values: DataFrame, value: str = "value") -> DataFrame:
+    """Add ``error``: the first broken rule of a raw notification, or null.
 
     The rules ask whether a key is present, so an explicit null passes; typed columns
-    cannot tell the two apart, hence the test on the parsed text.
+    cannot tell the two apart, hence the test on the text, which is parsed once.
     """
-    doc = F.try_parse_json(value)
+    doc = F.col("_doc")
 
     def present(path):
         return F.try_variant_get(doc, path, "variant").isNotNull()
 
-    return (
+    error = (
         F.when(doc.isNull(), "Undecodable message")
         .when(
             ~F.try_variant_get(doc, "$.event_type", "string").eqNullSafe(F.lit(EVENT_TYPE)),
@@ -66,10 +66,7 @@ def validation_error(value: Column) -> Column:
         .when(~present("$.header.attributes"), "Missing header.attributes")
         .when(~present("$.ingestion.observed_at"), "Missing ingestion.observed_at")
     )
-
-
-def validate(values: DataFrame, value: str = "value") -> DataFrame:
-    return values.withColumn("error", validation_error(F.col(value)))
+    return values.withColumn("_doc", F.try_parse_json(value)).withColumn("error", error).drop("_doc")
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
