@@ -1,77 +1,57 @@
-"""Column expressions over attribute arrays.
+"""Attribute arrays.
 
-One header is one message, so its attribute array is bounded by the message size.
-Everything that concerns a single header therefore stays inside its row: no explode,
-no shuffle, and a cost of n log n in the number of attributes.
+One header is one message, so its attribute array is bounded by the message size. Everything
+that concerns a single header therefore stays inside its row: no explode, no shuffle, and a
+cost of n log n in the number of attributes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from schemaloom.functions.let import let
+from schemaloom.functions.text import empty, let, lit, struct
 from schemaloom.functions.typenames import effective_type, type_family
 from schemaloom.types import ATTRIBUTE
 
 DEFAULT_TECHNICAL = ("ingestion_timestamp",)
 
 
-def strip_technical(attributes: Column, technical=DEFAULT_TECHNICAL) -> Column:
+def strip_technical(attributes: str, technical=DEFAULT_TECHNICAL) -> str:
     """Drop technical attributes; names are compared exactly, case included."""
     if not technical:
         return attributes
-    return F.filter(
-        attributes,
-        lambda a: a.isNotNull() & (a["name"].isNull() | ~a["name"].isin(list(technical))),
-    )
+    names = ", ".join(map(lit, technical))
+    return f"filter({attributes}, _a -> _a IS NOT NULL AND (_a.name IS NULL OR _a.name NOT IN ({names})))"
 
 
-def attribute_names(attributes: Column) -> Column:
+def attribute_names(attributes: str) -> str:
     """Non-empty attribute names in header order; empty array for a null header."""
-    names = F.filter(F.transform(attributes, lambda a: a["name"]), lambda n: n.isNotNull() & (n != ""))
-    return F.coalesce(names, F.array().cast("array<string>"))
+    return f"coalesce(filter(transform({attributes}, _a -> _a.name), _n -> _n <> ''), {empty()})"
 
 
-def unique_by_name(entries: Column) -> Column:
+def unique_by_name(entries: str) -> str:
     """Keep one entry per ``name``: the last value, at the position of the first.
 
-    The common case of unique names costs one hash pass; only rows that do repeat a
-    name take the second branch.
+    The common case of unique names costs one hash pass; only rows that do repeat a name take
+    the second branch.
     """
+    rebuilt = "transform(array_distinct(_names), _n -> element_at(filter(_found, _e -> _e.name = _n), -1))"
+    check = f"CASE WHEN size(array_distinct(_names)) = size(_names) THEN _found ELSE {rebuilt} END"
+    return let(entries, "_found", let("transform(_found, _e -> _e.name)", "_names", check))
 
-    def rebuilt(found, names):
-        return F.transform(
-            F.array_distinct(names),
-            lambda n: F.element_at(F.filter(found, lambda e: e["name"] == n), -1),
-        )
-
-    def check(found):
-        return let(
-            F.transform(found, lambda e: e["name"]),
-            lambda names: F.when(F.size(F.array_distinct(names)) == F.size(names), found).otherwise(
-                rebuilt(found, names)
-            ),
-        )
-
-    return let(entries, check)
 
-
-def signature(attributes: Column) -> Column:
+def signature(attributes: str) -> str:
     """``array<struct<name,ctype>>``: what the diff compares, in header order."""
-    named = F.filter(attributes, lambda a: a.isNotNull() & a["name"].isNotNull())
-    return unique_by_name(
-        F.transform(named, lambda a: F.struct(a["name"].alias("name"), effective_type(a).alias("ctype")))
-    )
+    named = f"filter({attributes}, _a -> _a.name IS NOT NULL)"
+    entry = struct(name="_a.name", ctype=effective_type("_a"))
+    return unique_by_name(f"transform({named}, _a -> {entry})")
 
 
-def signature_json(sig: Column) -> Column:
+def signature_json(sig: str) -> str:
     """Order-insensitive text form of a signature, with the widening family of each type."""
-    full = F.transform(
-        F.sort_array(sig),
-        lambda s: F.struct(s["name"].alias("n"), s["ctype"].alias("t"), type_family(s["ctype"]).alias("f")),
-    )
-    return F.to_json(full)
+    entry = struct(n="_s.name", t="_s.ctype", f=type_family("_s.ctype"))
+    return f"to_json(transform(sort_array({sig}), _s -> {entry}))"
 
 
 def header_shape(df: DataFrame, latest_json: str) -> DataFrame:
@@ -85,27 +65,33 @@ def header_shape(df: DataFrame, latest_json: str) -> DataFrame:
         "wrapped_header": ("$.header.header", "$.header.header.attributes"),
         "latest_is_header": ("$", "$.attributes"),
     }
-    doc = F.col("_doc")
+    item = f"array<{ATTRIBUTE.simpleString()}>"
 
     def kind(path):
-        part = doc if path == "$" else F.try_variant_get(doc, path, "variant")
-        return F.coalesce(F.schema_of_variant(part), F.lit("none"))
+        part = "_doc" if path == "$" else f"try_variant_get(_doc, '{path}', 'variant')"
+        return f"coalesce(schema_of_variant({part}), 'none')"
 
-    shape = F.when(~kind("$").startswith("OBJECT") | (kind("$") == "OBJECT<>"), "no_latest")
-    for name, (owner, attributes) in places.items():
-        shape = shape.when(kind(owner).startswith("OBJECT") & kind(attributes).startswith("ARRAY"), name)
-    found = None
-    item = f"array<{ATTRIBUTE.simpleString()}>"
-    for name, (_, attributes) in places.items():
-        value = F.try_variant_get(doc, attributes, item)
-        found = F.when(F.col("shape") == name, value) if found is None else found.when(F.col("shape") == name, value)
+    shapes = " ".join(
+        f"WHEN startswith({kind(owner)}, 'OBJECT') AND startswith({kind(attributes)}, 'ARRAY') THEN '{name}'"
+        for name, (owner, attributes) in places.items()
+    )
+    found = " ".join(
+        f"WHEN '{name}' THEN try_variant_get(_doc, '{attributes}', '{item}')" for name, (_, attributes) in places.items()
+    )
+    top = kind("$")
     return (
         df.withColumn("_doc", F.try_parse_json(latest_json))
-        .withColumn("shape", shape.otherwise("invalid_shape"))
-        .withColumn("attributes", found)
+        .withColumn(
+            "shape",
+            F.expr(
+                f"CASE WHEN NOT startswith({top}, 'OBJECT') OR {top} = 'OBJECT<>' THEN 'no_latest' {shapes} "
+                "ELSE 'invalid_shape' END"
+            ),
+        )
+        .withColumn("attributes", F.expr(f"CASE shape {found} END"))
         .drop("_doc")
     )
 
 
-def resolve_previous_version(producer_value: Column, current_version: Column) -> Column:
-    return F.coalesce(producer_value, current_version)
+def resolve_previous_version(producer_value: str, current_version: str) -> str:
+    return f"coalesce({producer_value}, {current_version})"

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from schemaloom.functions.let import let
+from schemaloom.functions.text import let, lit
 from schemaloom.functions.typenames import strip
 
 # Prefixes that vault tables carry in front of the dataset name.
@@ -15,37 +12,28 @@ IDENTIFIER_PREFIXES = ["hub_", "sat_", "satellite_", "link_", "lnk_"]
 RDBMS_IDENTIFIER_LIMIT = 63
 
 
-def normalized_identifier(c: Column) -> Column:
-    return F.coalesce(F.lower(strip(c)), F.lit(""))
+def normalized_identifier(x: str) -> str:
+    return f"coalesce(lower({strip(x)}), '')"
 
 
-def physical_identifier(c: Column, rdbms: bool = True) -> Column:
-    raw = F.coalesce(strip(c), F.lit(""))
+def physical_identifier(x: str, rdbms: bool = True) -> str:
     # instr gives 0 without a dot, so the text after the first dot is the whole text
-    tail = let(raw, lambda r: F.substr(r, F.instr(r, ".") + 1))
-    name = F.translate(F.trim(tail, F.lit('"')), ".-", "__")
-    if rdbms:
-        name = F.left(name, F.lit(RDBMS_IDENTIFIER_LIMIT))
-    return F.lower(name)
+    tail = let(f"coalesce({strip(x)}, '')", "_r", "substr(_r, instr(_r, '.') + 1)")
+    name = f"translate(btrim({tail}, '\"'), '.-', '__')"
+    return f"lower(left({name}, {RDBMS_IDENTIFIER_LIMIT}))" if rdbms else f"lower({name})"
 
 
-def identifier_candidates(c: Column, rdbms: bool = True) -> Column:
+def identifier_candidates(x: str, rdbms: bool = True) -> str:
     """Distinct non-empty spellings of an identifier (a handful per value)."""
-    seeds = F.array(normalized_identifier(c), physical_identifier(c, rdbms))
-
-    def last_segment(sep):
-        return lambda s: F.array(s, F.substring_index(s, sep, -1))
-
-    seeds = F.flatten(F.transform(seeds, last_segment("/")))
-    seeds = F.flatten(F.transform(seeds, last_segment(".")))
-
-    def variants(s):
-        cut = [F.when(s.startswith(p), F.substr(s, F.lit(len(p) + 1))).otherwise("") for p in IDENTIFIER_PREFIXES]
-        return F.array(s, *cut)
-
-    return F.filter(F.array_distinct(F.flatten(F.transform(seeds, variants))), lambda s: s != "")
+    seeds = f"array({normalized_identifier(x)}, {physical_identifier(x, rdbms)})"
+    for sep in "/.":
+        seeds = f"flatten(transform({seeds}, _s -> array(_s, substring_index(_s, '{sep}', -1))))"
+    cut = ", ".join(
+        f"CASE WHEN startswith(_s, {lit(p)}) THEN substr(_s, {len(p) + 1}) ELSE '' END" for p in IDENTIFIER_PREFIXES
+    )
+    return f"filter(array_distinct(flatten(transform({seeds}, _s -> array(_s, {cut})))), _s -> _s <> '')"
 
 
-def dataset_path_key(c: Column) -> Column:
+def dataset_path_key(x: str) -> str:
     """Path-safe form of a dataset id. Different ids can share one key."""
-    return F.translate(c, "/:", "__")
+    return f"translate({x}, '/:', '__')"

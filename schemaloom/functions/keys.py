@@ -2,69 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from schemaloom.functions.text import let, lit
 
-from schemaloom.functions.let import let
+# Characters with a short escape in JSON text.
+_SHORT = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
 
 
-def _escape_unit(value: Column) -> Column:
-    return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(value), 4, "0")))
+def _unit(code: str) -> str:
+    return f"concat({lit(chr(92) + 'u')}, lower(lpad(hex({code}), 4, '0')))"
 
 
-def _escape_char(ch: Column) -> Column:
-    return let(F.ascii(ch), lambda code: _escape(ch, code))
-
-
-def _escape(ch: Column, code: Column) -> Column:
-    above = code - 0x10000
-    high = F.lit(0xD800) + F.shiftright(above, 10)
-    low = F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF))
-    return (
-        F.when(ch == '"', F.lit('\\"'))
-        .when(ch == "\\", F.lit("\\\\"))
-        .when(ch == "\n", F.lit("\\n"))
-        .when(ch == "\r", F.lit("\\r"))
-        .when(ch == "\t", F.lit("\\t"))
-        .when(ch == "\b", F.lit("\\b"))
-        .when(ch == "\f", F.lit("\\f"))
-        .when((code >= 32) & (code <= 126), ch)
-        .when(code < 0x10000, _escape_unit(code))
-        .otherwise(F.concat(_escape_unit(high), _escape_unit(low)))
+def _escaped(ch: str) -> str:
+    """JSON form of one character; those above the basic plane become a pair of units."""
+    short = " ".join(f"WHEN {ch} = {lit(c)} THEN {lit(e)}" for c, e in _SHORT.items())
+    high, low = "55296 + shiftright(_c - 65536, 10)", "56320 + ((_c - 65536) & 1023)"
+    return let(
+        f"ascii({ch})",
+        "_c",
+        f"CASE {short} WHEN _c BETWEEN 32 AND 126 THEN {ch} WHEN _c < 65536 THEN {_unit('_c')} "
+        f"ELSE concat({_unit(high)}, {_unit(low)}) END",
     )
 
 
-def json_ascii_string(c: Column) -> Column:
-    """JSON text of a string with every non-ASCII character escaped; null gives ``null``."""
-    # only texts that need it are taken apart into characters
-    plain = c.rlike(r"\A[ !#-\[\]-~]*\z")
-    escaped = F.array_join(F.transform(F.split(c, ""), _escape_char), "")
-    body = F.when(c == "", F.lit("")).when(plain, c).otherwise(escaped)
-    return F.when(c.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), body, F.lit('"')))
+def json_ascii_string(x: str) -> str:
+    """JSON text of a string with every non-ASCII character escaped; null gives ``null``.
+
+    Only texts that need it are taken apart into characters.
+    """
+    plain = lit(r"\A[ !#-\[\]-~]*\z")
+    chars = f"array_join(transform(split({x}, ''), _ch -> {_escaped('_ch')}), '')"
+    body = f"CASE WHEN rlike({x}, {plain}) THEN {x} ELSE {chars} END"
+    return f"CASE WHEN {x} IS NULL THEN 'null' ELSE concat('\"', {body}, '\"') END"
 
 
-def json_ascii_object(fields: dict[str, Column]) -> Column:
+def json_ascii_object(fields: dict[str, str]) -> str:
     """JSON object text with sorted keys and ", " / ": " separators."""
     parts = []
     for i, key in enumerate(sorted(fields)):
-        parts.append(F.lit(("" if i == 0 else ", ") + f'"{key}": '))
-        parts.append(fields[key])
-    return F.concat(F.lit("{"), *parts, F.lit("}"))
+        parts += [lit(("{" if i == 0 else ", ") + f'"{key}": '), fields[key]]
+    return f"concat({', '.join(parts)}, '}}')"
 
 
-def idempotency_key(dataset_id: Column, layer: Column, kind: Column, target: Column, params: Column) -> Column:
+def idempotency_key(dataset_id: str, layer: str, kind: str, target: str, params: str) -> str:
     """Content hash of an operation: equal operations on a dataset share one key.
 
     All arguments are JSON texts already (``json_ascii_string``, ``json_ascii_object``).
     """
     fields = {"dataset_id": dataset_id, "layer": layer, "kind": kind, "target": target, "params": params}
-    return F.sha2(json_ascii_object(fields), 256)
+    return f"sha2({json_ascii_object(fields)}, 256)"
+
+
+def _stable_id(kind: str, dataset_id: str, seq: str) -> str:
+    return f"sha2(concat_ws('|', '{kind}', {dataset_id}, cast({seq} AS string)), 256)"
 
 
-def correlation_id(dataset_id: Column, seq: Column) -> Column:
+def correlation_id(dataset_id: str, seq: str) -> str:
     """Stable under task retries, unlike a random id."""
-    return F.sha2(F.concat_ws("|", F.lit("correlation"), dataset_id, seq.cast("string")), 256)
+    return _stable_id("correlation", dataset_id, seq)
 
 
-def plan_id(dataset_id: Column, seq: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit("plan"), dataset_id, seq.cast("string")), 256)
+def plan_id(dataset_id: str, seq: str) -> str:
+    return _stable_id("plan", dataset_id, seq)

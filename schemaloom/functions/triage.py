@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from schemaloom.functions.text import in_list, lit
 
 # Call codes and message parts that mark an error as worth retrying.
 TRANSIENT_CODES = ["UNAVAILABLE", "DEADLINE_EXCEEDED", "RESOURCE_EXHAUSTED"]
@@ -19,7 +16,6 @@ TRANSIENT_MARKERS = [
 ]
 
 
-def is_transient(code: Column, message: Column) -> Column:
-    text = F.lower(F.coalesce(message, F.lit("")))
-    by_text = reduce(lambda a, b: a | b, [text.contains(m) for m in TRANSIENT_MARKERS])
-    return F.coalesce(code.isin(TRANSIENT_CODES), F.lit(False)) | by_text
+def is_transient(code: str, message: str) -> str:
+    by_text = " OR ".join(f"contains(lower(coalesce({message}, '')), {lit(m)})" for m in TRANSIENT_MARKERS)
+    return f"(coalesce({in_list(code, TRANSIENT_CODES)}, false) OR {by_text})"

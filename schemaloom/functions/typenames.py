@@ -1,18 +1,13 @@
-"""Column expressions over the type names found in headers.
+"""Type names found in headers.
 
-Two normalizers exist on purpose. ``canonical_type`` decides whether two headers
-differ; ``type_family`` decides whether a difference is a widening. They disagree
-on many spellings and must not be merged.
+Two normalizers exist on purpose. ``canonical_type`` decides whether two headers differ;
+``type_family`` decides whether a difference is a widening. They disagree on many spellings
+and must not be merged.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from schemaloom.functions.let import let
+from schemaloom.functions.text import in_list, let, lit
 
 # Every spelling that stands for a canonical type.
 TYPE_SPELLINGS = {
@@ -48,11 +43,6 @@ WIDENS_TO = {
 
 WIDENING_PAIRS = [f"{a}>{b}" for a, targets in WIDENS_TO.items() for b in targets]
 
-# One SQL text instead of a call per entry keeps building the expression cheap.
-_SPELLING_MAP = "map({})".format(
-    ", ".join(f"'{s}', '{name}'" for name, spellings in TYPE_SPELLINGS.items() for s in spellings)
-)
-
 # All characters that count as white space around a type name or identifier.
 WHITESPACE = "".join(
     chr(c)
@@ -61,52 +51,47 @@ WHITESPACE = "".join(
 )
 
 
-def strip(c: Column) -> Column:
-    return F.trim(c, F.lit(WHITESPACE))
+_SPELLING_MAP = "map({})".format(
+    ", ".join(f"{lit(s)}, {lit(name)}" for name, spellings in TYPE_SPELLINGS.items() for s in spellings)
+)
 
 
-def canonical_type(c: Column) -> Column:
-    """Canonical name of a type; unknown names pass through lowercased, blank is null."""
-    known = F.expr(_SPELLING_MAP)
-    return let(F.lower(strip(c)), lambda t: F.coalesce(F.try_element_at(known, t), F.nullif(t, F.lit(""))))
+def strip(x: str) -> str:
+    return f"btrim({x}, {lit(WHITESPACE)})"
 
 
-def effective_type(attribute: Column) -> Column:
-    """Logical type if given, else physical, else the fallback ``type`` field."""
-    return F.coalesce(
-        canonical_type(attribute["logical_type"]),
-        canonical_type(attribute["physical_type"]),
-        canonical_type(attribute["type"]),
-    )
+def canonical_type(x: str) -> str:
+    """Canonical name of a type; unknown names pass through lowercased, blank is null."""
+    return let(f"lower({strip(x)})", "_t", f"coalesce(try_element_at({_SPELLING_MAP}, _t), nullif(_t, ''))")
 
 
-def physical_first_type(attribute: Column) -> Column:
-    return F.coalesce(
-        canonical_type(attribute["physical_type"]),
-        canonical_type(attribute["logical_type"]),
-        canonical_type(attribute["type"]),
-    )
+def _first_type(attribute: str, fields: list[str]) -> str:
+    return f"coalesce({', '.join(canonical_type(f'{attribute}.{f}') for f in fields)})"
 
 
-def type_family(c: Column) -> Column:
-    """Widening family by the first matching substring; anything else, null included, is string."""
+def effective_type(attribute: str) -> str:
+    """Logical type if given, else physical, else the fallback ``type`` field."""
+    return _first_type(attribute, ["logical_type", "physical_type", "type"])
+
 
-    def classify(t):
-        def holds(words):
-            return reduce(lambda a, b: a | b, [t.contains(w) for w in words])
+def physical_first_type(attribute: str) -> str:
+    return _first_type(attribute, ["physical_type", "logical_type", "type"])
 
-        first, *others = FAMILY_SUBSTRINGS
-        out = F.when(holds(first[1]), F.lit(first[0]))
-        for family, words in others:
-            out = out.when(holds(words), F.lit(family))
-        return out.when(t.contains("date") & ~t.contains("time"), F.lit("date")).otherwise(F.lit("string"))
 
-    return let(F.lower(strip(c)), classify)
+def type_family(x: str) -> str:
+    """Widening family by the first matching substring; anything else, null included, is string."""
+    whens = " ".join(
+        f"WHEN {' OR '.join(f'contains(_t, {lit(w)})' for w in words)} THEN {lit(family)}"
+        for family, words in FAMILY_SUBSTRINGS
+    )
+    dates = "WHEN contains(_t, 'date') AND NOT contains(_t, 'time') THEN 'date'"
+    return let(f"lower({strip(x)})", "_t", f"CASE {whens} {dates} ELSE 'string' END")
 
 
-def family_widens(from_family: Column, to_family: Column) -> Column:
-    return (from_family == to_family) | F.concat(from_family, F.lit(">"), to_family).isin(WIDENING_PAIRS)
+def family_widens(from_family: str, to_family: str) -> str:
+    pair = f"concat({from_family}, '>', {to_family})"
+    return f"({from_family} = {to_family} OR {in_list(pair, WIDENING_PAIRS)})"
 
 
-def is_widening(from_type: Column, to_type: Column) -> Column:
-    return family_widens(type_family(from_type), type_family(to_type))
+def is_widening(from_type: str, to_type: str) -> str:
+    return let(type_family(from_type), "_ff", let(type_family(to_type), "_tf", family_widens("_ff", "_tf")))

@@ -6,81 +6,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.functions.headers import signature
-from schemaloom.functions.let import let
+from schemaloom.functions.text import empty, let, struct
 from schemaloom.types import ATOM_DDL
 
+_SIGNATURE_ITEM = "struct<name:string,ctype:string>"
 _TAGGED = "struct<name:string,side:int,pos:int,ctype:string>"
 
 
-def _tag(sig: Column, side: int) -> Column:
-    sig = F.coalesce(sig, F.array().cast("array<struct<name:string,ctype:string>>"))
-    return F.transform(
-        sig,
-        lambda s, i: F.struct(
-            s["name"].alias("name"), F.lit(side).alias("side"), i.alias("pos"), s["ctype"].alias("ctype")
-        ),
-    )
+def _tag(sig: str, side: int) -> str:
+    entry = struct(name="_s.name", side=str(side), pos="_i", ctype="_s.ctype")
+    return f"transform(coalesce({sig}, {empty(_SIGNATURE_ITEM)}), (_s, _i) -> {entry})"
 
 
-def diff_signatures(prev: Column, new: Column) -> Column:
+def diff_signatures(prev: str, new: str) -> str:
     """Atoms between two signatures, new-header order first and drops after it.
 
     Both sides are merged by one sort, so an attribute meets its counterpart as its
     neighbour; no pairwise search is done and wide headers stay cheap.
     """
-    nothing = F.array(F.lit(None).cast(_TAGGED))
-    framed = F.concat(nothing, F.sort_array(F.concat(_tag(prev, 0), _tag(new, 1))), nothing)
-
-    def atom(section, pos, kind, name, from_type, to_type):
-        return F.struct(
-            F.lit(section).alias("section"),
-            pos.alias("pos"),
-            F.lit(kind).alias("kind"),
-            name.alias("attribute"),
-            from_type.alias("from_type"),
-            to_type.alias("to_type"),
-        )
+    nothing = f"array(cast(NULL AS {_TAGGED}))"
+    framed = f"concat({nothing}, sort_array(concat({_tag(prev, 0)}, {_tag(new, 1)})), {nothing})"
+    before, after = "get(_f, _i - 1)", "get(_f, _i + 1)"
 
-    null_type = F.lit(None).cast("string")
-
-    def classify(frame, cur, i):
-        before, after = F.get(frame, i - 1), F.get(frame, i + 1)
-        known = before["name"].eqNullSafe(cur["name"])
-        changed = known & (before["ctype"] != cur["ctype"])
-        return (
-            F.when(
-                (cur["side"] == 1) & ~known,
-                atom(0, cur["pos"], "ADD_COLUMN", cur["name"], null_type, cur["ctype"]),
-            )
-            .when(
-                (cur["side"] == 1) & changed,
-                atom(0, cur["pos"], "CHANGE_TYPE", cur["name"], before["ctype"], cur["ctype"]),
-            )
-            .when(
-                (cur["side"] == 0) & ~after["name"].eqNullSafe(cur["name"]),
-                atom(1, cur["pos"], "DROP_COLUMN", cur["name"], cur["ctype"], null_type),
-            )
+    def atom(section, kind, from_type, to_type):
+        return struct(
+            section=str(section), pos="_c.pos", kind=f"'{kind}'", attribute="_c.name", from_type=from_type, to_type=to_type
         )
 
-    events = let(framed, lambda frame: F.transform(frame, lambda cur, i: classify(frame, cur, i)))
-    found = F.sort_array(F.array_compact(events))
-    atoms = F.transform(
-        found,
-        lambda a: F.struct(
-            a["kind"].alias("kind"),
-            a["attribute"].alias("attribute"),
-            a["from_type"].alias("from_type"),
-            a["to_type"].alias("to_type"),
-        ),
-    )
-    return F.when(prev.eqNullSafe(new), F.array().cast(f"array<{ATOM_DDL}>")).otherwise(atoms)
+    null = "cast(NULL AS string)"
+    classify = f"""CASE
+      WHEN _c.side = 1 AND NOT ({before}.name <=> _c.name) THEN {atom(0, 'ADD_COLUMN', null, '_c.ctype')}
+      WHEN _c.side = 1 AND {before}.ctype <> _c.ctype THEN {atom(0, 'CHANGE_TYPE', f'{before}.ctype', '_c.ctype')}
+      WHEN _c.side = 0 AND NOT ({after}.name <=> _c.name) THEN {atom(1, 'DROP_COLUMN', '_c.ctype', null)}
+    END"""
+    found = let(framed, "_f", f"sort_array(array_compact(transform(_f, (_c, _i) -> {classify})))")
+    plain = struct(kind="_a.kind", attribute="_a.attribute", from_type="_a.from_type", to_type="_a.to_type")
+    return f"CASE WHEN {prev} <=> {new} THEN {empty(ATOM_DDL)} ELSE transform({found}, _a -> {plain}) END"
 
 
 def with_atoms(df: DataFrame, prev: str = "prev_attributes", new: str = "attributes") -> DataFrame:
     """Add ``atoms`` to rows that hold a previous and a new attribute array."""
     return (
-        df.withColumns({"_prev_sig": signature(F.col(prev)), "_new_sig": signature(F.col(new))})
-        .withColumn("atoms", diff_signatures(F.col("_prev_sig"), F.col("_new_sig")))
+        df.withColumns({"_prev_sig": F.expr(signature(prev)), "_new_sig": F.expr(signature(new))})
+        .withColumn("atoms", F.expr(diff_signatures("_prev_sig", "_new_sig")))
         .drop("_prev_sig", "_new_sig")
     )
 
@@ -92,13 +60,13 @@ def explode_atoms(df: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def changed_attributes(atoms: Column) -> Column:
+def changed_attributes(atoms: str) -> str:
     """Sorted distinct names touched by the atoms."""
-    return F.sort_array(F.array_distinct(F.transform(atoms, lambda a: a["attribute"])))
+    return f"sort_array(array_distinct(transform({atoms}, _a -> _a.attribute)))"
 
 
-def atom_count(atoms: Column, kind: str) -> Column:
-    return F.size(F.filter(atoms, lambda a: a["kind"] == kind)).cast("bigint")
+def atom_count(atoms: str, kind: str) -> Column:
+    return F.expr(f"cast(size(filter({atoms}, _a -> _a.kind = '{kind}')) AS bigint)")
 
 
 def column_set_ops(df: DataFrame, prev: str, new: str) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from schemaloom.functions.let import let
 from schemaloom.functions.keys import idempotency_key, json_ascii_object, json_ascii_string
+from schemaloom.functions.text import empty, let, lit, struct
 
 _OP_PARAMS = {
     "ADD_COLUMN": ["column_name", "logical_type"],
@@ -15,50 +15,36 @@ _OP_PARAMS = {
 }
 
 
-def _has(obligations: Column, name: str) -> Column:
-    upper = F.transform(obligations, lambda o: F.upper(o))
-    return F.array_contains(upper, name) | F.array_contains(upper, f"CREATE_{name}")
+def _demands(obligations: str, name: str) -> str:
+    return f"exists({obligations}, _o -> upper(_o) IN ('{name}', 'CREATE_{name}'))"
 
 
-def plan_operations(atoms: Column, obligations: Column) -> Column:
+def plan_operations(atoms: str = "atoms", obligations: str = "obligations") -> str:
     """Operations of one plan as an array in execution order, without keys."""
-    null = F.lit(None).cast("string")
+    null = "cast(NULL AS string)"
 
     def op(layer, kind, attribute, from_type, to_type):
-        return F.struct(
-            F.lit(layer).alias("layer"),
-            kind.alias("kind"),
-            attribute.alias("column_name"),
-            from_type.alias("from_type"),
-            to_type.alias("to_type"),
-        )
-
-    structural = F.array_compact(
-        F.array(
-            F.when(_has(obligations, "NEW_HUB"), op("vault", F.lit("NEW_HUB"), null, null, null)),
-            F.when(_has(obligations, "NEW_LINK"), op("vault", F.lit("NEW_LINK"), null, null, null)),
-        )
-    )
-
-    def both_layers(a):
-        return F.array(
-            *[op(layer, a["kind"], a["attribute"], a["from_type"], a["to_type"]) for layer in ("lake", "vault")]
-        )
+        return struct(layer=f"'{layer}'", kind=kind, column_name=attribute, from_type=from_type, to_type=to_type)
 
-    return F.concat(structural, F.flatten(F.transform(atoms, both_layers)))
+    structural = ", ".join(
+        f"CASE WHEN {_demands(obligations, k)} THEN {op('vault', lit(k), null, null, null)} END"
+        for k in ("NEW_HUB", "NEW_LINK")
+    )
+    both = ", ".join(op(layer, "_a.kind", "_a.attribute", "_a.from_type", "_a.to_type") for layer in ("lake", "vault"))
+    return f"concat(array_compact(array({structural})), flatten(transform({atoms}, _a -> array({both}))))"
 
 
 def build_plan(df: DataFrame) -> DataFrame:
     """Add ``operations`` (array in order) and ``checkpoints`` (1..n) to allowed rows."""
-    df = df.withColumn("operations", plan_operations(F.col("atoms"), F.col("obligations")))
-    return df.withColumn("checkpoints", plan_checkpoints(F.size("operations")))
+    df = df.withColumn("operations", F.expr(plan_operations()))
+    return df.withColumn("checkpoints", F.expr(plan_checkpoints("size(operations)")))
 
 
-def plan_checkpoints(n: Column) -> Column:
-    return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+def plan_checkpoints(n: str) -> str:
+    return f"CASE WHEN {n} > 0 THEN sequence(1, {n}) ELSE {empty('int')} END"
 
 
-def _params(op: str, values: dict[str, Column]) -> dict[str, Column]:
+def _params(op: str, values: dict[str, str]) -> dict[str, str]:
     """Parameters of one kind of operation; a dropped column keeps its old type."""
     if op not in _OP_PARAMS:
         return {"table_name": values["target"]}
@@ -71,12 +57,9 @@ def _params(op: str, values: dict[str, Column]) -> dict[str, Column]:
     return {name: source[name] for name in _OP_PARAMS[op]}
 
 
-def _per_kind(build) -> Column:
-    out = None
-    for op in _OP_PARAMS:
-        value = build(op)
-        out = F.when(F.col("kind") == op, value) if out is None else out.when(F.col("kind") == op, value)
-    return out.otherwise(build("STRUCTURE"))
+def _per_kind(build) -> str:
+    whens = " ".join(f"WHEN '{op}' THEN {build(op)}" for op in _OP_PARAMS)
+    return f"CASE kind {whens} ELSE {build('STRUCTURE')} END"
 
 
 def explode_operations(df: DataFrame, *keys: str, dataset: str = "dataset_id") -> DataFrame:
@@ -88,40 +71,29 @@ def explode_operations(df: DataFrame, *keys: str, dataset: str = "dataset_id") -
     out = df.select(*kept, F.posexplode("operations").alias("op_pos", "op")).select(
         *kept, (F.col("op_pos") + 1).alias("op_seq"), "op.*", F.col(dataset).alias("target")
     )
-    plain = {c: F.col(c) for c in ("column_name", "from_type", "to_type", "target")}
-    quoted = {c: F.col(f"_q_{c}") for c in plain}
-
-    def as_map(op):
-        return F.create_map(*[x for k, v in _params(op, plain).items() for x in (F.lit(k), v)])
-
+    plain = {c: c for c in ("column_name", "from_type", "to_type", "target")}
+    quoted = {c: f"_q_{c}" for c in plain}
+    params = _per_kind(lambda op: "map(" + ", ".join(f"'{k}', {v}" for k, v in _params(op, plain).items()) + ")")
+    key = idempotency_key(
+        quoted["target"],
+        json_ascii_string("layer"),
+        json_ascii_string("kind"),
+        quoted["target"],
+        _per_kind(lambda op: json_ascii_object(_params(op, quoted))),
+    )
     # every text is escaped once, in a projection of its own
     return (
-        out.withColumns({f"_q_{c}": json_ascii_string(v) for c, v in plain.items()})
-        .withColumn("params", _per_kind(as_map))
-        .withColumn(
-            "idempotency_key",
-            idempotency_key(
-                quoted["target"],
-                json_ascii_string(F.col("layer")),
-                json_ascii_string(F.col("kind")),
-                quoted["target"],
-                _per_kind(lambda op: json_ascii_object(_params(op, quoted))),
-            ),
-        )
-        .drop(*[f"_q_{c}" for c in plain])
+        out.withColumns({quoted[c]: F.expr(json_ascii_string(c)) for c in plain})
+        .withColumns({"params": F.expr(params), "idempotency_key": F.expr(key)})
+        .drop(*quoted.values())
     )
 
 
-def operation_summary(operations: Column) -> Column:
+def operation_summary(operations: str = "operations") -> str:
     """``layer::kind -> count`` of one plan, as a map in the plan's row."""
-
-    def count(names):
-        return F.transform(
-            F.array_distinct(names),
-            lambda n: F.struct(n.alias("key"), F.size(F.filter(names, lambda m: m == n)).cast("bigint").alias("value")),
-        )
-
-    return F.map_from_entries(let(F.transform(operations, lambda o: F.concat_ws("::", o["layer"], o["kind"])), count))
+    entry = struct(key="_n", value="cast(size(filter(_names, _m -> _m = _n)) AS bigint)")
+    names = f"transform({operations}, _o -> concat_ws('::', _o.layer, _o.kind))"
+    return f"map_from_entries({let(names, '_names', f'transform(array_distinct(_names), _n -> {entry})')})"
 
 
 def prune_link_ops(operations: DataFrame, probes: DataFrame) -> DataFrame:

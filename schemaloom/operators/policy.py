@@ -2,94 +2,76 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from schemaloom.functions.let import let
+from schemaloom.functions.text import empty, let, struct
 from schemaloom.functions.typenames import family_widens, type_family
 
-
-def _of_kind(atoms: Column, kind: str) -> Column:
-    return F.filter(atoms, lambda a: a["kind"] == kind)
+IMPACT_COLUMNS = ("impacted_lake", "impacted_vault", "impacted_transformations")
 
 
 def policy_flags(df: DataFrame, atoms: str = "atoms") -> DataFrame:
     """Add has_atoms, has_drop, has_change, only_additive, widening_only and offenders."""
-    a = F.col(atoms)
-    df = df.withColumn(
-        "_changes",
-        F.transform(
-            _of_kind(a, "CHANGE_TYPE"),
-            lambda x: F.struct(
-                x["attribute"].alias("attribute"),
-                x["from_type"].alias("from_type"),
-                x["to_type"].alias("to_type"),
-                type_family(x["from_type"]).alias("ff"),
-                type_family(x["to_type"]).alias("tf"),
-            ),
-        ),
+    change = struct(
+        attribute="_a.attribute",
+        from_type="_a.from_type",
+        to_type="_a.to_type",
+        ff=type_family("_a.from_type"),
+        tf=type_family("_a.to_type"),
+    )
+    changes = f"transform(filter({atoms}, _a -> _a.kind = 'CHANGE_TYPE'), _a -> {change})"
+    narrowing = f"filter(_changes, _x -> NOT {family_widens('_x.ff', '_x.tf')})"
+    shown = "transform(_narrowing, _x -> concat(_x.attribute, ':', _x.from_type, '->', _x.to_type))"
+    return (
+        df.withColumn("_changes", F.expr(changes))
+        .withColumn("_narrowing", F.expr(narrowing))
+        .withColumns(
+            {
+                "has_atoms": F.expr(f"size({atoms}) > 0"),
+                "has_drop": F.expr(f"exists({atoms}, _a -> _a.kind = 'DROP_COLUMN')"),
+                "has_change": F.expr("size(_changes) > 0"),
+                "only_additive": F.expr(f"size({atoms}) > 0 AND forall({atoms}, _a -> _a.kind = 'ADD_COLUMN')"),
+                "widening_only": F.expr("size(_changes) > 0 AND size(_narrowing) = 0"),
+                "offenders": F.expr(f"array_join({shown}, ', ')"),
+            }
+        )
+        .drop("_changes", "_narrowing")
     )
-    df = df.withColumn("_narrowing", F.filter(F.col("_changes"), lambda x: ~family_widens(x["ff"], x["tf"])))
-    return df.withColumns(
-        {
-            "has_atoms": F.size(a) > 0,
-            "has_drop": F.exists(a, lambda x: x["kind"] == "DROP_COLUMN"),
-            "has_change": F.size("_changes") > 0,
-            "only_additive": (F.size(a) > 0) & F.forall(a, lambda x: x["kind"] == "ADD_COLUMN"),
-            "widening_only": (F.size("_changes") > 0) & (F.size("_narrowing") == 0),
-            "offenders": F.array_join(
-                F.transform(
-                    F.col("_narrowing"),
-                    lambda x: F.concat(x["attribute"], F.lit(":"), x["from_type"], F.lit("->"), x["to_type"]),
-                ),
-                ", ",
-            ),
-        }
-    ).drop("_changes", "_narrowing")
 
 
-def impact_reasons(policy: Column, only_additive: Column, lake: Column, vault: Column, xforms: Column) -> Column:
+def impact_reasons(policy: str = "policy") -> str:
     """Reasons for which the impact guards block; empty when they pass."""
-    total = lake + vault + xforms
-    applies = (
-        (policy["impact_mode"] != "off")
-        & ~((policy["impact_mode"] == "breaking_only") & only_additive)
-        & (total > 0)
-    )
+    lake, vault, xforms = IMPACT_COLUMNS
+    total = f"({lake} + {vault} + {xforms})"
 
-    def over(cap, value, text):
-        message = F.concat(F.lit(text[0]), value.cast("string"), F.lit(text[1]), policy[cap].cast("string"))
-        return F.when(value > policy[cap], message)
+    def over(cap, value, start, end):
+        message = f"concat('{start}', {value}, '{end}', {policy}.{cap})"
+        return f"CASE WHEN {value} > {policy}.{cap} THEN {message} END"
 
-    caps = F.array_compact(
-        F.array(
-            over("max_impacted_total", total, ("Impacted artifact count ", " exceeds policy limit ")),
-            over("max_impacted_lake_tables", lake, ("Impacted lake tables ", " exceed policy limit ")),
-            over("max_impacted_vault_objects", vault, ("Impacted vault objects ", " exceed policy limit ")),
+    caps = ", ".join(
+        [
+            over("max_impacted_total", total, "Impacted artifact count ", " exceeds policy limit "),
+            over("max_impacted_lake_tables", lake, "Impacted lake tables ", " exceed policy limit "),
+            over("max_impacted_vault_objects", vault, "Impacted vault objects ", " exceed policy limit "),
             over(
-                "max_impacted_transformations",
-                xforms,
-                ("Impacted downstream transformations ", " exceed policy limit "),
+                "max_impacted_transformations", xforms, "Impacted downstream transformations ", " exceed policy limit "
             ),
-        )
+        ]
     )
-    any_impact = F.array(
-        F.concat(
-            F.lit("Policy blocks changes with downstream impact (lake_tables="),
-            lake.cast("string"),
-            F.lit(", vault_objects="),
-            vault.cast("string"),
-            F.lit(", transformations="),
-            xforms.cast("string"),
-            F.lit(")"),
-        )
+    any_impact = (
+        f"array(concat('Policy blocks changes with downstream impact (lake_tables=', {lake}, ', vault_objects=', {vault}, "
+        f"', transformations=', {xforms}, ')'))"
     )
-    none = F.array().cast("array<string>")
     blocked = let(
-        caps,
-        lambda found: F.when(F.size(found) > 0, found).when(policy["block_on_any_impact"], any_impact).otherwise(none),
+        f"array_compact(array({caps}))",
+        "_caps",
+        f"CASE WHEN size(_caps) > 0 THEN _caps WHEN {policy}.block_on_any_impact THEN {any_impact} ELSE {empty()} END",
+    )
+    return (
+        f"CASE WHEN {policy}.impact_mode <> 'off' AND NOT ({policy}.impact_mode = 'breaking_only' AND only_additive) "
+        f"AND {total} > 0 THEN {blocked} ELSE {empty()} END"
     )
-    return F.when(applies, blocked).otherwise(none)
 
 
 def policy_decision(df: DataFrame, policy: str = "policy") -> DataFrame:
@@ -98,52 +80,45 @@ def policy_decision(df: DataFrame, policy: str = "policy") -> DataFrame:
     Needs the columns of ``policy_flags`` plus impacted_lake, impacted_vault and
     impacted_transformations (bigint counts).
     """
-    p = F.col(policy)
-    df = df.withColumn(
-        "_impact",
-        impact_reasons(
-            p,
-            F.col("only_additive"),
-            F.col("impacted_lake"),
-            F.col("impacted_vault"),
-            F.col("impacted_transformations"),
-        ),
-    )
-    df = df.withColumn(
-        "_case",
-        F.when(~F.col("has_atoms"), "unchanged")
-        .when(F.col("has_drop") & ~p["allow_drop"], "drop")
-        .when(F.col("has_change") & (p["change_mode"] == "none"), "change")
-        .when(F.col("has_change") & (p["change_mode"] == "widen") & ~F.col("widening_only"), "narrowing")
-        .when(F.size("_impact") > 0, "impact")
-        .when(F.col("only_additive"), "additive")
-        .otherwise("destructive"),
-    )
-    case = F.col("_case")
-    after_drop = F.when(F.col("has_drop"), p["compatibility_for_drop"]).otherwise(F.lit("breaking"))
-    destructive = (
-        F.when(~F.col("has_change"), after_drop)
-        .when(F.col("widening_only"), p["compatibility_for_change_type_widening"])
-        .otherwise(F.coalesce(p["compatibility_for_change_type"], after_drop))
+    p = policy
+    case = f"""CASE
+      WHEN NOT has_atoms THEN 'unchanged'
+      WHEN has_drop AND NOT {p}.allow_drop THEN 'drop'
+      WHEN has_change AND {p}.change_mode = 'none' THEN 'change'
+      WHEN has_change AND {p}.change_mode = 'widen' AND NOT widening_only THEN 'narrowing'
+      WHEN size(_impact) > 0 THEN 'impact'
+      WHEN only_additive THEN 'additive'
+      ELSE 'destructive' END"""
+    after_drop = f"CASE WHEN has_drop THEN {p}.compatibility_for_drop ELSE 'breaking' END"
+    compatibility = f"""CASE
+      WHEN _case IN ('unchanged', 'additive') THEN 'backward'
+      WHEN _case <> 'destructive' THEN 'breaking'
+      WHEN NOT has_change THEN {after_drop}
+      WHEN widening_only THEN {p}.compatibility_for_change_type_widening
+      ELSE coalesce({p}.compatibility_for_change_type, {after_drop}) END"""
+    reasons = """CASE _case
+      WHEN 'unchanged' THEN array('No structural changes detected')
+      WHEN 'drop' THEN array('DROP_COLUMN not allowed by policy')
+      WHEN 'change' THEN array('CHANGE_TYPE not allowed by policy')
+      WHEN 'narrowing' THEN array(concat('Non-widening CHANGE_TYPE blocked by policy: ', offenders))
+      WHEN 'impact' THEN _impact
+      WHEN 'additive' THEN array('Only additive changes detected')
+      ELSE CASE WHEN has_change AND widening_only THEN array('Only widening CHANGE_TYPE detected')
+                ELSE array('Destructive changes allowed by policy') END END"""
+    return (
+        df.withColumn("_impact", F.expr(impact_reasons(policy)))
+        .withColumn("_case", F.expr(case))
+        .withColumns(
+            {
+                "decision": F.expr(
+                    "CASE WHEN _case IN ('drop', 'change', 'narrowing', 'impact') THEN 'block' ELSE 'allow' END"
+                ),
+                "compatibility": F.expr(compatibility),
+                "obligations": F.expr(
+                    f"CASE WHEN _case = 'additive' THEN coalesce({p}.obligations_on_additive, {empty()}) ELSE {empty()} END"
+                ),
+                "reasons": F.expr(reasons),
+            }
+        )
+        .drop("_case", "_impact")
     )
-    none = F.array().cast("array<string>")
-    return df.withColumns(
-        {
-            "decision": F.when(case.isin("drop", "change", "narrowing", "impact"), "block").otherwise("allow"),
-            "compatibility": F.when(case.isin("unchanged", "additive"), F.lit("backward"))
-            .when(case == "destructive", destructive)
-            .otherwise(F.lit("breaking")),
-            "obligations": F.when(case == "additive", F.coalesce(p["obligations_on_additive"], none)).otherwise(none),
-            "reasons": F.when(case == "unchanged", F.array(F.lit("No structural changes detected")))
-            .when(case == "drop", F.array(F.lit("DROP_COLUMN not allowed by policy")))
-            .when(case == "change", F.array(F.lit("CHANGE_TYPE not allowed by policy")))
-            .when(
-                case == "narrowing",
-                F.array(F.concat(F.lit("Non-widening CHANGE_TYPE blocked by policy: "), F.col("offenders"))),
-            )
-            .when(case == "impact", F.col("_impact"))
-            .when(case == "additive", F.array(F.lit("Only additive changes detected")))
-            .when(F.col("has_change") & F.col("widening_only"), F.array(F.lit("Only widening CHANGE_TYPE detected")))
-            .otherwise(F.array(F.lit("Destructive changes allowed by policy"))),
-        }
-    ).drop("_case", "_impact")

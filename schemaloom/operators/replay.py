@@ -154,7 +154,7 @@ def _probe_segment(rows: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
             if len(states) > 8:
                 states = dict(list(states.items())[:8])
         end = next(iter(states.values()))
-        out.append((run.dataset_id, run.seg, run.start_sid, end[0], end[1], end[2], sorted(unknown)))
+        out.append((run.run_dataset_id, run.run_seg, run.start_sid, end[0], end[1], end[2], sorted(unknown)))
     columns = ["dataset_id", "seg", "start_sid", "end_sid", "end_seq", "accepted", "unknown"]
     return pd.DataFrame(out, columns=columns).astype({"end_seq": "Int64"})
 
@@ -208,7 +208,7 @@ def fold_input(notifications: DataFrame, config: dict) -> DataFrame:
     return df.select(
         "dataset_id",
         F.col("seq").cast("bigint").alias("seq"),
-        signature_json(signature(F.col("attributes"))).alias("sig"),
+        F.expr(signature_json(signature("attributes"))).alias("sig"),
         policy_json(F.col("policy")).alias("policy"),
         F.coalesce("verified", F.lit(True)).alias("verified"),
     )
@@ -230,8 +230,10 @@ def _with_segments(rows: DataFrame, segment_rows: int) -> DataFrame:
 
 
 def _cogroup(rows: DataFrame, runs: DataFrame, fn, schema: str) -> DataFrame:
-    keys = ["dataset_id", "seg"]
-    return rows.groupBy(*keys).cogroup(runs.groupBy(*keys)).applyInPandas(_skip_empty(fn, schema), schema)
+    # own names on the right: both sides can stem from the same stored table
+    right = runs.withColumnsRenamed({"dataset_id": "run_dataset_id", "seg": "run_seg"})
+    left = rows.groupBy("dataset_id", "seg")
+    return left.cogroup(right.groupBy("run_dataset_id", "run_seg")).applyInPandas(_skip_empty(fn, schema), schema)
 
 
 def _skip_empty(fn, schema: str):
@@ -315,7 +317,7 @@ def _initial_states(rows: DataFrame, initial: DataFrame | None) -> DataFrame:
         )
     known = initial.select(
         "dataset_id",
-        signature_json(signature(F.col("attributes"))).alias("start_sig"),
+        F.expr(signature_json(signature("attributes"))).alias("start_sig"),
         F.col("version").cast("bigint").alias("version"),
     )
     return ids.join(known, "dataset_id", "left").select(

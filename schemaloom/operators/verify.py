@@ -6,12 +6,12 @@ checks run inside the row and need no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.functions.headers import DEFAULT_TECHNICAL, unique_by_name
 from schemaloom.functions.identifiers import identifier_candidates, normalized_identifier
-from schemaloom.functions.let import let
+from schemaloom.functions.text import empty, in_list, let, lit, struct
 from schemaloom.functions.typenames import effective_type, physical_first_type
 
 COLUMN_KINDS = ["ADD_COLUMN", "DROP_COLUMN", "CHANGE_TYPE"]
@@ -19,74 +19,58 @@ NOT_EXECUTED = "Execution did not complete successfully"
 NO_TABLES = "Lake introspection returned no tables"
 NO_STRUCTURES = "Vault introspection returned no vault structures"
 
-_NO_TEXT = "array<string>"
 
+def _overlap(a: str, b: str) -> str:
+    return f"coalesce(arrays_overlap({a}, {b}), false)"
 
-def _none() -> Column:
-    return F.array().cast(_NO_TEXT)
 
-
-def _overlap(a: Column, b: Column) -> Column:
-    return F.coalesce(F.arrays_overlap(a, b), F.lit(False))
-
-
-def select_target_table(tables: Column, dataset_candidates: Column, rdbms: bool = True) -> Column:
+def select_target_table(tables: str, dataset_id: str = "dataset_id", rdbms: bool = True) -> str:
     """First table known under one of the dataset's names, else the only table, else null."""
+    known = _overlap(identifier_candidates("_t.name", rdbms), "_wanted")
+    choose = f"coalesce(get(filter({tables}, _t -> {known}), 0), CASE WHEN size({tables}) = 1 THEN get({tables}, 0) END)"
+    return let(identifier_candidates(dataset_id, rdbms), "_wanted", choose)
 
-    def choose(wanted):
-        return F.coalesce(
-            F.get(F.filter(tables, lambda t: _overlap(identifier_candidates(t["name"], rdbms), wanted)), F.lit(0)),
-            F.when(F.size(tables) == 1, F.get(tables, F.lit(0))),
-        )
 
-    return let(dataset_candidates, choose)
+def _lake_columns(operations: str, kind: str) -> str:
+    ops = f"filter({operations}, _o -> _o.layer = 'lake' AND _o.kind = '{kind}')"
+    return f"array_distinct(transform({ops}, _o -> {normalized_identifier('_o.column_name')}))"
 
 
-def logical_first_columns(operations: Column) -> Column:
+def logical_first_columns(operations: str) -> str:
     """Columns whose expected type is read logical-first: those of lake CHANGE_TYPE operations."""
-    lake = F.filter(operations, lambda o: (o["layer"] == "lake") & (o["kind"] == "CHANGE_TYPE"))
-    return F.array_distinct(F.transform(lake, lambda o: normalized_identifier(o["column_name"])))
+    return _lake_columns(operations, "CHANGE_TYPE")
 
 
-def type_preferences(operations: Column) -> Column:
-    """``array<struct<column,preference>>`` for the lake columns that a plan touches."""
-    logical = F.filter(logical_first_columns(operations), lambda c: c != "")
-    added = F.transform(
-        F.filter(operations, lambda o: (o["layer"] == "lake") & (o["kind"] == "ADD_COLUMN")),
-        lambda o: normalized_identifier(o["column_name"]),
-    )
-    physical = F.filter(F.array_except(added, logical), lambda c: c != "")
+def type_preferences(operations: str) -> str:
+    """``array<struct<column_name,preference>>`` for the lake columns that a plan touches."""
+    logical = f"filter({logical_first_columns(operations)}, _c -> _c <> '')"
+    added = f"filter({_lake_columns(operations, 'ADD_COLUMN')}, _c -> _c <> '')"
 
-    def tag(value):
-        return lambda c: F.struct(c.alias("column"), F.lit(value).alias("preference"))
+    def tagged(columns, value):
+        return f"transform({columns}, _c -> {struct(column_name='_c', preference=lit(value))})"
 
-    return F.concat(F.transform(logical, tag("logical")), F.transform(physical, tag("physical")))
+    both = f"concat({tagged('_l', 'logical')}, {tagged(f'array_except({added}, _l)', 'physical')})"
+    return let(logical, "_l", both)
 
 
-def _entries(attributes: Column, side: int, technical) -> Column:
+def _entries(attributes: str, side: int, technical) -> str:
     """Comparable entries of one side: unique lowercased names, technical ones dropped."""
-    hidden = [t.strip().lower() for t in technical]
-    shaped = F.transform(
-        F.filter(F.coalesce(attributes, F.array()), lambda a: a.isNotNull()),
-        lambda a: F.struct(
-            normalized_identifier(a["name"]).alias("name"),
-            F.lit(side).alias("side"),
-            physical_first_type(a).alias("ptype"),
-            effective_type(a).alias("ltype"),
-            a["nullable"].alias("nullable"),
-        ),
+    entry = struct(
+        name=normalized_identifier("_a.name"),
+        side=str(side),
+        ptype=physical_first_type("_a"),
+        ltype=effective_type("_a"),
+        nullable="_a.nullable",
     )
-    kept = F.filter(shaped, lambda e: (e["name"] != "") & ~e["name"].isin(hidden))
-    return unique_by_name(kept)
-
+    shaped = f"transform(filter({attributes}, _a -> _a IS NOT NULL), _a -> {entry})"
+    hidden = in_list("_e.name", ["", *[t.strip().lower() for t in technical]])
+    return unique_by_name(f"filter({shaped}, _e -> NOT {hidden})")
 
-def _python_list(names: Column) -> Column:
-    def quoted(n):
-        text = F.coalesce(n, F.lit("None"))
-        quote = F.when(text.contains("'") & ~text.contains('"'), F.lit('"')).otherwise(F.lit("'"))
-        return F.concat(quote, text, quote)
 
-    return F.concat(F.lit("["), F.array_join(F.transform(names, quoted), ", "), F.lit("]"))
+def _python_list(names: str) -> str:
+    quote = "CASE WHEN contains(_n, '\\'') AND NOT contains(_n, '\"') THEN '\"' ELSE '\\'' END"
+    quoted = let(quote, "_q", "concat(_q, _n, _q)")
+    return f"concat('[', array_join(transform({names}, _n -> {quoted}), ', '), ']')"
 
 
 def verify_lake(
@@ -101,148 +85,96 @@ def verify_lake(
 
     Expected and actual columns are merged by one sort, so counterparts are neighbours.
     """
-    df = df.withColumn(
-        "_target",
-        select_target_table(F.col(tables), identifier_candidates(F.col("dataset_id"), rdbms), rdbms),
-    )
-    df = df.withColumns(
-        {
-            "_exp": _entries(F.col(expected), 0, technical),
-            "_act": _entries(F.col("_target.attributes"), 1, technical),
-            "_logical": logical_first_columns(F.col(operations)),
-        }
-    )
-    def names(c):
-        return F.transform(F.col(c), lambda e: e["name"])
 
     def listed(first, second, text):
-        lacking = F.sort_array(F.array_except(names(first), names(second)))
-        return let(lacking, lambda x: F.when(F.size(x) > 0, F.concat(F.lit(text), F.array_join(x, ", "))))
-
-    def compare(merged, act, i):
-        exp = F.get(merged, i - 1)
-        exp_type = F.when(F.array_contains(F.col("_logical"), act["name"]), exp["ltype"]).otherwise(exp["ptype"])
-        actual_null = F.coalesce(act["nullable"], F.lit(False))
-        both = (act["side"] == 1) & exp["name"].eqNullSafe(act["name"])
-        unknown = F.lit("unknown")
-        label = F.concat(F.lit("Lake column '"), act["name"], F.lit("' "))
-        type_issue = F.when(
-            both & ~exp_type.eqNullSafe(act["ptype"]),
-            F.concat(
-                label,
-                F.lit("type mismatch: expected "),
-                F.coalesce(exp_type, unknown),
-                F.lit(" got "),
-                F.coalesce(act["ptype"], unknown),
-            ),
-        )
-
-        def word(b):
-            return F.when(b, F.lit("True")).otherwise(F.lit("False"))
-
-        null_issue = F.when(
-            both & exp["nullable"].isNotNull() & (exp["nullable"] != actual_null),
-            F.concat(
-                label, F.lit("nullability mismatch: expected "), word(exp["nullable"]), F.lit(" got "), word(actual_null)
-            ),
-        )
-        return F.array(type_issue, null_issue)
-
-    column_issues = let(
-        F.sort_array(F.concat("_exp", "_act")),
-        lambda merged: F.flatten(F.transform(merged, lambda act, i: compare(merged, act, i))),
+        lacking = f"sort_array(array_except(transform({first}, _e -> _e.name), transform({second}, _e -> _e.name)))"
+        return let(lacking, "_x", f"CASE WHEN size(_x) > 0 THEN concat({lit(text)}, array_join(_x, ', ')) END")
+
+    def word(b):
+        return f"CASE WHEN {b} THEN 'True' ELSE 'False' END"
+
+    exp_type = "CASE WHEN array_contains(_logical, _c.name) THEN _b.ltype ELSE _b.ptype END"
+    actual_null = "coalesce(_c.nullable, false)"
+    type_issue = let(
+        exp_type,
+        "_et",
+        "CASE WHEN NOT (_et <=> _c.ptype) THEN concat('Lake column \\'', _c.name, '\\' type mismatch: expected ', "
+        "coalesce(_et, 'unknown'), ' got ', coalesce(_c.ptype, 'unknown')) END",
     )
-    compared = F.array_compact(
-        F.concat(
-            F.array(
-                listed("_exp", "_act", "Lake table missing expected columns: "),
-                listed("_act", "_exp", "Lake table contains unexpected columns: "),
-            ),
-            column_issues,
-        )
+    null_issue = (
+        f"CASE WHEN _b.nullable <> {actual_null} THEN concat('Lake column \\'', _c.name, "
+        f"'\\' nullability mismatch: expected ', {word('_b.nullable')}, ' got ', {word(actual_null)}) END"
     )
-    no_target = F.array(
-        F.concat(
-            F.lit("Unable to identify target lake table for verification (dataset_id="),
-            F.col("dataset_id"),
-            F.lit(", available_tables="),
-            _python_list(F.transform(F.col(tables), lambda t: t["name"])),
-            F.lit(")"),
-        )
+    compare = let(
+        "get(_m, _i - 1)",
+        "_b",
+        f"CASE WHEN _c.side = 1 AND _b.name <=> _c.name THEN array({type_issue}, {null_issue}) ELSE {empty()} END",
     )
-    issues = (
-        F.when(F.col(expected).isNull(), _none())
-        .when(F.col(tables).isNull(), F.array(F.lit("Lake evidence missing while verifying expected schema")))
-        .when(F.col("_target").isNull(), no_target)
-        .otherwise(compared)
+    column_issues = let("sort_array(concat(_exp, _act))", "_m", f"flatten(transform(_m, (_c, _i) -> {compare}))")
+    missing = listed("_exp", "_act", "Lake table missing expected columns: ")
+    unexpected = listed("_act", "_exp", "Lake table contains unexpected columns: ")
+    names = f"transform({tables}, _t -> coalesce(_t.name, 'None'))"
+    no_target = (
+        "concat('Unable to identify target lake table for verification (dataset_id=', dataset_id, "
+        f"', available_tables=', {_python_list(names)}, ')')"
+    )
+    issues = f"""CASE
+      WHEN {expected} IS NULL THEN {empty()}
+      WHEN {tables} IS NULL THEN array('Lake evidence missing while verifying expected schema')
+      WHEN _target IS NULL THEN array({no_target})
+      ELSE array_compact(concat(array({missing}, {unexpected}), {column_issues})) END"""
+    return (
+        df.withColumn("_target", F.expr(select_target_table(tables, "dataset_id", rdbms)))
+        .withColumns(
+            {
+                "_exp": F.expr(_entries(expected, 0, technical)),
+                "_act": F.expr(_entries("_target.attributes", 1, technical)),
+                "_logical": F.expr(logical_first_columns(operations)),
+            }
+        )
+        .withColumn("lake_issues", F.expr(issues))
+        .drop("_target", "_exp", "_act", "_logical")
     )
-    return df.withColumn("lake_issues", issues).drop("_target", "_exp", "_act", "_logical")
 
 
 def verify_vault(
     df: DataFrame, structures: str = "vault_structures", operations: str = "operations", rdbms: bool = True
 ) -> DataFrame:
     """Add ``vault_issues``: what the plan's vault operations should have left but did not."""
-    s = F.col(structures)
-    df = df.withColumns(
-        {
-            "_vault_kinds": F.array_distinct(
-                F.transform(F.filter(F.col(operations), lambda o: o["layer"] == "vault"), lambda o: o["kind"])
-            ),
-            "_ds": identifier_candidates(F.col("dataset_id"), rdbms),
-        }
-    )
-    kinds, ds = F.col("_vault_kinds"), F.col("_ds")
-    # Each structure's names are expanded once, then only compared.
-    df = df.withColumn(
-        "_hits",
-        F.transform(
-            s,
-            lambda x: F.struct(
-                _overlap(identifier_candidates(x["hub"], rdbms), ds).alias("hub"),
-                F.coalesce(
-                    F.exists(
-                        F.concat(F.coalesce(x["links"], _none()), F.coalesce(x["satellites"], _none())),
-                        lambda v: _overlap(identifier_candidates(v, rdbms), ds),
-                    ),
-                    F.lit(False),
-                ).alias("other"),
-                (F.size(F.coalesce(x["links"], _none())) > 0).alias("links"),
-            ),
-        ),
+    related = _overlap(identifier_candidates("_v", rdbms), "_ds")
+    links, satellites = f"coalesce(_x.links, {empty()})", f"coalesce(_x.satellites, {empty()})"
+    hit = struct(
+        hub=_overlap(identifier_candidates("_x.hub", rdbms), "_ds"),
+        other=f"exists(concat({links}, {satellites}), _v -> coalesce({related}, false))",
+        links=f"size({links}) > 0",
     )
-    hits = F.col("_hits")
-
-    def about(text, suffix=""):
-        return F.concat(F.lit(text), F.col("dataset_id"), F.lit(suffix))
-
-    df = df.withColumn(
-        "_structural",
-        F.array_compact(
-            F.array(
-                F.when(
-                    F.array_contains(kinds, "NEW_HUB") & ~F.exists(hits, lambda h: h["hub"]),
-                    about("Vault evidence does not show expected hub for dataset "),
-                ),
-                F.when(
-                    F.array_contains(kinds, "NEW_LINK") & ~F.exists(hits, lambda h: h["links"]),
-                    about("Vault evidence does not show any links after NEW_LINK for dataset "),
-                ),
-            )
-        ),
-    )
-    unrelated = F.arrays_overlap(kinds, F.array(*[F.lit(k) for k in COLUMN_KINDS])) & ~F.exists(
-        hits, lambda h: h["hub"] | h["other"]
-    )
-    issues = (
-        F.when(F.size(kinds) == 0, _none())
-        .when(s.isNull(), F.array(F.lit("Vault evidence missing while verifying plan execution")))
-        .when(F.size(s) == 0, F.array(F.lit(NO_STRUCTURES)))
-        .when(F.size("_structural") > 0, F.col("_structural"))
-        .when(unrelated, F.array(about("Vault evidence does not expose a structure related to dataset ")))
-        .otherwise(_none())
+
+    def about(text):
+        return f"concat({lit(text)}, dataset_id)"
+
+    structural = f"""array_compact(array(
+      CASE WHEN array_contains(_kinds, 'NEW_HUB') AND NOT exists(_hits, _h -> _h.hub)
+        THEN {about("Vault evidence does not show expected hub for dataset ")} END,
+      CASE WHEN array_contains(_kinds, 'NEW_LINK') AND NOT exists(_hits, _h -> _h.links)
+        THEN {about("Vault evidence does not show any links after NEW_LINK for dataset ")} END))"""
+    column_kinds = ", ".join(map(lit, COLUMN_KINDS))
+    issues = f"""CASE
+      WHEN size(_kinds) = 0 THEN {empty()}
+      WHEN {structures} IS NULL THEN array('Vault evidence missing while verifying plan execution')
+      WHEN size({structures}) = 0 THEN array({lit(NO_STRUCTURES)})
+      WHEN size(_structural) > 0 THEN _structural
+      WHEN arrays_overlap(_kinds, array({column_kinds})) AND NOT exists(_hits, _h -> _h.hub OR _h.other)
+        THEN array({about("Vault evidence does not expose a structure related to dataset ")})
+      ELSE {empty()} END"""
+    kinds = f"array_distinct(transform(filter({operations}, _o -> _o.layer = 'vault'), _o -> _o.kind))"
+    return (
+        df.withColumns({"_kinds": F.expr(kinds), "_ds": F.expr(identifier_candidates("dataset_id", rdbms))})
+        # each structure's names are expanded once, then only compared
+        .withColumn("_hits", F.expr(f"transform({structures}, _x -> {hit})"))
+        .withColumn("_structural", F.expr(structural))
+        .withColumn("vault_issues", F.expr(issues))
+        .drop("_kinds", "_ds", "_hits", "_structural")
     )
-    return df.withColumn("vault_issues", issues).drop("_vault_kinds", "_ds", "_hits", "_structural")
 
 
 def verification_result(
@@ -256,28 +188,22 @@ def verification_result(
     An unsuccessful execution is the only issue reported; evidence is then not consulted.
     """
 
-    def count(c):
-        return F.coalesce(F.array_size(F.col(c)), F.lit(0))
-
-    needs_vault = F.exists(F.col(operations), lambda o: o["layer"] == "vault")
-    lake_ready = (count(tables) > 0) & (F.size("lake_issues") == 0)
-    vault_ready = ~needs_vault | ((count(structures) > 0) & (F.size("vault_issues") == 0))
-
-    def unmet(ready, column, fallback):
+    def unmet(ready, issues, fallback):
         return (
-            F.when(ready, _none())
-            .when(F.size(column) > 0, F.col(column))
-            .otherwise(F.array(F.lit(fallback)))
+            f"CASE WHEN {ready} THEN {empty()} WHEN size({issues}) > 0 THEN {issues} ELSE array({lit(fallback)}) END"
         )
 
-    evidence = F.concat(
-        unmet(lake_ready, "lake_issues", NO_TABLES), unmet(vault_ready, "vault_issues", NO_STRUCTURES)
+    lake_ready = f"coalesce(array_size({tables}), 0) > 0 AND size(lake_issues) = 0"
+    vault_ready = (
+        f"NOT exists({operations}, _o -> _o.layer = 'vault') "
+        f"OR (coalesce(array_size({structures}), 0) > 0 AND size(vault_issues) = 0)"
     )
-    df = df.withColumn("issues", F.when(~F.col("successful"), F.array(F.lit(NOT_EXECUTED))).otherwise(evidence))
-    return df.withColumn("status", F.when(F.size("issues") == 0, "passed").otherwise("failed"))
+    evidence = f"concat({unmet(lake_ready, 'lake_issues', NO_TABLES)}, {unmet(vault_ready, 'vault_issues', NO_STRUCTURES)})"
+    return df.withColumn(
+        "issues", F.expr(f"CASE WHEN NOT successful THEN array({lit(NOT_EXECUTED)}) ELSE {evidence} END")
+    ).withColumn("status", F.expr("CASE WHEN size(issues) = 0 THEN 'passed' ELSE 'failed' END"))
 
 
-def evidence_refs(results: Column) -> Column:
+def evidence_refs(results: str) -> str:
     """Non-empty snapshot ids in operation order, from ``array<struct<op_seq,evidence_snapshot_id>>``."""
-    ids = F.transform(F.sort_array(results), lambda r: r["evidence_snapshot_id"])
-    return F.filter(ids, lambda x: x.isNotNull() & (x != ""))
+    return f"filter(transform(sort_array({results}), _r -> _r.evidence_snapshot_id), _x -> _x <> '')"

@@ -11,6 +11,7 @@ from schemaloom.functions import identifiers as ids
 from schemaloom.functions import keys, triage
 from schemaloom.functions import typenames as tn
 from schemaloom.operators import diff, events, execution, lineage, plan, policy, tables, vault, verify
+from schemaloom.operators.barrier import kept
 from schemaloom.operators.link_probe import probe_links
 from schemaloom.operators.replay import replay
 from schemaloom.plans import inputs
@@ -166,7 +167,7 @@ def next_version(spark, sf):
 
 @query
 def dataset_path_key(spark, sf):
-    return inputs.table(spark, sf, "pages").select("page_id", ids.dataset_path_key(F.col("url")).alias("path_key"))
+    return inputs.table(spark, sf, "pages").select("page_id", F.expr(ids.dataset_path_key("url")).alias("path_key"))
 
 
 @query
@@ -257,7 +258,7 @@ def spelled(spark, sf):
 def canonical_type(spark, sf):
     return (
         spelled(spark, sf)
-        .groupBy(F.col("logical_type").alias("spelling"), tn.canonical_type(F.col("logical_type")).alias("canonical"))
+        .groupBy(F.col("logical_type").alias("spelling"), F.expr(tn.canonical_type("logical_type")).alias("canonical"))
         .agg(F.count(F.lit(1)).alias("uses"))
     )
 
@@ -270,24 +271,24 @@ def effective_type(spark, sf):
         F.when((F.col("event_id") + F.col("i")) % 2 != 0, F.col("physical_type")).alias("physical_type"),
         F.col("type"),
     ))
-    return shaped.groupBy(tn.effective_type(F.col("attr")).alias("effective")).agg(F.count(F.lit(1)).alias("uses"))
+    return shaped.groupBy(F.expr(tn.effective_type("attr")).alias("effective")).agg(F.count(F.lit(1)).alias("uses"))
 
 
 @query
 def type_family(spark, sf):
     return (
         spelled(spark, sf)
-        .groupBy(F.col("logical_type").alias("spelling"), tn.type_family(F.col("logical_type")).alias("family"))
+        .groupBy(F.col("logical_type").alias("spelling"), F.expr(tn.type_family("logical_type")).alias("family"))
         .agg(F.count(F.lit(1)).alias("uses"))
     )
 
 
 @query
 def widening_check(spark, sf):
-    a, b = F.col("logical_type"), F.col("physical_type")
+    a, b = "logical_type", "physical_type"
     return (
         spelled(spark, sf)
-        .groupBy(a.alias("from_type"), b.alias("to_type"), tn.is_widening(a, b).alias("widening"))
+        .groupBy(F.col(a).alias("from_type"), F.col(b).alias("to_type"), F.expr(tn.is_widening(a, b)).alias("widening"))
         .agg(F.count(F.lit(1)).alias("uses"))
     )
 
@@ -325,16 +326,19 @@ def header_shape(spark, sf):
 def header_profile(spark, sf):
     return inputs.notifications(spark, sf).select(
         "event_id",
-        F.size(H.attribute_names(F.col("raw_attributes"))).alias("columns"),
-        joined(H.attribute_names(F.col("raw_attributes"))).alias("names"),
+        F.size(F.expr(H.attribute_names("raw_attributes"))).alias("columns"),
+        joined(F.expr(H.attribute_names("raw_attributes"))).alias("names"),
     )
 
 
+# version of the notification before, as the registry would hold it
+_CURRENT = "CASE WHEN n > 1 THEN n - 1 END"
+
+
 @query
 def resolve_prev_version(spark, sf):
     n = inputs.notifications(spark, sf)
-    current = F.when(F.col("n") > 1, F.col("n") - 1)
-    return n.select("event_id", H.resolve_previous_version(F.col("producer_version"), current).alias("previous_version"))
+    return n.select("event_id", F.expr(H.resolve_previous_version("producer_version", _CURRENT)).alias("previous_version"))
 
 
 @query
@@ -342,7 +346,7 @@ def change_context(spark, sf):
     n = inputs.with_previous(inputs.notifications(spark, sf))
     return n.select(
         "event_id", "dataset_id", F.coalesce("source", F.lit("")).alias("source"),
-        keys.correlation_id(F.col("dataset_id"), F.col("seq")).alias("correlation_id"),
+        F.expr(keys.correlation_id("dataset_id", "seq")).alias("correlation_id"),
         F.coalesce(F.array_size("prev_attributes"), F.lit(-1)).alias("previous_attributes"),
         F.size("attributes").alias("new_attributes"), F.col("observed_at").alias("ingestion_ts"),
     )
@@ -361,21 +365,20 @@ def _identifiers(spark, sf):
 
 @query
 def physical_identifier(spark, sf):
-    v = F.col("value")
     return _identifiers(spark, sf).select(
-        "id", ids.physical_identifier(v).alias("rdbms_name"), ids.physical_identifier(v, rdbms=False).alias("file_name")
+        "id", F.expr(ids.physical_identifier("value")).alias("rdbms_name"), F.expr(ids.physical_identifier("value", rdbms=False)).alias("file_name")
     )
 
 
 @query
 def identifier_candidates(spark, sf):
-    return _identifiers(spark, sf).select("id", F.explode(ids.identifier_candidates(F.col("value"))).alias("candidate"))
+    return _identifiers(spark, sf).select("id", F.explode(F.expr(ids.identifier_candidates("value"))).alias("candidate"))
 
 
 @query
 def type_preference(spark, sf):
-    p = inputs.planned(spark, sf).select("event_id", F.explode(verify.type_preferences(F.col("operations"))).alias("t"))
-    return p.select("event_id", F.col("t.column").alias("column_name"), F.col("t.preference").alias("preference"))
+    p = inputs.planned(spark, sf).select("event_id", F.explode(F.expr(verify.type_preferences("operations"))).alias("t"))
+    return p.select("event_id", "t.column_name", "t.preference")
 
 
 @query
@@ -384,13 +387,14 @@ def idempotency_key(spark, sf):
     d = inputs.table(spark, sf, "documents")
     params = keys.json_ascii_object(
         {
-            "column_name": keys.json_ascii_string(F.col("text")),
-            "logical_type": keys.json_ascii_string(F.when(F.col("doc_id") % 3 != 0, F.col("lang"))),
+            "column_name": keys.json_ascii_string("text"),
+            "logical_type": keys.json_ascii_string("(CASE WHEN doc_id % 3 <> 0 THEN lang END)"),
         }
     )
-    target = keys.json_ascii_string(F.concat(F.lit("doc/"), F.col("source")))
-    key = keys.idempotency_key(target, F.lit('"lake"'), F.lit('"ADD_COLUMN"'), target, params)
-    return d.select("doc_id", key.alias("idempotency_key"))
+    target = keys.json_ascii_string("concat('doc/', source)")
+    layer, kind = keys.json_ascii_string("'lake'"), keys.json_ascii_string("'ADD_COLUMN'")
+    key = keys.idempotency_key(target, layer, kind, target, params)
+    return d.select("doc_id", F.expr(key).alias("idempotency_key"))
 
 
 ERROR_CODES = ["UNAVAILABLE", "INTERNAL", "DEADLINE_EXCEEDED", "NOT_FOUND", "RESOURCE_EXHAUSTED"]
@@ -409,7 +413,7 @@ def error_triage(spark, sf):
         pick(ERROR_CODES, F.col("o_orderkey") + F.col("attempt")).alias("code"),
         pick(ERROR_TEXTS, F.col("o_orderkey") * 3 + F.col("attempt")).alias("message"),
     )
-    return a.groupBy("code", "message", triage.is_transient(F.col("code"), F.col("message")).alias("transient")).agg(
+    return a.groupBy("code", "message", F.expr(triage.is_transient("code", "message")).alias("transient")).agg(
         F.count(F.lit(1)).alias("errors")
     )
 
@@ -430,7 +434,7 @@ def schema_diff_ordered(spark, sf):
 
 @query
 def atom_counts(spark, sf):
-    a = F.col("atoms")
+    a = "atoms"
     return inputs.diffed(spark, sf).select(
         "event_id",
         diff.atom_count(a, "ADD_COLUMN").alias("added"),
@@ -443,8 +447,8 @@ def atom_counts(spark, sf):
 def column_set_ops(spark, sf):
     n = inputs.with_previous(inputs.notifications(spark, sf)).select(
         "event_id",
-        H.attribute_names(F.col("prev_attributes")).alias("p"),
-        H.attribute_names(F.col("attributes")).alias("c"),
+        F.expr(H.attribute_names("prev_attributes")).alias("p"),
+        F.expr(H.attribute_names("attributes")).alias("c"),
     )
     out = diff.column_set_ops(n, "p", "c")
     return out.select("event_id", *[joined(F.sort_array(c)).alias(c) for c in ("added", "removed", "kept")])
@@ -485,9 +489,7 @@ def _guard_input(spark, sf):
 
 @query
 def impact_guard(spark, sf):
-    reasons = policy.impact_reasons(
-        F.col("policy"), F.col("only_additive"), F.col("impacted_lake"), F.col("impacted_vault"), F.col("impacted_transformations")
-    )
+    reasons = F.expr(policy.impact_reasons("policy"))
     return _guard_input(spark, sf).select("event_id", "policy_name", joined(reasons, "; ").alias("reasons"))
 
 
@@ -531,7 +533,7 @@ def build_plan(spark, sf):
 
 @query
 def op_summary(spark, sf):
-    p = inputs.planned(spark, sf).select("event_id", F.explode(plan.operation_summary(F.col("operations"))).alias("op", "operations"))
+    p = inputs.planned(spark, sf).select("event_id", F.explode(F.expr(plan.operation_summary("operations"))).alias("op", "operations"))
     return p
 
 
@@ -569,8 +571,8 @@ def already_applied(spark, sf):
 
 
 def _impact_requests(spark, sf):
-    d = inputs.diffed(spark, sf).filter(F.size("atoms") > 0)
-    return d.select("dataset_id", diff.changed_attributes(F.col("atoms")).alias("changed"))
+    d = kept(inputs.diffed(spark, sf), F.size("atoms") > 0)
+    return d.select("dataset_id", F.expr(diff.changed_attributes("atoms")).alias("changed"))
 
 
 def _walk(spark, sf):
@@ -603,10 +605,11 @@ def impact_counts(spark, sf):
 def policy_decision_lineage(spark, sf):
     """Decisions with the impact found in the lineage graph; only changes that a guard looks at are walked."""
     df = policies.select_policy(policy.policy_flags(inputs.diffed(spark, sf)), policies.STANDARD_POLICIES)
-    df = df.withColumn("changed", diff.changed_attributes(F.col("atoms")))
-    asked = df.filter(
+    df = df.withColumn("changed", F.expr(diff.changed_attributes("atoms")))
+    asked = kept(
+        df,
         F.col("has_atoms") & (F.col("policy.impact_mode") != "off")
-        & ~((F.col("policy.impact_mode") == "breaking_only") & F.col("only_additive"))
+        & ~((F.col("policy.impact_mode") == "breaking_only") & F.col("only_additive")),
     )
     found = lineage.impact_for(asked.select("dataset_id", "changed"), inputs.edges(spark, sf))
     df = df.join(found, ["dataset_id", "changed"], "left")
@@ -646,8 +649,9 @@ def _verified(spark, sf):
 @query
 def select_target_table(spark, sf):
     df = inputs.with_evidence(inputs.notifications(spark, sf))
-    target = verify.select_target_table(F.col("lake_tables"), ids.identifier_candidates(F.col("dataset_id")))
-    return df.select("event_id", target["name"].alias("target_table"), F.coalesce(F.array_size(target["attributes"]), F.lit(-1)).alias("columns"))
+    df = df.withColumn("target", F.expr(verify.select_target_table("lake_tables")))
+    columns = F.coalesce(F.array_size("target.attributes"), F.lit(-1))
+    return df.select("event_id", F.col("target.name").alias("target_table"), columns.alias("columns"))
 
 
 @query
@@ -663,14 +667,11 @@ def verify_vault(spark, sf):
 def _results(spark, sf):
     """Verification outcome per plan, with the evidence ids that its operations reported."""
     df = verify.verification_result(_verified(spark, sf))
-    snapshots = F.transform(
-        F.col("operations"),
-        lambda o, i: F.struct(
-            (i + 1).alias("op_seq"),
-            F.when((F.col("event_id") + i) % 3 != 0, F.concat_ws("-", F.lit("snap"), F.col("event_id"), i + 1)).alias("evidence_snapshot_id"),
-        ),
+    snapshots = (
+        "transform(operations, (_o, _i) -> named_struct('op_seq', _i + 1, 'evidence_snapshot_id', "
+        "CASE WHEN (event_id + _i) % 3 <> 0 THEN concat_ws('-', 'snap', event_id, _i + 1) END))"
     )
-    return df.withColumn("evidence_snapshot_refs", verify.evidence_refs(snapshots))
+    return df.withColumn("evidence_snapshot_refs", F.expr(verify.evidence_refs(snapshots)))
 
 
 @query
@@ -681,11 +682,9 @@ def verification_result(spark, sf):
 
 
 def _success_rows(spark, sf):
-    df = _results(spark, sf).filter(F.col("status") == "passed")
-    current = F.when(F.col("n") > 1, F.col("n") - 1)
-    return df.withColumns(
-        {"previous_version": H.resolve_previous_version(F.col("producer_version"), current), "new_version": F.col("n")}
-    )
+    df = kept(_results(spark, sf), F.col("status") == "passed")
+    previous = F.expr(H.resolve_previous_version("producer_version", _CURRENT))
+    return df.withColumns({"previous_version": previous, "new_version": F.col("n")})
 
 
 @query
@@ -703,11 +702,11 @@ def success_event(spark, sf):
 
 
 def _failures(spark, sf):
-    denied = inputs.decided(spark, sf).filter(F.col("decision") != "allow").withColumn(
-        "correlation_id", keys.correlation_id(F.col("dataset_id"), F.col("seq"))
+    denied = kept(inputs.decided(spark, sf), F.col("decision") != "allow").withColumn(
+        "correlation_id", F.expr(keys.correlation_id("dataset_id", "seq"))
     )
     shape = ["event_id", "dataset_id", "correlation_id", "decision", "reasons"]
-    failed = _results(spark, sf).filter(F.col("status") == "failed").select(*shape, "issues")
+    failed = kept(_results(spark, sf), F.col("status") == "failed").select(*shape, "issues")
     none = F.array().cast("array<string>")
     return events.failure_event(denied.select(*shape).withColumn("issues", none).unionByName(failed))
 

@@ -7,11 +7,13 @@ rules are stated in SQL in ``oracles``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.functions.headers import strip_technical
 from schemaloom.functions.keys import correlation_id, plan_id
+from schemaloom.functions.text import empty, struct
+from schemaloom.operators.barrier import kept
 from schemaloom.operators.diff import with_atoms
 from schemaloom.operators.plan import build_plan, explode_operations
 from schemaloom.operators.policy import policy_decision, policy_flags
@@ -37,66 +39,52 @@ def base(spark: SparkSession, sf: str) -> DataFrame:
     return running_index(events, ["dataset_id"], "event_id", "n")
 
 
-def _attribute(i: Column) -> Column:
-    ev, n = F.col("event_id"), F.col("n")
-    level = F.floor((n + i * 3) / 40)
-    even = ev % 2 == 0
-    narrowed = (ev % 31 == 0) & (i == 1)
-    logical = (
-        F.when(narrowed, "int")
-        .when(level <= 0, F.when(even, "int4").otherwise("INTEGER"))
-        .when(level == 1, F.when(even, "int8").otherwise("bigint"))
-        .when(level == 2, "double precision")
-        .otherwise(F.when(ev % 3 == 0, "varchar").otherwise("text"))
-    )
-    physical = (
-        F.when((ev + i) % 23 == 0, F.lit(None))
-        .when(narrowed | (level <= 0), "integer")
-        .when(level == 1, "bigint")
-        .when(level == 2, "float")
-        .otherwise("string")
-    )
-    return F.struct(
-        F.concat(F.lit("col_"), i.cast("string")).alias("name"),
-        logical.alias("logical_type"),
-        physical.alias("physical_type"),
-        F.lit(None).cast("string").alias("type"),
-        (i > 0).alias("nullable"),
-    )
+_LEVEL = "floor((n + _i * 3) / 40)"
+_NARROWED = "(event_id % 31 = 0 AND _i = 1)"
+_ATTRIBUTE = struct(
+    name="concat('col_', cast(_i AS string))",
+    logical_type=f"""CASE WHEN {_NARROWED} THEN 'int'
+      WHEN {_LEVEL} <= 0 THEN CASE WHEN event_id % 2 = 0 THEN 'int4' ELSE 'INTEGER' END
+      WHEN {_LEVEL} = 1 THEN CASE WHEN event_id % 2 = 0 THEN 'int8' ELSE 'bigint' END
+      WHEN {_LEVEL} = 2 THEN 'double precision'
+      ELSE CASE WHEN event_id % 3 = 0 THEN 'varchar' ELSE 'text' END END""",
+    physical_type=f"""CASE WHEN (event_id + _i) % 23 = 0 THEN NULL
+      WHEN {_NARROWED} OR {_LEVEL} <= 0 THEN 'integer'
+      WHEN {_LEVEL} = 1 THEN 'bigint' WHEN {_LEVEL} = 2 THEN 'float' ELSE 'string' END""",
+    type="cast(NULL AS string)",
+    nullable="_i > 0",
+)
+_SLOTS = "filter(sequence(0, 7), _i -> _i < 3 + least(floor(n / 15), 5) AND NOT (event_id % 17 = 0 AND _i = 2))"
+_TECHNICAL = struct(
+    name="'ingestion_timestamp'", logical_type="'timestamp'", physical_type="cast(NULL AS string)",
+    type="cast(NULL AS string)", nullable="true",
+)
 
 
 def notifications(spark: SparkSession, sf: str) -> DataFrame:
     """base plus header and envelope fields; columns appear, widen, narrow and vanish over n."""
-    ev, n = F.col("event_id"), F.col("n")
-    width = F.lit(3) + F.least(F.floor(n / 15), F.lit(5))
-    slots = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda i: (i < width) & ~((ev % 17 == 0) & (i == 2)))
-    technical = F.array(
-        F.struct(
-            F.lit("ingestion_timestamp").alias("name"),
-            F.lit("timestamp").alias("logical_type"),
-            F.lit(None).cast("string").alias("physical_type"),
-            F.lit(None).cast("string").alias("type"),
-            F.lit(True).alias("nullable"),
+    raw = (
+        f"concat(transform({_SLOTS}, _i -> {_ATTRIBUTE}), "
+        f"CASE WHEN event_id % 5 = 0 THEN array({_TECHNICAL}) ELSE cast(array() AS {_ATTRS}) END)"
+    )
+    return (
+        base(spark, sf)
+        .selectExpr(
+            "event_id",
+            "user_id",
+            "dataset_id",
+            "n",
+            "event_id AS seq",
+            f"cast({raw} AS {_ATTRS}) AS raw_attributes",
+            "concat('src_', cast(user_id % 3 AS string)) AS source",
+            """date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'") AS observed_at""",
+            "CASE WHEN event_id % 6 = 0 THEN n END AS producer_version",
+            "CASE event_id % 4 WHEN 0 THEN 'sandbox' WHEN 1 THEN concat('team_', cast(event_id % 7 AS string)) END"
+            " AS requested_policy",
+            "event_id % 19 <> 0 AS verified",
         )
-    ).cast(_ATTRS)
-    none = F.array().cast(_ATTRS)
-    return base(spark, sf).select(
-        "event_id",
-        "user_id",
-        "dataset_id",
-        "n",
-        F.col("event_id").alias("seq"),
-        F.concat(F.transform(slots, _attribute).cast(_ATTRS), F.when(ev % 5 == 0, technical).otherwise(none)).alias(
-            "raw_attributes"
-        ),
-        F.concat(F.lit("src_"), (F.col("user_id") % 3).cast("string")).alias("source"),
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("observed_at"),
-        F.when(ev % 6 == 0, n).alias("producer_version"),
-        F.when(ev % 4 == 0, "sandbox").when(ev % 4 == 1, F.concat(F.lit("team_"), (ev % 7).cast("string"))).alias(
-            "requested_policy"
-        ),
-        (ev % 19 != 0).alias("verified"),
-    ).withColumn("attributes", strip_technical(F.col("raw_attributes")))
+        .withColumn("attributes", F.expr(strip_technical("raw_attributes")))
+    )
 
 
 def with_previous(notifs: DataFrame) -> DataFrame:
@@ -125,12 +113,11 @@ def decided(spark: SparkSession, sf: str, forced_policy: str | None = None, conf
 
 
 def planned(spark: SparkSession, sf: str) -> DataFrame:
-    df = decided(spark, sf).filter(F.col("decision") == "allow")
-    df = build_plan(df)
+    df = build_plan(kept(decided(spark, sf), F.col("decision") == "allow"))
     return df.withColumns(
         {
-            "correlation_id": correlation_id(F.col("dataset_id"), F.col("seq")),
-            "plan_id": plan_id(F.col("dataset_id"), F.col("seq")),
+            "correlation_id": F.expr(correlation_id("dataset_id", "seq")),
+            "plan_id": F.expr(plan_id("dataset_id", "seq")),
         }
     )
 
@@ -139,71 +126,54 @@ def operations(spark: SparkSession, sf: str) -> DataFrame:
     return explode_operations(planned(spark, sf), "event_id", "plan_id", "correlation_id")
 
 
-def _tail() -> Column:
-    return F.substr("dataset_id", F.lit(6))
+_TAIL = "substr(dataset_id, 6)"
+_SLOT = "cast(substr(_a.name, 5) AS int)"
+_NO_TEXT = "cast(NULL AS string)"
 
 
 def with_evidence(df: DataFrame) -> DataFrame:
     """Add lake_tables, vault_structures and successful, off the header in various ways."""
-    ev = F.col("event_id")
-
-    def observed(a):
-        i = F.regexp_extract(a["name"], "_(\\d+)$", 1).cast("int")
-        altered = (ev * 7 + i) % 97 == 0
-        flipped = (ev + i) % 61 == 0
-        return F.struct(
-            F.when(ev % 3 == 0, F.upper(a["name"])).otherwise(a["name"]).alias("name"),
-            F.lit(None).cast("string").alias("logical_type"),
-            F.when(altered, "json").otherwise(F.coalesce(a["physical_type"], a["logical_type"])).alias("physical_type"),
-            F.lit(None).cast("string").alias("type"),
-            F.when(flipped, ~a["nullable"]).otherwise(a["nullable"]).alias("nullable"),
-        )
-
-    def present(a):
-        return (ev + F.regexp_extract(a["name"], "_(\\d+)$", 1).cast("int")) % 53 != 0
-
-    extra = F.array(
-        F.struct(
-            F.lit("extra_col").alias("name"),
-            F.lit(None).cast("string").alias("logical_type"),
-            F.lit("text").alias("physical_type"),
-            F.lit(None).cast("string").alias("type"),
-            F.lit(True).alias("nullable"),
-        )
+    seen = struct(
+        name="CASE WHEN event_id % 3 = 0 THEN upper(_a.name) ELSE _a.name END",
+        logical_type=_NO_TEXT,
+        physical_type=f"CASE WHEN (event_id * 7 + {_SLOT}) % 97 = 0 THEN 'json' ELSE coalesce(_a.physical_type, _a.logical_type) END",
+        type=_NO_TEXT,
+        nullable=f"CASE WHEN (event_id + {_SLOT}) % 61 = 0 THEN NOT _a.nullable ELSE _a.nullable END",
     )
-    seen = F.concat(
-        F.transform(F.filter(F.col("attributes"), present), observed).cast(_ATTRS),
-        F.when(ev % 41 == 0, extra.cast(_ATTRS)).otherwise(F.array().cast(_ATTRS)),
+    extra = struct(name="'extra_col'", logical_type=_NO_TEXT, physical_type="'text'", type=_NO_TEXT, nullable="true")
+    none = f"cast(array() AS {_ATTRS})"
+    columns = (
+        f"concat(transform(filter(attributes, _a -> (event_id + {_SLOT}) % 53 <> 0), _a -> {seen}), "
+        f"CASE WHEN event_id % 41 = 0 THEN array({extra}) ELSE {none} END)"
     )
 
-    def tab(name, attributes):
-        return F.struct(name.alias("name"), attributes.alias("attributes"))
-
-    none = F.array().cast(_ATTRS)
-    tables_type = f"array<struct<name:string,attributes:{_ATTRS}>>"
-    lake = (
-        F.when(ev % 43 == 0, F.lit(None))
-        .when(ev % 47 == 0, F.array().cast(tables_type))
-        .when(ev % 59 == 0, F.array(tab(F.lit("other_a"), seen), tab(F.lit("other_b"), none)))
-        .when(ev % 4 == 0, F.array(tab(F.col("dataset_id"), seen)))
-        .when(ev % 4 == 1, F.array(tab(F.lit("other_a"), none), tab(F.concat(F.lit("HUB_"), F.upper(_tail())), seen)))
-        .when(ev % 4 == 2, F.array(tab(F.lit("only_one"), seen)))
-        .otherwise(F.array(tab(F.lit("other_a"), none), tab(F.concat(F.lit('public."'), _tail(), F.lit('"')), seen)))
+    def tables(**named):
+        return "array(" + ", ".join(struct(name=n, attributes=a) for n, a in named.values()) + ")"
+
+    other = ("'other_a'", none)
+    lake = f"""CASE WHEN event_id % 43 = 0 THEN NULL WHEN event_id % 47 = 0 THEN array()
+      WHEN event_id % 59 = 0 THEN {tables(a=("'other_a'", "_seen"), b=("'other_b'", none))}
+      WHEN event_id % 4 = 0 THEN {tables(a=("dataset_id", "_seen"))}
+      WHEN event_id % 4 = 1 THEN {tables(a=other, b=(f"concat('HUB_', upper({_TAIL}))", "_seen"))}
+      WHEN event_id % 4 = 2 THEN {tables(a=("'only_one'", "_seen"))}
+      ELSE {tables(a=other, b=(f"concat('public.\"', {_TAIL}, '\"')", "_seen"))} END"""
+    structure = struct(
+        hub=f"CASE WHEN event_id % 19 = 0 THEN 'hub_other' ELSE concat('hub_', {_TAIL}) END",
+        links=f"CASE WHEN event_id % 23 = 0 THEN {empty()} ELSE array('link_orders_parts') END",
+        satellites=f"CASE WHEN event_id % 3 = 0 THEN array(concat('sat_', {_TAIL})) ELSE {empty()} END",
     )
-    texts = F.array().cast("array<string>")
+    vault = f"CASE WHEN event_id % 67 = 0 THEN NULL WHEN event_id % 71 = 0 THEN array() ELSE array({structure}) END"
     vault_type = "array<struct<hub:string,links:array<string>,satellites:array<string>>>"
-    structure = F.struct(
-        F.when(ev % 19 == 0, F.lit("hub_other")).otherwise(F.concat(F.lit("hub_"), _tail())).alias("hub"),
-        F.when(ev % 23 == 0, texts).otherwise(F.array(F.lit("link_orders_parts"))).alias("links"),
-        F.when(ev % 3 == 0, F.array(F.concat(F.lit("sat_"), _tail()))).otherwise(texts).alias("satellites"),
-    )
-    vault = (
-        F.when(ev % 67 == 0, F.lit(None))
-        .when(ev % 71 == 0, F.array().cast(vault_type))
-        .otherwise(F.array(structure).cast(vault_type))
-    )
-    return df.withColumns(
-        {"lake_tables": lake.cast(tables_type), "vault_structures": vault, "successful": ev % 29 != 0}
+    return (
+        df.withColumn("_seen", F.expr(f"cast({columns} AS {_ATTRS})"))
+        .withColumns(
+            {
+                "lake_tables": F.expr(f"cast({lake} AS array<struct<name:string,attributes:{_ATTRS}>>)"),
+                "vault_structures": F.expr(f"cast({vault} AS {vault_type})"),
+                "successful": F.expr("event_id % 29 <> 0"),
+            }
+        )
+        .drop("_seen")
     )
 
 

@@ -35,7 +35,7 @@ def next_versions(accepted: DataFrame, versions: DataFrame, order: str = "seq",
 
 def store_versions(rows: DataFrame, path: str) -> None:
     """Append version rows below a path-safe folder per dataset."""
-    rows.withColumn("dataset_key", dataset_path_key(F.col("dataset_id"))).write.mode("append").partitionBy(
+    rows.withColumn("dataset_key", F.expr(dataset_path_key("dataset_id"))).write.mode("append").partitionBy(
         "dataset_key"
     ).parquet(path)
 
