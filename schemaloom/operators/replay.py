@@ -12,7 +12,6 @@ result is exactly that of the sequential fold.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -418,8 +417,3 @@ def _with_impacts(runs, needs, impacts, edges) -> DataFrame:
         .agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "counts")))).alias("impacts"))
     )
     return runs.join(known, keys, "left").withColumn("impacts", F.coalesce("impacts", F.lit("{}")))
-
-
-def sorted_batches(key_rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """All rows that one trigger delivered for a key, as one frame (size bounded by the trigger)."""
-    return pd.concat(list(key_rows), ignore_index=True)

@@ -16,7 +16,10 @@ from schemaloom.operators.link_probe import probe_links
 from schemaloom.operators.replay import replay
 from schemaloom.plans import inputs
 from schemaloom.sources import evidence, lineage_edges, notifications, policies, registry
-from schemaloom.workspace import new_folder
+from schemaloom.streaming.registry_sink import RegistrySink, run_registry
+from schemaloom.streaming.replay_stream import RESULT as STREAM_RESULT
+from schemaloom.streaming.replay_stream import log_to_notifications, run_replay
+from schemaloom.workspace import new_folder, stored
 
 QUERIES = {}
 
@@ -875,3 +878,44 @@ def vault_satellite_evolved(spark, sf):
 @query
 def link_probe(spark, sf):
     return probe_links({t: inputs.table(spark, sf, t) for t in _STAR})
+
+
+# --- streaming ---------------------------------------------------------------------------
+
+_LOG = "offset bigint, value string, verified boolean"
+
+
+def _log_folder(spark, sf, batches: int = 3) -> str:
+    """The messages as a log of parquet files, written one offset range after the other."""
+    n = inputs.message_values(spark, sf).select(
+        F.col("event_id").alias("offset"), "value", (F.col("event_id") % 19 != 0).alias("verified")
+    )
+    path = new_folder(spark, "log")
+    n = stored(n)
+    low, high = n.agg(F.min("offset"), F.max("offset")).first()
+    step = (high - low) // batches + 1
+    for i in range(batches):
+        start = low + i * step
+        n.filter(F.col("offset").between(start, start + step - 1)).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _read_log(spark, path):
+    return spark.readStream.schema(_LOG).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query
+def replay_stream(spark, sf):
+    """Stateful streaming replay of the message log, one file per trigger."""
+    path, out = _log_folder(spark, sf), new_folder(spark, "replayed")
+    run_replay(log_to_notifications(_read_log(spark, path)), policies.STANDARD_POLICIES, out, new_folder(spark, "chk"))
+    done = spark.read.schema(STREAM_RESULT).parquet(out)
+    return done.select("dataset_id", "seq", "allowed", "accepted", "previous_seq", "new_version")
+
+
+@query
+def stream_registry(spark, sf):
+    """Versions that the micro-batch path leaves in its registry."""
+    root = new_folder(spark, "registry")
+    run_registry(_read_log(spark, _log_folder(spark, sf)), RegistrySink(root, policies.STANDARD_POLICIES), new_folder(spark, "chk"))
+    return spark.read.parquet(f"{root}/versions").select("dataset_id", "version", F.col("seq").alias("stored_seq"))

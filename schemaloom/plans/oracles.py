@@ -637,6 +637,15 @@ SELECT dataset_id, seq, allowed, accepted, previous_seq, CASE WHEN accepted THEN
 oracle("version_history", "fold_requested", """
 SELECT dataset_id, version, seq AS stored_seq, CAST(len(names) AS BIGINT) AS attribute_count FROM fold_requested WHERE accepted""")
 
+# The message log holds the notifications that can be replayed: all but the kinds 0 to 6 of 101.
+cte("logged", "lists", """
+SELECT event_id, dataset_id, requested_policy, verified, names, types, fams, row_number() OVER (PARTITION BY dataset_id ORDER BY event_id) AS n
+FROM lists WHERE event_id % 101 > 6""")
+cte("fold_log", "logged", _fold("coalesce(l.requested_policy, '') = 'sandbox'", "l.verified").replace("{self}", "fold_log").replace("lists", "logged"))
+oracle("replay_stream", "fold_log", """
+SELECT dataset_id, seq, allowed, accepted, previous_seq, CASE WHEN accepted THEN version END AS new_version FROM fold_log WHERE n > 0""")
+oracle("stream_registry", "fold_log", "SELECT dataset_id, version, seq AS stored_seq FROM fold_log WHERE accepted")
+
 # --- tables and vault --------------------------------------------------------------------
 
 oracle("lake_add_column", "", "SELECT o_orderkey, o_custkey, CAST(NULL AS VARCHAR) AS o_channel FROM orders")
