@@ -1 +1,9 @@
 """Schema evolution over tables and streams, expressed as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their code, so that executors need no copy
+# of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

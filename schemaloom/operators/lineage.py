@@ -50,34 +50,26 @@ def walk(requests: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     frontier = stored(requests.select("req_id", F.col("dataset_id").alias("node"), "changed"))
     changed = frontier.select("req_id", "changed")
     reached = frontier.select("req_id", "node")
+    usable = F.expr("size(via) = 0 OR size(changed) = 0 OR coalesce(arrays_overlap(via, changed), false)")
     hits = None
     hop = 0
     while True:
-        usable = (
-            (F.size("via") == 0)
-            | (F.size("changed") == 0)
-            | F.coalesce(F.arrays_overlap("via", "changed"), F.lit(False))
-        )
-        step = stored(
-            frontier.join(e, "node").filter(usable).select("req_id", "target", "artifact_class").distinct()
-        )
-        found = step.filter(F.col("artifact_class").isNotNull())
+        step = frontier.join(e, "node").filter(usable).select("req_id", F.col("target").alias("node"), "artifact_class")
+        known = reached.withColumn("known", F.lit(True))
+        # one job per hop: targets found, and which of them are new
+        step = stored(step.distinct().join(known, ["req_id", "node"], "left"))
+        found = step.filter(F.col("artifact_class").isNotNull()).select("req_id", "artifact_class", "node")
         hits = found if hits is None else hits.unionByName(found)
-        fresh = (
-            step.select("req_id", F.col("target").alias("node"))
-            .distinct()
-            .join(reached, ["req_id", "node"], "left_anti")
-        )
-        fresh = stored(fresh)
+        fresh = step.filter(F.col("known").isNull()).select("req_id", "node")
         if fresh.isEmpty():
             break
+        fresh = fresh.distinct()
         reached = reached.unionByName(fresh)
         hop += 1
         if hop % _COMPACT_EVERY == 0:
             reached, hits = stored(reached), stored(hits.distinct())
         frontier = fresh.join(changed, "req_id")
-    hits = hits.distinct().select("req_id", "artifact_class", F.col("target").alias("artifact_id"))
-    return hits, reached
+    return hits.distinct().withColumnRenamed("node", "artifact_id"), reached
 
 
 def impact_counts(hits: DataFrame) -> DataFrame:

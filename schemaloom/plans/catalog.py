@@ -609,6 +609,7 @@ def policy_decision_lineage(spark, sf):
     """Decisions with the impact found in the lineage graph; only changes that a guard looks at are walked."""
     df = policies.select_policy(policy.policy_flags(inputs.diffed(spark, sf)), policies.STANDARD_POLICIES)
     df = df.withColumn("changed", F.expr(diff.changed_attributes("atoms")))
+    df = stored(df)
     asked = kept(
         df,
         F.col("has_atoms") & (F.col("policy.impact_mode") != "off")
