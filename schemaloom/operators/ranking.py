@@ -18,7 +18,7 @@ def running_index(df: DataFrame, keys: list[str], order: str, name: str, bucket:
     the rows of one bucket are sorted together.
     """
     width = bucket or BUCKET
-    df = df.withColumn("_b", F.floor(F.col(order) / width))
+    df = df.withColumn("_b", F.expr(f"`{order}` div {width}"))
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     starts = (
         df.groupBy(*keys, "_b")
@@ -43,15 +43,15 @@ def previous_value(
     ``value`` must not be null.
     """
     width = bucket or BUCKET
-    df = df.withColumn("_b", F.floor(F.col(order) / width))
+    df = df.withColumn("_b", F.expr(f"`{order}` div {width}"))
     in_order = W.partitionBy(*keys).orderBy("_b")
     carried = (
         df.groupBy(*keys, "_b")
         .agg(F.max_by(value, order).alias("_last"))
-        .withColumn("_before", F.lag("_last").over(in_order))
+        .withColumn("_carried", F.lag("_last").over(in_order))
         .drop("_last")
     )
     within = F.lag(value).over(W.partitionBy(*keys, "_b").orderBy(order))
     return (
-        df.join(carried, [*keys, "_b"]).withColumn(name, F.coalesce(within, F.col("_before"))).drop("_b", "_before")
+        df.join(carried, [*keys, "_b"]).withColumn(name, F.coalesce(within, F.col("_carried"))).drop("_b", "_carried")
     )

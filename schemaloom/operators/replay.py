@@ -223,7 +223,7 @@ def _with_segments(rows: DataFrame, segment_rows: int) -> DataFrame:
     )
     return (
         rows.join(large, "dataset_id", "left")
-        .withColumn("seg", F.when(F.col("_l"), F.floor(F.col("seq") / segment_rows)).otherwise(F.lit(0)).cast("bigint"))
+        .withColumn("seg", F.when(F.col("_l"), F.expr(f"seq div {segment_rows}")).otherwise(F.lit(0)).cast("bigint"))
         .drop("_l")
     )
 
@@ -240,7 +240,7 @@ def _skip_empty(fn, schema: str):
 
     def call(rows: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or runs.empty:
-            return pd.DataFrame({n: [] for n in names})
+            return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
         return fn(rows, runs)
 
     return call
@@ -343,7 +343,9 @@ def _resolve_starts(rows, segs, first, states, edges) -> DataFrame:
     needs = spark.createDataFrame([], "dataset_id string, seg bigint, start_sid string, key string")
     impacts = spark.createDataFrame([], "dataset_id string, key string, counts array<bigint>")
     while True:
-        tried = stored(_cogroup(rows, _with_impacts(runs, needs, impacts, edges), _probe_segment, _RUN))
+        # later rounds concern few segments; the rows of the others stay where they are
+        active = rows.join(runs.select("dataset_id", "seg").distinct(), ["dataset_id", "seg"], "left_semi")
+        tried = stored(_cogroup(active, _with_impacts(runs, needs, impacts, edges), _probe_segment, _RUN))
         open_runs = tried.filter(F.size("unknown") > 0)
         done = stored(done.unionByName(tried.filter(F.size("unknown") == 0).drop("unknown")))
         if not open_runs.isEmpty():
