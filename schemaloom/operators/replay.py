@@ -165,32 +165,44 @@ def _final_segment(rows: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
     return fold_rows(rows, sig, seq, int(s.start_accepted), Transitions(_impacts(s.impacts)))[0]
 
 
+def _end(run) -> str:
+    return run.end_sid if run.accepted > 0 else run.start_sid
+
+
 def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Follow one dataset's segments from its first state as far as results allow.
+    """Follow one dataset's segments from its first state as far as the runs made so far allow.
 
-    One row per (segment, start tried) comes in, with start_sid null for the bare segment.
-    Segments behind the first unknown one are offered the state that is missing there.
+    In: one row for the first state, one per segment, one per run. Out: one row per segment with
+    its start state. Behind the first segment that has not been run from its true start, each
+    segment is offered two states to try: the one that is missing there, since a header often
+    stays for long, and the end of a run of the segment before it, since most runs end alike.
     """
-    tried = {(r.seg, r.start_sid): r for r in pdf.itertuples(index=False) if r.kind == "run"}
+    tried, by_seg = {}, {}
+    for r in pdf[pdf.kind == "run"].sort_values("start_sid").itertuples(index=False):
+        tried[r.seg, r.start_sid] = r
+        by_seg[r.seg] = r
     first = pdf[pdf.kind == "first"].iloc[0]
-    segs = sorted(pdf[pdf.kind == "seg"].seg)
     sid, seq, n, resolved = first.start_sid, None, int(first.accepted), True
+    guess = None
     out = []
-    for seg in segs:
+    for seg in sorted(pdf[pdf.kind == "seg"].seg):
         hit = tried.get((seg, sid))
-        out.append((first.dataset_id, seg, sid, seq, n, resolved, hit is not None))
-        if not resolved or hit is None:
-            resolved = False
+        out.append((first.dataset_id, seg, sid, seq, n, hit is not None))
+        if resolved and hit is not None:
+            if hit.accepted > 0:
+                sid, seq, n = hit.end_sid, int(hit.end_seq), n + int(hit.accepted)
             continue
-        if hit.accepted > 0:
-            sid, seq, n = hit.end_sid, int(hit.end_seq), n + int(hit.accepted)
-    columns = ["dataset_id", "seg", "start_sid", "start_seq", "start_accepted", "resolved", "has_run"]
+        if guess not in (None, sid):
+            out.append((first.dataset_id, seg, guess, None, 0, (seg, guess) in tried))
+        resolved = False
+        likely = tried.get((seg, guess), by_seg.get(seg))
+        guess = _end(likely) if likely is not None else None
+    columns = ["dataset_id", "seg", "start_sid", "start_seq", "start_accepted", "has_run"]
     return pd.DataFrame(out, columns=columns).astype({"start_seq": "Int64"})
 
 
 _CHAIN = (
-    "dataset_id string, seg bigint, start_sid string, start_seq bigint, start_accepted bigint, "
-    "resolved boolean, has_run boolean"
+    "dataset_id string, seg bigint, start_sid string, start_seq bigint, start_accepted bigint, has_run boolean"
 )
 
 
@@ -358,7 +370,7 @@ def _resolve_starts(rows, segs, first, states, edges) -> DataFrame:
             continue
         chain = stored(_follow(segs, first, done))
         missing = chain.filter(~F.col("has_run"))
-        # segments that may be resolved already need nothing; the others try the missing state
+        # every segment has then run from the end of the one before it
         if missing.isEmpty():
             break
         runs = stored(
