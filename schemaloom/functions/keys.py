@@ -27,11 +27,13 @@ def _escaped(ch: str) -> str:
 def json_ascii_string(x: str) -> str:
     """JSON text of a string with every non-ASCII character escaped; null gives ``null``.
 
-    Only texts that need it are taken apart into characters.
+    Only texts that need it are taken apart, into runs of plain characters and single others.
     """
-    plain = lit(r"\A[ !#-\[\]-~]*\z")
-    chars = f"array_join(transform(split({x}, ''), _ch -> {_escaped('_ch')}), '')"
-    body = f"CASE WHEN rlike({x}, {plain}) THEN {x} ELSE {chars} END"
+    plain = r"[ !#-\[\]-~]"
+    whole, parts = lit(rf"\A{plain}*\z"), lit(rf"{plain}+|{plain.replace('[', '[^', 1)}")
+    part = f"CASE WHEN length(_ch) > 1 THEN _ch ELSE {_escaped('_ch')} END"
+    chars = f"array_join(transform(regexp_extract_all({x}, {parts}, 0), _ch -> {part}), '')"
+    body = f"CASE WHEN rlike({x}, {whole}) THEN {x} ELSE {chars} END"
     return f"CASE WHEN {x} IS NULL THEN 'null' ELSE concat('\"', {body}, '\"') END"
 
 

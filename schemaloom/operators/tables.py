@@ -67,11 +67,22 @@ def lossless(source: T.DataType, target: T.DataType) -> bool:
     return a == b or b in WIDENS_TO.get(a, [])
 
 
+def _attempt(c: Column, source: T.DataType, target: T.DataType) -> Column:
+    """Conversion that gives null for misfits.
+
+    Texts that cannot be whole numbers are set aside first: each failure inside ``try_cast``
+    raises and catches an exception, which is slow when most rows fail.
+    """
+    if isinstance(source, T.StringType) and isinstance(target, T.IntegralType):
+        return F.when(c.rlike(r"\A\s*[+-]?\d+\s*\z"), c.try_cast(target))
+    return c.try_cast(target)
+
+
 def converted(c: Column, source: T.DataType, target: T.DataType) -> Column:
     """A widening is a plain cast, so an unexpected overflow fails; otherwise misfits become null."""
     if source == target:
         return c
-    return c.cast(target) if lossless(source, target) else c.try_cast(target)
+    return c.cast(target) if lossless(source, target) else _attempt(c, source, target)
 
 
 def apply_operations(df: DataFrame, operations: Iterable[Mapping]) -> tuple[DataFrame, list[int]]:
@@ -155,7 +166,7 @@ def lossy_cast_report(df: DataFrame, targets: Mapping[str, str]) -> DataFrame:
 
     def lost(name):
         c, source, target = F.col(f"`{name}`"), types[name], spark_type(targets[name])
-        new = c.try_cast(target)
+        new = _attempt(c, source, target)
         bad = new.isNull()
         if isinstance(source, T.NumericType) and isinstance(target, T.NumericType):
             bad = bad | ~new.try_cast(source).eqNullSafe(c)
