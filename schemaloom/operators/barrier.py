@@ -1,4 +1,4 @@
-"""Filters on computed columns."""
+"""Filters on and explodes of computed columns."""
 
 from __future__ import annotations
 
@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def unnest(df: DataFrame, keep: list, array: str, pos: str, item: str) -> DataFrame:
+    """``keep`` columns with one row per element of a computed array: its position and itself.
+
+    A plain explode makes the optimizer filter out empty arrays beforehand, which evaluates the
+    expression of the array a second time; the outer form does not.
+    """
+    out = df.select(*keep, F.posexplode_outer(array).alias(pos, item))
+    return out.filter(F.col(pos).isNotNull())
+
+
 def kept(df: DataFrame, condition: Column) -> DataFrame:
     """Rows that meet a condition on columns that were expensive to compute.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.functions.headers import signature
 from schemaloom.functions.text import empty, let, struct
+from schemaloom.operators.barrier import unnest
 from schemaloom.types import ATOM_DDL
 
 _SIGNATURE_ITEM = "struct<name:string,ctype:string>"
@@ -55,7 +56,7 @@ def with_atoms(df: DataFrame, prev: str = "prev_attributes", new: str = "attribu
 
 def explode_atoms(df: DataFrame, *keys: str) -> DataFrame:
     """One row per atom with its 1-based position."""
-    return df.select(*keys, F.posexplode("atoms").alias("atom_pos", "atom")).select(
+    return unnest(df, keys, "atoms", "atom_pos", "atom").select(
         *keys, (F.col("atom_pos") + 1).alias("atom_seq"), "atom.*"
     )
 

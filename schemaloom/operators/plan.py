@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.functions.keys import idempotency_key, json_ascii_object, json_ascii_string
 from schemaloom.functions.text import empty, let, lit, struct
+from schemaloom.operators.barrier import unnest
 
 _OP_PARAMS = {
     "ADD_COLUMN": ["column_name", "logical_type"],
@@ -68,7 +69,7 @@ def explode_operations(df: DataFrame, *keys: str, dataset: str = "dataset_id") -
     Keys are hashed after the explode, so hashing runs in generated code per operation.
     """
     kept = list(dict.fromkeys([*keys, dataset]))
-    out = df.select(*kept, F.posexplode("operations").alias("op_pos", "op")).select(
+    out = unnest(df, kept, "operations", "op_pos", "op").select(
         *kept, (F.col("op_pos") + 1).alias("op_seq"), "op.*", F.col(dataset).alias("target")
     )
     plain = {c: c for c in ("column_name", "from_type", "to_type", "target")}

@@ -31,12 +31,14 @@ def _plain(df: DataFrame) -> DataFrame:
 
 
 def query(fn):
+    name = fn.__name__.removeprefix("run_")
+
     def run(spark: SparkSession, sf: str) -> DataFrame:
         return _plain(fn(spark, sf))
 
     run.__doc__ = fn.__doc__
-    run.__name__ = fn.__name__
-    QUERIES[fn.__name__] = run
+    run.__name__ = name
+    QUERIES[name] = run
     return run
 
 
@@ -108,7 +110,7 @@ def policy_select(spark, sf):
 
 
 @query
-def lineage_edges_scan(spark, sf):
+def run_lineage_edges(spark, sf):
     e = lineage_edges.normalize_edges(
         inputs.edges(spark, sf).withColumn("metadata", F.lit(None).cast("map<string,string>"))
     )

@@ -278,7 +278,7 @@ SELECT event_id, coalesce(requested_policy, 'production') AS policy_name,
   CASE WHEN requested_policy = 'sandbox' THEN 'any' ELSE 'widen' END AS change_mode
 FROM notifs""")
 
-oracle("lineage_edges_scan", "edges", f"""
+oracle("lineage_edges", "edges", f"""
 SELECT up AS upstream_id, down AS downstream_id, coalesce({_CLASS}, 'none') AS artifact_class,
   array_to_string(via, ',') AS via, CAST(0 AS BIGINT) AS metadata_size FROM edges""")
 oracle("lineage_append", "edges", "SELECT ty AS downstream_type, 2 * count(*) AS edges FROM edges GROUP BY 1")

@@ -14,14 +14,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     A folder of our own is made only for a local session that names none, as in tests;
     on a cluster a missing setting is an error, since executors cannot share a local disk.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="schemaloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(root)
     return root
 
 
@@ -33,10 +33,3 @@ def stored(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read on from there (lineage is cut)."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def as_table(df: DataFrame, name: str) -> DataFrame:
-    """Like ``stored`` but as parquet, so that later scans prune columns and push filters."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
