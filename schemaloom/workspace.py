@@ -1,35 +1,58 @@
-"""Where intermediate tables live."""
+"""Where intermediate tables live: one folder per session, below a folder that the session names."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SETTING = "spark.schemaloom.work.dir"
+
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the session.
+    """The shared folder: ``spark.schemaloom.work.dir``, else ``spark.checkpoint.dir``, else the warehouse.
 
-    A folder of our own is made only for a local session that names none, as in tests;
-    on a cluster a missing setting is an error, since executors cannot share a local disk.
+    All three come from the session, so driver and executors see the same place whatever the master is.
     """
     context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not root:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="schemaloom-")
+    root = (
+        spark.conf.get(SETTING, None)
+        or spark.conf.get("spark.checkpoint.dir", None)
+        or context.getCheckpointDir()
+        or spark.conf.get("spark.sql.warehouse.dir")
+    )
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root
 
 
+def work_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark).rstrip('/')}/work-{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediates, on whatever file system it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all intermediates of this session; results read from them must be written before."""
+    remove(spark, work_folder(spark))
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read on from there (lineage is cut)."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows as a Parquet table in the work folder: columns can be pruned when read again."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
