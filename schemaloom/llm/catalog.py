@@ -5,11 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm import mixing, reply_trees
+from schemaloom.llm import mixing, quality_rules, reply_trees, simhash
 from schemaloom.llm.tables import table
 from schemaloom.workspace import written
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of all documents, the base test and the verdict of the learned decision list."""
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of all documents."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their size, the target of their source and the words that the mix takes of them."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -40,6 +58,8 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op10_reply_trees": op10_reply_trees,
 }
