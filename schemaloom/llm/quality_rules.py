@@ -22,15 +22,15 @@ SPACE = b" \t\n\x0b\x0c\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks")
 
 #: What rules may look at: name -> expression of the counts. Texts without words have ratios of 0. All but the
-#: first stay the same when a text goes on in the same way, so long texts are not held against themselves.
+#: last stay the same when a text goes on in the same way, so long texts are not held against themselves.
 FEATURES = {
-    "words": "CAST(n_words AS DOUBLE)",
-    "word_length": "coalesce(word_chars / n_words, 0D)",
     "symbols_per_word": "coalesce(n_symbols / n_words, 0D)",
     "repeated_share": "coalesce(n_repeat_words / n_words, 0D)",
-    "duplicate_lines_per_word": "coalesce(n_dup_lines / n_words, 0D)",
     "upper_share": "coalesce(n_upper / word_chars, 0D)",
     "marks_per_word": "coalesce(n_marks / n_words, 0D)",
+    "duplicate_lines_per_word": "coalesce(n_dup_lines / n_words, 0D)",
+    "word_length": "coalesce(word_chars / n_words, 0D)",
+    "words": "CAST(n_words AS DOUBLE)",
 }
 
 
@@ -139,11 +139,16 @@ def _prune(rule: Rule, data: dict[str, np.ndarray], bad: np.ndarray, rows: np.nd
         p, n = int((hit & bad).sum()), int((hit & ~bad).sum())
         worth = (p - n) / (p + n) if p + n else -1.0
         best = max(best, (worth, p, rule[:k], p / max(p + n, 1), p), key=lambda b: b[:2])
-    return best[2], best[3], best[4]
+    tightest = {}
+    for test in best[2]:
+        other = tightest.setdefault((test.feature, test.above), test)
+        if (test.limit > other.limit) == test.above:
+            tightest[test.feature, test.above] = test
+    return tuple(tightest.values()), best[3], best[4]
 
 
 def learn(
-    data: dict[str, np.ndarray], bad: np.ndarray, *, seed: int = 0, precision: float = 0.9, cuts: int = 64, longest: int = 4, most: int = 32
+    data: dict[str, np.ndarray], bad: np.ndarray, *, seed: int = 0, precision: float = 0.95, cuts: int = 64, longest: int = 4, most: int = 32
 ) -> list[Rule]:
     """Sequential covering: grow on two thirds of what is left, prune on the rest, keep rules that stay precise.
 
