@@ -63,7 +63,7 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
         ),
         "reply-0",
     )
-    jumps, finished = [level], level.where("above IS NULL")
+    jumps = [level]
     nodes = level.count()
     while (1 << (len(jumps) - 1)) < max(nodes, 1):
         level = jumps[-1]
@@ -77,18 +77,16 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
             F.col("total").alias("_total"),
             F.col("depth").alias("_depth"),
         )
-        # What has reached its root stays in the table: others may jump onto it.
-        joined = level.join(target, (level["tree"] == target["_t"]) & (level["above"] == target["_n"]), "left")
-        level = written(
-            joined.select(
-                "tree",
-                "node",
-                F.col("_above").alias("above"),
-                (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"),
-                (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-            ),
-            f"reply-{len(jumps)}",
+        joined = moving.join(target, (moving["tree"] == target["_t"]) & (moving["above"] == target["_n"]))
+        moved = joined.select(
+            "tree",
+            "node",
+            F.col("_above").alias("above"),
+            (F.col("total") + F.col("_total")).alias("total"),
+            (F.col("depth") + F.col("_depth")).alias("depth"),
         )
+        # What has reached its root stays in the table, unjoined: others may jump onto it.
+        level = written(moved.unionByName(level.where("above IS NULL")), f"reply-{len(jumps)}")
         jumps.append(level)
     finished = jumps[-1].where("above IS NULL")
     parents = jumps[0].where("above IS NOT NULL").select("tree", F.col("above").alias("node")).distinct()
