@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm import mixing, quality_rules, reply_trees, simhash, toxicity
+from schemaloom.llm import decontamination, mixing, quality_rules, reply_trees, simhash, toxicity
 from schemaloom.llm.tables import table
 from schemaloom.workspace import written
 
@@ -40,6 +40,21 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of benchmark windows in all documents."""
+    judged = decontamination.contamination(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    )
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("hit_items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of all documents by a network that has learned from the learning fold only."""
     docs = table(spark, sf_dir, "documents")
@@ -74,6 +89,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
+    "op7_decontamination": op7_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_reply_trees": op10_reply_trees,
 }
@@ -108,6 +124,36 @@ targets AS (
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(size * (whole + CASE WHEN 2 * before + tied <= 2 * (target - whole * source_size) AND target > whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM placed""",
+    "op7_decontamination": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), starts AS (
+  SELECT item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM b WHERE len(w) > 0
+), windows AS (
+  SELECT item, least(len(w), 13) AS n, array_to_string(list_slice(w, s, s + 12), ' ') AS key FROM starts
+), sizes AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT r, w, unnest(range(1, len(w) + 1)) AS s FROM d
+), grams AS (
+  SELECT r, s, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS key FROM places, sizes WHERE s + n - 1 <= len(w)
+), hits AS (
+  SELECT DISTINCT g.r, g.s, g.n, x.item FROM grams g JOIN windows x ON g.key = x.key AND g.n = x.n
+), covered AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM hits) GROUP BY r
+), named AS (
+  SELECT r, count(DISTINCT item) AS n_items, array_to_string(list_sort(list_distinct(list(item))), ',') AS items FROM hits GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)""",
     "op10_reply_trees": r"""
 WITH rows AS (
   SELECT conv_id, turn, role, text FROM conversations
