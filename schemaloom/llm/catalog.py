@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm import decontamination, mixing, quality_rules, reply_trees, simhash, toxicity
+from schemaloom.llm import decontamination, mixing, quality_rules, reply_trees, simhash, token_files, toxicity
 from schemaloom.llm.tables import table
-from schemaloom.workspace import written
+from schemaloom.workspace import new_folder, written
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def token_table(docs: DataFrame) -> DataFrame:
+    """Write the block file of documents, read it back and sum it up per document."""
+    spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "tokens")
+    token_files.write_blocks(docs, folder)
+    return token_files.document_checksums(spark.read.schema(token_files.BLOCKS).parquet(folder))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of the ids of all documents, read back from the block file."""
+    return token_table(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -87,6 +99,7 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_token_files": op3_token_files,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op7_decontamination": op7_decontamination,

@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from schemaloom.llm.tables import packed
 from schemaloom.workspace import written
 
 BITS, BLOCKS = 64, 4
@@ -161,3 +162,18 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, distance: int = 2, id_col
     smallest = labelled.groupBy("root").agg(F.min("least_id").alias("component"))
     known = labelled.join(smallest, "root").select("fingerprint", "component")
     return prints.join(written(known, "components"), "fingerprint").select("id", "fingerprint", "component")
+
+
+
+def kept(docs: DataFrame, *, size: int = 5, distance: int = 2, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, whole: that of the smallest id (null last).
+
+    Repeated rows and other rows of that id in the group are dropped but one. Texts without words form one group.
+    """
+    found = near_duplicates(docs, size=size, distance=distance, id_column=id_column, text=text)
+    groups = written(found.groupBy("component").agg(F.min("id").alias("stays")), "stays")
+    rows = packed(docs, _id=id_column)
+    same = rows["_id"].eqNullSafe(groups["stays"])
+    columns = [F.col("_row").getField(c).alias(c) for c in docs.columns]
+    chosen = rows.join(groups.select("stays").distinct(), same, "left_semi")
+    return chosen.dropDuplicates(["_id"]).select(*columns)
