@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm import decontamination, mixing, quality_rules, reply_trees, simhash, token_files, toxicity
+from schemaloom.llm import chunk_dedup, decontamination, mixing, quality_rules, reply_trees, simhash, token_files, toxicity
 from schemaloom.llm.tables import table
 from schemaloom.workspace import new_folder, written
 
@@ -67,6 +67,14 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What chunk dedup removes from all documents."""
+    cut = chunk_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id", "n_bytes", F.col("n_covered").alias("n_repeated"), "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256")
+    )
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of all documents by a network that has learned from the learning fold only."""
     docs = table(spark, sf_dir, "documents")
@@ -103,6 +111,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op7_decontamination": op7_decontamination,
+    "op8_chunk_dedup": op8_chunk_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_reply_trees": op10_reply_trees,
 }
