@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm import chunk_dedup, decontamination, mixing, quality_rules, reply_trees, simhash, token_files, toxicity
+from schemaloom.llm import chunk_dedup, decontamination, mixing, quality_rules, reply_trees, simhash, suffix_dedup, token_files, toxicity
 from schemaloom.llm.tables import table
 from schemaloom.workspace import new_folder, written
 
@@ -30,6 +30,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without the bytes of repeated 400-byte strings."""
+    cut = suffix_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -108,6 +114,7 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_token_files": op3_token_files,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
     "op6_mixing": op6_mixing,
     "op7_decontamination": op7_decontamination,
