@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm import chunk_dedup, decontamination, mixing, quality_rules, reply_trees, simhash, suffix_dedup, token_files, toxicity
+from schemaloom.llm import chunk_dedup, decontamination, mixing, quality_rules, reply_trees, simhash, suffix_dedup, token_files, toxicity, warc_fixity
 from schemaloom.llm.tables import table
 from schemaloom.workspace import new_folder, written
 
@@ -18,6 +20,42 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Pages of one WARC file, and the damage of the replica that op2 audits: which pages have a byte of their payload or
+#: their first header line changed, which files lose their last record, which are lost.
+PAGES_PER_FILE = 256
+CHANGED_PAYLOAD, CHANGED_HEADER, CUT_FILE, LOST_FILE = (101, 7), (307, 11), (17, 3), (23, 5)
+
+
+def _damage(file: int, records: list[bytes]) -> list[bytes]:
+    if file % LOST_FILE[0] == LOST_FILE[1]:
+        return []
+    out = []
+    for raw in records:
+        page = int(re.search(rb"<urn:page:(-?\d+)>", raw)[1])
+        if page % CHANGED_HEADER[0] == CHANGED_HEADER[1]:
+            raw = b"X" + raw[1:]
+        elif page % CHANGED_PAYLOAD[0] == CHANGED_PAYLOAD[1] and b"\r\nContent-Length: 0\r\n" not in raw:
+            raw = raw[:-5] + bytes([raw[-5] ^ 1]) + raw[-4:]
+        out.append(raw)
+    return out[:-1] if file % CUT_FILE[0] == CUT_FILE[1] else out
+
+
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC files, a damaged replica of them, and where their trees show the damage."""
+    pages = table(spark, sf_dir, "pages").where("page_id IS NOT NULL")
+    name = F.concat(F.lit("urn:page:"), F.col("page_id").cast("string"))
+    records = pages.select(
+        F.expr(f"CAST(floor(page_id / {PAGES_PER_FILE}) AS BIGINT)").alias("file"),
+        F.struct("page_id", "url", "html").alias("place"),
+        warc_fixity.record(name, F.col("url"), F.col("html")).alias("record"),
+    )
+    first, second = new_folder(spark, "warc"), new_folder(spark, "replica")
+    warc_fixity.write_files(records, first)
+    warc_fixity.damaged_copy(spark, first, second, _damage)
+    trees = [warc_fixity.Tree(warc_fixity.hashed(warc_fixity.read_files(spark, f))) for f in (first, second)]
+    return warc_fixity.audit(*trees)
+
+
 def token_table(docs: DataFrame) -> DataFrame:
     """Write the block file of documents, read it back and sum it up per document."""
     spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "tokens")
@@ -113,6 +151,7 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_warc_fixity": op2_warc_fixity,
     "op3_token_files": op3_token_files,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
@@ -124,6 +163,28 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_warc_fixity": r"""
+WITH named AS (
+  SELECT page_id, url, html, coalesce(html, '') AS body, 'urn:page:' || page_id AS name, CAST(floor(page_id / 256) AS BIGINT) AS file
+  FROM pages WHERE page_id IS NOT NULL
+), records AS (
+  SELECT *, row_number() OVER o AS n, count(*) OVER (PARTITION BY file) AS own,
+    strlen('WARC/1.1') + 2 + strlen('WARC-Type: resource') + 2 + strlen('WARC-Record-ID: <>') + strlen(name) + 2
+    + strlen('WARC-Date: 2024-01-01T00:00:00Z') + 2
+    + strlen('WARC-Target-URI: ') + strlen(replace(replace(coalesce(url, name), chr(13), '%0D'), chr(10), '%0A')) + 2
+    + strlen('Content-Type: text/html') + 2 + strlen('WARC-Block-Digest: sha256:') + 64 + 2
+    + strlen('Content-Length: ') + strlen(CAST(strlen(body) AS VARCHAR)) + 4 + strlen(body) + 4 AS length
+  FROM named WINDOW o AS (PARTITION BY file ORDER BY page_id NULLS FIRST, url NULLS FIRST, html NULLS FIRST)
+), placed AS (
+  SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS record_offset
+  FROM records
+), judged AS (
+  SELECT *, CASE WHEN file % 23 = 5 OR (file % 17 = 3 AND n = own) THEN 'missing'
+    WHEN page_id % 307 = 11 OR (page_id % 101 = 7 AND body <> '') THEN 'altered' END AS status
+  FROM placed
+)
+SELECT file, CAST(record_offset AS BIGINT) AS record_offset, CAST(length AS BIGINT) AS length, name AS record_id, status
+FROM judged WHERE status IS NOT NULL""",
     # The water level by its definition: the least level at which the capped shares use up the budget.
     "op6_mixing": r"""
 WITH sized AS (
