@@ -8,7 +8,10 @@ distinct fingerprints.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,11 +27,11 @@ BITS, BLOCKS = 64, 4
 CROWD = 32
 
 
-def fingerprint(text: str | None, size: int) -> int:
-    """Unsigned fingerprint of the word shingles of a whole text; 0 without words."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """XXH64 (seed 42) of the word shingles of a whole text, A-Z lowered, in order; fewer words make one shingle, none make none."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     if len(words) <= size:
         shingles = [joined]
@@ -38,13 +41,25 @@ def fingerprint(text: str | None, size: int) -> int:
         starts = (ends - lengths)[: len(words) - size + 1].tolist()
         shingles = map(joined.__getitem__, map(slice, starts, (ends[size - 1 :] - 1).tolist()))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, 42) for s in shingles], "<u8")
+    return np.array([digest(s, 42) for s in shingles], "<u8")
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """64 bits, lowest first: which are set in over half of the hashes."""
     total = np.zeros(BITS, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
-        total += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = (2 * total > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    for at in range(0, len(hashes), 255 * 64):
+        part = hashes[at : at + 255 * 64]
+        full = np.zeros(-(-len(part) // 255) * 255, "<u8")
+        full[: len(part)] = part
+        bits = np.unpackbits(full.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        # Up to 255 rows are summed in bytes, then those sums.
+        total += bits.reshape(-1, 255, BITS).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
+    return (2 * total > len(hashes)).astype(np.uint8)
+
+
+def fingerprint(text: str | None, size: int) -> int:
+    """Unsigned fingerprint of a whole text; 0 without words."""
+    return int(np.packbits(majority(shingle_hashes(text, size)), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, *, size: int = 3, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,26 +169,149 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, distance: int = 2, id_col
     prints = written(fingerprints(docs, size=size, id_column=id_column, text=text), "fingerprints")
     distinct = written(prints.groupBy("fingerprint").agg(F.min("id").alias("least_id")), "distinct")
     # Signed and unsigned order differ, which does not matter: any order gives the same components.
-    rooted = components(close_pairs(distinct, distance))
-    labelled = distinct.join(rooted, F.col("fingerprint") == F.col("node"), "left").select(
-        "fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root")
+    known = _smallest_ids(distinct, close_pairs(distinct, distance), "fingerprint")
+    return prints.join(written(known, "components"), "fingerprint").select("id", "fingerprint", "component")
+
+
+def _smallest_ids(distinct: DataFrame, links: DataFrame, node: str) -> DataFrame:
+    """(node, component) of all nodes: the smallest ``least_id`` of the nodes that links reach."""
+    rooted = components(links).withColumnRenamed("node", "_node")
+    labelled = distinct.join(rooted, F.col(node) == F.col("_node"), "left").select(
+        node, "least_id", F.coalesce("root", node).alias("root")
     )
     labelled = written(labelled, "roots")
     smallest = labelled.groupBy("root").agg(F.min("least_id").alias("component"))
-    known = labelled.join(smallest, "root").select("fingerprint", "component")
-    return prints.join(written(known, "components"), "fingerprint").select("id", "fingerprint", "component")
+    return labelled.join(smallest, "root").select(node, "component")
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Blocks for a similarity: ``blocks`` of ``width`` bits each, and the bits that may differ in all of them."""
+
+    blocks: int
+    width: int
+    allowed: int
+    near: int  # of the first 64 bits: four standard deviations above what is expected at the threshold
+
+    @staticmethod
+    def of(rows: int, similarity: float, recall: float) -> Plan:
+        """Pairs that differ in fewer bits than there are blocks share one for sure; at the threshold, with probability ``recall``.
+
+        A block has two bits more than it takes to number the rows, so unrelated rows seldom meet: fingerprints
+        of more rows are longer, and their pairs do not grow with the square of the rows. Two sets of shingles of
+        Jaccard similarity s have the cosine 2s / (1 + s), and differ in the share angle / pi of their bits.
+        """
+        flipped = math.acos(2 * similarity / (1 + similarity)) / math.pi
+        width = min(48, max(12, math.ceil(math.log2(rows + 1)) + 2))
+        blocks = math.ceil(math.log(1 - recall) / math.log(1 - (1 - flipped) ** width))
+        near = math.ceil(64 * flipped + 4 * math.sqrt(64 * flipped * (1 - flipped)))
+        return Plan(blocks, width, math.floor(flipped * blocks * width), near)
+
+
+def long_fingerprint(text: str | None, size: int, bits: int) -> bytes:
+    """As many bits of majorities as asked for: each word of 64 mixes the shingles' hashes anew."""
+    hashes, out = shingle_hashes(text, size), []
+    with np.errstate(over="ignore"):
+        for n in range(-(-bits // BITS)):
+            mixed = hashes + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            out.append(majority(mixed ^ (mixed >> np.uint64(31))))
+    found = np.concatenate(out)
+    found[bits:] = 0
+    return np.packbits(found, bitorder="little").tobytes()
+
+
+def similar_documents(
+    docs: DataFrame, *, size: int = 5, similarity: float = 0.8, recall: float = 0.95, id_column: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """(id, component) of every row: groups of texts whose shingles have about this Jaccard similarity or more.
+
+    Long fingerprints are cut into pigeonhole blocks (see ``Plan``), joined on blocks, and verified by Hamming distance over
+    all their bits. Null and empty texts are one group; a null id is never the smallest unless its group has no other.
+    """
+    plan = Plan.of(docs.count(), similarity, recall)
+    bits = plan.blocks * plan.width
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "print": [long_fingerprint(t, size, bits) for t in batch["text"]]})
+
+    named = packed(docs, id=id_column, text=text).select(F.col("id").cast("string").alias("id"), "text")
+    prints = written(named.mapInPandas(run, "id string, print binary"), "prints").withColumn("id", F.col("id").cast("bigint"))
+    distinct = prints.groupBy("print").agg(F.min("id").alias("least_id"))
+    distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    known = written(_smallest_ids(distinct.select("node", "least_id"), _similar_pairs(distinct, plan), "node"), "components")
+    return prints.join(distinct.select("print", "node"), "print").join(known, "node").select("id", "component")
 
 
+def _similar_pairs(distinct: DataFrame, plan: Plan) -> DataFrame:
+    """Verified links (a, b) of nodes.
 
-def kept(docs: DataFrame, *, size: int = 5, distance: int = 2, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates, whole: that of the smallest id (null last).
+    Up to ``CROWD`` nodes under one block are all compared. In a larger crowd, all are compared with a leader; those that
+    are not close to it choose another, and so on, until few are left; these are compared with each other.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        weights = 1 << np.arange(plan.width, dtype=np.int64)
+        numbers = np.arange(plan.blocks, dtype=np.int64) << plan.width
+        for batch in batches:
+            raw = np.frombuffer(b"".join(batch["print"]), np.uint8).reshape(len(batch), -1)
+            bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : plan.blocks * plan.width]
+            keys = bits.reshape(len(batch), plan.blocks, plan.width) @ weights + numbers
+            sketch = np.ascontiguousarray(raw[:, :8]).view("<i8").ravel()
+            yield pd.DataFrame({"node": batch["node"], "sketch": sketch, "keys": list(keys)})
+
+    cuts = distinct.select("node", "print").mapInPandas(cut, "node bigint, sketch bigint, keys array<bigint>")
+    keyed = written(cuts.select("node", "sketch", F.explode("keys").alias("key")), "blocks")
+    crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+    met = written(keyed.join(crowds, "key"), "crowds")
+
+    def compared(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs under one block that may be close, by their first 64 bits."""
+        other = right.select("key", F.col("node").alias("b"), F.col("sketch").alias("_s"))
+        near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("_s"))) <= plan.near
+        return left.join(other, "key").where(near).select("key", F.col("node").alias("a"), "b")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+            x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
+            return pd.Series(np.bitwise_count(x ^ y).sum(1, dtype=np.int64))
+
+        bits = F.pandas_udf(distance, "bigint", F.PandasUDFType.SCALAR)
+        left = distinct.select(F.col("node").alias("a"), F.col("print").alias("_a"))
+        right = distinct.select(F.col("node").alias("b"), F.col("print").alias("_b"))
+        return pairs.join(left, "a").join(right, "b").where(bits("_a", "_b") <= plan.allowed).select("a", "b")
+
+    few = met.where(F.col("crowd") <= CROWD)
+    pairs = compared(few, few).where("a < b").select("a", "b").distinct()
+    links = [written(verified(pairs), "links")]
+    everyone = met.where(F.col("crowd") > CROWD).select("key", "node", "sketch")
+    left = written(everyone, "left")
+    while not left.isEmpty():
+        leaders = left.groupBy("key").agg(F.min(F.struct("node", "sketch")).alias("l")).select("key", "l.*")
+        close = compared(leaders, everyone).where("a <> b")
+        close = written(close.join(verified(close.select("a", "b").distinct()), ["a", "b"]), "close")
+        links.append(close.select("a", "b").distinct())
+        gone = close.select("key", F.col("b").alias("node")).unionByName(leaders.select("key", "node"))
+        left = left.join(gone, ["key", "node"], "left_anti")
+        sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        left = written(left.join(sizes, "key"), "left")
+        rest = left.where(F.col("n") <= CROWD)
+        links.append(verified(compared(rest, rest).where("a < b").select("a", "b").distinct()))
+        left = left.where(F.col("n") > CROWD).select("key", "node", "sketch")
+    return reduce(DataFrame.unionByName, links).distinct()
+
+
+def kept(
+    docs: DataFrame, *, size: int = 5, similarity: float = 0.8, recall: float = 0.95, id_column: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One row of each group of near-duplicates, whole: one of those with the smallest id (null last).
 
     Repeated rows and other rows of that id in the group are dropped but one. Texts without words form one group.
     """
-    found = near_duplicates(docs, size=size, distance=distance, id_column=id_column, text=text)
-    groups = written(found.groupBy("component").agg(F.min("id").alias("stays")), "stays")
+    found = similar_documents(docs, size=size, similarity=similarity, recall=recall, id_column=id_column, text=text)
+    stays = written(found.select(F.col("component").alias("_stays")).distinct(), "stays")
     rows = packed(docs, _id=id_column)
-    same = rows["_id"].eqNullSafe(groups["stays"])
-    columns = [F.col("_row").getField(c).alias(c) for c in docs.columns]
-    chosen = rows.join(groups.select("stays").distinct(), same, "left_semi")
-    return chosen.dropDuplicates(["_id"]).select(*columns)
+    chosen = rows.join(stays, rows["_id"].eqNullSafe(stays["_stays"]), "left_semi")
+    return chosen.dropDuplicates(["_id"]).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
