@@ -24,12 +24,12 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 #: What rules may look at: name -> expression of the counts. Texts without words have ratios of 0. All but the
 #: last stay the same when a text goes on in the same way, so long texts are not held against themselves.
 FEATURES = {
-    "symbols_per_word": "coalesce(n_symbols / n_words, 0D)",
-    "repeated_share": "coalesce(n_repeat_words / n_words, 0D)",
-    "upper_share": "coalesce(n_upper / word_chars, 0D)",
-    "marks_per_word": "coalesce(n_marks / n_words, 0D)",
-    "duplicate_lines_per_word": "coalesce(n_dup_lines / n_words, 0D)",
-    "word_length": "coalesce(word_chars / n_words, 0D)",
+    "symbols_per_word": "coalesce(try_divide(n_symbols, n_words), 0D)",
+    "repeated_share": "coalesce(try_divide(n_repeat_words, n_words), 0D)",
+    "upper_share": "coalesce(try_divide(n_upper, word_chars), 0D)",
+    "marks_per_word": "coalesce(try_divide(n_marks, n_words), 0D)",
+    "duplicate_lines_per_word": "coalesce(try_divide(n_dup_lines, n_words), 0D)",
+    "word_length": "coalesce(try_divide(word_chars, n_words), 0D)",
     "words": "CAST(n_words AS DOUBLE)",
 }
 
