@@ -88,13 +88,17 @@ def converted(c: Column, source: T.DataType, target: T.DataType) -> Column:
 def apply_operations(df: DataFrame, operations: Iterable[Mapping]) -> tuple[DataFrame, list[int]]:
     """Fold lake operations over a table as one projection.
 
-    Each operation has ``kind`` and ``params`` (column_name, logical_type, new_name). Returns
-    the evolved table and one status per operation; the plan stops at the first permanent error.
+    Each operation has ``kind`` and ``params`` (column_name, logical_type, new_name), as mapping or as a row of
+    ``explode_operations``. Operations of another ``layer`` than the lake belong to other handlers and are
+    passed over. Returns the evolved table and one status per lake operation; the plan stops at the first permanent error.
     """
     # name -> (expression over df, type); insertion order is column order
     columns: dict[str, tuple[Column, T.DataType]] = {f.name: (F.col(f"`{f.name}`"), f.dataType) for f in df.schema}
     statuses = []
     for op in operations:
+        op = op.asDict() if hasattr(op, "asDict") else op
+        if op.get("layer", "lake") != "lake":
+            continue
         status = _apply(columns, op["kind"], op["params"])
         statuses.append(status)
         if status == STATUS_PERMANENT_ERROR:
@@ -103,6 +107,8 @@ def apply_operations(df: DataFrame, operations: Iterable[Mapping]) -> tuple[Data
 
 
 def _apply(columns: dict, kind: str, params: Mapping) -> int:
+    if "column_name" not in params:
+        return STATUS_PERMANENT_ERROR
     name = params["column_name"]
     if kind == "ADD_COLUMN":
         if name in columns:

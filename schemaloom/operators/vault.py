@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from schemaloom.operators.ranking import previous_value
 
 
-def _token(c: Column) -> Column:
-    return F.upper(F.trim(F.coalesce(c.cast("string"), F.lit(""))))
+def _joined(texts: list[Column]) -> Column:
+    """Each text behind its length, a null as ``n``: no two lists of texts give the same result."""
+    return F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("n")) for t in texts])
 
 
 def hash_key(*columns: str) -> Column:
-    """Hash of trimmed, upper-cased business keys; null counts as empty text."""
-    return F.md5(F.concat_ws("||", *[_token(F.col(c)) for c in columns]))
+    """Hash of trimmed, upper-cased business keys; null and empty text differ."""
+    return F.md5(_joined([F.upper(F.trim(F.col(c).cast("string"))) for c in columns]))
 
 
 def hash_diff(*columns: str) -> Column:
     """Hash of descriptive values; null and empty text differ."""
-    return F.md5(F.concat_ws("||", *[F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in columns]))
+    return F.md5(_joined([F.col(c).cast("string") for c in columns]))
 
 
 def _new_only(df: DataFrame, existing: DataFrame | None, key: str) -> DataFrame:
@@ -43,13 +44,11 @@ def load_hub(df: DataFrame, business_key: str, source: str, existing: DataFrame
 def load_link(df: DataFrame, keys: list[str], source: str, existing: DataFrame | None = None, load: Column | None = None):
     """New combinations of business keys with the hash of the link and of each hub."""
     combos = df.select(*keys).dropna().distinct()
-    hashed = combos.select(
-        hash_key(*keys).alias("link_hash"),
-        *[hash_key(k).alias(f"{k}_hash") for k in keys],
-        (F.current_timestamp() if load is None else load).alias("load_ts"),
-        F.lit(source).alias("record_source"),
-    ).dropDuplicates(["link_hash"])
-    return _new_only(hashed, existing, "link_hash")
+    # Spellings that differ in case or padding share all hashes; only these are compared.
+    hashed = combos.select(hash_key(*keys).alias("link_hash"), *[hash_key(k).alias(f"{k}_hash") for k in keys]).distinct()
+    return _new_only(hashed, existing, "link_hash").withColumns(
+        {"load_ts": F.current_timestamp() if load is None else load, "record_source": F.lit(source)}
+    )
 
 
 def load_satellite(

@@ -868,6 +868,34 @@ def vault_satellite(spark, sf):
     return vault.load_satellite(inputs.table(spark, sf, "events"), "user_id", ["event_type"], "event_id", "events")
 
 
+def _barred(spark, sf):
+    """Keys from texts of documents with ``||`` at their end or at the begin of the next one."""
+    a = F.concat(F.substring(F.md5("text"), 1, 20), F.lit("||"))
+    bar = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, "||")
+    return inputs.table(spark, sf, "documents").select("doc_id", a.alias("a"), F.concat(bar, F.substring("lang", 1, 1)).alias("b"))
+
+
+def _recut(df):
+    return df.withColumns({"a": F.expr("left(a, length(a) - 2)"), "b": F.concat(F.lit("||"), F.col("b"))})
+
+
+@query
+def vault_link_text(spark, sf):
+    """Links over text keys that differ only in where a separator stands."""
+    rows = _barred(spark, sf)
+    new = vault.load_link(rows.unionByName(_recut(rows)), ["a", "b"], "documents")
+    return new.select("link_hash", "a_hash", "b_hash")
+
+
+@query
+def vault_satellite_text(spark, sf):
+    """Changes that only move a separator from one column to the next."""
+    rows = _barred(spark, sf).withColumns({"lang": F.col("doc_id") % 7, "load": F.col("doc_id") * 2})
+    moved = _recut(rows).withColumn("load", F.col("load") + 1)
+    out = vault.load_satellite(rows.unionByName(moved), "lang", ["a", "b"], "load", "documents")
+    return out.select("hub_hash", "load_seq", "hash_diff")
+
+
 @query
 def vault_satellite_evolved(spark, sf):
     """The satellite after a column was added and another one widened to text."""
@@ -885,6 +913,8 @@ def link_probe(spark, sf):
 
 # --- streaming ---------------------------------------------------------------------------
 
+# Files of one offset range of the log, which are one trigger.
+LOG_FILES = 4
 _LOG = "offset bigint, value string, verified boolean"
 
 
@@ -899,12 +929,13 @@ def _log_folder(spark, sf, batches: int = 3) -> str:
     step = (high - low) // batches + 1
     for i in range(batches):
         start = low + i * step
-        n.filter(F.col("offset").between(start, start + step - 1)).coalesce(1).write.mode("append").parquet(path)
+        part = n.filter(F.col("offset").between(start, start + step - 1))
+        part.repartition(LOG_FILES).write.mode("append").parquet(path)
     return path
 
 
 def _read_log(spark, path):
-    return spark.readStream.schema(_LOG).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(_LOG).option("maxFilesPerTrigger", LOG_FILES).parquet(path)
 
 
 @query
@@ -916,6 +947,58 @@ def replay_stream(spark, sf):
     return done.select("dataset_id", "seq", "allowed", "accepted", "previous_seq", "new_version")
 
 
+@query
+def stream_registry_resumed(spark, sf):
+    """Two streams, each with its own log and checkpoint, one after the other into one registry."""
+    root, log = new_folder(spark, "registry"), inputs.message_values(spark, sf).select(
+        F.col("event_id").alias("offset"), "value", (F.col("event_id") % 19 != 0).alias("verified")
+    )
+    low, high = log.agg(F.min("offset"), F.max("offset")).first()
+    for n, part in enumerate((F.col("offset") <= (low + high) // 2, F.col("offset") > (low + high) // 2)):
+        path = new_folder(spark, f"log-{n}")
+        log.filter(part).repartition(LOG_FILES).write.parquet(path)
+        run_registry(_read_log(spark, path), RegistrySink(root, policies.STANDARD_POLICIES), new_folder(spark, "chk"))
+    return spark.read.parquet(f"{root}/versions").select("dataset_id", "version", F.col("seq").alias("stored_seq"))
+
+
+@query
+def lineage_edges_file(spark, sf):
+    """Edges written as JSON lines, with metadata and attribute lists of every shape, and read back."""
+    e = inputs.edges(spark, sf).select("*", F.regexp_extract("downstream_id", "([0-9]+)$", 1).cast("bigint").alias("p"))
+    line = F.to_json(F.struct("upstream_type", "upstream_id", "downstream_type", "downstream_id", "via_attributes"))
+    body = F.expr("substring(line, 1, length(line) - 1)")
+    odd = (
+        F.when(F.col("p") % 6 == 0, F.concat(body, F.lit(', "metadata": "plain text"}')))
+        .when(F.col("p") % 6 == 1, F.concat(body, F.lit(', "metadata": {"n": 1, "deep": {"a": [1, 2]}}}')))
+        .when(F.col("p") % 6 == 2, F.regexp_replace("line", r'"via_attributes":\[.*\]', '"via_attributes": "col_1"'))
+        .when(F.col("p") % 6 == 3, F.concat(F.lit("  "), F.col("line"), F.lit(" ")))
+        .when(F.col("p") % 6 == 4, F.concat(F.lit("{broken "), F.col("line")))
+        .otherwise(F.col("line"))
+    )
+    path = new_folder(spark, "edge-lines")
+    e.withColumn("line", line).select(odd.alias("value")).write.text(path)
+    read = lineage_edges.read_edges_jsonl(spark, path)
+    return read.select("upstream_id", "downstream_id", joined("via_attributes").alias("via"), joined(F.sort_array(F.map_keys("metadata"))).alias("metadata_keys"))
+
+
+@query
+def apply_plan_rows(spark, sf):
+    """The operations of a real plan, as ``explode_operations`` gives them, applied to a table."""
+    header = F.expr(
+        "from_json(concat('[', concat_ws(',', "
+        "'{\"kind\":\"ADD_COLUMN\",\"attribute\":\"o_channel\",\"to_type\":\"string\"}', "
+        "'{\"kind\":\"CHANGE_TYPE\",\"attribute\":\"o_custkey\",\"from_type\":\"bigint\",\"to_type\":\"string\"}', "
+        "'{\"kind\":\"DROP_COLUMN\",\"attribute\":\"o_totalprice\",\"from_type\":\"double\"}'"
+        "), ']'), 'array<struct<kind:string,attribute:string,from_type:string,to_type:string>>')"
+    )
+    orders = inputs.table(spark, sf, "orders")
+    one = orders.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("lake.orders").alias("dataset_id"), header.alias("atoms"), F.array(F.lit("NEW_HUB"), F.lit("NEW_LINK")).alias("obligations")
+    )
+    rows = plan.explode_operations(plan.build_plan(one), "dataset_id").orderBy("op_seq").collect()
+    return tables.apply_operations(orders, rows)[0]
+
+
 @query
 def stream_registry(spark, sf):
     """Versions that the micro-batch path leaves in its registry."""

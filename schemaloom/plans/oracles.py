@@ -281,6 +281,11 @@ FROM notifs""")
 oracle("lineage_edges", "edges", f"""
 SELECT up AS upstream_id, down AS downstream_id, coalesce({_CLASS}, 'none') AS artifact_class,
   array_to_string(via, ',') AS via, CAST(0 AS BIGINT) AS metadata_size FROM edges""")
+oracle("lineage_edges_file", "edges", """
+SELECT up AS upstream_id, down AS downstream_id,
+  CASE WHEN p % 6 = 2 THEN 'col_1' ELSE array_to_string(via, ',') END AS via,
+  CASE p % 6 WHEN 0 THEN 'value' WHEN 1 THEN 'deep,n' ELSE '' END AS metadata_keys
+FROM (SELECT *, CAST(regexp_extract(down, '([0-9]+)$', 1) AS BIGINT) AS p FROM edges) WHERE p % 6 <> 4""")
 oracle("lineage_append", "edges", "SELECT ty AS downstream_type, 2 * count(*) AS edges FROM edges GROUP BY 1")
 
 cte("width", "base attrs", "SELECT b.event_id, b.dataset_id, b.n, count(a.name) AS attribute_count FROM base b LEFT JOIN attrs a USING (event_id) GROUP BY ALL")
@@ -645,6 +650,7 @@ cte("fold_log", "logged", _fold("coalesce(l.requested_policy, '') = 'sandbox'",
 oracle("replay_stream", "fold_log", """
 SELECT dataset_id, seq, allowed, accepted, previous_seq, CASE WHEN accepted THEN version END AS new_version FROM fold_log WHERE n > 0""")
 oracle("stream_registry", "fold_log", "SELECT dataset_id, version, seq AS stored_seq FROM fold_log WHERE accepted")
+oracle("stream_registry_resumed", "fold_log", "SELECT dataset_id, version, seq AS stored_seq FROM fold_log WHERE accepted")
 
 # --- tables and vault --------------------------------------------------------------------
 
@@ -667,9 +673,16 @@ SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, CASE
 
 
 def _key(*columns: str) -> str:
-    return "md5(concat_ws('||', " + ", ".join(f"upper(trim(CAST({c} AS VARCHAR)))" for c in columns) + "))"
+    return _lengths([f"upper(trim(CAST({c} AS VARCHAR)))" for c in columns])
 
 
+def _lengths(texts: list[str]) -> str:
+    return "md5(" + " || ".join(f"coalesce(length({t}) || ':' || {t}, 'n')" for t in texts) + ")"
+
+
+oracle("apply_plan_rows", "", """
+SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus, o_orderdate, o_orderpriority, CAST(NULL AS VARCHAR) AS o_channel
+FROM orders""")
 oracle("vault_hub", "", f"""
 SELECT DISTINCT {_key('l_partkey')} AS hub_hash, l_partkey AS business_key, 'lineitem' AS record_source FROM lineitem
 WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 25)""")
@@ -679,7 +692,7 @@ FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem r WHERE r.l_returnflag
 
 
 def _diff_hash(*columns: str) -> str:
-    return "md5(concat_ws('||', " + ", ".join(f"coalesce('v' || CAST({c} AS VARCHAR), 'n')" for c in columns) + "))"
+    return _lengths([f"CAST({c} AS VARCHAR)" for c in columns])
 
 
 oracle("vault_satellite", "", f"""
@@ -692,6 +705,20 @@ FROM (SELECT *, {_diff_hash('event_type', 'level')} AS h FROM (
 QUALIFY lag(h) OVER (PARTITION BY user_id ORDER BY event_id) IS DISTINCT FROM h""")
 
 
+# Texts with the separators that hashes could confuse: pieces around a bar, also at the ends.
+cte("barred", "", """
+SELECT doc_id, left(md5(text), 20) || '||' AS a, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN '||' END || left(lang, 1) AS b FROM documents""")
+oracle("vault_link_text", "barred", f"""
+SELECT DISTINCT {_key('a', 'b')} AS link_hash, {_key('a')} AS a_hash, {_key('b')} AS b_hash FROM (
+  SELECT a, b FROM barred UNION ALL SELECT left(a, length(a) - 2), '||' || b FROM barred) WHERE a IS NOT NULL AND b IS NOT NULL""")
+oracle("vault_satellite_text", "barred", f"""
+SELECT {_key('lang')} AS hub_hash, load_seq, {_diff_hash('a', 'b')} AS hash_diff FROM (
+  SELECT doc_id % 7 AS lang, 2 * doc_id AS load_seq, a, b FROM barred
+  UNION ALL SELECT doc_id % 7, 2 * doc_id + 1, left(a, length(a) - 2), '||' || b FROM barred)
+WINDOW w AS (PARTITION BY lang ORDER BY load_seq)
+QUALIFY lag(load_seq) OVER w IS NULL OR lag(a) OVER w IS DISTINCT FROM a OR lag(b) OVER w IS DISTINCT FROM b""")
+
+
 def _probe() -> str:
     parents = {"regionkey": ("region", "r_regionkey"), "nationkey": ("nation", "n_nationkey"), "custkey": ("customer", "c_custkey"),
                "suppkey": ("supplier", "s_suppkey"), "partkey": ("part", "p_partkey"), "orderkey": ("orders", "o_orderkey")}

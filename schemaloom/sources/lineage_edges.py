@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from schemaloom.types import LINEAGE_EDGE
 
@@ -26,9 +27,33 @@ def normalize_edges(df: DataFrame) -> DataFrame:
 
 
 def read_edges_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Blank and undecodable lines are skipped."""
-    reader = spark.read.schema(LINEAGE_EDGE).option("mode", "DROPMALFORMED")
-    return normalize_edges(reader.json(path))
+    """One edge per line; only blank and undecodable lines and those that are no object are skipped.
+
+    Fields are read one by one: a missing or odd one does not cost the edge. A single attribute counts as a list
+    of one; metadata that is no object is kept under the key ``value``, nested values as JSON texts.
+    """
+    doc = spark.read.text(path).select(F.try_parse_json(F.trim("value")).alias("_doc"))
+    doc = doc.where(F.schema_of_variant("_doc").startswith("OBJECT"))
+
+    def field(name: str, kind: str):
+        return F.try_variant_get("_doc", f"$.{name}", kind)
+
+    single = F.when(field("via_attributes", "string").isNotNull(), F.array(field("via_attributes", "string")))
+    kind = F.schema_of_variant(field("metadata", "variant"))
+    parts = F.when(kind.startswith("OBJECT"), field("metadata", "map<string,variant>"))
+    texts = F.transform_values(parts, lambda _, v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
+    other = F.when(
+        kind.isNotNull() & ~kind.startswith("OBJECT") & (kind != "VOID"),
+        F.create_map(F.lit("value"), F.coalesce(field("metadata", "string"), F.to_json(field("metadata", "variant")))),
+    )
+    plain = [f.name for f in LINEAGE_EDGE if isinstance(f.dataType, T.StringType)]
+    return normalize_edges(
+        doc.select(
+            *[field(c, "string").alias(c) for c in plain],
+            F.coalesce(field("via_attributes", "array<string>"), single).alias("via_attributes"),
+            F.coalesce(texts, other).alias("metadata"),
+        )
+    )
 
 
 def read_edges_jdbc(spark: SparkSession, url: str, table: str, bounds: tuple[str, int, int, int] | None = None, **options):

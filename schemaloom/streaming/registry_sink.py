@@ -1,13 +1,16 @@
 """Micro-batches through the whole path: replay, plans, registry rows and outcome events.
 
-Every output row carries the batch it came from, in a folder of its own per batch that a
+Every output row carries the run and batch it came from, in a folder of its own per batch that a
 repeated batch overwrites. A batch that runs again after a failure therefore leaves each
-row once.
+row once. A run is a checkpoint: another stream over the same registry has folders of its own and
+continues from the newest state that any run has committed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.functions.keys import correlation_id, plan_id
@@ -19,7 +22,7 @@ from schemaloom.sources.notifications import split_valid
 from schemaloom.sources.policies import select_policy
 from schemaloom.streaming.replay_stream import check_log, log_to_notifications
 from schemaloom.types import ATTRIBUTE
-from schemaloom.workspace import stored
+from schemaloom.workspace import exists, stored
 
 LATEST = f"dataset_id string, version bigint, attributes array<{ATTRIBUTE.simpleString()}>"
 
@@ -74,24 +77,44 @@ def outcome_messages(details: DataFrame) -> DataFrame:
     return events.as_messages(good).unionByName(events.as_messages(bad))
 
 
+COMMIT = "position bigint, folder string"
+
+
 class RegistrySink:
-    """``foreachBatch`` target: write(log batch, batch id) persists everything below ``root``."""
+    """``foreachBatch`` target: write(log batch, batch id) persists everything below ``root``.
+
+    The last write of a batch is its commit: its position in the order of all commits and the folder of the state
+    it left. One stream at a time may write to a registry; ``run`` names it and must stay the same
+    when the stream restarts from its checkpoint.
+    """
 
-    def __init__(self, root: str, config: dict, edges: DataFrame | None = None):
-        self.root, self.config, self.edges = root.rstrip("/"), config, edges
+    def __init__(self, root: str, config: dict, edges: DataFrame | None = None, run: str = "first"):
+        self.root, self.config, self.edges, self.run = root.rstrip("/"), config, edges, run
 
     def _folder(self, table: str, batch_id: int) -> str:
-        return f"{self.root}/{table}/batch_id={batch_id}"
+        return f"{self.root}/{table}/run={self.run}/batch_id={batch_id}"
+
+    def _state(self, spark: SparkSession, batch_id: int) -> tuple[DataFrame, int]:
+        """Latest headers before this batch, and the batch's position: its own if it was committed before, else the next."""
+        folder, done = f"{self.root}/commits", []
+        if exists(spark, folder):
+            rows = spark.read.schema(f"{COMMIT}, run string, batch_id int").option("basePath", folder).parquet(folder)
+            own = (F.col("run") == self.run) & (F.col("batch_id") == batch_id)
+            again = rows.where(own).agg(F.min("position")).head()[0]
+            earlier = rows.where(~own) if again is None else rows.where(F.col("position") < again)
+            last = earlier.agg(F.max(F.struct("position", "folder")).alias("m")).select("m.*").head()
+            if last.position is not None:
+                latest = spark.read.schema(LATEST).parquet(f"{self.root}/{last.folder}")
+                return latest, last.position + 1 if again is None else again
+            done = [again] if again is not None else []
+        return spark.createDataFrame([], LATEST), done[0] if done else 0
 
     def _save(self, df: DataFrame, table: str, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(self._folder(table, batch_id))
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch_id == 0:
-            latest = spark.createDataFrame([], LATEST)
-        else:
-            latest = spark.read.schema(LATEST).parquet(self._folder("latest", batch_id - 1))
+        latest, position = self._state(spark, batch_id)
         checked = stored(check_log(batch))
         valid, rejected = split_valid(checked)
         self._save(rejected, "rejects", batch_id)
@@ -118,10 +141,13 @@ class RegistrySink:
         outcome_messages(details).write.mode("overwrite").partitionBy("event_type").json(
             self._folder("outcomes", batch_id)
         )
+        state = self._folder("latest", batch_id).removeprefix(f"{self.root}/")
+        self._save(spark.createDataFrame([(position, state)], COMMIT), "commits", batch_id)
 
 
 def run_registry(log: DataFrame, sink: RegistrySink, checkpoint: str) -> None:
-    """Drain the log through the sink."""
+    """Drain the log through the sink. The checkpoint names the run."""
+    sink.run = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()
     query = (
         log.writeStream.foreachBatch(sink.write)
         .option("checkpointLocation", checkpoint)
