@@ -13,7 +13,7 @@ NO_TABLE = "TABLE_NOT_FOUND"
 
 
 def _profile(name: str, df: DataFrame, columns: list[str]) -> list[dict]:
-    """Min, max and estimated distinct count of key-like columns, in one pass over the table."""
+    """Min, max and count of key-like columns, in one pass over the table."""
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
         col = F.col(c).cast("bigint")
@@ -21,13 +21,12 @@ def _profile(name: str, df: DataFrame, columns: list[str]) -> list[dict]:
             F.min(col).alias(f"min{i}"),
             F.max(col).alias(f"max{i}"),
             F.count(col).alias(f"cnt{i}"),
-            F.approx_count_distinct(col, 0.05).alias(f"ndv{i}"),
         ]
     r = df.agg(*aggs).first()
     return [
         {
             "table": name, "column": c, "rows": r["rows"], "min": r[f"min{i}"], "max": r[f"max{i}"],
-            "count": r[f"cnt{i}"], "ndv": r[f"ndv{i}"],
+            "count": r[f"cnt{i}"],
         }
         for i, c in enumerate(columns)
     ]
@@ -38,14 +37,14 @@ def _stem(column: str) -> str:
 
 
 def probe_links(
-    tables: Mapping[str, DataFrame], targets: list[str] | None = None, fk_filter: str | None = None
+    tables: Mapping[str, DataFrame], targets: list[str] | None = None, fk_filter: str | None = None, same_name: bool = False
 ) -> DataFrame:
     """Foreign keys of the target tables: table_name, name, key_column, parent_table, parent_key,
     distinct_values.
 
     A candidate is a whole-number column whose values all occur in a unique column of another
-    table with the same name after the table prefix. ``fk_filter`` keeps child columns that
-    contain the text. Column statistics rule out most pairs; the remaining ones are tested
+    table. ``same_name`` asks that both have the same name after the table prefix; ``fk_filter`` keeps child columns
+    that contain the text. Bounds of the columns, which are exact, rule out most pairs; the remaining ones are tested
     together in one job, over distinct values.
     """
     spark = next(iter(tables.values())).sparkSession
@@ -57,8 +56,8 @@ def probe_links(
         keys = [f.name for f in df.schema if isinstance(f.dataType, T.IntegralType)]
         if keys:
             profiles += _profile(name, df, keys)
-    # an estimate can only rule a column out; uniqueness itself is tested exactly below
-    maybe_unique = [p for p in profiles if p["rows"] and p["count"] == p["rows"] and p["ndv"] >= 0.8 * p["rows"]]
+    # Exact bounds rule pairs out; uniqueness is tested exactly below, over the values.
+    maybe_unique = [p for p in profiles if p["rows"] and p["count"] == p["rows"] and p["max"] - p["min"] >= p["rows"] - 1]
     pairs = [
         (c, p)
         for c in profiles
@@ -66,7 +65,7 @@ def probe_links(
         if c["table"] != p["table"]
         and (targets is None or c["table"] in targets)
         and (fk_filter is None or fk_filter in c["column"])
-        and _stem(c["column"]) == _stem(p["column"])
+        and (not same_name or _stem(c["column"]) == _stem(p["column"]))
         and c["count"]
         and c["min"] >= p["min"]
         and c["max"] <= p["max"]
@@ -93,9 +92,8 @@ def probe_links(
         "child_id string, parent_id string, table_name string, name string, key_column string, "
         "parent_table string, parent_key string",
     )
-    # as many rows as column pairs, so always small enough to send along
-    wanted = F.broadcast(pair_rows)
-    child = counted.join(wanted, counted["col_id"] == wanted["child_id"]).select("parent_id", *pair_rows.columns[:1], *pair_rows.columns[2:], "v")
+    # One row per pair of columns; the planner knows its size.
+    child = counted.join(pair_rows, counted["col_id"] == pair_rows["child_id"]).select("parent_id", *pair_rows.columns[:1], *pair_rows.columns[2:], "v")
     parent = counted.filter(F.col("col_id").isin(parent_ids)).select(
         F.col("col_id").alias("parent_id"), "v", (F.col("count") == 1).alias("single")
     )

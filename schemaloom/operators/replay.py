@@ -129,7 +129,8 @@ def _probe_segment(rows: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
     """End state of a segment for each start header tried, and the impacts still unknown.
 
     Where an impact is unknown both answers are followed, so that one round asks for most of
-    the impacts that later steps will need. This only affects how many rounds are run.
+    the impacts that later steps will need. States with the same header are one, so there are never more than
+    distinct headers in the segment.
     """
     out = []
     rows = rows.sort_values("seq")
@@ -149,9 +150,6 @@ def _probe_segment(rows: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
                 if not r.verified or not known or not answer:
                     after.setdefault(sig, at)
             states = after
-            # Only the first branch must be kept; the others are look-ahead.
-            if len(states) > 8:
-                states = dict(list(states.items())[:8])
         end = next(iter(states.values()))
         out.append((run.run_dataset_id, run.run_seg, run.start_sid, end[0], end[1], end[2], sorted(unknown)))
     columns = ["dataset_id", "seg", "start_sid", "end_sid", "end_seq", "accepted", "unknown"]

@@ -908,7 +908,14 @@ def vault_satellite_evolved(spark, sf):
 
 @query
 def link_probe(spark, sf):
-    return probe_links({t: inputs.table(spark, sf, t) for t in _STAR})
+    return probe_links({t: inputs.table(spark, sf, t) for t in _STAR}, same_name=True)
+
+
+@query
+def link_probe_any_name(spark, sf):
+    """Every whole-number column whose values all occur in a unique column of another table, whatever the names."""
+    found = probe_links({t: inputs.table(spark, sf, t) for t in _STAR})
+    return found.select("table_name", "key_column", "parent_table", "parent_key", "distinct_values")
 
 
 # --- streaming ---------------------------------------------------------------------------

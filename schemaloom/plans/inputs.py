@@ -215,6 +215,10 @@ def message_values(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("event_id", "dataset_id", value.alias("value"))
 
 
+# One part in this many hangs directly below a dataset, so that what is reached grows with the table.
+ENTRY_EVERY = 20
+
+
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     """A tree over the parts, back edges that close cycles, and entry edges from the datasets."""
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("p"), F.col("p_size").alias("z"))
@@ -223,14 +227,14 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
         return F.concat(F.lit("obj_"), c.cast("bigint").cast("string"))
 
     kinds = ["click", "error", "purchase", "signup", "view"]
-    which = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("p") % 5 + 1).cast("int"))
-    root = F.concat(F.lit("lake."), which, F.lit("_"), (F.floor(F.col("p") / 5) % 20).cast("bigint").cast("string"))
+    which = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.floor(F.col("p") / ENTRY_EVERY) % 5 + 1).cast("int"))
+    root = F.concat(F.lit("lake."), which, F.lit("_"), (F.floor(F.col("p") / (5 * ENTRY_EVERY)) % 20).cast("bigint").cast("string"))
     p = F.col("p")
     ends = F.array_compact(
         F.array(
             F.when(p >= 1, F.struct(obj(F.floor(p / 3)).alias("up"), obj(p).alias("down"))),
             F.when((p > 0) & (p % 50 == 0), F.struct(obj(p).alias("up"), obj(F.floor(p / 9)).alias("down"))),
-            F.when(p.between(1, 100), F.struct(root.alias("up"), obj(p).alias("down"))),
+            F.when((p > 0) & (p % ENTRY_EVERY == 1), F.struct(root.alias("up"), obj(p).alias("down"))),
         )
     )
     types = ["lake_table", "lake_view", "TABLE", "vault_hub", "vault_link", "vault_satellite", "job", "report", "dashboard", "topic"]

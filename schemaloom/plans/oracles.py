@@ -1,13 +1,57 @@
 """DuckDB statements that give the same rows as the registered queries.
 
-They are written relationally (exploded rows, joins, windows) and share no code with the
-Spark side except lists of fixed values.
+They are written relationally (exploded rows, joins, windows) and share nothing with the
+Spark side: the fixed values of the rules are written out here once more.
 """
 
 from __future__ import annotations
 
-from schemaloom.functions.triage import TRANSIENT_CODES, TRANSIENT_MARKERS
-from schemaloom.functions.typenames import FAMILY_SUBSTRINGS, TYPE_SPELLINGS, WHITESPACE, WIDENING_PAIRS
+# Fixed values of the rules.
+TRANSIENT_CODES = ["UNAVAILABLE", "DEADLINE_EXCEEDED", "RESOURCE_EXHAUSTED"]
+TRANSIENT_MARKERS = [
+    "statuscode.unavailable",
+    "connection refused",
+    "failed to connect to all addresses",
+    "connect: connection refused",
+    "unavailable",
+    "temporarily unavailable",
+]
+TYPE_SPELLINGS = {
+    "string": ["text", "varchar", "character varying", "bpchar", "char", "string"],
+    "integer": ["int", "int4", "integer"],
+    "bigint": ["bigint", "int8"],
+    "float": ["float", "float8", "double", "double precision", "real"],
+    "boolean": ["bool", "boolean"],
+    "timestamp": ["timestamp", "timestamp without time zone"],
+    "timestamptz": ["timestamptz", "timestamp with time zone"],
+}
+FAMILY_SUBSTRINGS = [
+    ("boolean", ["bool"]),
+    ("bigint", ["bigint", "long"]),
+    ("integer", ["int"]),
+    ("float", ["double", "float", "real"]),
+    ("numeric", ["decimal", "numeric"]),
+    ("timestamp", ["timestamp", "datetime"]),
+]
+WIDENING_PAIRS = [
+    "boolean>string",
+    "integer>bigint",
+    "integer>float",
+    "integer>numeric",
+    "integer>string",
+    "bigint>float",
+    "bigint>numeric",
+    "bigint>string",
+    "float>numeric",
+    "float>string",
+    "numeric>string",
+    "date>timestamp",
+    "date>string",
+    "timestamp>string",
+]
+WHITESPACE = "".join(
+    chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
 
 ORACLES: dict[str, str] = {}
 
@@ -189,9 +233,9 @@ SELECT up, ty, down, CASE WHEN a1 = '' THEN [] ELSE [a1, a2] END AS via FROM (
   SELECT concat('obj_',CAST(p_partkey AS VARCHAR)), concat('obj_',CAST(CAST(floor(p_partkey/9) AS BIGINT) AS VARCHAR)), p_partkey, p_size
   FROM part WHERE p_partkey > 0 AND p_partkey % 50 = 0
   UNION ALL
-  SELECT concat('lake.', CASE p_partkey%5 WHEN 0 THEN 'click' WHEN 1 THEN 'error' WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup' ELSE 'view' END,
-                '_', CAST(CAST(floor(p_partkey/5) AS BIGINT) % 20 AS VARCHAR)), concat('obj_',CAST(p_partkey AS VARCHAR)), p_partkey, p_size
-  FROM part WHERE p_partkey BETWEEN 1 AND 100) e
+  SELECT concat('lake.', CASE CAST(floor(p_partkey/20) AS BIGINT)%5 WHEN 0 THEN 'click' WHEN 1 THEN 'error' WHEN 2 THEN 'purchase' WHEN 3 THEN 'signup' ELSE 'view' END,
+                '_', CAST(CAST(floor(p_partkey/100) AS BIGINT) % 20 AS VARCHAR)), concat('obj_',CAST(p_partkey AS VARCHAR)), p_partkey, p_size
+  FROM part WHERE p_partkey > 0 AND p_partkey % 20 = 1) e
 CROSS JOIN LATERAL (SELECT
   CASE p%10 WHEN 0 THEN 'lake_table' WHEN 1 THEN 'lake_view' WHEN 2 THEN 'TABLE' WHEN 3 THEN 'vault_hub' WHEN 4 THEN 'vault_link'
             WHEN 5 THEN 'vault_satellite' WHEN 6 THEN 'job' WHEN 7 THEN 'report' WHEN 8 THEN 'dashboard' ELSE 'topic' END ty,
@@ -735,3 +779,20 @@ HAVING NOT EXISTS (SELECT {c} FROM {child} WHERE {c} IS NOT NULL EXCEPT SELECT {
 
 
 oracle("link_probe", "", _probe())
+
+_WHOLE_NUMBERS = {
+    "region": ["r_regionkey"],
+    "nation": ["n_nationkey", "n_regionkey"],
+    "customer": ["c_custkey", "c_nationkey"],
+    "supplier": ["s_suppkey", "s_nationkey"],
+    "part": ["p_partkey", "p_size"],
+    "orders": ["o_orderkey", "o_custkey"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
+}
+oracle("link_probe_any_name", "", " UNION ALL ".join(
+    f"""SELECT '{child}' AS table_name, '{c}' AS key_column, '{parent}' AS parent_table, '{k}' AS parent_key, count(DISTINCT {c}) AS distinct_values
+FROM {child} HAVING count({c}) > 0 AND NOT EXISTS (SELECT {c} FROM {child} WHERE {c} IS NOT NULL EXCEPT SELECT {k} FROM {parent})
+  AND (SELECT count(*) = count(DISTINCT {k}) FROM {parent})"""
+    for child, columns in _WHOLE_NUMBERS.items() for c in columns
+    for parent, keys in _WHOLE_NUMBERS.items() for k in keys if parent != child
+))
