@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from schemaloom.operators.plan import full_operations
+
 # Event types and failure reasons.
 EVOLVED = "schema.evolved"
 FAILED = "schema.evolution.failed"
@@ -23,7 +25,7 @@ def success_event(df: DataFrame, emitter: str = DEFAULT_EMITTER, now: Column | N
 
     Needs dataset_id, source, correlation_id, previous_version, new_version, compatibility,
     plan_id, operations, successful, status, issues and evidence_snapshot_refs. Both handler
-    results repeat the one execution flag.
+    results repeat the one execution flag. Each operation carries its key, target, parameters and ids.
     """
     at = _now() if now is None else now
     flag = F.when(F.col("successful"), "success").otherwise("failed")
@@ -39,7 +41,7 @@ def success_event(df: DataFrame, emitter: str = DEFAULT_EMITTER, now: Column | N
             F.col("dataset_id"),
             F.col("correlation_id"),
             at.alias("executed_at"),
-            F.col("operations"),
+            F.expr(full_operations()).alias("operations"),
             F.struct(flag.alias("lake"), flag.alias("vault")).alias("handler_results"),
         ).alias("plan"),
         F.struct(

@@ -58,9 +58,37 @@ def _params(op: str, values: dict[str, str]) -> dict[str, str]:
     return {name: source[name] for name in _OP_PARAMS[op]}
 
 
-def _per_kind(build) -> str:
+def _per_kind(build, kind: str = "kind") -> str:
     whens = " ".join(f"WHEN '{op}' THEN {build(op)}" for op in _OP_PARAMS)
-    return f"CASE kind {whens} ELSE {build('STRUCTURE')} END"
+    return f"CASE {kind} {whens} ELSE {build('STRUCTURE')} END"
+
+
+def full_operations(operations: str = "operations", dataset: str = "dataset_id") -> str:
+    """The operations of one plan in its row, each with all that a handler or reader of an event needs:
+    idempotency_key, layer, kind, target, params, correlation_id and plan_id.
+    """
+    plain = {c: f"_o.{c}" for c in ("column_name", "from_type", "to_type")} | {"target": dataset}
+    quoted = {c: f"_q.{c}" for c in plain}
+    kind = "_o.kind"
+    params = _per_kind(lambda op: "map(" + ", ".join(f"'{k}', {v}" for k, v in _params(op, plain).items()) + ")", kind)
+    key = idempotency_key(
+        quoted["target"],
+        json_ascii_string("_o.layer"),
+        json_ascii_string(kind),
+        quoted["target"],
+        _per_kind(lambda op: json_ascii_object(_params(op, quoted)), kind),
+    )
+    texts = struct(**{c: json_ascii_string(v) for c, v in plain.items()})
+    whole = struct(
+        idempotency_key=let(texts, "_q", key),
+        layer="_o.layer",
+        kind=kind,
+        target=dataset,
+        params=params,
+        correlation_id="correlation_id",
+        plan_id="plan_id",
+    )
+    return f"transform({operations}, _o -> {whole})"
 
 
 def explode_operations(df: DataFrame, *keys: str, dataset: str = "dataset_id") -> DataFrame:

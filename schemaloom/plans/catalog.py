@@ -697,7 +697,12 @@ def _success_rows(spark, sf):
 def success_event(spark, sf):
     e = events.success_event(_success_rows(spark, sf))
     v = F.col("event")
+    operation = (
+        "concat_ws('|', _o.idempotency_key, _o.layer, _o.kind, _o.target, coalesce(_o.params['column_name'], _o.params['table_name']),"
+        " coalesce(_o.params['logical_type'], '-'), _o.plan_id = event.plan.plan_id, _o.correlation_id = event.correlation_id)"
+    )
     return e.select(
+        F.md5(F.expr(f"concat_ws(',', transform(event.plan.operations, _o -> {operation}))")).alias("operations_md5"),
         "event_id",
         v["event_type"].alias("event_type"), v["dataset"]["id"].alias("dataset_id"), v["dataset"]["source"].alias("source"),
         v["correlation_id"].alias("correlation_id"), v["previous_version"].alias("previous_version"), v["new_version"].alias("new_version"),

@@ -632,12 +632,17 @@ SELECT event_id, count(*) AS operations, coalesce(string_agg('snap-' || event_id
 FROM ops GROUP BY 1""")
 oracle("verification_result", "verified refs", """
 SELECT v.event_id, status, issues, coalesce(refs, '') AS refs FROM verified v LEFT JOIN refs r USING (event_id)""")
-oracle("success_event", "verified refs notifs", f"""
-SELECT v.event_id, 'schema.evolved' AS event_type, v.dataset_id, source, {corr('correlation').replace('dataset_id', 'v.dataset_id').replace('event_id', 'v.event_id')} AS correlation_id,
+cte("op_texts", "keyed", """
+SELECT event_id, string_agg(concat_ws('|', idempotency_key, layer, kind, dataset_id, coalesce(column_name, dataset_id),
+  coalesce(CASE WHEN kind = 'DROP_COLUMN' THEN from_type ELSE to_type END, '-'), 'true', 'true'), ',' ORDER BY op_seq) AS texts
+FROM keyed GROUP BY 1""")
+oracle("success_event", "verified refs notifs op_texts", f"""
+SELECT v.event_id, md5(coalesce(o.texts, '')) AS operations_md5, 'schema.evolved' AS event_type, v.dataset_id, source, {corr('correlation').replace('dataset_id', 'v.dataset_id').replace('event_id', 'v.event_id')} AS correlation_id,
   coalesce(producer_version, CASE WHEN v.n > 1 THEN v.n - 1 END) AS previous_version, v.n AS new_version, compatibility,
   {corr('plan').replace('dataset_id', 'v.dataset_id').replace('event_id', 'v.event_id')} AS plan_id, coalesce(operations, 0) AS operations,
   'success' AS lake_result, 'success' AS vault_result, status, coalesce(refs, '') AS refs
-FROM verified v JOIN notifs n USING (event_id) LEFT JOIN refs r ON r.event_id = v.event_id WHERE status = 'passed'""")
+FROM verified v JOIN notifs n USING (event_id) LEFT JOIN refs r ON r.event_id = v.event_id
+LEFT JOIN op_texts o ON o.event_id = v.event_id WHERE status = 'passed'""")
 cte("failed", "decided verified", """
 SELECT event_id, dataset_id, 'policy_denied' AS reason, reasons AS details FROM decided WHERE decision <> 'allow'
 UNION ALL SELECT event_id, dataset_id, 'verification_failed', issues FROM verified WHERE status = 'failed'""")
