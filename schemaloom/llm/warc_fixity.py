@@ -147,7 +147,8 @@ def audit(original: Tree, replica: Tree) -> DataFrame:
         if wrong is not None:
             below = F.expr(f"node div {FAN}") == F.col("_parent")
             a, b = (x.join(wrong.withColumnRenamed("node", "_parent"), below, "left_semi") for x in (a, b))
-        wrong = a.join(b, "node", "full").where("NOT a <=> b").select("node")
+        # Written, since both sides of the next level read it: else the plan would double at each level.
+        wrong = written(a.join(b, "node", "full").where("NOT a <=> b").select("node"), "differing")
         if level == height and wrong.isEmpty():
             break
     names = ("file", "record_offset", "length", "record_id", "digest")
