@@ -92,11 +92,14 @@ def repeated_chunks(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     the same id and text count once.
     """
     found = written(chunks(docs, id_column, text), "chunks")
-    # Digests are counted map-side; only those that occur twice go on, and the join can split a hot one.
+    # Digests are counted map-side, in short rows; only places of those that occur twice go on, and the joins can split
+    # a hot digest.
+    twice = found.groupBy("high", "low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("high", "low")
+    met = written(found.join(written(twice, "repeated"), ["high", "low"]), "places")
     here = F.struct("id", "hash", "begin")
-    twice = found.groupBy("high", "low").agg(F.min(here).alias("first_at"), F.max(here).alias("last_at"))
-    twice = written(twice.where("first_at <> last_at").select("high", "low", "first_at"), "repeated")
-    return found.join(twice, ["high", "low"]).select("id", "hash", "begin", "end", (~here.eqNullSafe(F.col("first_at"))).alias("remove"))
+    ends = met.groupBy("high", "low").agg(F.min(here).alias("first_at"), F.max(here).alias("last_at"))
+    first = ends.where("first_at <> last_at").select("high", "low", "first_at")
+    return met.join(first, ["high", "low"]).select("id", "hash", "begin", "end", (~here.eqNullSafe(F.col("first_at"))).alias("remove"))
 
 
 def deduplicated(docs: DataFrame, *, run: int = RUN, id_column: str = "doc_id", text: str = "text") -> DataFrame:
