@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from schemaloom.llm.tables import packed
@@ -249,7 +250,8 @@ def _similar_pairs(distinct: DataFrame, plan: Plan) -> DataFrame:
     """Verified links (a, b) of nodes.
 
     Up to ``CROWD`` nodes under one block are all compared. In a larger crowd, all are compared with a leader; those that
-    are not close to it choose another, and so on, until few are left; these are compared with each other.
+    no link so far, under any block, connects to it choose two others, then four, and so on, until few are left; these are
+    compared with each other. So a group of copies costs a row per member and block, not one per pair.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -287,19 +289,22 @@ def _similar_pairs(distinct: DataFrame, plan: Plan) -> DataFrame:
     pairs = compared(few, few).where("a < b").select("a", "b").distinct()
     links = [written(verified(pairs), "links")]
     everyone = met.where(F.col("crowd") > CROWD).select("key", "node", "sketch")
-    left = written(everyone, "left")
+    left, several = written(everyone, "left"), 1
     while not left.isEmpty():
-        leaders = left.groupBy("key").agg(F.min(F.struct("node", "sketch")).alias("l")).select("key", "l.*")
-        close = compared(leaders, everyone).where("a <> b")
-        close = written(close.join(verified(close.select("a", "b").distinct()), ["a", "b"]), "close")
-        links.append(close.select("a", "b").distinct())
-        gone = close.select("key", F.col("b").alias("node")).unionByName(leaders.select("key", "node"))
-        left = left.join(gone, ["key", "node"], "left_anti")
+        order = W.partitionBy("key").orderBy("node")
+        leaders = left.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= several).drop("_n")
+        leaders = written(leaders, "leaders")
+        close = compared(leaders, everyone).where("a <> b").select("a", "b").distinct()
+        links.append(written(verified(close), "links"))
+        roots = components(reduce(DataFrame.unionByName, links).distinct())
+        known = left.join(roots, "node", "left").select("key", "node", "sketch", F.coalesce("root", "node").alias("root"))
+        led = leaders.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root")).distinct()
+        left = known.join(led, ["key", "root"], "left_anti").drop("root")
         sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         left = written(left.join(sizes, "key"), "left")
         rest = left.where(F.col("n") <= CROWD)
-        links.append(verified(compared(rest, rest).where("a < b").select("a", "b").distinct()))
-        left = left.where(F.col("n") > CROWD).select("key", "node", "sketch")
+        links.append(written(verified(compared(rest, rest).where("a < b").select("a", "b").distinct()), "links"))
+        left, several = left.where(F.col("n") > CROWD).select("key", "node", "sketch"), 2 * several
     return reduce(DataFrame.unionByName, links).distinct()
 
 
