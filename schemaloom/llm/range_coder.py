@@ -18,65 +18,78 @@ import zlib
 import numpy as np
 
 #: Ids of a block and lanes coded at once, at most.
-BLOCK, LANES = 8192, 384
+BLOCK, LANES = 8192, 512
 #: Least length of the blocks into which a small rest is cut, so that few lanes never make many steps.
 SHORTEST = 512
 
-_BITS2, _BITS1 = 14, 13
+_BITS2, _BITS1 = 13, 12
 _TOTAL = 32  # interval lengths are shares of 2^32
 _RATE, _LIMIT = 4, 1 << 10
-_SPAN = (1 << 16) - 2 * _LIMIT
-_STRIDE = 256  # ids per step of the coarse half of a search
+_GOAL = np.array([_LIMIT, (1 << 16) - _LIMIT])
+_TRUST = np.array([0, 0, 1, 2, 1, 2, 3, 3])
 _GAIN = 48  # of a count, against the prior of an id
-_REBUILT = (128, 512, 2048)  # steps after which counts are turned into intervals of order 0
+_SINGLE, _GROUP = 4096, 5  # ids from 4096 on are counted in groups of 2^5, within which they are equally likely
+_OFTEN = 1024  # steps after which counts are turned into intervals of order 0, once more; before, at powers of two from 64
 _HEAD = "<4sIII"  # magic, ids, ids of the vocabulary, crc32 of the ids
 _MAGIC = b"ACM1"
 _U = np.uint64
 
 
 def _prior(vocabulary: int) -> np.ndarray:
-    """Fixed start of order 0: ids that were merged early are likelier."""
-    return 1 + (1 << 13) // (np.arange(vocabulary, dtype=np.int64) + 256)
+    """Fixed start of order 0, by group: ids that were merged early are likelier."""
+    own = 1 + (1 << 13) // (np.arange(vocabulary, dtype=np.int64) + 256)
+    return np.bincount(_group(np.arange(vocabulary)), own).astype(np.uint32)
+
+
+def _group(ids: np.ndarray) -> np.ndarray:
+    return np.where(ids < _SINGLE, ids, _SINGLE + ((ids - _SINGLE) >> _GROUP))
 
 
 class _Model:
-    def __init__(self, lanes: int, vocabulary: int, searched: bool = False) -> None:
-        self.lane = np.arange(lanes)
-        self.vocabulary, self.base = vocabulary, self.lane * vocabulary
-        self.searched, self.strides = searched, 1 << max(1, (-(-vocabulary // _STRIDE) - 1).bit_length())
+    def __init__(self, lanes: int, vocabulary: int) -> None:
+        prior = _prior(vocabulary)
+        self.lane, self.groups = np.arange(lanes), len(prior)
+        self.base, self.steps = self.lane * self.groups, len(prior).bit_length()
         self.slots2 = np.zeros(lanes << _BITS2, np.int32)
         self.slots1 = np.zeros(lanes << _BITS1, np.int32)
         self.lane2, self.lane1, self.lane_state = self.lane << _BITS2, self.lane << _BITS1, self.lane << 5
         self.right2 = np.full(lanes * 32, 1 << 14, np.int64)
         self.right1 = np.full(lanes * 32, 1 << 14, np.int64)
-        self.counts = np.tile(_prior(vocabulary).astype(np.uint32), lanes)
+        self.counts = np.tile(prior, lanes)
         self.last = np.zeros(lanes, np.int64)
         self.hashed = np.zeros(lanes, np.int64)
-        # Beyond the last id, ends that no target reaches: a search may look there.
-        self.ends = np.full(len(self.counts) + 1 + _STRIDE, 0xFFFFFFFF, np.uint32)
+        # Beyond the last group, ends that no target reaches: a search may look there.
+        self.ends = np.full(len(self.counts) + 1 + (1 << self.steps), 1 << 62, np.int64)
         self.ends[0] = 0
         self.step = 0
         self._rebuild()
 
     def _rebuild(self) -> None:
         np.cumsum(self.counts, out=self.ends[1 : len(self.counts) + 1])
-        edges = self.ends[: len(self.counts) + 1 : self.vocabulary].astype(np.int64)
+        edges = self.ends[: len(self.counts) + 1 : self.groups]
         self.floor, self.mass = edges[:-1], np.diff(edges)
-        if self.searched:
-            every = np.arange(self.strides) * _STRIDE
-            inside = np.minimum(self.base[:, None] + every, self.base[:, None] + self.vocabulary)
-            self.coarse = self.ends[inside].ravel()
-
-    def id_at(self, lane: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Index into ``ends`` of the last end that is not above the target, by binary search in each lane."""
-        base, at = lane * self.strides, np.zeros(len(lane), np.int64)
-        step = self.strides
-        while step := step >> 1:
-            at += step * (self.coarse[base + at + step] <= target)
-        at = self.base[lane] + at * _STRIDE
-        step = _STRIDE
-        while step := step >> 1:
-            at += step * (self.ends[at + step] <= target)
+
+    def interval(self, at: np.ndarray, lanes: np.ndarray | slice, ids: np.ndarray | None, value: np.ndarray | None):
+        """(id, start, length) in order 0, of given ids or of what given values lie in; ``at``: their places in ``ends``."""
+        unit, skip, first = self.unit[lanes], self.skip[lanes], self.ends[at]
+        start, length = skip + (first - self.floor[lanes]) * unit, (self.ends[at + 1] - first) * unit
+        group = at - self.base[lanes]
+        many = group >= _SINGLE
+        length >>= many * _GROUP
+        if ids is None:
+            within = np.minimum((value - start) // length, (1 << _GROUP) - 1) * many
+            ids = np.where(many, _SINGLE + ((group - _SINGLE) << _GROUP) + within, group)
+        else:
+            within = ((ids - _SINGLE) & ((1 << _GROUP) - 1)) * many
+        return ids, start + within * length, length
+
+    def place_of(self, lanes: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Place in ``ends`` of the group in which a value lies, by binary search in each lane."""
+        # What division leaves over at the end of the whole interval belongs to nobody and never occurs.
+        into = np.minimum((value - self.skip[lanes]) // self.unit[lanes], self.mass[lanes] - 1)
+        target, at = self.floor[lanes] + into, self.base[lanes]
+        for n in range(self.steps - 1, -1, -1):
+            at = at + ((self.ends[at + (1 << n)] <= target) << n)
         return at
 
     def predict(self) -> None:
@@ -97,23 +110,21 @@ class _Model:
 
     def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         """``hit2``: order 2 was right; ``hit1``: it was wrong and order 1 right."""
-        self.right2[self.state] = self.share2 + ((hit2 * _SPAN + _LIMIT - self.share2) >> _RATE)
-        learned = (hit1 * _SPAN + _LIMIT - self.share1) >> _RATE
-        self.right1[self.state] = self.share1 + learned * ~hit2
-        fresh = (ids << 2).astype(np.int32)
+        right2, right1 = hit2.view(np.int8), hit1.view(np.int8)
+        self.right2[self.state] = self.share2 + ((_GOAL.take(right2) - self.share2) >> _RATE)
+        # Order 1 learns only where order 2 was wrong.
+        self.right1[self.state] = self.share1 + ((_GOAL.take(right1) - self.share1) * (1 - right2) >> _RATE)
         for slots, at, slot, guess in (
             (self.slots2, self.at2, self.slot2, self.guess2),
             (self.slots1, self.at1, self.slot1, self.guess1),
         ):
-            trusted = (slot & 3) > 0
-            right = guess == ids
-            kept = right | trusted
             # One step of trust up if right (3 at most), down if wrong; a wrong guess without trust is replaced.
-            slots[at] = np.where(kept, slot + (right & ((slot & 3) < 3)) - (trusted & ~right), fresh)
-        self.counts[self.base + ids] += _GAIN
+            case = (slot & 3) + ((guess == ids).view(np.int8) << 2)
+            slots[at] = (np.where(case, guess, ids) << 2) + _TRUST.take(case)
+        self.counts[self.base + _group(ids)] += _GAIN
         self.last = ids
         self.step += 1
-        if self.step in _REBUILT:
+        if self.step % _OFTEN == 0 or (64 <= self.step < _OFTEN and self.step & (self.step - 1) == 0):
             self._rebuild()
 
 
@@ -122,7 +133,7 @@ def _encode_lanes(ids: np.ndarray, vocabulary: int) -> list[bytes]:
     steps, lanes = ids.shape
     model = _Model(lanes, vocabulary)
     width = 2 * steps + 8
-    words = np.zeros(lanes * width, np.int64)
+    words = np.zeros(lanes * width, np.int32)
     place = np.arange(lanes) * width
     begin = place.copy()
     low, span = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
@@ -131,10 +142,7 @@ def _encode_lanes(ids: np.ndarray, vocabulary: int) -> list[bytes]:
         model.predict()
         hit2 = own == model.guess2
         hit1 = (own == model.guess1) & ~hit2
-        at = model.base + own
-        first = model.ends[at].astype(np.int64)
-        start = model.skip + (first - model.floor) * model.unit
-        length = (model.ends[at + 1] - first) * model.unit
+        _, start, length = model.interval(model.base + _group(own), slice(None), own, None)
         if len(one := np.nonzero(hit1)[0]):
             start[one], length[one] = model.mass2[one], model.mass1[one]
         if len(two := np.nonzero(hit2)[0]):
@@ -147,13 +155,13 @@ def _encode_lanes(ids: np.ndarray, vocabulary: int) -> list[bytes]:
             words[place[over] - 1] += 1
         span = scale * length.astype(_U)
         while len(small := np.nonzero(span < _U(1 << 48))[0]):
-            words[place[small]] = (low[small] >> _U(48)).astype(np.int64)
+            words[place[small]] = (low[small] >> _U(48)).astype(np.int32)
             place[small] += 1
             low[small] <<= _U(16)
             span[small] <<= _U(16)
         model.update(own, hit2, hit1)
     for _ in range(4):
-        words[place] = (low >> _U(48)).astype(np.int64)
+        words[place] = (low >> _U(48)).astype(np.int32)
         place += 1
         low <<= _U(16)
     words = words.reshape(lanes, width)
@@ -165,7 +173,7 @@ def _encode_lanes(ids: np.ndarray, vocabulary: int) -> list[bytes]:
 
 def _decode_lanes(streams: list[bytes], steps: int, vocabulary: int) -> np.ndarray:
     lanes = len(streams)
-    model = _Model(lanes, vocabulary, searched=True)
+    model = _Model(lanes, vocabulary)
     width = max(len(s) for s in streams) // 2 + 4
     words = np.zeros((lanes, width), _U)
     for n, s in enumerate(streams):
@@ -187,14 +195,7 @@ def _decode_lanes(streams: list[bytes], steps: int, vocabulary: int) -> np.ndarr
         start = np.where(hit2, 0, model.mass2)
         length = np.where(hit2, model.mass2, model.mass1)
         if len(rest := np.nonzero(value >= model.skip)[0]):
-            unit, floor = model.unit[rest], model.floor[rest]
-            # What division leaves over at the end of the whole interval belongs to nobody and never occurs.
-            target = floor + np.minimum((value[rest] - model.skip[rest]) // unit, model.mass[rest] - 1)
-            at = model.id_at(rest, target)
-            own[rest] = at - model.base[rest]
-            first = model.ends[at].astype(np.int64)
-            start[rest] = model.skip[rest] + (first - floor) * unit
-            length[rest] = (model.ends[at + 1] - first) * unit
+            own[rest], start[rest], length[rest] = model.interval(model.place_of(rest, value[rest]), rest, None, value[rest])
         code = code - scale * start.astype(_U)
         span = scale * length.astype(_U)
         while len(small := np.nonzero(span < _U(1 << 48))[0]):

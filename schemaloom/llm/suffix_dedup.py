@@ -26,7 +26,7 @@ from schemaloom.workspace import written
 
 LENGTH, GRAM = 400, 64
 #: Distinct windows of one anchor that a shard takes, and windows per shard in all, about.
-CROWD, SHARD = 2048, 4096
+CROWD, SHARD = 1024, 1024
 _PART = 1 << 22  # strings of a text that are looked at together
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
@@ -120,7 +120,9 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, lanes
     n = len(data)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
-    padded = np.concatenate([data.astype(np.int16), np.full(most + 1, -1, np.int16)])
+    # Eight bytes from each place on, to be compared at once.
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((n + 1,), "<u8", padded.tobytes(), strides=(1,))
     result = np.zeros(n, np.int64)
     ends = np.concatenate([lanes[1:], [n]])
     have = np.zeros(len(lanes), np.int64)
@@ -132,13 +134,15 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, lanes
         equal = (p > 0) & (rank[i] == rank[np.minimum(j, n - 1)])
         h = np.where((p == 0) | (have[live] == most), 0, np.maximum(have[live] - 1, 0))
         h[equal] = most
+        room = np.minimum(n - np.maximum(i, j), most)
         going = np.nonzero((p > 0) & ~equal)[0]
         while len(going):
-            a, b = i[going] + h[going], j[going] + h[going]
-            same = (padded[np.minimum(a, n)] == padded[np.minimum(b, n + 1)]) & (a < n) & (b < n)
-            going = going[same]
-            h[going] += 1
-            going = going[h[going] < most]
+            differ = eight[i[going] + h[going]] ^ eight[j[going] + h[going]]
+            same = differ == 0
+            low = differ & (~differ + np.uint64(1))
+            h[going] += np.where(same, 8, np.bitwise_count(low - np.uint64(1)) >> 3)
+            going = going[same & (h[going] < room[going])]
+        h = np.minimum(h, room)
         result[p] = h
         have[live] = h
     return result
