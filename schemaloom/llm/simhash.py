@@ -26,6 +26,8 @@ from schemaloom.workspace import written
 BITS, BLOCKS = 64, 4
 #: Fingerprints under one pair of blocks that are compared with one another; more are split again.
 CROWD = 32
+#: Sets under one shingle that one task compares with all others there.
+SALTED = 2000
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -175,14 +177,14 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, distance: int = 2, id_col
 
 
 def _smallest_ids(distinct: DataFrame, links: DataFrame, node: str) -> DataFrame:
-    """(node, component) of all nodes: the smallest ``least_id`` of the nodes that links reach."""
+    """(node, root, component) of all nodes: the smallest ``least_id`` of the nodes that links reach."""
     rooted = components(links).withColumnRenamed("node", "_node")
     labelled = distinct.join(rooted, F.col(node) == F.col("_node"), "left").select(
         node, "least_id", F.coalesce("root", node).alias("root")
     )
     labelled = written(labelled, "roots")
     smallest = labelled.groupBy("root").agg(F.min("least_id").alias("component"))
-    return labelled.join(smallest, "root").select(node, "component")
+    return labelled.join(smallest, "root").select(node, "root", "component")
 
 
 @dataclass(frozen=True)
@@ -209,113 +211,123 @@ class Plan:
         return Plan(blocks, width, math.floor(flipped * blocks * width), near)
 
 
-def long_fingerprint(text: str | None, size: int, bits: int) -> bytes:
-    """As many bits of majorities as asked for: each word of 64 mixes the shingles' hashes anew."""
-    hashes, out = shingle_hashes(text, size), []
-    with np.errstate(over="ignore"):
-        for n in range(-(-bits // BITS)):
-            mixed = hashes + np.uint64(n) * np.uint64(0x9E3779B97F4A7C15)
-            mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            out.append(majority(mixed ^ (mixed >> np.uint64(31))))
-    found = np.concatenate(out)
-    found[bits:] = 0
-    return np.packbits(found, bitorder="little").tobytes()
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Distinct hashes of the shingles of a text, least first, as signed numbers in unsigned order."""
+    return np.unique(shingle_hashes(text, size)).view(np.int64)
 
 
-def similar_documents(
-    docs: DataFrame, *, size: int = 5, similarity: float = 0.8, recall: float = 0.95, id_column: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """(id, component) of every row: groups of texts whose shingles have about this Jaccard similarity or more.
+def similar_documents(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, component) of every row: components of all pairs of texts whose sets of shingles have this Jaccard similarity or more.
 
-    Long fingerprints are cut into pigeonhole blocks (see ``Plan``), joined on blocks, and verified by Hamming distance over
-    all their bits. Null and empty texts are one group; a null id is never the smallest unless its group has no other.
+    No pair is lost and none below is linked. Null and empty texts are one group; a null id is never the smallest
+    unless its group has no other.
     """
-    plan = Plan.of(docs.count(), similarity, recall)
-    bits = plan.blocks * plan.width
+    return _grouped(docs, size, similarity, id_column, text).select("id", "component")
+
+
+def _grouped(docs: DataFrame, size: int, similarity: float, id_column: str, text: str) -> DataFrame:
+    """(id, hash, root, component) of every row: ``hash`` is that of the text, ``root`` names the group."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "print": [long_fingerprint(t, size, bits) for t in batch["text"]]})
-
-    named = packed(docs, id=id_column, text=text).select(F.col("id").cast("string").alias("id"), "text")
-    prints = written(named.mapInPandas(run, "id string, print binary"), "prints").withColumn("id", F.col("id").cast("bigint"))
-    distinct = prints.groupBy("print").agg(F.min("id").alias("least_id"))
-    distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
-    known = written(_smallest_ids(distinct.select("node", "least_id"), _similar_pairs(distinct, plan), "node"), "components")
-    return prints.join(distinct.select("print", "node"), "print").join(known, "node").select("id", "component")
+            sets = [shingle_set(t, size) for t in batch["text"]]
+            yield pd.DataFrame(
+                {
+                    "id": batch["id"],
+                    "hash": batch["hash"],
+                    "print": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
+                    "head": [s[: _prefix(len(s), similarity)] for s in sets],
+                    "whole": sets,
+                }
+            )
+
+    named = packed(docs, id=id_column, hash=F.xxhash64(F.col(f"`{text}`")), text=text)
+    sets = named.select(F.col("id").cast("string").alias("id"), "hash", "text").mapInPandas(
+        run, "id string, hash bigint, print binary, head array<bigint>, whole array<bigint>"
+    )
+    sets = written(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
+    prints = sets.select(F.col("id").cast("bigint").alias("id"), "hash", "print", "row")
+    # A node is the first row of its set.
+    distinct = written(prints.groupBy("print").agg(F.min("id").alias("least_id"), F.min("row").alias("node")), "distinct")
+    links = _similar_pairs(sets.join(distinct.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "head", "whole"), similarity)
+    known = written(_smallest_ids(distinct.select("node", "least_id"), links, "node"), "components")
+    return prints.join(distinct.select("print", "node"), "print").join(known, "node").select("id", "hash", "root", "component")
 
 
-def _similar_pairs(distinct: DataFrame, plan: Plan) -> DataFrame:
-    """Verified links (a, b) of nodes.
+def _prefix(size: int, similarity: float) -> int:
+    """Two sets this similar have one of their first so many members in common, in any order that all sets share."""
+    return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
 
-    Up to ``CROWD`` nodes under one block are all compared. In a larger crowd, all are compared with a leader; those that
-    no link so far, under any block, connects to it choose two others, then four, and so on, until few are left; these are
-    compared with each other. So a group of copies costs a row per member and block, not one per pair.
-    """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = 1 << np.arange(plan.width, dtype=np.int64)
-        numbers = np.arange(plan.blocks, dtype=np.int64) << plan.width
-        for batch in batches:
-            raw = np.frombuffer(b"".join(batch["print"]), np.uint8).reshape(len(batch), -1)
-            bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : plan.blocks * plan.width]
-            keys = bits.reshape(len(batch), plan.blocks, plan.width) @ weights + numbers
-            sketch = np.ascontiguousarray(raw[:, :8]).view("<i8").ravel()
-            yield pd.DataFrame({"node": batch["node"], "sketch": sketch, "keys": list(keys)})
+def _similar_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Verified links (a, b) of nodes, whose components are those of all pairs of this similarity or more.
 
-    cuts = distinct.select("node", "print").mapInPandas(cut, "node bigint, sketch bigint, keys array<bigint>")
-    keyed = written(cuts.select("node", "sketch", F.explode("keys").alias("key")), "blocks")
-    crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
-    met = written(keyed.join(crowds, "key"), "crowds")
+    First sets that share none of their least hashes with any other are left out. The shingles of the rest are ordered by
+    the sets that hold them, rarest first, and sets meet under the first ones (see ``_prefix``). Each is compared with
+    the least it meets, then with leaders while that links any; at last all pairs that meet and are not yet in one component are.
+    """
+    heads = written(sets.select("node", F.explode("head").alias("key")), "heads")
+    shared = heads.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    maybe = written(heads.join(shared, "key", "left_semi").select("node").distinct(), "maybe")
+    rest = written(sets.join(maybe, "node", "left_semi").select("node", F.size("whole").alias("size"), "whole"), "whole")
+    members = rest.select("node", "size", F.explode("whole").alias("key"))
+    often = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ranked = members.join(often, "key").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("order"))
+    # Shingles of one set only come first in the order, and nothing meets under them.
+    alone = F.col("size") - F.size("order")
+    first = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9).cast("int") + 1
+    cut = ranked.select("node", "size", alone.alias("alone"), F.slice("order", F.lit(1), F.greatest(first - alone, F.lit(0))).alias("order"))
+    keyed = cut.select("node", "size", "alone", F.posexplode("order").alias("at", "o"))
+    keyed = written(keyed.select(F.col("o.key").alias("key"), "node", "size", (F.col("alone") + F.col("at")).alias("at")), "prefixes")
 
     def compared(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Pairs under one block that may be close, by their first 64 bits."""
-        other = right.select("key", F.col("node").alias("b"), F.col("sketch").alias("_s"))
-        near = F.bit_count(F.col("sketch").bitwiseXOR(F.col("_s"))) <= plan.near
-        return left.join(other, "key").where(near).select("key", F.col("node").alias("a"), "b")
+        """Pairs under one shingle, of different components, that their sizes and its places do not rule out."""
+        names = {c: f"_{c}" for c in ("node", "size", "at", "root")}
+        # A hot shingle is dealt over several tasks: one side by a salt, the other to each of them.
+        salts = F.ceil(F.col("crowd") / SALTED).cast("int")
+        left = left.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
+        right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).withColumnsRenamed(names).drop("crowd")
+        both = F.least("at", "_at") + F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at"))
+        may = both / (F.col("size") + F.col("_size") - both) >= similarity
+        sizes = F.least("size", "_size") / F.greatest("size", "_size") >= similarity
+        met = left.join(right, ["key", "salt"]).where((F.col("root") != F.col("_root")) & sizes & may)
+        return met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
-        def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-            x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
-            return pd.Series(np.bitwise_count(x ^ y).sum(1, dtype=np.int64))
-
-        bits = F.pandas_udf(distance, "bigint", F.PandasUDFType.SCALAR)
-        left = distinct.select(F.col("node").alias("a"), F.col("print").alias("_a"))
-        right = distinct.select(F.col("node").alias("b"), F.col("print").alias("_b"))
-        return pairs.join(left, "a").join(right, "b").where(bits("_a", "_b") <= plan.allowed).select("a", "b")
-
-    few = met.where(F.col("crowd") <= CROWD)
-    pairs = compared(few, few).where("a < b").select("a", "b").distinct()
-    links = [written(verified(pairs), "links")]
-    everyone = met.where(F.col("crowd") > CROWD).select("key", "node", "sketch")
-    left, several = written(everyone, "left"), 1
-    while not left.isEmpty():
-        order = W.partitionBy("key").orderBy("node")
-        leaders = left.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= several).drop("_n")
-        leaders = written(leaders, "leaders")
-        close = compared(leaders, everyone).where("a <> b").select("a", "b").distinct()
-        links.append(written(verified(close), "links"))
-        roots = components(reduce(DataFrame.unionByName, links).distinct())
-        known = left.join(roots, "node", "left").select("key", "node", "sketch", F.coalesce("root", "node").alias("root"))
-        led = leaders.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root")).distinct()
-        left = known.join(led, ["key", "root"], "left_anti").drop("root")
-        sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-        left = written(left.join(sizes, "key"), "left")
-        rest = left.where(F.col("n") <= CROWD)
-        links.append(written(verified(compared(rest, rest).where("a < b").select("a", "b").distinct()), "links"))
-        left, several = left.where(F.col("n") > CROWD).select("key", "node", "sketch"), 2 * several
-    return reduce(DataFrame.unionByName, links).distinct()
+        left = rest.select(F.col("node").alias("a"), F.col("whole").alias("_a"))
+        right = rest.select(F.col("node").alias("b"), F.col("whole").alias("_b"))
+        common = F.size(F.array_intersect("_a", "_b"))
+        close = common / (F.size("_a") + F.size("_b") - common) >= similarity
+        return pairs.join(left, "a").join(right, "b").where(close).select("a", "b")
+
+    least = keyed.groupBy("key").agg(F.min("node").alias("least"))
+    begin = keyed.join(least, "key").groupBy("node").agg(F.min("least").alias("a")).where("a < node")
+    links, several, more = [written(verified(begin.select("a", F.col("node").alias("b"))), "links")], 1, True
+    while True:
+        roots = components(reduce(DataFrame.unionByName, links).distinct()).withColumnRenamed("node", "_node")
+        labelled = keyed.join(roots, F.col("node") == F.col("_node"), "left").drop("_node").withColumn("root", F.coalesce("root", "node"))
+        labelled = written(labelled, "labelled")
+        crowds = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+        left = written(labelled.join(crowds.where("_low < _high").drop("_low", "_high"), "key"), "left")
+        crowded = left.where(F.col("crowd") > CROWD)
+        if not more or crowded.isEmpty():
+            # Whatever rounds of leaders have left: every pair of two components under one shingle.
+            links.append(written(verified(compared(left, left)), "links"))
+            return reduce(DataFrame.unionByName, links).distinct()
+        order = W.partitionBy("key").orderBy(F.xxhash64("node", F.lit(several)))
+        leaders = crowded.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= several).drop("_n")
+        links.append(written(verified(compared(crowded, leaders)), "links"))
+        several, more = 2 * several, not links[-1].isEmpty()
 
 
 def kept(
-    docs: DataFrame, *, size: int = 5, similarity: float = 0.8, recall: float = 0.95, id_column: str = "doc_id", text: str = "text"
+    docs: DataFrame, *, size: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """One row of each group of near-duplicates, whole: one of those with the smallest id (null last).
 
     Repeated rows and other rows of that id in the group are dropped but one. Texts without words form one group.
     """
-    found = similar_documents(docs, size=size, similarity=similarity, recall=recall, id_column=id_column, text=text)
+    found = similar_documents(docs, size=size, similarity=similarity, id_column=id_column, text=text)
     stays = written(found.select(F.col("component").alias("_stays")).distinct(), "stays")
     rows = packed(docs, _id=id_column)
     chosen = rows.join(stays, rows["_id"].eqNullSafe(stays["_stays"]), "left_semi")

@@ -194,3 +194,36 @@ def test_hamming_guarantee():
     assert plan.blocks > 64 and plan.width == 22
     assert simhash.Plan.of(0, 0.8, 0.95).width == 12
     assert isinstance(F.lit(plan.allowed), type(F.lit(1)))
+
+
+def brute_similar(texts, similarity=0.8):
+    """Smallest position reachable over pairs of this exact Jaccard similarity of five-word shingles."""
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= similarity * len(a | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def edited(draw, base, edits):
+    own = list(base)
+    for at in draw.choice(len(own), edits, replace=False):
+        own[at] = f"e{draw.integers(1 << 30)}"
+    return own
+
+
+def test_similar_documents_at_the_threshold(spark):
+    """Pairs just above and below 0.8 are decided by their shingles, whatever the size of the table."""
+    draw = np.random.default_rng(4)
+    texts = []
+    for n in range(40):
+        base = [f"d{n}w{k}" for k in range(300)]
+        texts += [" ".join(base), " ".join(edited(draw, base, 5 + n % 5))]
+    want = brute_similar(texts)
+    assert 10 < sum(want[k] != k for k in range(80)) < 35
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.id: r.component for r in simhash.similar_documents(docs).collect()}
+    assert [got[n] for n in range(80)] == want
