@@ -323,12 +323,17 @@ def _similar_pairs(sets: DataFrame, similarity: float) -> DataFrame:
 def kept(
     docs: DataFrame, *, size: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row of each group of near-duplicates, whole: one of those with the smallest id (null last).
+    """One row of each group of near-duplicates, whole: that of the smallest id (null last), then of the smallest hash of its text.
 
-    Repeated rows and other rows of that id in the group are dropped but one. Texts without words form one group.
+    Rows that repeat its id and text are dropped as well. Groups are told apart by their texts, so null ids, or one id on
+    several texts, leave a row in each group. Texts without words form one group.
     """
-    found = similar_documents(docs, size=size, similarity=similarity, id_column=id_column, text=text)
-    stays = written(found.select(F.col("component").alias("_stays")).distinct(), "stays")
-    rows = packed(docs, _id=id_column)
-    chosen = rows.join(stays, rows["_id"].eqNullSafe(stays["_stays"]), "left_semi")
-    return chosen.dropDuplicates(["_id"]).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    found = _grouped(docs, size, similarity, id_column, text)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("f"))
+    stays = written(first.select(F.col("f.id").alias("_stays"), F.col("f.hash").alias("_text_hash")), "stays")
+    rows = packed(docs, _id=id_column, _hash=F.xxhash64(F.col(f"`{text}`")))
+    same = rows["_id"].cast("bigint").eqNullSafe(stays["_stays"]) & (rows["_hash"] == stays["_text_hash"])
+    # Of rows that differ in other columns only, the choice does not depend on where they lie.
+    chosen = rows.join(stays, same, "left_semi").withColumn("_place", F.sha2(F.to_json("_row"), 256))
+    least = chosen.groupBy("_id", "_hash").agg(F.min_by("_row", "_place").alias("_row"))
+    return least.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -227,3 +227,13 @@ def test_similar_documents_at_the_threshold(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.id: r.component for r in simhash.similar_documents(docs).collect()}
     assert [got[n] for n in range(80)] == want
+
+
+def test_kept_leaves_a_row_of_each_group(spark):
+    """Several null ids, and one id on two texts, of which one has a copy of a smaller id."""
+    a, b, c, d = (" ".join(f"{x}{n}" for n in range(50)) for x in "abcd")
+    rows = [(5, a, 1), (3, b, 2), (5, b, 3), (None, c, 4), (None, d, 5), (None, d, 6), (7, c + " more", 7)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, other int")
+    for parts in (1, 7):
+        got = [(r.doc_id, r.text) for r in simhash.kept(docs.repartition(parts)).collect()]
+        assert sorted(got, key=lambda r: r[1]) == [(5, a), (3, b), (7, c + " more"), (None, d)]
