@@ -28,6 +28,8 @@ BITS, BLOCKS = 64, 4
 CROWD = 32
 #: Sets under one shingle that one task compares with all others there.
 SALTED = 2000
+#: One member of so many is looked at beyond the prefix, to leave out sets that share too few with any other.
+MORE = 10
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -228,7 +230,7 @@ def similar_documents(docs: DataFrame, *, size: int = 5, similarity: float = 0.8
 def _grouped(docs: DataFrame, size: int, similarity: float, id_column: str, text: str) -> DataFrame:
     """(id, hash, root, component) of every row: ``hash`` is that of the text, ``root`` names the group."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t, size) for t in batch["text"]]
             yield pd.DataFrame(
@@ -236,41 +238,57 @@ def _grouped(docs: DataFrame, size: int, similarity: float, id_column: str, text
                     "id": batch["id"],
                     "hash": batch["hash"],
                     "print": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                    "head": [s[: _prefix(len(s), similarity)] for s in sets],
-                    "whole": sets,
+                    "size": [len(s) for s in sets],
+                    "head": [s[: _prefix(len(s), similarity) + len(s) // MORE] for s in sets],
                 }
             )
 
-    named = packed(docs, id=id_column, hash=F.xxhash64(F.col(f"`{text}`")), text=text)
-    sets = named.select(F.col("id").cast("string").alias("id"), "hash", "text").mapInPandas(
-        run, "id string, hash bigint, print binary, head array<bigint>, whole array<bigint>"
-    )
-    sets = written(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
-    prints = sets.select(F.col("id").cast("bigint").alias("id"), "hash", "print", "row")
+    def wholes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"node": batch["node"], "whole": [shingle_set(t, size) for t in batch["text"]]})
+
+    named = packed(docs, id=id_column, hash=F.xxhash64(F.col(f"`{text}`")), text=text).select(F.col("id").cast("string").alias("id"), "hash", "text")
+    found = named.mapInPandas(heads, "id string, hash bigint, print binary, size int, head array<bigint>")
+    found = written(found.withColumn("row", F.monotonically_increasing_id()), "heads")
+    prints = found.select(F.col("id").cast("bigint").alias("id"), "hash", "print")
     # A node is the first row of its set.
-    distinct = written(prints.groupBy("print").agg(F.min("id").alias("least_id"), F.min("row").alias("node")), "distinct")
-    links = _similar_pairs(sets.join(distinct.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "head", "whole"), similarity)
+    distinct = written(found.groupBy("print").agg(F.min(F.col("id").cast("bigint")).alias("least_id"), F.min("row").alias("node")), "distinct")
+    firsts = found.join(distinct.select(F.col("node").alias("row")), "row")
+    maybe = firsts.join(_with_partners(firsts, similarity), "row", "left_semi").select("id", "hash", F.col("row").alias("node"))
+    maybe = written(maybe, "maybe").withColumnsRenamed({"id": "_id", "hash": "_hash"})
+    texts = named.join(maybe, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
+    # Repeated rows give one node several times.
+    sets = texts.select("node", "text").mapInPandas(wholes, "node bigint, whole array<bigint>").dropDuplicates(["node"])
+    links = _similar_pairs(written(sets.select("node", F.size("whole").alias("size"), "whole"), "sets"), similarity)
     known = written(_smallest_ids(distinct.select("node", "least_id"), links, "node"), "components")
     return prints.join(distinct.select("print", "node"), "print").join(known, "node").select("id", "hash", "root", "component")
 
 
+def _with_partners(sets: DataFrame, similarity: float) -> DataFrame:
+    """(row) of the sets of which enough of ``head`` stands in other heads; all that have a similar set are among them.
+
+    Of the members that two similar sets share, the first n // MORE stand in both heads, where n is the size of the smaller one.
+    """
+    heads = sets.select("row", "size", F.explode("head").alias("key")).repartition("key")
+    shared = heads.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    smaller = F.ceil(F.lit(similarity) * F.col("size") - 1e-9)
+    met = heads.join(shared, "key", "left_semi").groupBy("row", "size").agg(F.count(F.lit(1)).alias("met"))
+    return met.where(F.col("met") >= F.greatest(F.lit(1), F.floor(smaller / MORE))).select("row")
+
+
 def _prefix(size: int, similarity: float) -> int:
     """Two sets this similar have one of their first so many members in common, in any order that all sets share."""
     return size - math.ceil(similarity * size - 1e-9) + 1 if size else 0
 
 
 def _similar_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """Verified links (a, b) of nodes, whose components are those of all pairs of this similarity or more.
+    """Verified links (a, b) of nodes, whose components are those of all pairs of this similarity or more; ``sets``: node, size, whole.
 
-    First sets that share none of their least hashes with any other are left out. The shingles of the rest are ordered by
-    the sets that hold them, rarest first, and sets meet under the first ones (see ``_prefix``). Each is compared with
-    the least it meets, then with leaders while that links any; at last all pairs that meet and are not yet in one component are.
+    Shingles are ordered by the sets that hold them, rarest first, and sets meet under their first ones (see ``_prefix``).
+    Each is compared with the least it meets, then with leaders while that links any; at last all pairs that meet and are
+    not yet in one component are.
     """
-    heads = written(sets.select("node", F.explode("head").alias("key")), "heads")
-    shared = heads.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    maybe = written(heads.join(shared, "key", "left_semi").select("node").distinct(), "maybe")
-    rest = written(sets.join(maybe, "node", "left_semi").select("node", F.size("whole").alias("size"), "whole"), "whole")
-    members = rest.select("node", "size", F.explode("whole").alias("key"))
+    members = sets.select("node", "size", F.explode("whole").alias("key")).repartition("key")
     often = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ranked = members.join(often, "key").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("order"))
     # Shingles of one set only come first in the order, and nothing meets under them.
@@ -294,8 +312,8 @@ def _similar_pairs(sets: DataFrame, similarity: float) -> DataFrame:
         return met.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = rest.select(F.col("node").alias("a"), F.col("whole").alias("_a"))
-        right = rest.select(F.col("node").alias("b"), F.col("whole").alias("_b"))
+        left = sets.select(F.col("node").alias("a"), F.col("whole").alias("_a"))
+        right = sets.select(F.col("node").alias("b"), F.col("whole").alias("_b"))
         common = F.size(F.array_intersect("_a", "_b"))
         close = common / (F.size("_a") + F.size("_b") - common) >= similarity
         return pairs.join(left, "a").join(right, "b").where(close).select("a", "b")

@@ -237,3 +237,19 @@ def test_kept_leaves_a_row_of_each_group(spark):
     for parts in (1, 7):
         got = [(r.doc_id, r.text) for r in simhash.kept(docs.repartition(parts)).collect()]
         assert sorted(got, key=lambda r: r[1]) == [(5, a), (3, b), (7, c + " more"), (None, d)]
+
+
+def test_crowds_lose_no_pair(spark, monkeypatch):
+    """Chains of versions, where a text is close to its neighbours only and to no leader, in crowds dealt over several tasks."""
+    monkeypatch.setattr(simhash, "CROWD", 3)
+    monkeypatch.setattr(simhash, "SALTED", 4)
+    draw = np.random.default_rng(6)
+    base, texts = [f"w{k}" for k in range(300)], []
+    for n in range(36):
+        base = edited(draw, base, 6) if n % 12 else [f"v{n}"] * 5 + edited(draw, base[5:], 20)
+        texts.append(" ".join(base))
+    order = draw.permutation(36)
+    texts = [texts[n] for n in order]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.id: r.component for r in simhash.similar_documents(docs).collect()}
+    assert [got[n] for n in range(36)] == brute_similar(texts)
