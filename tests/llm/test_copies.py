@@ -253,3 +253,12 @@ def test_crowds_lose_no_pair(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.id: r.component for r in simhash.similar_documents(docs).collect()}
     assert [got[n] for n in range(36)] == brute_similar(texts)
+
+
+def test_repeated_lines_weigh_once(spark):
+    line = "the same line again and again "
+    a, b = (" ".join(f"{x}{n}" for n in range(200)) for x in "ab")
+    docs = spark.createDataFrame([(1, line * 300 + a), (2, line * 300 + b), (3, a + " " + line * 2), (4, line * 90 + a)], "doc_id bigint, text string")
+    want = brute_similar([r.text for r in docs.orderBy("doc_id").collect()])
+    got = {r.id: r.component for r in simhash.similar_documents(docs).collect()}
+    assert [got[n] - 1 for n in (1, 2, 3, 4)] == want and got[1] != got[2]
