@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from schemaloom.llm import chunk_dedup, decontamination, mixing, quality_rules, reply_trees, simhash, suffix_dedup, token_files, toxicity, warc_fixity
+from schemaloom.llm import chunk_dedup, decontamination, embedding_dedup, filter_audit, hard_negatives, mixing, quality_rules, reply_trees, simhash, suffix_dedup, token_files, toxicity, warc_fixity
 from schemaloom.llm.tables import table
 from schemaloom.workspace import new_folder, written
 
@@ -149,6 +149,24 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_trees.digests(written(output, "chat"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of all orders of five filters over all documents, by language."""
+    judged = filter_audit.verdicts(table(spark, sf_dir, "documents"))
+    return filter_audit.audit(filter_audit.labelled(judged, table(spark, sf_dir, "labels")), "ABCDE")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for the positives of every hundredth vector, out of all vectors."""
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END")
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label=label, anchor=F.expr("vec_id % 100 = 0"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of all vectors."""
+    found = embedding_dedup.linked(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_warc_fixity": op2_warc_fixity,
@@ -160,6 +178,9 @@ QUERIES = {
     "op8_chunk_dedup": op8_chunk_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_reply_trees": op10_reply_trees,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
 ORACLES = {
@@ -261,4 +282,75 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length(role) + 2 * (length(role) - length(replace(replace(role, '%', ''), chr(10), '')))
     + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|im_start|>') + 1 + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
 FROM filled GROUP BY conv_id""",
+    # By the definition of each column, from documents counted by the filters that they fail.
+    "op11_filter_audit": r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id FROM documents
+), worded AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM texts
+), known AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), judged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * list_unique(w) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first_id THEN 'E' ELSE '' END AS fails
+  FROM worded LEFT JOIN known USING (doc_id)
+), cells AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE bad) AS bad FROM judged GROUP BY ALL
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), moves AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS f, filter_order[1:step - 1] AS before
+  FROM orders, range(1, 6) s(step)
+), counted AS (
+  SELECT part, filter_order, step, f, sum(n) AS total,
+    coalesce(sum(n) FILTER (WHERE translate(fails, before || f, '') = fails), 0) AS kept,
+    coalesce(sum(n) FILTER (WHERE contains(fails, f) AND translate(fails, before, '') = fails), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE contains(fails, f) AND translate(fails, before, '') <> fails), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE fails = f), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE contains(fails, f) AND translate(fails, before, '') = fails), 0) AS good_lost,
+    coalesce(sum(bad) FILTER (WHERE contains(fails, f) AND translate(fails, before, '') = fails), 0) AS toxic_lost
+  FROM cells, moves GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted""",
+    "op12_hard_negatives": r"""
+WITH taking AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(coalesce(list_dot_product(a.q, c.q), 0) AS BIGINT) AS score
+  FROM taking a JOIN taking c ON a.r <> c.r AND len(a.q) = len(c.q) WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) AS n FROM scored WHERE same) WHERE n <= 5
+), met AS (
+  SELECT p.anchor, p.n, p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, p.n ORDER BY s.score DESC, s.vec_id NULLS LAST) AS rank
+  FROM positives p JOIN scored s ON p.anchor = s.anchor
+  WHERE NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM met WHERE rank <= 5""",
+    "op13_embedding_dedup": r"""
+WITH RECURSIVE given AS (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(x AS DOUBLE) for x in embedding] AS v FROM embeddings
+), good AS (
+  SELECT * FROM given WHERE v IS NOT NULL AND len([x for x in v if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in v if x <> 0]) > 0
+), links AS (
+  SELECT a.r AS a, b.r AS b FROM good a JOIN good b ON a.r <> b.r AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.95
+), reach AS (
+  SELECT r AS a, r AS b FROM given UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), least AS (
+  SELECT reach.a, min(g.vec_id) AS component_id FROM reach JOIN given g ON g.r = reach.b GROUP BY reach.a
+)
+SELECT g.vec_id, CAST(count(links.b) AS BIGINT) AS n_links, any_value(l.component_id) AS component_id,
+  g.vec_id IS NOT DISTINCT FROM any_value(l.component_id) AS kept
+FROM given g JOIN least l ON l.a = g.r LEFT JOIN links ON links.a = g.r GROUP BY g.r, g.vec_id""",
 }

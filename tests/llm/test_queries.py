@@ -15,4 +15,4 @@ def test_same_rows(spark, name):
 
 def test_all_are_registered():
     assert set(catalog.QUERIES) | {"pipeline"} <= set(entry_points.queries())
-    assert {q.split("_")[0] for q in catalog.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in catalog.QUERIES} == {f"op{n}" for n in range(1, 14)}
