@@ -40,6 +40,11 @@ def policy_flags(df: DataFrame, atoms: str = "atoms") -> DataFrame:
     )
 
 
+def guard_looks(policy: str = "policy") -> str:
+    """Whether the impact guards of a policy look at a change at all."""
+    return f"({policy}.impact_mode <> 'off' AND NOT ({policy}.impact_mode = 'breaking_only' AND only_additive))"
+
+
 def impact_reasons(policy: str = "policy") -> str:
     """Reasons for which the impact guards block; empty when they pass."""
     lake, vault, xforms = IMPACT_COLUMNS
@@ -69,16 +74,15 @@ def impact_reasons(policy: str = "policy") -> str:
         f"CASE WHEN size(_caps) > 0 THEN _caps WHEN {policy}.block_on_any_impact THEN {any_impact} ELSE {empty()} END",
     )
     return (
-        f"CASE WHEN {policy}.impact_mode <> 'off' AND NOT ({policy}.impact_mode = 'breaking_only' AND only_additive) "
-        f"AND {total} > 0 THEN {blocked} ELSE {empty()} END"
+        f"CASE WHEN {guard_looks(policy)} AND {total} > 0 THEN {blocked} ELSE {empty()} END"
     )
 
 
-def policy_decision(df: DataFrame, policy: str = "policy") -> DataFrame:
-    """Add decision, compatibility, obligations and reasons.
+def policy_case(df: DataFrame, policy: str = "policy") -> DataFrame:
+    """Add ``_case``, what kind of change the policy meets, and ``_impact``, the reasons of the impact guards.
 
     Needs the columns of ``policy_flags`` plus impacted_lake, impacted_vault and
-    impacted_transformations (bigint counts).
+    impacted_transformations (bigint counts). The cases of ``BLOCKED`` are not allowed.
     """
     p = policy
     case = f"""CASE
@@ -89,6 +93,15 @@ def policy_decision(df: DataFrame, policy: str = "policy") -> DataFrame:
       WHEN size(_impact) > 0 THEN 'impact'
       WHEN only_additive THEN 'additive'
       ELSE 'destructive' END"""
+    return df.withColumn("_impact", F.expr(impact_reasons(policy))).withColumn("_case", F.expr(case))
+
+
+BLOCKED = ("drop", "change", "narrowing", "impact")
+
+
+def policy_decision(df: DataFrame, policy: str = "policy") -> DataFrame:
+    """Add decision, compatibility, obligations and reasons; see ``policy_case`` for what it needs."""
+    p = policy
     after_drop = f"CASE WHEN has_drop THEN {p}.compatibility_for_drop ELSE 'breaking' END"
     compatibility = f"""CASE
       WHEN _case IN ('unchanged', 'additive') THEN 'backward'
@@ -106,13 +119,10 @@ def policy_decision(df: DataFrame, policy: str = "policy") -> DataFrame:
       ELSE CASE WHEN has_change AND widening_only THEN array('Only widening CHANGE_TYPE detected')
                 ELSE array('Destructive changes allowed by policy') END END"""
     return (
-        df.withColumn("_impact", F.expr(impact_reasons(policy)))
-        .withColumn("_case", F.expr(case))
+        policy_case(df, policy)
         .withColumns(
             {
-                "decision": F.expr(
-                    "CASE WHEN _case IN ('drop', 'change', 'narrowing', 'impact') THEN 'block' ELSE 'allow' END"
-                ),
+                "decision": F.when(F.col("_case").isin(*BLOCKED), "block").otherwise("allow"),
                 "compatibility": F.expr(compatibility),
                 "obligations": F.expr(
                     f"CASE WHEN _case = 'additive' THEN coalesce({p}.obligations_on_additive, {empty()}) ELSE {empty()} END"

@@ -1,259 +1,271 @@
 """Ordered replay of notifications against the last accepted header of their dataset.
 
 The header a notification is compared with is not the previous one but the last one that was
-allowed and verified, so a dataset's notifications form a fold. A dataset may hold a large
-share of all notifications; its fold is therefore cut into segments of bounded size that run
-in parallel from guessed start headers. A small pass over the segments then checks which
-guesses were right, and segments whose true start was not tried yet run again from it. The
-loop ends when every segment has run from the end header of the segment before it, so the
-result is exactly that of the sequential fold.
+allowed and verified, so a dataset's notifications form a fold whose state is one header. The
+work is split into what Spark can do for all rows at once and what must go in order:
+
+* Distinct headers get ids. Which (previous, new, policy) steps are allowed is decided once per
+  distinct triple, by the same expressions as everywhere else (``diff``, ``policy``).
+* A dataset's notifications are cut into segments of ``segment_rows`` positions. A segment is a
+  function from the header it starts with to the one it ends with; all of them are computed at once.
+* These functions are composed by a parallel prefix scan, a few joins per doubling, which gives
+  every segment its true start.
+* Each segment is then folded once, on ids, and counts of the segments before it are added.
+
+There is one path, whatever the number of rows. With lineage, some steps depend on the impact of
+a change. The same scan, with such steps open both ways, tells which headers each segment may
+start with; only impacts that a step can then ask for are looked up, in one traversal.
 """
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from schemaloom.functions.headers import signature, signature_json
-from schemaloom.functions.typenames import WIDENING_PAIRS
+from schemaloom.operators import diff
 from schemaloom.operators.lineage import impact_for
-from schemaloom.sources.policies import select_policy
-from schemaloom.workspace import stored
+from schemaloom.operators.policy import BLOCKED, IMPACT_COLUMNS, guard_looks, policy_case, policy_flags
+from schemaloom.sources.policies import policies_frame, select_policy
+from schemaloom.workspace import written
 
 SEGMENT_ROWS = 50_000
+#: The id of "no header yet"; no header has it.
+NO_HEADER = 0
 
-_POLICY_FIELDS = [
-    "allow_drop",
-    "change_mode",
-    "impact_mode",
-    "max_impacted_total",
-    "max_impacted_lake_tables",
-    "max_impacted_vault_objects",
-    "max_impacted_transformations",
-    "block_on_any_impact",
-]
-_WIDENING = frozenset(WIDENING_PAIRS)
-
-
-class Transitions:
-    """Decides single steps "header a accepted, header b arrives", remembering each answer."""
-
-    def __init__(self, impacts: dict[str, list[int]] | None):
-        self.impacts = impacts
-        self._headers: dict[str | None, dict] = {None: {}}
-        self._known: dict[tuple, bool | str] = {}
-
-    def _header(self, sig):
-        if sig not in self._headers:
-            self._headers[sig] = {a["n"]: (a.get("t"), a["f"]) for a in json.loads(sig)}
-        return self._headers[sig]
-
-    def __call__(self, prev: str | None, new: str, policy: str) -> bool | str:
-        """True or False, or the key of an impact that must be known first."""
-        at = (prev, new, policy)
-        if at not in self._known:
-            self._known[at] = self._decide(self._header(prev), self._header(new), json.loads(policy))
-        return self._known[at]
-
-    def _decide(self, prev, new, p):
-        added, dropped = new.keys() - prev.keys(), prev.keys() - new.keys()
-        changed = [
-            n for n in new.keys() & prev.keys() if prev[n][0] and new[n][0] and prev[n][0] != new[n][0]
-        ]
-        if not (added or dropped or changed):
-            return True
-        if dropped and not p["allow_drop"]:
-            return False
-        if changed and p["change_mode"] == "none":
-            return False
-        if changed and p["change_mode"] == "widen":
-            for n in changed:
-                a, b = prev[n][1], new[n][1]
-                if a != b and f"{a}>{b}" not in _WIDENING:
-                    return False
-        if self.impacts is None or p["impact_mode"] == "off":
-            return True
-        if p["impact_mode"] == "breaking_only" and not dropped and not changed:
-            return True
-        key = json.dumps(sorted({*added, *dropped, *changed}), ensure_ascii=False)
-        if key not in self.impacts:
-            return key
-        lake, vault, xforms = self.impacts[key]
-        total = lake + vault + xforms
-        if total <= 0:
-            return True
-        caps = [
-            ("max_impacted_total", total),
-            ("max_impacted_lake_tables", lake),
-            ("max_impacted_vault_objects", vault),
-            ("max_impacted_transformations", xforms),
-        ]
-        over = any(p.get(c) is not None and n > p[c] for c, n in caps)
-        return not (over or p["block_on_any_impact"])
-
-
-def _impacts(text) -> dict[str, list[int]] | None:
-    return json.loads(text) if isinstance(text, str) else None
-
-
-def fold_rows(rows: pd.DataFrame, sig, seq, version: int, decide: Transitions) -> tuple[pd.DataFrame, tuple]:
-    """Run the fold over rows in order; returns one result per row and the end state."""
-    out = []
-    for r in rows.sort_values("seq").itertuples(index=False):
-        allowed = decide(sig, r.sig, r.policy)
-        if not isinstance(allowed, bool):
-            raise ValueError(f"impact of {allowed} is not known")
-        accepted = allowed and bool(r.verified)
-        out.append((r.dataset_id, r.seq, allowed, accepted, seq, version))
-        if accepted:
-            sig, seq, version = r.sig, r.seq, version + 1
-    columns = ["dataset_id", "seq", "allowed", "accepted", "previous_seq", "previous_accepted"]
-    frame = pd.DataFrame(out, columns=columns).astype({"previous_seq": "Int64"})
-    return frame, (sig, seq, version)
+
+def fold_input(notifications: DataFrame, config: dict) -> DataFrame:
+    """dataset_id, seq, raw, attributes, p, verified: all that the replay needs of a notification.
+
+    ``raw`` is an id of the attributes as they are written, ``p`` one of the policy that answers the request. What follows from
+    either is worked out once per distinct value.
+    """
+    df = notifications
+    if "verified" not in df.columns:
+        df = df.withColumn("verified", F.lit(True))
+    return select_policy(df, config).select(
+        "dataset_id",
+        F.col("seq").cast("bigint").alias("seq"),
+        F.xxhash64(F.to_json("attributes")).alias("raw"),
+        "attributes",
+        F.xxhash64("policy.policy_name").alias("p"),
+        F.coalesce("verified", F.lit(True)).alias("verified"),
+    )
 
 
-_RESULT = (
-    "dataset_id string, seq bigint, allowed boolean, accepted boolean, previous_seq bigint, previous_accepted bigint"
-)
-_RUN = (
-    "dataset_id string, seg bigint, start_sid string, end_sid string, end_seq bigint, accepted bigint, "
-    "unknown array<string>"
-)
+def dictionary(headers: DataFrame) -> DataFrame:
+    """(raw, h, sig) of distinct headers (raw, attributes): ``h`` is the same for headers that no diff tells apart."""
+    own = headers.distinct().withColumn("sig", F.expr(f"sort_array({signature('attributes')})"))
+    text = F.xxhash64(F.expr(signature_json("sig")))
+    own = own.select("raw", "sig", F.when(text == NO_HEADER, F.lit(1).cast("bigint")).otherwise(text).alias("h"))
+    # An id of 64 bits that two different headers share would mix them up: an error, not a wrong answer.
+    for key in ("raw", "h"):
+        one = W.partitionBy(key)
+        same = F.min("sig").over(one).eqNullSafe(F.max("sig").over(one))
+        own = own.withColumn("sig", F.when(same, F.col("sig")).otherwise(F.raise_error(F.lit("two headers share an id"))))
+    return own.distinct()
 
 
-def _probe_segment(rows: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-    """End state of a segment for each start header tried, and the impacts still unknown.
+def decision_table(steps: DataFrame, headers: DataFrame, policies: DataFrame, impact_matters: bool) -> DataFrame:
+    """(prev, new, p, answer, changed) for distinct ``steps`` (prev, new, p).
 
-    Where an impact is unknown both answers are followed, so that one round asks for most of
-    the impacts that later steps will need. States with the same header are one, so there are never more than
-    distinct headers in the segment.
+    answer: ``yes`` (allowed), ``ask`` (allowed unless the impact of ``changed`` is in the way) or ``no``. Headers
+    are diffed once per distinct pair, whatever the number of datasets and policies.
     """
-    out = []
-    rows = rows.sort_values("seq")
-    for run in runs.itertuples(index=False):
-        decide = Transitions(_impacts(run.impacts))
-        states = {run.start_sig: (run.start_sid, None, 0)}
-        unknown = set()
-        for r in rows.itertuples(index=False):
-            after = {}
-            for sig, at in states.items():
-                answer = decide(sig, r.sig, r.policy)
-                known = isinstance(answer, bool)
-                if not known:
-                    unknown.add(answer)
-                if r.verified and (answer or not known):
-                    after[r.sig] = (r.sid, r.seq, at[2] + 1)
-                if not r.verified or not known or not answer:
-                    after.setdefault(sig, at)
-            states = after
-        end = next(iter(states.values()))
-        out.append((run.run_dataset_id, run.run_seg, run.start_sid, end[0], end[1], end[2], sorted(unknown)))
-    columns = ["dataset_id", "seg", "start_sid", "end_sid", "end_seq", "accepted", "unknown"]
-    return pd.DataFrame(out, columns=columns).astype({"end_seq": "Int64"})
-
-
-def _final_segment(rows: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-    s = starts.iloc[0]
-    seq = None if pd.isna(s.start_seq) else int(s.start_seq)
-    sig = s.start_sig if isinstance(s.start_sig, str) else None
-    return fold_rows(rows, sig, seq, int(s.start_accepted), Transitions(_impacts(s.impacts)))[0]
-
-
-def _end(run) -> str:
-    return run.end_sid if run.accepted > 0 else run.start_sid
-
-
-def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Follow one dataset's segments from its first state as far as the runs made so far allow.
-
-    In: one row for the first state, one per segment, one per run. Out: one row per segment with
-    its start state. Behind the first segment that has not been run from its true start, each
-    segment is offered two states to try: the one that is missing there, since a header often
-    stays for long, and the end of a run of the segment before it, since most runs end alike.
+    shapes = steps.select("prev", "new").distinct()
+    prev = headers.select(F.col("h").alias("prev"), F.col("sig").alias("_prev"))
+    new = headers.select(F.col("h").alias("new"), F.col("sig").alias("_new"))
+    atoms = shapes.join(prev, "prev", "left").join(new, "new").withColumn("atoms", F.expr(diff.diff_signatures("_prev", "_new")))
+    flagged = policy_flags(atoms).withColumn("changed", F.expr(diff.changed_attributes("atoms"))).drop("_prev", "_new", "atoms")
+    zero = F.lit(0).cast("bigint")
+    judged = policy_case(steps.join(flagged, ["prev", "new"]).join(policies, "p").withColumns({c: zero for c in IMPACT_COLUMNS}))
+    open_ = F.expr(f"has_atoms AND {guard_looks('policy')}") if impact_matters else F.lit(False)
+    answer = F.when(F.col("_case").isin(*BLOCKED), "no").when(open_, "ask").otherwise("yes")
+    return judged.select("prev", "new", "p", answer.alias("answer"), F.when(answer == "ask", F.col("changed")).alias("changed"))
+
+
+def _answered(asked: DataFrame, edges: DataFrame, headers: DataFrame, policies: DataFrame) -> DataFrame:
+    """(dataset_id, prev, new, p) of the asked steps that the impact guards let pass. ``asked``: these and ``changed``."""
+    found = impact_for(asked.select("dataset_id", "changed"), edges)
+    steps = asked.join(found, ["dataset_id", "changed"])
+    prev = headers.select(F.col("h").alias("prev"), F.col("sig").alias("_prev"))
+    new = headers.select(F.col("h").alias("new"), F.col("sig").alias("_new"))
+    shapes = steps.select("prev", "new").distinct().join(prev, "prev", "left").join(new, "new")
+    flagged = policy_flags(shapes.withColumn("atoms", F.expr(diff.diff_signatures("_prev", "_new")))).drop("_prev", "_new", "atoms")
+    judged = policy_case(steps.join(flagged, ["prev", "new"]).join(policies, "p"))
+    return judged.where(~F.col("_case").isin(*BLOCKED)).select("dataset_id", "prev", "new", "p")
+
+
+def _rules(steps: DataFrame) -> DataFrame:
+    """One row per (dataset_id, new, p): the headers from which it is allowed, and those from which it depends on an impact."""
+    lists = {n: F.collect_list(F.when(F.col("answer") == n, F.col("prev"))) for n in ("yes", "ask")}
+    return steps.groupBy("dataset_id", "new", "p").agg(*[c.alias(n) for n, c in lists.items()])
+
+
+# --- what runs in tasks: steps on ids ----------------------------------------------------
+
+
+def _steps(rows: pd.DataFrame, rules: pd.DataFrame) -> Iterator[tuple[int, int, set, set, bool]]:
+    """(seq, header, headers from which it is allowed, headers from which that depends on an impact, verified) in order."""
+    lists = zip(*(rules[c].tolist() for c in ("raw", "p", "new")), rules["yes"], rules["ask"])
+    known = {(raw, p): (new, set(map(int, yes)), set(map(int, ask))) for raw, p, new, yes, ask in lists}
+    ordered = rows.sort_values("seq")
+    for seq, raw, p, verified in zip(*(ordered[c].tolist() for c in ("seq", "raw", "p", "verified"))):
+        yield seq, *known[raw, p], verified
+
+
+def _named(rules: pd.DataFrame) -> set[int]:
+    """Headers that the rules of a segment name; any other stays as it is throughout."""
+    return {int(s) for c in ("yes", "ask") for own in rules[c] for s in own} | set(rules["new"].tolist())
+
+
+def _framed(rows: pd.DataFrame, out: list, columns: list[str], with_segment: bool = True) -> pd.DataFrame:
+    frame = pd.DataFrame(out, columns=columns)
+    if with_segment:
+        frame.insert(0, "seg", int(rows["seg"].iloc[0]))
+    frame.insert(0, "dataset_id", rows["dataset_id"].iloc[0])
+    return frame
+
+
+_FUNCTION = "dataset_id string, seg bigint, start bigint, end bigint, n bigint, last bigint"
+
+
+def _function(rows: pd.DataFrame, rules: pd.DataFrame) -> pd.DataFrame:
+    """One segment as a function: for each start the end, how many notifications it accepts, and the last of them.
+
+    Starts that have come to one header go on as one group, so the work per row shrinks to a few headers. A group knows what it
+    has accepted, and of each member how much more or less that is.
     """
-    tried, by_seg = {}, {}
-    for r in pdf[pdf.kind == "run"].sort_values("start_sid").itertuples(index=False):
-        tried[r.seg, r.start_sid] = r
-        by_seg[r.seg] = r
-    first = pdf[pdf.kind == "first"].iloc[0]
-    sid, seq, n, resolved = first.start_sid, None, int(first.accepted), True
-    guess = None
-    out = []
-    for seg in sorted(pdf[pdf.kind == "seg"].seg):
-        hit = tried.get((seg, sid))
-        out.append((first.dataset_id, seg, sid, seq, n, hit is not None))
-        if resolved and hit is not None:
-            if hit.accepted > 0:
-                sid, seq, n = hit.end_sid, int(hit.end_seq), n + int(hit.accepted)
+    live = {s: [0, None, [(s, 0)]] for s in sorted(_named(rules))}
+    for seq, new, yes, _, verified in _steps(rows, rules):
+        if not verified:
+            continue
+        groups = [live.pop(s) for s in [s for s in live if s == new or s in yes]]
+        if not groups:
             continue
-        if guess not in (None, sid):
-            out.append((first.dataset_id, seg, guess, None, 0, (seg, guess) in tried))
-        resolved = False
-        likely = tried.get((seg, guess), by_seg.get(seg))
-        guess = _end(likely) if likely is not None else None
-    columns = ["dataset_id", "seg", "start_sid", "start_seq", "start_accepted", "has_run"]
-    return pd.DataFrame(out, columns=columns).astype({"start_seq": "Int64"})
+        whole = max(groups, key=lambda g: len(g[2]))
+        for g in groups:
+            if g is not whole:
+                whole[2] += [(s, more + g[0] - whole[0]) for s, more in g[2]]
+        whole[0], whole[1] = whole[0] + 1, seq
+        live[new] = whole
+    out = [(s, end, n + more, last) for end, (n, last, members) in live.items() for s, more in members]
+    return _framed(rows, out, ["start", "end", "n", "last"]).astype({"last": "Int64"})
 
 
-_CHAIN = (
-    "dataset_id string, seg bigint, start_sid string, start_seq bigint, start_accepted bigint, has_run boolean"
-)
+def _either_way(rows: pd.DataFrame, rules: pd.DataFrame, starts: list[int], asked: set | None = None) -> dict[int, int]:
+    """Headers that a segment may end with, each with the set (as bits) of the starts that may lead there.
 
+    A step that depends on an impact is taken both ways; ``asked`` gathers these (prev, new, raw, p).
+    """
+    live = {s: 1 << k for k, s in enumerate(starts)}
+    policies = rows.sort_values("seq")["p"].tolist()
+    for p, (_, new, yes, ask, verified) in zip(policies, _steps(rows, rules)):
+        open_ = [s for s in live if s != new and s in ask]
+        if asked is not None:
+            asked.update((s, new, p) for s in open_)
+        if not verified:
+            continue
+        arriving = 0
+        for s in [s for s in live if s != new and s in yes]:
+            arriving |= live.pop(s)
+        for s in open_:
+            arriving |= live[s]
+        if arriving:
+            live[new] = live.get(new, 0) | arriving
+    return live
 
-def policy_json(policy: Column) -> Column:
-    return F.to_json(F.struct(*[policy[c].alias(c) for c in _POLICY_FIELDS]))
 
+def _relation(rows: pd.DataFrame, rules: pd.DataFrame) -> pd.DataFrame:
+    starts = sorted(_named(rules))
+    out = [(s, end) for end, bits in _either_way(rows, rules, starts).items() for k, s in enumerate(starts) if bits >> k & 1]
+    return _framed(rows, [(*o, 0, None) for o in out], ["start", "end", "n", "last"]).astype({"last": "Int64"})
 
-def fold_input(notifications: DataFrame, config: dict) -> DataFrame:
-    """dataset_id, seq, sig, policy, verified: all that the fold needs of a notification."""
-    df = notifications
-    if "verified" not in df.columns:
-        df = df.withColumn("verified", F.lit(True))
-    df = select_policy(df, config)
-    return df.select(
-        "dataset_id",
-        F.col("seq").cast("bigint").alias("seq"),
-        F.expr(signature_json(signature("attributes"))).alias("sig"),
-        policy_json(F.col("policy")).alias("policy"),
-        F.coalesce("verified", F.lit(True)).alias("verified"),
-    )
 
+def _asks(rows: pd.DataFrame, rules: pd.DataFrame) -> pd.DataFrame:
+    """(dataset_id, prev, new, p) of the steps of one segment that can depend on an impact."""
+    asked: set = set()
+    _either_way(rows, rules, sorted({int(s["state"]) for s in rules["starts"].iloc[0]}), asked)
+    return _framed(rows, sorted(asked), ["prev", "new", "p"], with_segment=False)
 
-def _with_segments(rows: DataFrame, segment_rows: int) -> DataFrame:
-    """Segment 0 for ordinary datasets, ranges of ``seq`` for those above the size bound.
 
-    ``seq`` is unique per dataset (a log offset), so a range of that width cannot hold more rows.
-    """
-    large = (
-        rows.groupBy("dataset_id").count().filter(F.col("count") > segment_rows).select("dataset_id", F.lit(True).alias("_l"))
-    )
-    return (
-        rows.join(large, "dataset_id", "left")
-        .withColumn("seg", F.when(F.col("_l"), F.expr(f"seq div {segment_rows}")).otherwise(F.lit(0)).cast("bigint"))
-        .drop("_l")
-    )
+_FOLDED = "dataset_id string, seq bigint, allowed boolean, accepted boolean, previous_seq bigint, n bigint"
 
 
-def _cogroup(rows: DataFrame, runs: DataFrame, fn, schema: str) -> DataFrame:
-    # own names on the right: both sides can stem from the same stored table
-    right = runs.withColumnsRenamed({"dataset_id": "run_dataset_id", "seg": "run_seg"})
-    left = rows.groupBy("dataset_id", "seg")
-    return left.cogroup(right.groupBy("run_dataset_id", "run_seg")).applyInPandas(_skip_empty(fn, schema), schema)
+def _fold(rows: pd.DataFrame, rules: pd.DataFrame) -> pd.DataFrame:
+    """Decisions of one segment from its start; ``n`` counts what the dataset has accepted before."""
+    (start,), out = rules["starts"].iloc[0], []
+    at, last, n = start["state"], start["last"], start["n"]
+    for seq, new, yes, _, verified in _steps(rows, rules):
+        allowed = new == at or at in yes
+        accepted = allowed and verified
+        out.append((seq, allowed, accepted, last, n))
+        if accepted:
+            at, last, n = new, seq, n + 1
+    return _framed(rows, out, ["seq", "allowed", "accepted", "previous_seq", "n"], with_segment=False).astype({"previous_seq": "Int64"})
 
 
-def _skip_empty(fn, schema: str):
+def _per_segment(rows: DataFrame, rules: DataFrame, step: Callable, schema: str) -> DataFrame:
+    """``step`` on each segment's rows and rules; a segment is of bounded size, whatever its dataset."""
     names = [part.strip().split(" ")[0] for part in schema.split(", ")]
 
-    def call(rows: pd.DataFrame, runs: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or runs.empty:
+    def call(own: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or known.empty:
             return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
-        return fn(rows, runs)
+        return step(own, known.rename(columns={"_raw": "raw", "_p": "p"}))
+
+    # Own names on the right: both sides stem from the same stored table.
+    right = rules.withColumnsRenamed({"dataset_id": "_d", "seg": "_s", "raw": "_raw", "p": "_p"})
+    return rows.groupBy("dataset_id", "seg").cogroup(right.groupBy("_d", "_s")).applyInPandas(call, schema)
 
-    return call
+
+# --- composition of segments -------------------------------------------------------------
+
+
+def scan(functions: DataFrame, first: DataFrame, segments: int) -> DataFrame:
+    """(dataset_id, seg, state, n, last): with what each segment starts; several rows if it may start with several headers.
+
+    functions: dataset_id, seg, start, end, n, last; a start that is not listed stays what it is. first: dataset_id, state.
+    ``segments``: how many the largest dataset has. An up-sweep composes neighbours, so level k holds the functions of 2^k
+    segments each; the down-sweep hands each first half the start of the whole, and each second half what the first half
+    makes of it. Both are equi-joins on (dataset, block, header): no dataset is gathered anywhere.
+    """
+    keys = {"dataset_id": "_d", "seg": "_s", "start": "_start", "end": "_end", "n": "_n", "last": "_last"}
+    after = (F.coalesce("_end", "state").alias("state"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.coalesce("_last", "last").alias("last"))
+    here = (F.col("dataset_id") == F.col("_d")) & (F.col("seg") == F.col("_s")) & (F.col("state") == F.col("_start"))
+    levels = [functions]
+    while 1 << len(levels) < segments:
+        halves = levels[-1].withColumns({"seg": F.expr("seg div 2"), "_half": F.col("seg") % 2})
+        left = halves.where("_half = 0").withColumnRenamed("end", "state").drop("_half")
+        right = halves.where("_half = 1").drop("_half").withColumnsRenamed(keys)
+        through = left.join(right, here, "left").select("dataset_id", "seg", "start", *after).withColumnRenamed("state", "end")
+        # Headers that the first half leaves alone are moved by the second half only.
+        only = right.join(left, (F.col("dataset_id") == F.col("_d")) & (F.col("seg") == F.col("_s")) & (F.col("start") == F.col("_start")), "left_anti")
+        only = only.withColumnsRenamed({v: k for k, v in keys.items()})
+        levels.append(written(through.unionByName(only).distinct(), "composed"))
+    starts = first.select("dataset_id", F.lit(0).cast("bigint").alias("seg"), "state", F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("last"))
+    for functions in reversed(levels if segments > 1 else []):
+        begin = starts.withColumn("seg", 2 * F.col("seg"))
+        second = begin.join(functions.withColumnsRenamed(keys), here, "left").select("dataset_id", (F.col("seg") + 1).alias("seg"), *after)
+        starts = written(begin.unionByName(second).distinct(), "starts")
+    return starts
+
+
+def segment_numbers(rows: DataFrame, segment_rows: int) -> DataFrame:
+    """(dataset_id, _bucket, seg): ranges of ``segment_rows`` offsets, put together while they hold fewer rows than that.
+
+    ``seq`` is unique per dataset, so a segment holds less than twice as many rows. One row per range that holds any.
+    """
+    counts = rows.groupBy("dataset_id", F.expr(f"seq div {int(segment_rows)}").alias("_bucket")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = W.partitionBy("dataset_id").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    begin = counts.withColumn("_begin", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    group = F.expr(f"_begin div {int(segment_rows)}")
+    # Numbers without gaps, so that neighbours are neighbours in the scan.
+    return begin.select("dataset_id", "_bucket", (F.dense_rank().over(W.partitionBy("dataset_id").orderBy(group)) - 1).cast("bigint").alias("seg"))
 
 
 def replay(
@@ -271,39 +283,59 @@ def replay(
 
     Result: dataset_id, seq, allowed, accepted, previous_seq (the accepted notification it was
     compared with; null if none in this input), previous_version, new_version.
+
+    The decision table has a row per dataset, policy and pair of its distinct headers, of which a dataset
+    has few beside its notifications; steps from headers that were never verified are left out.
     """
-    rows = _with_segments(fold_input(notifications, config), segment_rows)
-    rows = rows.withColumn("sid", F.md5("sig"))
-    rows = stored(rows)
-    segs = rows.groupBy("dataset_id", "seg").agg(
-        F.max_by(F.struct("sid", "sig"), "seq").alias("last")
-    )
-    first = _initial_states(rows, initial)
-    states = rows.select("dataset_id", "sid", "sig").distinct()
+    whole = written(fold_input(notifications, config), "fold-input")
+    numbers = written(segment_numbers(whole, segment_rows), "segments")
+    bucket = whole.withColumn("_bucket", F.expr(f"seq div {int(segment_rows)}"))
+    rows = bucket.join(numbers, ["dataset_id", "_bucket"]).select("dataset_id", "seg", "seq", "raw", "p", "verified")
+    segments = (numbers.agg(F.max("seg")).head()[0] or 0) + 1
+
+    kinds = rows.groupBy("dataset_id", "seg", "raw", "p").agg(F.max("verified").alias("verified"))
+    known = whole.select("raw", "attributes")
     if initial is not None:
-        states = states.unionByName(first.select("dataset_id", F.col("start_sid").alias("sid"), F.col("start_sig").alias("sig")))
-        states = states.filter(F.col("sid") != "").distinct()
-
-    several = not segs.filter(F.col("seg") > 0).isEmpty()
-    if edges is None and not several:
-        starts = first.select(
-            "dataset_id",
-            F.lit(0).cast("bigint").alias("seg"),
-            "start_sig",
-            F.lit(None).cast("bigint").alias("start_seq"),
-            F.lit(0).cast("bigint").alias("start_accepted"),
-            F.lit(None).cast("string").alias("impacts"),
-        )
-    else:
-        starts = _resolve_starts(rows, stored(segs), first, states, edges)
-    result = _cogroup(rows, starts, _final_segment, _RESULT)
-    return _with_versions(result, first)
-
-
-def _with_versions(result: DataFrame, first: DataFrame) -> DataFrame:
-    base = first.select("dataset_id", F.col("version").alias("_base"))
-    version = (F.col("_base") + F.col("previous_accepted")).cast("bigint")
-    return result.join(base, "dataset_id").select(
+        initial = initial.withColumn("raw", F.xxhash64(F.to_json("attributes")))
+        known = known.unionByName(initial.select("raw", "attributes"))
+    names = written(dictionary(known), "headers")
+    used = written(kinds.join(names.select("raw", F.col("h").alias("new")), "raw"), "kinds")
+    first = _first_states(numbers, initial, names)
+    headers = names.select("h", "sig").distinct()
+    policies = policies_frame(whole.sparkSession, config)
+    policies = policies.select(F.xxhash64("policy_name").alias("p"), F.struct(*policies.columns).alias("policy"))
+
+    before = used.where("verified").select("dataset_id", F.col("new").alias("prev")).unionByName(first.select("dataset_id", F.col("state").alias("prev")))
+    steps = used.select("dataset_id", "new", "p").distinct().join(before.distinct(), "dataset_id").where("prev <> new")
+    table = decision_table(steps.select("prev", "new", "p").distinct(), headers, policies, edges is not None)
+    decided = written(steps.join(table, ["prev", "new", "p"]).where("answer <> 'no'"), "decided")
+
+    def by_segment(answers: DataFrame) -> DataFrame:
+        """Rules of each segment: one row for each (raw, p) in it."""
+        none = F.array().cast("array<bigint>")
+        found = used.drop("verified").join(_rules(answers), ["dataset_id", "new", "p"], "left")
+        return found.withColumns({c: F.coalesce(c, none) for c in ("yes", "ask")})
+
+    def with_starts(rules: DataFrame, step: Callable) -> DataFrame:
+        functions = None
+        if segments > 1:
+            # Nothing asks what the last segment of a dataset makes of its start.
+            last = numbers.groupBy("dataset_id").agg(F.max("seg").alias("_last"))
+            functions = written(_per_segment(rows.join(last, "dataset_id").where("seg < _last").drop("_last"), rules, step, _FUNCTION), "functions")
+        starts = scan(functions, first, segments)
+        lists = starts.groupBy("dataset_id", "seg").agg(F.collect_set(F.struct("state", "n", "last")).alias("starts"))
+        return rules.join(lists, ["dataset_id", "seg"])
+
+    rules = by_segment(decided)
+    if edges is not None:
+        ask = _per_segment(rows, with_starts(rules, _relation), _asks, "dataset_id string, prev bigint, new bigint, p bigint")
+        asked = written(ask.distinct().join(decided.where("answer = 'ask'").drop("answer"), ["dataset_id", "prev", "new", "p"]), "asked")
+        passed = _answered(asked, edges, headers, policies).withColumn("answer", F.lit("yes"))
+        rules = by_segment(written(decided.where("answer = 'yes'").drop("changed").unionByName(passed), "answered"))
+    folded = _per_segment(rows, with_starts(rules, _function), _fold, _FOLDED)
+    based = folded.join(first.select("dataset_id", F.col("version").alias("_base")), "dataset_id")
+    version = (F.col("_base") + F.col("n")).cast("bigint")
+    return based.select(
         "dataset_id",
         "seq",
         "allowed",
@@ -314,118 +346,13 @@ def _with_versions(result: DataFrame, first: DataFrame) -> DataFrame:
     )
 
 
-def _initial_states(rows: DataFrame, initial: DataFrame | None) -> DataFrame:
-    """dataset_id, start_sid, start_sig, version of every dataset in the input."""
-    ids = rows.select("dataset_id").distinct()
+def _first_states(numbers: DataFrame, initial: DataFrame | None, names: DataFrame) -> DataFrame:
+    """dataset_id, state, version of every dataset in the input."""
+    ids = numbers.where("seg = 0").select("dataset_id").distinct()
+    none, zero = F.lit(NO_HEADER).cast("bigint"), F.lit(0).cast("bigint")
     if initial is None:
-        return ids.select(
-            "dataset_id",
-            F.lit("").alias("start_sid"),
-            F.lit(None).cast("string").alias("start_sig"),
-            F.lit(0).cast("bigint").alias("version"),
-        )
-    known = initial.select(
-        "dataset_id",
-        F.expr(signature_json(signature("attributes"))).alias("start_sig"),
-        F.col("version").cast("bigint").alias("version"),
-    )
+        return ids.select("dataset_id", none.alias("state"), zero.alias("version"))
+    known = initial.select("dataset_id", "raw", F.col("version").cast("bigint").alias("version")).join(names.select("raw", "h"), "raw")
     return ids.join(known, "dataset_id", "left").select(
-        "dataset_id",
-        F.coalesce(F.md5("start_sig"), F.lit("")).alias("start_sid"),
-        "start_sig",
-        F.coalesce("version", F.lit(0).cast("bigint")).alias("version"),
-    )
-
-
-def _resolve_starts(rows, segs, first, states, edges) -> DataFrame:
-    """Start state of every segment, proven by a run from each predecessor's end state."""
-    spark = rows.sparkSession
-    in_order = W.partitionBy("dataset_id").orderBy("seg")
-    guess = segs.withColumn("before", F.lag("last").over(in_order)).withColumn("nth", F.row_number().over(in_order))
-    runs = guess.join(first, "dataset_id").select(
-        "dataset_id",
-        "seg",
-        F.when(F.col("nth") == 1, F.col("start_sid")).otherwise(F.col("before.sid")).alias("start_sid"),
-        F.when(F.col("nth") == 1, F.col("start_sig")).otherwise(F.col("before.sig")).alias("start_sig"),
-    )
-    runs = stored(runs)
-    done = spark.createDataFrame([], _RUN).drop("unknown")
-    needs = spark.createDataFrame([], "dataset_id string, seg bigint, start_sid string, key string")
-    impacts = spark.createDataFrame([], "dataset_id string, key string, counts array<bigint>")
-    while True:
-        # later rounds concern few segments; the rows of the others stay where they are
-        active = rows.join(runs.select("dataset_id", "seg").distinct(), ["dataset_id", "seg"], "left_semi")
-        tried = stored(_cogroup(active, _with_impacts(runs, needs, impacts, edges), _probe_segment, _RUN))
-        open_runs = tried.filter(F.size("unknown") > 0)
-        done = stored(done.unionByName(tried.filter(F.size("unknown") == 0).drop("unknown")))
-        if not open_runs.isEmpty():
-            asked = open_runs.select("dataset_id", "seg", "start_sid", F.explode("unknown").alias("key"))
-            needs = stored(needs.unionByName(asked).distinct())
-            fresh = needs.select("dataset_id", "key").distinct().join(impacts, ["dataset_id", "key"], "left_anti")
-            if not fresh.isEmpty():
-                impacts = stored(impacts.unionByName(_impacts_of(fresh, edges)))
-            runs = stored(runs.join(open_runs.select("dataset_id", "seg", "start_sid"), ["dataset_id", "seg", "start_sid"], "left_semi"))
-            continue
-        chain = stored(_follow(segs, first, done))
-        missing = chain.filter(~F.col("has_run"))
-        # every segment has then run from the end of the one before it
-        if missing.isEmpty():
-            break
-        runs = stored(
-            missing.select("dataset_id", "seg", "start_sid").join(
-                states.withColumnRenamed("sid", "start_sid").withColumnRenamed("sig", "start_sig"),
-                ["dataset_id", "start_sid"],
-                "left",
-            ).select("dataset_id", "seg", "start_sid", "start_sig")
-        )
-    starts = chain.join(
-        states.withColumnRenamed("sid", "start_sid").withColumnRenamed("sig", "start_sig"),
-        ["dataset_id", "start_sid"],
-        "left",
-    )
-    return _with_impacts(starts, needs, impacts, edges)
-
-
-def _follow(segs, first, done) -> DataFrame:
-    null_text, null_n = F.lit(None).cast("string"), F.lit(None).cast("bigint")
-    shape = ["kind", "dataset_id", "seg", "start_sid", "end_sid", "end_seq", "accepted"]
-    parts = (
-        segs.select(
-            F.lit("seg").alias("kind"), "dataset_id", "seg",
-            null_text.alias("start_sid"), null_text.alias("end_sid"), null_n.alias("end_seq"), null_n.alias("accepted"),
-        )
-        .unionByName(
-            first.select(
-                F.lit("first").alias("kind"), "dataset_id", null_n.alias("seg"), "start_sid",
-                null_text.alias("end_sid"), null_n.alias("end_seq"), F.lit(0).cast("bigint").alias("accepted"),
-            )
-        )
-        .unionByName(done.withColumn("kind", F.lit("run")).select(*shape))
-    )
-    return parts.groupBy("dataset_id").applyInPandas(_chain, _CHAIN)
-
-
-def _impacts_of(keys: DataFrame, edges: DataFrame) -> DataFrame:
-    asked = keys.withColumn("changed", F.sort_array(F.from_json("key", "array<string>")))
-    counted = impact_for(asked, edges)
-    return asked.join(counted, ["dataset_id", "changed"]).select(
-        "dataset_id",
-        "key",
-        F.array("impacted_lake", "impacted_vault", "impacted_transformations").alias("counts"),
-    )
-
-
-def _with_impacts(runs, needs, impacts, edges) -> DataFrame:
-    """Add the known impacts that each run asked for so far, as one JSON object per run.
-
-    A run asks for at most a few keys per row of its segment, so the object is bounded.
-    """
-    if edges is None:
-        return runs.withColumn("impacts", F.lit(None).cast("string"))
-    keys = ["dataset_id", "seg", "start_sid"]
-    known = (
-        needs.join(impacts, ["dataset_id", "key"])
-        .groupBy(*keys)
-        .agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "counts")))).alias("impacts"))
+        "dataset_id", F.coalesce("h", none).alias("state"), F.coalesce("version", zero).alias("version")
     )
-    return runs.join(known, keys, "left").withColumn("impacts", F.coalesce("impacts", F.lit("{}")))

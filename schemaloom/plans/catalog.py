@@ -770,6 +770,13 @@ def replay_with_lineage(spark, sf):
     return _replay(n, edges=inputs.edges(spark, sf))
 
 
+@query
+def replay_hot_dataset(spark, sf):
+    """All notifications as those of one dataset, in many segments."""
+    n = inputs.notifications(spark, sf).withColumn("dataset_id", F.lit("lake.all"))
+    return _replay(n, segment_rows=2000)
+
+
 @query
 def version_history(spark, sf):
     """Registry rows that a replay leaves: one per accepted notification, unchanged headers included."""

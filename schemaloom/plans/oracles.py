@@ -691,6 +691,52 @@ SELECT dataset_id, seq, allowed, accepted, previous_seq, CASE WHEN accepted THEN
 oracle("version_history", "fold_requested", """
 SELECT dataset_id, version, seq AS stored_seq, CAST(len(names) AS BIGINT) AS attribute_count FROM fold_requested WHERE accepted""")
 
+# The same fold on numbered headers: which steps are allowed is decided once per pair of distinct headers of a dataset.
+
+
+def _pairs(lists: str) -> str:
+    changed = """list_filter(range(1, len(n.names) + 1), lambda k: list_position(p.names, n.names[k]) IS NOT NULL
+      AND p.types[list_position(p.names, n.names[k])] <> n.types[k])"""
+    narrowed = f"""list_filter({changed}, lambda k: p.fams[list_position(p.names, n.names[k])] <> n.fams[k]
+      AND NOT list_contains([{', '.join(_text(x) for x in WIDENING_PAIRS)}], p.fams[list_position(p.names, n.names[k])] || '>' || n.fams[k]))"""
+    return f"""
+WITH heads AS (SELECT *, row_number() OVER (ORDER BY dataset_id, names, types, fams) AS h FROM (SELECT DISTINCT dataset_id, names, types, fams FROM {lists})),
+before AS (SELECT * FROM heads UNION ALL SELECT DISTINCT dataset_id, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), 0 FROM heads)
+SELECT dataset_id, p.h AS prev, n.h AS new, n.names, n.types, n.fams, list_has_all(n.names, p.names) AND len({narrowed}) = 0 AS ok,
+  len({changed}) > 0 AS breaks,
+  list_sort(list_concat(list_filter(n.names, lambda x: NOT list_contains(p.names, x)), list_transform({changed}, lambda k: n.names[k]))) AS changed
+FROM before p JOIN heads n USING (dataset_id)"""
+
+
+def _fold_on_ids(name: str, lists: str, needs: str, blocked: str = "false") -> None:
+    """``blocked``: a condition on (dataset_id, changed) under which a breaking change has an impact."""
+    cte(f"steps_{name}", f"pairs_{name} {needs}", f"""
+SELECT dataset_id, new, list(prev) FILTER (ok AND NOT (breaks AND {blocked})) AS froms, any_value(names) AS names, any_value(types) AS types, any_value(fams) AS fams
+FROM pairs_{name} GROUP BY dataset_id, new""")
+    cte(f"rows_{name}", f"{lists} steps_{name}", f"""
+SELECT l.dataset_id, l.n, l.event_id, s.new, coalesce(s.froms, []) AS froms, coalesce(l.requested_policy, '') = 'sandbox' AS free, l.verified
+FROM {lists} l JOIN steps_{name} s USING (dataset_id, names, types, fams)""")
+    ok = "(l.free OR l.new = f.state OR list_contains(l.froms, f.state))"
+    cte(f"ids_{name}", f"rows_{name}", f"""/*r*/
+SELECT DISTINCT dataset_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, false AS allowed, false AS accepted, CAST(NULL AS BIGINT) AS previous_seq,
+  CAST(0 AS BIGINT) AS version, CAST(0 AS BIGINT) AS state, CAST(NULL AS BIGINT) AS last_seq FROM rows_{name}
+UNION ALL
+SELECT f.dataset_id, l.n, l.event_id, {ok}, {ok} AND l.verified, f.last_seq, f.version + CASE WHEN {ok} AND l.verified THEN 1 ELSE 0 END,
+  CASE WHEN {ok} AND l.verified THEN l.new ELSE f.state END, CASE WHEN {ok} AND l.verified THEN l.event_id ELSE f.last_seq END
+FROM ids_{name} f JOIN rows_{name} l ON l.dataset_id = f.dataset_id AND l.n = f.n + 1""")
+    oracle(f"replay_{name}", f"ids_{name}", f"""
+SELECT dataset_id, seq, allowed, accepted, previous_seq, CASE WHEN accepted THEN version END AS new_version FROM ids_{name} WHERE n > 0""")
+
+
+cte("lists_hot_dataset", "lists", "SELECT * REPLACE ('lake.all' AS dataset_id, row_number() OVER (ORDER BY event_id) AS n) FROM lists")
+cte("pairs_hot_dataset", "lists_hot_dataset", _pairs("lists_hot_dataset"))
+_fold_on_ids("hot_dataset", "lists_hot_dataset", "")
+cte("pairs_with_lineage", "lists", _pairs("lists"))
+cte("asked_steps", "pairs_with_lineage", "SELECT DISTINCT dataset_id, changed FROM pairs_with_lineage WHERE ok AND breaks")
+for _part in ("reach", "hits"):
+    cte(f"{_part}_steps", "asked_steps reach_steps edges" if _part == "hits" else "asked_steps edges", CTES[_part][1].replace("FROM asked", "FROM asked_steps").replace("FROM reach r", "FROM reach_steps r"))
+_fold_on_ids("with_lineage", "lists", "hits_steps", "(dataset_id, changed) IN (SELECT (dataset_id, changed) FROM hits_steps)")
+
 # The message log holds the notifications that can be replayed: all but the kinds 0 to 6 of 101.
 cte("logged", "lists", """
 SELECT event_id, dataset_id, requested_policy, verified, names, types, fams, row_number() OVER (PARTITION BY dataset_id ORDER BY event_id) AS n

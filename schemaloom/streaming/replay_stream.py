@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from schemaloom.functions.headers import strip_technical
-from schemaloom.operators.replay import Transitions, fold_input, fold_rows
+from schemaloom.functions.headers import signature, signature_json
+from schemaloom.functions.typenames import WIDENING_PAIRS
 from schemaloom.sources.notifications import parse, split_valid, validate
+from schemaloom.sources.policies import select_policy
 
 RESULT = (
     "dataset_id string, seq bigint, allowed boolean, accepted boolean, previous_seq bigint, "
@@ -20,6 +23,111 @@ RESULT = (
 STATE = "sig string, seq bigint, version bigint"
 
 
+_POLICY_FIELDS = [
+    "allow_drop",
+    "change_mode",
+    "impact_mode",
+    "max_impacted_total",
+    "max_impacted_lake_tables",
+    "max_impacted_vault_objects",
+    "max_impacted_transformations",
+    "block_on_any_impact",
+]
+_WIDENING = frozenset(WIDENING_PAIRS)
+
+
+class Transitions:
+    """Decides single steps "header a accepted, header b arrives", remembering each answer."""
+
+    def __init__(self, impacts: dict[str, list[int]] | None):
+        self.impacts = impacts
+        self._headers: dict[str | None, dict] = {None: {}}
+        self._known: dict[tuple, bool | str] = {}
+
+    def _header(self, sig):
+        if sig not in self._headers:
+            self._headers[sig] = {a["n"]: (a.get("t"), a["f"]) for a in json.loads(sig)}
+        return self._headers[sig]
+
+    def __call__(self, prev: str | None, new: str, policy: str) -> bool | str:
+        """True or False, or the key of an impact that must be known first."""
+        at = (prev, new, policy)
+        if at not in self._known:
+            self._known[at] = self._decide(self._header(prev), self._header(new), json.loads(policy))
+        return self._known[at]
+
+    def _decide(self, prev, new, p):
+        added, dropped = new.keys() - prev.keys(), prev.keys() - new.keys()
+        changed = [
+            n for n in new.keys() & prev.keys() if prev[n][0] and new[n][0] and prev[n][0] != new[n][0]
+        ]
+        if not (added or dropped or changed):
+            return True
+        if dropped and not p["allow_drop"]:
+            return False
+        if changed and p["change_mode"] == "none":
+            return False
+        if changed and p["change_mode"] == "widen":
+            for n in changed:
+                a, b = prev[n][1], new[n][1]
+                if a != b and f"{a}>{b}" not in _WIDENING:
+                    return False
+        if self.impacts is None or p["impact_mode"] == "off":
+            return True
+        if p["impact_mode"] == "breaking_only" and not dropped and not changed:
+            return True
+        key = json.dumps(sorted({*added, *dropped, *changed}), ensure_ascii=False)
+        if key not in self.impacts:
+            return key
+        lake, vault, xforms = self.impacts[key]
+        total = lake + vault + xforms
+        if total <= 0:
+            return True
+        caps = [
+            ("max_impacted_total", total),
+            ("max_impacted_lake_tables", lake),
+            ("max_impacted_vault_objects", vault),
+            ("max_impacted_transformations", xforms),
+        ]
+        over = any(p.get(c) is not None and n > p[c] for c, n in caps)
+        return not (over or p["block_on_any_impact"])
+
+
+def fold_rows(rows: pd.DataFrame, sig, seq, version: int, decide: Transitions) -> tuple[pd.DataFrame, tuple]:
+    """Run the fold over rows in order; returns one result per row and the end state."""
+    out = []
+    for r in rows.sort_values("seq").itertuples(index=False):
+        allowed = decide(sig, r.sig, r.policy)
+        if not isinstance(allowed, bool):
+            raise ValueError(f"impact of {allowed} is not known")
+        accepted = allowed and bool(r.verified)
+        out.append((r.dataset_id, r.seq, allowed, accepted, seq, version))
+        if accepted:
+            sig, seq, version = r.sig, r.seq, version + 1
+    columns = ["dataset_id", "seq", "allowed", "accepted", "previous_seq", "previous_accepted"]
+    frame = pd.DataFrame(out, columns=columns).astype({"previous_seq": "Int64"})
+    return frame, (sig, seq, version)
+
+
+def policy_json(policy: Column) -> Column:
+    return F.to_json(F.struct(*[policy[c].alias(c) for c in _POLICY_FIELDS]))
+
+
+def fold_input(notifications: DataFrame, config: dict) -> DataFrame:
+    """dataset_id, seq, sig, policy, verified: all that the fold needs of a notification."""
+    df = notifications
+    if "verified" not in df.columns:
+        df = df.withColumn("verified", F.lit(True))
+    df = select_policy(df, config)
+    return df.select(
+        "dataset_id",
+        F.col("seq").cast("bigint").alias("seq"),
+        F.expr(signature_json(signature("attributes"))).alias("sig"),
+        policy_json(F.col("policy")).alias("policy"),
+        F.coalesce("verified", F.lit(True)).alias("verified"),
+    )
+
+
 def check_log(log: DataFrame) -> DataFrame:
     """Validation plus a rejection of null dataset ids, which cannot be replayed."""
     checked = validate(log)
