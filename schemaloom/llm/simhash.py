@@ -10,14 +10,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from schemaloom.llm.tables import packed
@@ -26,8 +23,8 @@ from schemaloom.workspace import written
 BITS, BLOCKS = 64, 4
 #: Fingerprints under one pair of blocks that are compared with one another; more are split again.
 CROWD = 32
-#: Sets under one shingle that one task compares with all others there.
-SALTED = 2000
+#: Sets under one shingle that one task compares with all others there, and leaders of a crowd that all others are compared with first.
+SALTED, LEADERS = 2000, 4
 #: One member of so many is looked at beyond the prefix, to leave out sets that share too few with any other.
 MORE = 10
 
@@ -80,7 +77,7 @@ def fingerprints(docs: DataFrame, *, size: int = 3, id_column: str = "doc_id", t
 
 
 def close_pairs(distinct: DataFrame, distance: int = 2) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs within ``distance`` (2 at most).
+    """Links (a, b) whose components are those of all pairs within ``distance`` (2 only).
 
     Under each pair of blocks, a small crowd is joined with itself and verified. A crowd of more than ``CROWD``
     would need a join that is quadratic in its size: it is split again, by the points that lie one bit off its
@@ -88,8 +85,9 @@ def close_pairs(distinct: DataFrame, distance: int = 2) -> DataFrame:
     other's), members of one point are within two bits, and each is linked to the point's least member only.
     """
     width = BITS // BLOCKS
-    if distance > 2:
-        raise ValueError("four blocks serve distances up to 2")
+    if distance != 2:
+        # Members of one point are within two bits, so a smaller distance would lose links in crowds.
+        raise ValueError("pairs are found within 2 bits")
 
     def block(n: int) -> Column:
         return F.shiftright("fingerprint", n * width).bitwiseAND(F.lit((1 << width) - 1))
@@ -189,30 +187,6 @@ def _smallest_ids(distinct: DataFrame, links: DataFrame, node: str) -> DataFrame
     return labelled.join(smallest, "root").select(node, "root", "component")
 
 
-@dataclass(frozen=True)
-class Plan:
-    """Blocks for a similarity: ``blocks`` of ``width`` bits each, and the bits that may differ in all of them."""
-
-    blocks: int
-    width: int
-    allowed: int
-    near: int  # of the first 64 bits: four standard deviations above what is expected at the threshold
-
-    @staticmethod
-    def of(rows: int, similarity: float, recall: float) -> Plan:
-        """Pairs that differ in fewer bits than there are blocks share one for sure; at the threshold, with probability ``recall``.
-
-        A block has two bits more than it takes to number the rows, so unrelated rows seldom meet: fingerprints
-        of more rows are longer, and their pairs do not grow with the square of the rows. Two sets of shingles of
-        Jaccard similarity s have the cosine 2s / (1 + s), and differ in the share angle / pi of their bits.
-        """
-        flipped = math.acos(2 * similarity / (1 + similarity)) / math.pi
-        width = min(48, max(12, math.ceil(math.log2(rows + 1)) + 2))
-        blocks = math.ceil(math.log(1 - recall) / math.log(1 - (1 - flipped) ** width))
-        near = math.ceil(64 * flipped + 4 * math.sqrt(64 * flipped * (1 - flipped)))
-        return Plan(blocks, width, math.floor(flipped * blocks * width), near)
-
-
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Distinct hashes of the shingles of a text, least first, as signed numbers in unsigned order."""
     return np.unique(shingle_hashes(text, size)).view(np.int64)
@@ -285,8 +259,8 @@ def _similar_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     """Verified links (a, b) of nodes, whose components are those of all pairs of this similarity or more; ``sets``: node, size, whole.
 
     Shingles are ordered by the sets that hold them, rarest first, and sets meet under their first ones (see ``_prefix``).
-    Each is compared with the least it meets, then with leaders while that links any; at last all pairs that meet and are
-    not yet in one component are.
+    Each is compared with the least it meets, those of a crowd then with a few leaders; at last all pairs that meet and are
+    not known to be in one component are. The number of steps is fixed.
     """
     members = sets.select("node", "size", F.explode("whole").alias("key")).repartition("key")
     often = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -318,24 +292,35 @@ def _similar_pairs(sets: DataFrame, similarity: float) -> DataFrame:
         close = common / (F.size("_a") + F.size("_b") - common) >= similarity
         return pairs.join(left, "a").join(right, "b").where(close).select("a", "b")
 
+    def crowds(labels: DataFrame) -> DataFrame:
+        """Rows under shingles at which two components meet, with the number of sets there."""
+        labelled = keyed.join(labels, F.col("node") == F.col("_node"), "left").drop("_node").withColumn("root", F.coalesce("root", "node"))
+        sizes = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.min("root").alias("_low"), F.max("root").alias("_high"))
+        return written(labelled.join(sizes.where("_low < _high").drop("_low", "_high"), "key"), "crowds")
+
     least = keyed.groupBy("key").agg(F.min("node").alias("least"))
     begin = keyed.join(least, "key").groupBy("node").agg(F.min("least").alias("a")).where("a < node")
-    links, several, more = [written(verified(begin.select("a", F.col("node").alias("b"))), "links")], 1, True
-    while True:
-        roots = components(reduce(DataFrame.unionByName, links).distinct()).withColumnRenamed("node", "_node")
-        labelled = keyed.join(roots, F.col("node") == F.col("_node"), "left").drop("_node").withColumn("root", F.coalesce("root", "node"))
-        labelled = written(labelled, "labelled")
-        crowds = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.min("root").alias("_low"), F.max("root").alias("_high"))
-        left = written(labelled.join(crowds.where("_low < _high").drop("_low", "_high"), "key"), "left")
-        crowded = left.where(F.col("crowd") > CROWD)
-        if not more or crowded.isEmpty():
-            # Whatever rounds of leaders have left: every pair of two components under one shingle.
-            links.append(written(verified(compared(left, left)), "links"))
-            return reduce(DataFrame.unionByName, links).distinct()
-        order = W.partitionBy("key").orderBy(F.xxhash64("node", F.lit(several)))
-        leaders = crowded.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= several).drop("_n")
-        links.append(written(verified(compared(crowded, leaders)), "links"))
-        several, more = 2 * several, not links[-1].isEmpty()
+    first = written(verified(begin.select("a", F.col("node").alias("b"))), "links")
+    roots = components(first).withColumnRenamed("node", "_node")
+
+    crowded = crowds(roots).where(F.col("crowd") > CROWD)
+    member = F.struct("node", "size", "at", "root")
+    chosen = crowded.groupBy("key", "crowd").agg(*[F.min_by(member, F.xxhash64("node", F.lit(n))).alias(f"l{n}") for n in range(LEADERS)])
+    leaders = chosen.select("key", "crowd", F.explode(F.array_distinct(F.array(*[f"l{n}" for n in range(LEADERS)]))).alias("m")).select("key", "crowd", "m.*")
+    second = written(verified(compared(crowded, leaders)), "links")
+    # One star step: each component takes the least one that a leader has joined it to.
+    known = roots.select("_node", "root")
+    named = second
+    for end in ("a", "b"):
+        named = named.join(known.withColumnsRenamed({"_node": f"_{end}", "root": f"r{end}"}), F.col(end) == F.col(f"_{end}"), "left")
+        named = named.withColumn(f"r{end}", F.coalesce(f"r{end}", end))
+    stars = named.select(F.greatest("ra", "rb").alias("_old"), F.least("ra", "rb").alias("_new")).where("_old <> _new").groupBy("_old").agg(F.min("_new").alias("_new"))
+    every = known.unionByName(second.select(F.explode(F.array("a", "b")).alias("_node")).distinct().join(known, "_node", "left_anti").withColumn("root", F.col("_node")))
+    labels = every.join(stars, F.col("root") == F.col("_old"), "left").select("_node", F.coalesce("_new", "root").alias("root"))
+    left = crowds(written(labels, "labels"))
+    # Whatever is left: every pair of two components under one shingle.
+    third = written(verified(compared(left, left)), "links")
+    return first.unionByName(second).unionByName(third).distinct()
 
 
 def kept(

@@ -189,11 +189,11 @@ def test_similar_documents(spark, odd, none, monkeypatch):
     assert simhash.kept(none).count() == 0
 
 
-def test_hamming_guarantee():
-    plan = simhash.Plan.of(10**6, 0.8, 0.95)
-    assert plan.blocks > 64 and plan.width == 22
-    assert simhash.Plan.of(0, 0.8, 0.95).width == 12
-    assert isinstance(F.lit(plan.allowed), type(F.lit(1)))
+def test_other_distances_are_refused(spark):
+    distinct = spark.createDataFrame([(1,)], "fingerprint bigint")
+    for distance in (0, 1, 3):
+        with pytest.raises(ValueError):
+            simhash.close_pairs(distinct, distance)
 
 
 def brute_similar(texts, similarity=0.8):
