@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +13,8 @@ SETTING = "spark.schemaloom.work.dir"
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder: ``spark.schemaloom.work.dir``, else ``spark.checkpoint.dir``, else the warehouse.
 
-    All three come from the session, so driver and executors see the same place whatever the master is.
+    All three come from the session, so driver and executors see the same place whatever the master is. A cluster must set one
+    of them to a shared folder; a warning says so if executors elsewhere would look for files of this machine.
     """
     context = spark.sparkContext
     root = (
@@ -23,6 +25,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     )
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
+        if root.startswith(("/", "file:")) and not context.master.startswith("local"):
+            warnings.warn(f"intermediate tables go to {root}, which all executors must share; {SETTING} names another folder", stacklevel=2)
     return root
 
 
@@ -50,6 +54,19 @@ def clean(spark: SparkSession) -> None:
     remove(spark, work_folder(spark))
 
 
+def folders(spark: SparkSession) -> set[str]:
+    """All tables that lie in the work folder of this session now."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return {f.getPath().getName() for f in files.listStatus(path)} if files.exists(path) else set()
+
+
+def sweep(spark: SparkSession, keep: set[str]) -> None:
+    """Delete the tables of the work folder that are not in ``keep`` (names as ``folders`` gives them)."""
+    for name in folders(spark) - keep:
+        remove(spark, f"{work_folder(spark)}/{name}")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read on from there (lineage is cut)."""
     checkpoint_root(df.sparkSession)
