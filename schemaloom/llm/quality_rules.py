@@ -33,6 +33,9 @@ FEATURES = {
     "words": "CAST(n_words AS DOUBLE)",
 }
 
+#: Too short or repetitive texts fail whatever the rules say, so rules learn from the others only.
+BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
+
 
 def text_counts(text: str | None) -> list[int]:
     """The counts of one whole text, in the order of ``COUNTS``; null counts as empty."""
@@ -148,26 +151,40 @@ def _prune(rule: Rule, data: dict[str, np.ndarray], bad: np.ndarray, rows: np.nd
 
 
 def learn(
-    data: dict[str, np.ndarray], bad: np.ndarray, *, seed: int = 0, precision: float = 0.95, cuts: int = 64, longest: int = 4, most: int = 32
+    data: dict[str, np.ndarray],
+    bad: np.ndarray,
+    *,
+    seed: int = 0,
+    precision: float = 0.95,
+    support: int = 3,
+    cuts: int = 64,
+    longest: int = 4,
+    most: int = 32,
 ) -> list[Rule]:
     """Sequential covering: grow on two thirds of what is left, prune on the rest, keep rules that stay precise.
 
-    Rules catch low quality; what no rule catches is kept. A rule whose precision on the pruning rows is below
-    ``precision``, or on all rows with one hit of either kind added, ends the list, since clean rows must stay.
+    Rules catch low quality; what no rule catches is kept. A rule needs ``precision`` on the pruning rows and on all rows that
+    are left, and ``support`` bad rows among these. One that fails is set aside with the bad rows that it covers, and
+    covering goes on with the others.
     """
     rules: list[Rule] = []
-    left, draw = np.ones(len(bad), bool), np.random.default_rng(seed)
-    while (left & bad).any() and len(rules) < most:
+    left, aside, draw = np.ones(len(bad), bool), np.zeros(len(bad), bool), np.random.default_rng(seed)
+    while (left & bad & ~aside).any() and len(rules) < most:
         growing = draw.random(len(bad)) < 2 / 3
-        rule = _grow(data, bad, left & growing, cuts, longest)
+        rule = _grow(data, bad, left & growing & ~aside, cuts, longest)
         if not rule:
             break
-        rule, right, caught = _prune(rule, data, bad, left & ~growing)
-        hit = _covered(rule, data, left)
-        if not caught or right < precision or (hit & bad).sum() + 1 < precision * (hit.sum() + 2):
+        pruned, right, caught = _prune(rule, data, bad, left & ~growing & ~aside)
+        hit = _covered(pruned, data, left)
+        hits = int((hit & bad).sum())
+        if caught and right >= precision and hits >= max(support, precision * hit.sum()):
+            rules.append(pruned)
+            left &= ~hit
+            continue
+        fresh = _covered(rule, data, left & bad & ~aside)
+        if not fresh.any():
             break
-        rules.append(rule)
-        left &= ~hit
+        aside |= fresh
     return rules
 
 
@@ -183,7 +200,7 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def fit(counts: DataFrame, labels: DataFrame, *, sample: int = 60_000, seed: int = 0, **how: float) -> list[Rule]:
-    """Learn from at most ``sample`` labelled rows, taken in the order of a hash of their ids.
+    """Learn from at most ``sample`` labelled rows that pass the base test, taken in the order of a hash of their ids.
 
     Only rows of statistics come to the driver (7 numbers and a flag each). Rows without a label, or with null, teach
     nothing; without any labelled row of low quality there are no rules.
@@ -192,7 +209,8 @@ def fit(counts: DataFrame, labels: DataFrame, *, sample: int = 60_000, seed: int
     # One label per id: a document that any row calls bad is bad.
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_quality"))
     rows = (
-        counts.join(known, "doc_id")
+        counts.where(~F.expr(BASE_FAILED))
+        .join(known, "doc_id")
         .orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", *COUNTS)
         .limit(sample)
         .select(*[F.expr(FEATURES[f]).alias(f) for f in names], (F.col("_quality") == 0).alias("_bad"))
@@ -205,8 +223,7 @@ def fit(counts: DataFrame, labels: DataFrame, *, sample: int = 60_000, seed: int
 
 def apply_rules(counts: DataFrame, rules: list[Rule]) -> DataFrame:
     """Adds ``base_failed, rule, kept``: too short or repetitive texts fail first, then the learned list decides."""
-    failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    return counts.withColumns({"base_failed": failed, "rule": verdict(rules)}).withColumn(
+    return counts.withColumns({"base_failed": F.expr(BASE_FAILED), "rule": verdict(rules)}).withColumn(
         "kept", ~F.col("base_failed") & F.col("rule").isNull()
     )
 
