@@ -21,8 +21,8 @@ from schemaloom.workspace import written
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Lists that are intersected for each window: its rarest words.
 LISTS = 3
-#: Distinct words of windows up to which their list is broadcast (some 10 MB); beyond, it is joined by shuffle.
-BROADCAST_TERMS = 200_000
+#: Distinct words of windows, and bytes of them, up to which their list is broadcast; beyond, it is joined by shuffle.
+BROADCAST_TERMS, BROADCAST_BYTES = 200_000, 8 << 20
 
 KEY = ("_id", "_hash")
 
@@ -41,7 +41,8 @@ def _keyed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
 def _small(terms: DataFrame) -> DataFrame:
     """A table of words, with a broadcast hint only if its counted size allows it."""
     terms = written(terms, "terms")
-    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    size = terms.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("bytes")).head()
+    return F.broadcast(terms) if size.n <= BROADCAST_TERMS and size.bytes <= BROADCAST_BYTES else terms
 
 
 def frequencies(docs: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
@@ -72,14 +73,15 @@ def postings(docs: DataFrame, terms: DataFrame, around: int, id_column: str = "d
 def windows_of(items: DataFrame, length: int = 13, id_column: str = "item_id", text: str = "text") -> DataFrame:
     """Distinct windows (window_words, items): ``items`` are the ids, as strings, of the items that hold it.
 
-    An item of fewer words than ``length``, but not none, is one window. Null and empty items have none.
+    An item of fewer words than ``length``, but not none, is one window. Null and empty items have none. Items without an id
+    have windows like any other, but name nobody.
     """
     rows = items.select(F.col(f"`{id_column}`").cast("string").alias("item"), words(F.col(f"`{text}`")).alias("w"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (length - 1), F.lit(1)))
     pieces = rows.where(F.size("w") > 0).select(
         "item", F.explode(F.transform(starts, lambda s: F.slice("w", s, F.lit(length)))).alias("window_words")
     )
-    return pieces.groupBy("window_words").agg(F.collect_set(F.coalesce("item", F.lit(""))).alias("items"))
+    return pieces.groupBy("window_words").agg(F.collect_set("item").alias("items"))
 
 
 def phrase_matches(
@@ -163,7 +165,7 @@ def contamination(
 
     A word is hit if it lies in an occurrence of a window of an item; a document is contaminated if it
     has a hit and 20 times its hits reach its words. Null and empty texts have no words and are clean. Items
-    without words match nothing; with no items every document is clean. Input columns of these
+    without words match nothing, items without an id hit words but are not named; with no items every document is clean. Input columns of these
     names are replaced, all others kept; equal rows get equal answers.
     """
     windows = written(windows_of(items, length, item_id).withColumn("phrase", F.monotonically_increasing_id()), "windows")
@@ -187,7 +189,7 @@ def contamination(
         .groupBy(*KEY)
         .agg(F.sort_array(F.collect_set("item")).alias("_items"))
     )
-    found = covered.join(named, covered["_id"].eqNullSafe(named["_id"]) & (covered["_hash"] == named["_hash"])).select(
+    found = covered.join(named, covered["_id"].eqNullSafe(named["_id"]) & (covered["_hash"] == named["_hash"]), "left").select(
         covered["_id"].alias("_i"), covered["_hash"].alias("_h"), "_hit", "_items"
     )
     found = written(found, "found")
