@@ -39,8 +39,8 @@ BLOCKS = (
 class Encoder:
     """Ids of whole texts, as bytes of little-endian unsigned 32-bit integers.
 
-    The tokenizer never joins what white space parts, so a text is encoded word by word, and a word that a worker
-    has seen (also in an earlier task) is not encoded again.
+    A tokenizer that drops white space and never joins what it parts is asked word by word, and a word that a worker
+    has seen (also in an earlier task) is not encoded again. Any other gets whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -48,10 +48,13 @@ class Encoder:
         memory = sys.modules.setdefault("_words_of_worker", types.ModuleType("_words_of_worker"))
         if getattr(memory, "path", None) != path:
             memory.path, memory.tokenizer, memory.ids = path, Tokenizer.from_file(path), {}
-        self.tokenizer, self.ids = memory.tokenizer, memory.ids
+            memory.by_word = drops_white_space(memory.tokenizer)
+        self.tokenizer, self.ids, self.by_word = memory.tokenizer, memory.ids, memory.by_word
         self.vocabulary = self.tokenizer.get_vocab_size()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_word:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
         if len(self.ids) > REMEMBERED:
             self.ids.clear()
@@ -65,6 +68,19 @@ class Encoder:
         return [b"".join(map(known, words)) for words in split]
 
 
+#: White space between, before and after words of several kinds, alone and repeated.
+_PROBES = ("a b", " a", "a ", "a  b", "\ta\nb\r\n c", "It's 12 o'clock,  isn't it?\n\n", "x \x0b\x0c y", "é è\n日本 語 🙂 !? ..")
+
+
+def drops_white_space(tokenizer: Tokenizer) -> bool:
+    """Whether a tokenizer gives the words of each probe, alone, the ids that it gives them in the probe."""
+
+    def ids(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+    return all(ids(p) == [i for w in p.encode().split() for i in ids(w.decode())] for p in _PROBES)
+
+
 def write_blocks(docs: DataFrame, folder: str, *, tokenizer: str | None = None, end_id: int = 2, id_column: str = "doc_id", text: str = "text") -> None:
     """Write the block file of ``docs`` to ``folder``: ids of each whole text, then ``end_id``.
 
