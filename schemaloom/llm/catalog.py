@@ -27,32 +27,40 @@ CHANGED_PAYLOAD, CHANGED_HEADER, CUT_FILE, LOST_FILE = (101, 7), (307, 11), (17,
 
 
 def _damage(file: int, records: list[bytes]) -> list[bytes]:
-    if file % LOST_FILE[0] == LOST_FILE[1]:
+    def rest(n: int, by: int) -> int:
+        return n % by if n >= 0 else -(-n % by)  # as SQL has it
+
+    if rest(file, LOST_FILE[0]) == LOST_FILE[1]:
         return []
     out = []
     for raw in records:
-        page = int(re.search(rb"<urn:page:(-?\d+)>", raw)[1])
-        if page % CHANGED_HEADER[0] == CHANGED_HEADER[1]:
+        name = re.search(rb"<urn:page:(-?\d+)>", raw)  # pages without an id keep their bytes
+        page = int(name[1]) if name else 0
+        if rest(page, CHANGED_HEADER[0]) == CHANGED_HEADER[1]:
             raw = b"X" + raw[1:]
-        elif page % CHANGED_PAYLOAD[0] == CHANGED_PAYLOAD[1] and b"\r\nContent-Length: 0\r\n" not in raw:
+        elif rest(page, CHANGED_PAYLOAD[0]) == CHANGED_PAYLOAD[1] and b"\r\nContent-Length: 0\r\n" not in raw:
             raw = raw[:-5] + bytes([raw[-5] ^ 1]) + raw[-4:]
         out.append(raw)
-    return out[:-1] if file % CUT_FILE[0] == CUT_FILE[1] else out
+    return out[:-1] if rest(file, CUT_FILE[0]) == CUT_FILE[1] else out
 
 
 def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as WARC files, a damaged replica of them, and where their trees show the damage."""
-    pages = table(spark, sf_dir, "pages").where("page_id IS NOT NULL")
-    name = F.concat(F.lit("urn:page:"), F.col("page_id").cast("string"))
+    """All pages as WARC files, a damaged replica of them, and where their trees show the damage.
+
+    Pages without an id are named null; a hash of their content deals them to files with numbers below 0.
+    """
+    pages = table(spark, sf_dir, "pages")
+    name = F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
+    nameless = "-1 - CAST(conv(left(md5(concat(coalesce(url, ''), '|', coalesce(html, ''))), 4), 16, 10) AS BIGINT)"
     records = pages.select(
-        F.expr(f"CAST(floor(page_id / {PAGES_PER_FILE}) AS BIGINT)").alias("file"),
+        F.expr(f"CASE WHEN page_id IS NULL THEN {nameless} ELSE CAST(floor(page_id / {PAGES_PER_FILE}) AS BIGINT) END").alias("file"),
         F.struct("page_id", "url", "html").alias("place"),
         warc_fixity.record(name, F.col("url"), F.col("html")).alias("record"),
     )
     first, second = new_folder(spark, "warc"), new_folder(spark, "replica")
     warc_fixity.write_files(records, first)
     warc_fixity.damaged_copy(spark, first, second, _damage)
-    trees = [warc_fixity.Tree(warc_fixity.hashed(warc_fixity.read_files(spark, f))) for f in (first, second)]
+    trees = [warc_fixity.Tree(warc_fixity.read_leaves(spark, f)) for f in (first, second)]
     return warc_fixity.audit(*trees)
 
 
@@ -186,8 +194,10 @@ QUERIES = {
 ORACLES = {
     "op2_warc_fixity": r"""
 WITH named AS (
-  SELECT page_id, url, html, coalesce(html, '') AS body, 'urn:page:' || page_id AS name, CAST(floor(page_id / 256) AS BIGINT) AS file
-  FROM pages WHERE page_id IS NOT NULL
+  SELECT page_id, url, html, coalesce(html, '') AS body, 'urn:page:' || coalesce(CAST(page_id AS VARCHAR), 'null') AS name,
+    CASE WHEN page_id IS NULL THEN -1 - ('0x' || left(md5(coalesce(url, '') || '|' || coalesce(html, '')), 4))::BIGINT
+      ELSE CAST(floor(page_id / 256) AS BIGINT) END AS file
+  FROM pages
 ), records AS (
   SELECT *, row_number() OVER o AS n, count(*) OVER (PARTITION BY file) AS own,
     strlen('WARC/1.1') + 2 + strlen('WARC-Type: resource') + 2 + strlen('WARC-Record-ID: <>') + strlen(name) + 2
@@ -209,7 +219,7 @@ FROM judged WHERE status IS NOT NULL""",
     # The water level by its definition: the least level at which the capped shares use up the budget.
     "op6_mixing": r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
+  SELECT doc_id, source, coalesce(text, '') AS text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2.0::DOUBLE * sum(size) AS cap FROM sized GROUP BY source
 ), weighed AS (
@@ -225,15 +235,15 @@ targets AS (
   SELECT source, source_size, least(cap, (SELECT level FROM final) * w) AS target FROM weighed
 ), parts AS (
   SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS whole,
-    ('0x' || left(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size), 15))::BIGINT AS draw
+    ('0x' || left(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size || ':' || text), 15))::BIGINT AS draw
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), placed AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY draw RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-    sum(size) OVER (PARTITION BY source, draw) AS tied
+    row_number() OVER (PARTITION BY source, draw) AS j
   FROM parts
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(size * (whole + CASE WHEN 2 * before + tied <= 2 * (target - whole * source_size) AND target > whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(size * (whole + CASE WHEN 2 * before + (2 * j - 1) * size <= 2 * (target - whole * source_size) AND target > whole * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM placed""",
     "op7_decontamination": r"""
 WITH d AS (

@@ -76,9 +76,9 @@ def mix(
     """All rows of ``docs`` with ``mix_size, mix_source_size, mix_target, mix_repeats``.
 
     Every document is taken ``floor(target / size of its source)`` times. For the fraction, the rows of a
-    source are put in the order of a hash of (seed, id, size); those are taken once more whose middle lies
-    below the fraction in words. So the words taken differ from the target by half a document
-    at most (rows with the same id and size share a fate). Reruns agree: nothing depends on partitions.
+    source are put in the order of a hash of (seed, id, size, text); those are taken once more whose middle lies
+    below the fraction in words, and of rows that repeat an id and its text as many as do. So the words taken differ
+    from the target by half a document at most. Reruns agree: nothing depends on partitions.
 
     Running sums go over 4,096 buckets of the hash per source; only the bucket in which the cut lies is
     sorted, so a source with a third of all rows is not gathered. Texts are not shuffled: what comes back
@@ -89,10 +89,10 @@ def mix(
     Other columns are kept whatever their names are.
     """
     draw = F.expr(
-        f"CAST(conv(substring(md5(concat('{seed}:', coalesce(CAST(_id AS STRING), ''), ':', mix_size)), 1, 15),"
+        f"CAST(conv(substring(md5(concat('{seed}:', coalesce(CAST(_id AS STRING), ''), ':', mix_size, ':', coalesce(_text, ''))), 1, 15),"
         " 16, 10) AS BIGINT)"
     )
-    drawn = packed(docs, source=source, mix_size=size_of(text), _id=id_column).withColumn("_draw", draw)
+    drawn = packed(docs, source=source, mix_size=size_of(text), _id=id_column, _text=text).withColumn("_draw", draw).drop("_id", "_text")
     rows = written(drawn.select("source", F.col("mix_size").alias("_size"), "_draw"), "mix")
     targets = written(
         water_fill(rows.groupBy("source").agg(F.sum("_size").alias("source_size")), weights, share, max_epochs),
@@ -119,23 +119,20 @@ def mix(
         .agg(F.max(F.struct("_cut_bucket", "_begin", "_part")).alias("_at"))
         .select("_cut_source", "_at.*")
     )
+    before = W.partitionBy("_cut_source").orderBy("_draw").rowsBetween(W.unboundedPreceding, -1)
+    # Of n rows of one draw and size s, the j-th has its middle (j - 1/2) s behind what comes before them.
+    fits = F.expr("CASE WHEN _s > 0 THEN greatest(0, least(_n, floor((2 * (_part - _before) + _s) / (2 * _s)))) ELSE _n END")
     inside = (
         rows.join(cut, rows["source"].eqNullSafe(cut["_cut_source"]) & (bucket == F.col("_cut_bucket")))
         .groupBy("_cut_source", "_cut_bucket", "_begin", "_part", "_draw")
-        .agg(F.sum("_size").alias("_words"))
-        .withColumn(
-            "_before",
-            F.col("_begin")
-            + F.coalesce(
-                F.sum("_words").over(
-                    W.partitionBy("_cut_source").orderBy("_draw").rowsBetween(W.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-        .where(2 * F.col("_before") + F.col("_words") <= 2 * F.col("_part"))
+        .agg(F.sum("_size").alias("_words"), F.max("_size").alias("_s"), F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.col("_begin") + F.coalesce(F.sum("_words").over(before), F.lit(0)))
+        .withColumn("_fit", fits.cast("bigint"))
         .groupBy("_cut_source")
-        .agg(F.max("_draw").alias("_last"))
+        .agg(
+            F.max(F.when(F.col("_fit") == F.col("_n"), F.col("_draw"))).alias("_last"),
+            F.min(F.when((F.col("_fit") > 0) & (F.col("_fit") < F.col("_n")), F.struct("_draw", "_fit"))).alias("_tie"),
+        )
     )
     limits = (
         plan.join(cut, plan["source"].eqNullSafe(cut["_cut_source"]), "left")
@@ -154,6 +151,8 @@ def mix(
             .otherwise(F.coalesce("_last", F.col("_cut_bucket") * F.lit(_BUCKET) - 1))
             .cast("bigint")
             .alias("_m_last"),
+            F.when(plan["_part"] > 0, F.col("_tie._draw")).alias("_m_tie"),
+            F.col("_tie._fit").alias("_m_fit"),
         )
     )
     limits = written(limits, "limits")
@@ -164,7 +163,17 @@ def mix(
             "mix_repeats": F.col("_m_whole") + (F.col("_draw") <= F.col("_m_last")).cast("bigint"),
         }
     )
-    return unpacked(joined, "mix_size", "mix_source_size", "mix_target", "mix_repeats")
+    added = ("mix_size", "mix_source_size", "mix_target", "mix_repeats")
+    if limits.where("_m_tie IS NOT NULL").isEmpty():
+        return unpacked(joined, *added)
+    tied = F.coalesce(F.col("_draw") == F.col("_m_tie"), F.lit(False))
+    # Rows of such a draw are copies of a few: they are counted, and each copy gets a number.
+    kinds = joined.where(tied).groupBy("_row", "_m_source", "_m_fit", *added).agg(F.count(F.lit(1)).alias("_n"))
+    order = W.partitionBy("_m_source").orderBy(F.sha2(F.to_json("_row"), 256)).rowsBetween(W.unboundedPreceding, -1)
+    numbered = kinds.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0))).withColumn("_copy", F.explode(F.expr("sequence(1L, _n)")))
+    once_more = (F.col("_before") + F.col("_copy") <= F.col("_m_fit")).cast("bigint")
+    copies = numbered.withColumn("mix_repeats", F.col("mix_repeats") + once_more)
+    return unpacked(joined.where(~tied).select("_row", *added).unionByName(copies.select("_row", *added)), *added)
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:

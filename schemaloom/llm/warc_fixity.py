@@ -8,6 +8,7 @@ children of nodes that differ are looked at, until the damaged records are known
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 import re
 from collections.abc import Callable, Iterator
@@ -21,6 +22,7 @@ from schemaloom.workspace import written
 #: Bytes of a leaf range, children of a node, and leaf ranges that one file can have (4 GiB; a power of FAN).
 RANGE, FAN, RANGES = 1 << 16, 16, 1 << 16
 _MAGIC = re.compile(rb"\r\n\r\n(?=WARC/1\.)")
+_NAME = re.compile(rb"\r\nWARC-Record-ID: *<([^>\r\n]*)>", re.IGNORECASE)
 _LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)\r\n", re.IGNORECASE)
 
 
@@ -64,6 +66,12 @@ def split_records(raw: bytes) -> Iterator[tuple[int, bytes]]:
         at = end
 
 
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, content) of the files ``file=N/`` of a folder, also of an empty one."""
+    number = F.regexp_extract("path", r"/file=(-?\d+)/[^/]*$", 1).cast("bigint")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(number.alias("file"), "content")
+
+
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """(file, record_offset, record): offsets in the uncompressed file. A file that cannot be unpacked gives what can be read."""
 
@@ -74,8 +82,31 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
                 rows = [(number, at, own) for at, own in split_records(raw)]
                 yield pd.DataFrame(rows, columns=["file", "record_offset", "record"])
 
-    files = spark.read.format("binaryFile").load(folder).select(F.col("file").cast("bigint").alias("file"), "content")
-    return files.mapInPandas(run, "file bigint, record_offset bigint, record binary")
+    return _files(spark, folder).mapInPandas(run, "file bigint, record_offset bigint, record binary")
+
+
+_LEAF = "file bigint, record_offset bigint, length bigint, record_id string, digest string"
+
+
+def read_leaves(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaves of a tree: (file, record_offset, length, record_id, digest), hashed where the files are read.
+
+    The id may stand anywhere in the header; it is empty where there is none.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for number, content in zip(batch["file"], batch["content"]):
+                rows = [(number, at, len(own), record_id(own), hashlib.sha256(own).hexdigest()) for at, own in split_records(_unpacked(content))]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in _LEAF.split(", ")])
+
+    return _files(spark, folder).mapInPandas(run, _LEAF)
+
+
+def record_id(raw: bytes) -> str:
+    head = raw.find(b"\r\n\r\n")
+    found = _NAME.search(raw, 0, head if head >= 0 else len(raw))
+    return found[1].decode("ISO-8859-1") if found else ""
 
 
 def _unpacked(content: bytes) -> bytes:
@@ -90,8 +121,9 @@ def _unpacked(content: bytes) -> bytes:
 
 
 def hashed(records: DataFrame) -> DataFrame:
-    """Leaves of a tree: (file, record_offset, length, record_id, digest)."""
-    name = F.regexp_extract(F.decode(F.substring("record", F.lit(1), F.lit(1000)), "ISO-8859-1"), r"(?i)\r\nWARC-Record-ID: *<([^>\r\n]*)>", 1)
+    """The same leaves from records (file, record_offset, record)."""
+    head = F.substring_index(F.decode("record", "ISO-8859-1"), "\r\n\r\n", 1)
+    name = F.regexp_extract(head, r"(?i)\r\nWARC-Record-ID: *<([^>\r\n]*)>", 1)
     return records.select(
         "file", "record_offset", F.octet_length("record").cast("bigint").alias("length"), name.alias("record_id"), F.sha2("record", 256).alias("digest")
     )
@@ -106,7 +138,7 @@ class Tree:
         content = F.sort_array(F.collect_list(F.struct("record_offset", entry.alias("entry"))))
         level = self.leaves.groupBy("node").agg(F.sha2(F.array_join(F.transform(content, lambda c: c["entry"]), "\n"), 256).alias("digest"))
         self.levels = [written(level, "ranges")]
-        last = self.levels[0].agg(F.max("node")).head()[0] or 0
+        last = self.levels[0].agg(F.max(F.abs("node"))).head()[0] or 0
         self.height = max(1, len(_digits(last)))
         self.grow(top or self.height)
 
@@ -171,7 +203,7 @@ def damaged_copy(spark: SparkSession, folder: str, copy: str, change: Callable[[
                 records = change(number, [own for _, own in split_records(_unpacked(content))])
                 yield pd.DataFrame({"file": number, "place": range(len(records)), "record": records})
 
-    files = spark.read.format("binaryFile").load(folder).select(F.col("file").cast("bigint").alias("file"), "content")
+    files = _files(spark, folder)
     # Each file is in one row already, so its copy is written where it was read.
     rows = files.mapInPandas(run, "file bigint, place int, record binary").sortWithinPartitions("file", "place")
     whole = F.expr("substring(record, 1, octet_length(record) - 1)").cast("string").alias("value")
