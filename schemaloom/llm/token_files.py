@@ -2,8 +2,8 @@
 
 Documents are put in ascending order of their ids, encoded by a public tokenizer, and the ids of each shard
 (one task's range of documents) are coded by ``range_coder`` into blocks. A block file is a Parquet folder with
-one row per block: where the block lies, the pieces of documents in it, and the block itself. Each block can be decoded
-without the others.
+one row per block: where the block lies, the pieces of documents in it, the order-0 shares it starts from, and the block
+itself. Each block can be decoded without the others. Blocks that are coded together have the same shares, which Parquet stores once.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ GATHERED = range_coder.BLOCK * range_coder.LANES
 
 BLOCKS = (
     "shard bigint, block bigint, first_id bigint, n_ids bigint, first_document bigint, "
-    "doc_ids array<bigint>, ends array<bigint>, data binary"
+    "doc_ids array<bigint>, ends array<bigint>, prior binary, data binary"
 )
 
 
@@ -50,12 +50,16 @@ class Encoder:
             memory.path, memory.tokenizer, memory.ids = path, Tokenizer.from_file(path), {}
             memory.by_word = drops_white_space(memory.tokenizer)
         self.tokenizer, self.ids, self.by_word = memory.tokenizer, memory.ids, memory.by_word
-        self.vocabulary = self.tokenizer.get_vocab_size()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        known = self.ids.__getitem__
+        try:
+            return [b"".join(map(known, words)) for words in split]
+        except KeyError:
+            pass
         if len(self.ids) > REMEMBERED:
             self.ids.clear()
         fresh = list(set().union(*split) - self.ids.keys())
@@ -64,7 +68,6 @@ class Encoder:
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
             for word, e in zip(words, found):
                 self.ids[word] = np.array(e.ids, "<u4").tobytes()
-        known = self.ids.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
 
@@ -99,15 +102,17 @@ def write_blocks(docs: DataFrame, folder: str, *, tokenizer: str | None = None,
 
         def flush() -> pd.DataFrame:
             nonlocal held, doc_ids, ends, size, first_id, block, document
-            ids = np.frombuffer(b"".join(held), "<u4").astype(np.int64)
+            ids = np.frombuffer(b"".join(held), "<u4")
+            held = []
             edges, rows = range_coder.cuts(len(ids)), []
             stops = np.array(ends, np.int64)
-            for data, begin, end in zip(range_coder.encode(ids, encoder.vocabulary), edges, edges[1:]):
+            prior, blocks = range_coder.encode_with_prior(ids)
+            for data, begin, end in zip(blocks, edges, edges[1:]):
                 a, b = np.searchsorted(stops, [begin + 1, end])
                 last = min(b + 1, len(stops))
                 rows.append((
                     shard, block, first_id + begin, end - begin, document + a, doc_ids[a:last],
-                    np.minimum(stops[a:last], end) - begin, data,
+                    np.minimum(stops[a:last], end) - begin, prior, data,
                 ))
                 block += 1
             document, first_id = document + len(doc_ids), first_id + len(ids)
@@ -148,7 +153,8 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
 
         def done() -> pd.DataFrame:
             rows = []
-            for (shard, block, first, document, doc_ids, ends, _), ids in zip(waiting, range_coder.decode([w[-1] for w in waiting])):
+            decoded = range_coder.decode_with_priors([w[-1] for w in waiting], [w[-2] for w in waiting])
+            for (shard, block, first, document, doc_ids, ends, *_), ids in zip(waiting, decoded):
                 begin = 0
                 for n, (doc_id, end) in enumerate(zip(doc_ids, ends)):
                     own = ids[begin:end].astype("<u4").tobytes()
@@ -158,14 +164,14 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
             return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
 
         for batch in batches:
-            for row in zip(*(batch[c] for c in ("shard", "block", "first_id", "first_document", "doc_ids", "ends", "data"))):
+            for row in zip(*(batch[c] for c in ("shard", "block", "first_id", "first_document", "doc_ids", "ends", "prior", "data"))):
                 waiting.append(row)
                 if len(waiting) >= range_coder.LANES:
                     yield done()
         if waiting:
             yield done()
 
-    named = blocks.select("shard", "block", "first_id", "first_document", F.transform("doc_ids", lambda d: d.cast("string")).alias("doc_ids"), "ends", "data")
+    named = blocks.select("shard", "block", "first_id", "first_document", F.transform("doc_ids", lambda d: d.cast("string")).alias("doc_ids"), "ends", "prior", "data")
     return named.mapInPandas(_with_numbers(run), schema)
 
 
