@@ -20,9 +20,9 @@ from collections import defaultdict
 import numpy as np
 
 #: Ids of a block and lanes coded at once, at most.
-BLOCK, LANES = 1024, 8192
+BLOCK, LANES = 1024, 4096
 #: Least length of the blocks into which a small rest is cut, so that few lanes never make many steps.
-SHORTEST = 512
+SHORTEST = 256
 
 _BITS2, _BITS1 = 10, 9
 _SHARE = 16  # shares of orders 2 and 1 are in 2^16ths
@@ -225,10 +225,10 @@ def encode_with_prior(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[
     place[prior.ids] = np.arange(len(prior.ids))
     for begin in range(0, len(edges) - 1, LANES):
         parts = [ids[a:b] for a, b in zip(edges[begin : begin + LANES], edges[begin + 1 : begin + LANES + 1])]
-        padded = np.zeros((len(parts), max(map(len, parts))), np.int32)
+        padded = np.zeros((max(map(len, parts)), len(parts)), np.int32)
         for n, part in enumerate(parts):
-            padded[n, : len(part)] = place[part]
-        for part, stream in zip(parts, _encode_lanes(np.ascontiguousarray(padded.T), prior)):
+            padded[: len(part), n] = place[part]
+        for part, stream in zip(parts, _encode_lanes(padded, prior)):
             blocks.append(struct.pack(_HEAD, _MAGIC, len(part), _check(part)) + stream)
     return prior.dump(), blocks
 

@@ -2,8 +2,8 @@
 
 Documents are put in ascending order of their ids, encoded by a public tokenizer, and the ids of each shard
 (one task's range of documents) are coded by ``range_coder`` into blocks. A block file is a Parquet folder with
-one row per block: where the block lies, the pieces of documents in it, the order-0 shares it starts from, and the block
-itself. Each block can be decoded without the others. Blocks that are coded together have the same shares, which Parquet stores once.
+one row for a few consecutive blocks: where they lie, the pieces of documents in them, the order-0 shares that all start from, and
+the blocks themselves. Each block can be decoded without the others.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +31,12 @@ REMEMBERED = 400_000
 #: Ids that are gathered before they are coded: as many as the lanes take.
 GATHERED = range_coder.BLOCK * range_coder.LANES
 
+#: Blocks of one row: consecutive, with one prior.
+GROUP = 64
+
 BLOCKS = (
     "shard bigint, block bigint, first_id bigint, n_ids bigint, first_document bigint, "
-    "doc_ids array<bigint>, ends array<bigint>, prior binary, data binary"
+    "doc_ids array<bigint>, ends array<bigint>, prior binary, data array<binary>"
 )
 
 
@@ -67,7 +71,7 @@ class Encoder:
             words = fresh[begin : begin + 4096]
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
             for word, e in zip(words, found):
-                self.ids[word] = np.array(e.ids, "<u4").tobytes()
+                self.ids[word] = array("I", e.ids).tobytes()
         return [b"".join(map(known, words)) for words in split]
 
 
@@ -107,14 +111,15 @@ def write_blocks(docs: DataFrame, folder: str, *, tokenizer: str | None = None,
             edges, rows = range_coder.cuts(len(ids)), []
             stops = np.array(ends, np.int64)
             prior, blocks = range_coder.encode_with_prior(ids)
-            for data, begin, end in zip(blocks, edges, edges[1:]):
+            for k in range(0, len(blocks), GROUP):
+                data, begin, end = blocks[k : k + GROUP], edges[k], edges[min(k + GROUP, len(blocks))]
                 a, b = np.searchsorted(stops, [begin + 1, end])
                 last = min(b + 1, len(stops))
                 rows.append((
                     shard, block, first_id + begin, end - begin, document + a, doc_ids[a:last],
                     np.minimum(stops[a:last], end) - begin, prior, data,
                 ))
-                block += 1
+                block += len(data)
             document, first_id = document + len(doc_ids), first_id + len(ids)
             held, doc_ids, ends, size = [], [], [], 0
             return pd.DataFrame(rows, columns=[c.split()[0] for c in BLOCKS.split(", ")])
@@ -153,9 +158,9 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
 
         def done() -> pd.DataFrame:
             rows = []
-            decoded = range_coder.decode_with_priors([w[-1] for w in waiting], [w[-2] for w in waiting])
-            for (shard, block, first, document, doc_ids, ends, *_), ids in zip(waiting, decoded):
-                begin = 0
+            decoded = iter(range_coder.decode_with_priors([b for w in waiting for b in w[-1]], [w[-2] for w in waiting for _ in w[-1]]))
+            for shard, block, first, document, doc_ids, ends, _, data in waiting:
+                ids, begin = np.concatenate([next(decoded) for _ in range(len(data))]), 0
                 for n, (doc_id, end) in enumerate(zip(doc_ids, ends)):
                     own = ids[begin:end].astype("<u4").tobytes()
                     rows.append((shard, block, first + begin, end - begin, document + n, doc_id, own))
@@ -166,7 +171,7 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             for row in zip(*(batch[c] for c in ("shard", "block", "first_id", "first_document", "doc_ids", "ends", "prior", "data"))):
                 waiting.append(row)
-                if len(waiting) >= range_coder.LANES:
+                if len(waiting) * GROUP >= range_coder.LANES:
                     yield done()
         if waiting:
             yield done()
