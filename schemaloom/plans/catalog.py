@@ -1024,3 +1024,13 @@ def stream_registry(spark, sf):
     root = new_folder(spark, "registry")
     run_registry(_read_log(spark, _log_folder(spark, sf)), RegistrySink(root, policies.STANDARD_POLICIES), new_folder(spark, "chk"))
     return spark.read.parquet(f"{root}/versions").select("dataset_id", "version", F.col("seq").alias("stored_seq"))
+
+
+@query
+def registry_latest(spark, sf):
+    """The last accepted header of each dataset as the registry's bucketed log has it, compacted on the way."""
+    root = new_folder(spark, "registry")
+    sink = RegistrySink(root, policies.STANDARD_POLICIES, compact_after=2)
+    run_registry(_read_log(spark, _log_folder(spark, sf)), sink, new_folder(spark, "chk"))
+    found = sink.latest(spark).read(before=1 << 40)
+    return found.select("dataset_id", "version", "stored_seq", F.size("attributes").alias("attribute_count"), joined("primary_key").alias("primary_key"))

@@ -745,6 +745,9 @@ cte("fold_log", "logged", _fold("coalesce(l.requested_policy, '') = 'sandbox'",
 oracle("replay_stream", "fold_log", """
 SELECT dataset_id, seq, allowed, accepted, previous_seq, CASE WHEN accepted THEN version END AS new_version FROM fold_log WHERE n > 0""")
 oracle("stream_registry", "fold_log", "SELECT dataset_id, version, seq AS stored_seq FROM fold_log WHERE accepted")
+oracle("registry_latest", "fold_log", """
+SELECT dataset_id, max(version) AS version, max_by(seq, version) AS stored_seq, CAST(max_by(len(names), version) AS INTEGER) AS attribute_count, 'col_0' AS primary_key
+FROM fold_log WHERE accepted GROUP BY dataset_id""")
 oracle("stream_registry_resumed", "fold_log", "SELECT dataset_id, version, seq AS stored_seq FROM fold_log WHERE accepted")
 
 # --- tables and vault --------------------------------------------------------------------

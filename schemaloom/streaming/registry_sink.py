@@ -12,19 +12,31 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from schemaloom.functions.keys import correlation_id, plan_id
 from schemaloom.operators import diff, events, plan, policy
 from schemaloom.operators.barrier import kept
 from schemaloom.operators.lineage import impact_for
 from schemaloom.operators.replay import replay
+from schemaloom.functions.headers import resolve_previous_version
+from schemaloom.sources.bucket_table import BucketTable
 from schemaloom.sources.notifications import split_valid
 from schemaloom.sources.policies import select_policy
 from schemaloom.streaming.replay_stream import check_log, log_to_notifications
-from schemaloom.types import ATTRIBUTE
+from schemaloom.types import HEADER
 from schemaloom.workspace import exists, stored
 
-LATEST = f"dataset_id string, version bigint, attributes array<{ATTRIBUTE.simpleString()}>"
+#: What the registry knows of a dataset: its last accepted header, whole.
+LATEST = T.StructType(
+    [
+        T.StructField("dataset_id", T.StringType()),
+        T.StructField("version", T.LongType()),
+        *HEADER.fields,
+        T.StructField("correlation_id", T.StringType()),
+        T.StructField("stored_seq", T.LongType()),
+    ]
+)
 
 
 def replay_details(
@@ -56,6 +68,8 @@ def replay_details(
         {
             "correlation_id": F.expr(correlation_id("dataset_id", "seq")),
             "plan_id": F.expr(plan_id("dataset_id", "seq")),
+            # What the producer says comes first.
+            "previous_version": F.expr(resolve_previous_version("producer_version", "previous_version")),
         }
     )
 
@@ -77,50 +91,50 @@ def outcome_messages(details: DataFrame) -> DataFrame:
     return events.as_messages(good).unionByName(events.as_messages(bad))
 
 
-COMMIT = "position bigint, folder string"
+COMMIT = "position bigint"
 
 
 class RegistrySink:
     """``foreachBatch`` target: write(log batch, batch id) persists everything below ``root``.
 
-    The last write of a batch is its commit: its position in the order of all commits and the folder of the state
-    it left. One stream at a time may write to a registry; ``run`` names it and must stay the same
-    when the stream restarts from its checkpoint.
+    The latest headers are a ``BucketTable``: a batch reads and rewrites only the buckets of its datasets. The last write of a
+    batch is its commit, its position in the order of all commits. One stream at a time may write to a registry; ``run`` names it
+    and must stay the same when the stream restarts from its checkpoint.
     """
 
-    def __init__(self, root: str, config: dict, edges: DataFrame | None = None, run: str = "first"):
+    def __init__(self, root: str, config: dict, edges: DataFrame | None = None, run: str = "first", buckets: int = 16, compact_after: int = 8):
         self.root, self.config, self.edges, self.run = root.rstrip("/"), config, edges, run
+        self.buckets, self.compact_after = buckets, compact_after
 
     def _folder(self, table: str, batch_id: int) -> str:
         return f"{self.root}/{table}/run={self.run}/batch_id={batch_id}"
 
-    def _state(self, spark: SparkSession, batch_id: int) -> tuple[DataFrame, int]:
-        """Latest headers before this batch, and the batch's position: its own if it was committed before, else the next."""
-        folder, done = f"{self.root}/commits", []
-        if exists(spark, folder):
-            rows = spark.read.schema(f"{COMMIT}, run string, batch_id int").option("basePath", folder).parquet(folder)
-            own = (F.col("run") == self.run) & (F.col("batch_id") == batch_id)
-            again = rows.where(own).agg(F.min("position")).head()[0]
-            earlier = rows.where(~own) if again is None else rows.where(F.col("position") < again)
-            last = earlier.agg(F.max(F.struct("position", "folder")).alias("m")).select("m.*").head()
-            if last.position is not None:
-                latest = spark.read.schema(LATEST).parquet(f"{self.root}/{last.folder}")
-                return latest, last.position + 1 if again is None else again
-            done = [again] if again is not None else []
-        return spark.createDataFrame([], LATEST), done[0] if done else 0
+    def latest(self, spark: SparkSession) -> BucketTable:
+        return BucketTable(spark, f"{self.root}/latest", "dataset_id", LATEST, self.buckets, self.compact_after)
+
+    def _position(self, spark: SparkSession, batch_id: int) -> int:
+        """The batch's position: its own if it was committed before, else the next."""
+        folder = f"{self.root}/commits"
+        if not exists(spark, folder):
+            return 0
+        rows = spark.read.schema(f"{COMMIT}, run string, batch_id int").option("basePath", folder).parquet(folder)
+        own = (F.col("run") == self.run) & (F.col("batch_id") == batch_id)
+        found = rows.agg(F.min(F.when(own, F.col("position"))).alias("own"), F.max("position").alias("last")).head()
+        return found.own if found.own is not None else (-1 if found.last is None else found.last) + 1
 
     def _save(self, df: DataFrame, table: str, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(self._folder(table, batch_id))
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        latest, position = self._state(spark, batch_id)
+        position, table = self._position(spark, batch_id), self.latest(spark)
         checked = stored(check_log(batch))
         valid, rejected = split_valid(checked)
         self._save(rejected, "rejects", batch_id)
         notifications = stored(log_to_notifications(valid))
-        results = stored(replay(notifications, self.config, self.edges, initial=latest))
-        details = stored(replay_details(notifications, results, self.config, self.edges, latest))
+        known = stored(table.read(position, notifications.select("dataset_id").distinct()))
+        results = stored(replay(notifications, self.config, self.edges, initial=known))
+        details = stored(replay_details(notifications, results, self.config, self.edges, known))
         allowed = details.filter("allowed")
         ops = plan.explode_operations(allowed, "plan_id", "correlation_id")
         self._save(ops, "plans", batch_id)
@@ -129,20 +143,16 @@ class RegistrySink:
             "verifications",
             batch_id,
         )
-        versions = details.filter("accepted").select(
-            "dataset_id", F.col("new_version").alias("version"), "attributes", "correlation_id", "seq"
-        )
+        header = [f.name for f in HEADER.fields]
+        versions = details.filter("accepted").select("dataset_id", F.col("new_version").alias("version"), *header, "correlation_id", "seq")
         self._save(versions, "versions", batch_id)
-        newest = versions.groupBy("dataset_id").agg(
-            F.max("version").alias("version"), F.max_by("attributes", "version").alias("attributes")
-        )
-        untouched = latest.join(newest.select("dataset_id"), "dataset_id", "left_anti")
-        self._save(untouched.unionByName(newest), "latest", batch_id)
+        rest = F.struct(*header, "correlation_id", F.col("seq").alias("stored_seq"))
+        newest = versions.groupBy("dataset_id").agg(F.max("version").alias("version"), F.max_by(rest, "version").alias("_row"))
+        table.write(newest.select("dataset_id", "version", "_row.*"), position)
         outcome_messages(details).write.mode("overwrite").partitionBy("event_type").json(
             self._folder("outcomes", batch_id)
         )
-        state = self._folder("latest", batch_id).removeprefix(f"{self.root}/")
-        self._save(spark.createDataFrame([(position, state)], COMMIT), "commits", batch_id)
+        self._save(spark.createDataFrame([(position,)], COMMIT), "commits", batch_id)
 
 
 def run_registry(log: DataFrame, sink: RegistrySink, checkpoint: str) -> None:

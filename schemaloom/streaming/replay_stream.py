@@ -148,6 +148,8 @@ def log_to_notifications(log: DataFrame) -> DataFrame:
         F.col("offset").cast("bigint").alias("seq"),
         F.coalesce("dataset.source", F.lit("")).alias("source"),
         F.expr(strip_technical("header.attributes")).alias("attributes"),
+        F.col("header.primary_key").alias("primary_key"),
+        F.col("header.schema_fingerprint").alias("schema_fingerprint"),
         F.col("previous_schema_version").cast("bigint").alias("producer_version"),
         F.col("metadata")["policy"].alias("requested_policy"),
         *verified,
