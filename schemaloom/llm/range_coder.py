@@ -20,7 +20,7 @@ from collections import defaultdict
 import numpy as np
 
 #: Ids of a block and lanes coded at once, at most.
-BLOCK, LANES = 1024, 4096
+BLOCK, LANES = 1024, 2048
 #: Least length of the blocks into which a small rest is cut, so that few lanes never make many steps.
 SHORTEST = 256
 
@@ -238,7 +238,7 @@ def decode_with_priors(blocks: list[bytes], priors: list[bytes]) -> list[np.ndar
     heads = [struct.unpack_from(_HEAD, b) for b in blocks]
     if any(h[0] != _MAGIC for h in heads):
         raise ValueError("not a block of this format")
-    found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(blocks)
+    found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blocks)
     groups = defaultdict(list)
     for n, p in enumerate(priors):
         groups[p].append(n)
@@ -247,6 +247,7 @@ def decode_with_priors(blocks: list[bytes], priors: list[bytes]) -> list[np.ndar
             prior = Prior.load(raw)
         except (ValueError, zlib.error, struct.error) as problem:
             raise ValueError(f"blocks {members} are damaged: their prior cannot be read") from problem
+        names = prior.ids.astype(np.uint32)
         order = [n for n in sorted(members, key=lambda n: heads[n][1]) if heads[n][1] and len(prior.ids)]
         for begin in range(0, len(order), LANES):
             own = order[begin : begin + LANES]
@@ -254,7 +255,7 @@ def decode_with_priors(blocks: list[bytes], priors: list[bytes]) -> list[np.ndar
             steps = min(max(heads[n][1] for n in own), 64 * max(len(blocks[n]) for n in own) * 8)
             ids = _decode_lanes([blocks[n][struct.calcsize(_HEAD) :] for n in own], steps, prior)
             for k, n in enumerate(own):
-                found[n] = prior.ids[ids[: heads[n][1], k]]
+                found[n] = names[ids[: heads[n][1], k]]
     for n, (ids, head) in enumerate(zip(found, heads)):
         if len(ids) != head[1] or _check(ids) != head[2]:
             raise ValueError(f"block {n} is damaged: its ids do not give its checksum")

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -27,7 +28,7 @@ from schemaloom.llm import range_coder
 from schemaloom.llm.tables import packed
 
 #: Words whose ids a worker remembers at most; beyond, it forgets all.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Ids that are gathered before they are coded: as many as the lanes take.
 GATHERED = range_coder.BLOCK * range_coder.LANES
 
@@ -40,6 +41,11 @@ BLOCKS = (
 )
 
 
+def _arrow_schema() -> pa.Schema:
+    kinds = {"bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in BLOCKS.split(", "))])
+
+
 class Encoder:
     """Ids of whole texts, as bytes of little-endian unsigned 32-bit integers.
 
@@ -96,7 +102,9 @@ def write_blocks(docs: DataFrame, folder: str, *, tokenizer: str | None = None,
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = _arrow_schema()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = Encoder(path), TaskContext.get().partitionId()
         tail = np.array([end_id], "<u4").tobytes()
         held: list[bytes] = []
@@ -104,7 +112,7 @@ def write_blocks(docs: DataFrame, folder: str, *, tokenizer: str | None = None,
         ends: list[int] = []  # where these end, from the first id held
         size = first_id = block = document = 0
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal held, doc_ids, ends, size, first_id, block, document
             ids = np.frombuffer(b"".join(held), "<u4")
             held = []
@@ -116,18 +124,19 @@ def write_blocks(docs: DataFrame, folder: str, *, tokenizer: str | None = None,
                 a, b = np.searchsorted(stops, [begin + 1, end])
                 last = min(b + 1, len(stops))
                 rows.append((
-                    shard, block, first_id + begin, end - begin, document + a, doc_ids[a:last],
-                    np.minimum(stops[a:last], end) - begin, prior, data,
+                    shard, block, first_id + begin, end - begin, document + int(a), doc_ids[a:last],
+                    (np.minimum(stops[a:last], end) - begin).tolist(), prior, data,
                 ))
                 block += len(data)
             document, first_id = document + len(doc_ids), first_id + len(ids)
             held, doc_ids, ends, size = [], [], [], 0
-            return pd.DataFrame(rows, columns=[c.split()[0] for c in BLOCKS.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
         for batch in batches:
-            for begin in range(0, len(batch), 256):
-                part = batch.iloc[begin : begin + 256]
-                for doc_id, ids in zip(part["id"], encoder.encode(part["text"].tolist())):
+            # Few texts at once become Python's; the batch itself may hold very long ones.
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                for doc_id, ids in zip(part.column("id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
                     held.append(ids + tail)
                     size += len(held[-1]) // 4
                     doc_ids.append(None if doc_id is None else int(doc_id))
@@ -141,7 +150,7 @@ def write_blocks(docs: DataFrame, folder: str, *, tokenizer: str | None = None,
     rows = packed(docs, id=id_column, text=text, _h=F.xxhash64(F.col(f"`{text}`"))).drop("_row")
     order = ["id", "_h"]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = placed.select(F.col("id").cast("string").alias("id"), "text").mapInPandas(run, BLOCKS)
+    blocks = placed.select(F.col("id").cast("string").alias("id"), "text").mapInArrow(run, BLOCKS)
     blocks.write.parquet(folder)
 
 
