@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,3 +23,11 @@ def unpacked(df: DataFrame, *added: str) -> DataFrame:
     """The columns of ``_row``, then the added ones; an input column of the name of an added one is replaced."""
     kept = [c for c in df.schema["_row"].dataType.names if c.lower() not in {a.lower() for a in added}]
     return df.select(*[F.col("_row").getField(c).alias(c) for c in kept], *added)
+
+
+def released() -> None:
+    """Give memory that a task has freed back to the system: workers outlive their tasks, and others share the machine."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

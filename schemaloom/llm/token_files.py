@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from schemaloom.llm import range_coder
-from schemaloom.llm.tables import packed
+from schemaloom.llm.tables import packed, released
 
 #: Words whose ids a worker remembers at most; beyond, it forgets all.
 REMEMBERED = 200_000
@@ -146,6 +146,7 @@ def write_blocks(docs: DataFrame, folder: str, *, tokenizer: str | None = None,
                         yield flush()
         if size:
             yield flush()
+        released()
 
     rows = packed(docs, id=id_column, text=text, _h=F.xxhash64(F.col(f"`{text}`"))).drop("_row")
     order = ["id", "_h"]
@@ -184,6 +185,7 @@ def read_blocks(blocks: DataFrame) -> DataFrame:
                     yield done()
         if waiting:
             yield done()
+        released()
 
     named = blocks.select("shard", "block", "first_id", "first_document", F.transform("doc_ids", lambda d: d.cast("string")).alias("doc_ids"), "ends", "prior", "data")
     return named.mapInPandas(_with_numbers(run), schema)
