@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from schemaloom.llm.tables import packed
+from schemaloom.llm.tables import packed, released
 from schemaloom.workspace import written
 
 BITS, BLOCKS = 64, 4
@@ -192,6 +193,18 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, size)).view(np.int64)
 
 
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few texts at once become Python's; a batch itself may hold very long ones."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 512):
+            yield batch.slice(begin, 512)
+
+
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *sets]))
+
+
 def similar_documents(docs: DataFrame, *, size: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, component) of every row: components of all pairs of texts whose sets of shingles have this Jaccard similarity or more.
 
@@ -204,25 +217,28 @@ def similar_documents(docs: DataFrame, *, size: int = 5, similarity: float = 0.8
 def _grouped(docs: DataFrame, size: int, similarity: float, id_column: str, text: str) -> DataFrame:
     """(id, hash, root, component) of every row: ``hash`` is that of the text, ``root`` names the group."""
 
-    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingle_set(t, size) for t in batch["text"]]
-            yield pd.DataFrame(
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _small(batches):
+            sets = [shingle_set(t, size) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict(
                 {
-                    "id": batch["id"],
-                    "hash": batch["hash"],
-                    "print": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                    "size": [len(s) for s in sets],
-                    "head": [s[: _prefix(len(s), similarity) + len(s) // MORE] for s in sets],
+                    "id": part.column("id"),
+                    "hash": part.column("hash"),
+                    "print": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    "size": pa.array([len(s) for s in sets], pa.int32()),
+                    "head": _lists([s[: _prefix(len(s), similarity) + len(s) // MORE] for s in sets]),
                 }
             )
+        released()
 
-    def wholes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"node": batch["node"], "whole": [shingle_set(t, size) for t in batch["text"]]})
+    def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _small(batches):
+            sets = [shingle_set(t, size) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"node": part.column("node"), "whole": _lists(sets)})
+        released()
 
     named = packed(docs, id=id_column, hash=F.xxhash64(F.col(f"`{text}`")), text=text).select(F.col("id").cast("string").alias("id"), "hash", "text")
-    found = named.mapInPandas(heads, "id string, hash bigint, print binary, size int, head array<bigint>")
+    found = named.mapInArrow(heads, "id string, hash bigint, print binary, size int, head array<bigint>")
     found = written(found.withColumn("row", F.monotonically_increasing_id()), "heads")
     prints = found.select(F.col("id").cast("bigint").alias("id"), "hash", "print")
     # A node is the first row of its set.
@@ -232,7 +248,7 @@ def _grouped(docs: DataFrame, size: int, similarity: float, id_column: str, text
     maybe = written(maybe, "maybe").withColumnsRenamed({"id": "_id", "hash": "_hash"})
     texts = named.join(maybe, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
     # Repeated rows give one node several times.
-    sets = texts.select("node", "text").mapInPandas(wholes, "node bigint, whole array<bigint>").dropDuplicates(["node"])
+    sets = texts.select("node", "text").mapInArrow(wholes, "node bigint, whole array<bigint>").dropDuplicates(["node"])
     links = _similar_pairs(written(sets.select("node", F.size("whole").alias("size"), "whole"), "sets"), similarity)
     known = written(_smallest_ids(distinct.select("node", "least_id"), links, "node"), "components")
     return prints.join(distinct.select("print", "node"), "print").join(known, "node").select("id", "hash", "root", "component")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,7 @@ def unpacked(df: DataFrame, *added: str) -> DataFrame:
 def released() -> None:
     """Give memory that a task has freed back to the system: workers outlive their tasks, and others share the machine."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
