@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -188,13 +189,50 @@ def _smallest_ids(distinct: DataFrame, links: DataFrame, node: str) -> DataFrame
     return labelled.join(smallest, "root").select(node, "root", "component")
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """Distinct hashes of the shingles of a text, least first, as signed numbers in unsigned order."""
-    return np.unique(shingle_hashes(text, size)).view(np.int64)
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """Distinct 64-bit hashes of the word shingles of each whole text, least first, as signed numbers in unsigned order.
+
+    A-Z are lowered; fewer words make one shingle, none (or null) make none. A word is hashed once for all texts given, and a
+    shingle folds the hashes of its words in order. They are not the hashes of ``shingle_hashes``.
+    """
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    words = pc.ascii_split_whitespace(trimmed)
+    # A text of white space alone splits into one empty word.
+    counts = np.asarray(pc.fill_null(pc.list_value_length(words), 0)) - np.asarray(pc.fill_null(pc.equal(trimmed, ""), False))
+    flat = words.flatten()
+    coded = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
+    digests = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False)
+    own = digests[np.asarray(coded.indices)]
+    long_enough = max(len(own) - size + 1, 0)
+    folded = own[:long_enough].copy()
+    for k in range(1, size):
+        folded = _fold(folded, own[k : k + long_enough])
+    ends = np.cumsum(counts)
+    begins = ends - counts
+    short = np.nonzero((counts > 0) & (counts < size))[0]
+    whole = own[begins[short]]
+    for k in range(1, size - 1):
+        more = counts[short] > k
+        whole[more] = _fold(whole[more], own[begins[short][more] + k])
+    single = dict(zip(short.tolist(), _spread(whole)))
+    folded = _spread(folded)
+    spans = zip(begins.tolist(), (ends - size + 1).tolist())
+    sets = (np.array([single[n]]) if n in single else folded[begin : max(begin, end)] for n, (begin, end) in enumerate(spans))
+    return [np.unique(s).view(np.int64) for s in sets]
+
+
+def _fold(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return (before ^ (before >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + word
+
+
+def _spread(hashes: np.ndarray) -> np.ndarray:
+    """Every bit of the result depends on every bit of the hash, one to one."""
+    hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return hashes ^ (hashes >> np.uint64(31))
 
 
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Few texts at once become Python's; a batch itself may hold very long ones."""
+    """Few texts are worked on at once; a batch itself may hold very long ones."""
     for batch in batches:
         for begin in range(0, batch.num_rows, 512):
             yield batch.slice(begin, 512)
@@ -219,7 +257,7 @@ def _grouped(docs: DataFrame, size: int, similarity: float, id_column: str, text
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _small(batches):
-            sets = [shingle_set(t, size) for t in part.column("text").to_pylist()]
+            sets = shingle_sets(part.column("text"), size)
             yield pa.RecordBatch.from_pydict(
                 {
                     "id": part.column("id"),
@@ -233,7 +271,7 @@ def _grouped(docs: DataFrame, size: int, similarity: float, id_column: str, text
 
     def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _small(batches):
-            sets = [shingle_set(t, size) for t in part.column("text").to_pylist()]
+            sets = shingle_sets(part.column("text"), size)
             yield pa.RecordBatch.from_pydict({"node": part.column("node"), "whole": _lists(sets)})
         released()
 

@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -262,3 +264,23 @@ def test_repeated_lines_weigh_once(spark):
     want = brute_similar([r.text for r in docs.orderBy("doc_id").collect()])
     got = {r.id: r.component for r in simhash.similar_documents(docs).collect()}
     assert [got[n] - 1 for n in (1, 2, 3, 4)] == want and got[1] != got[2]
+
+
+def test_shingle_sets_hold_each_shingle_once():
+    odd = [None, "", "  ", "a", "A b", " a  b\tc\n", "a b c d", "a b c d e", "é É x y z w", "a\x1cb c d e f g", "a b c d e " * 4, "b a c d e", "\x85 a b c d e"]
+    draw = random.Random(1)
+    odd += [" ".join(draw.choice("abcXé") for _ in range(draw.randrange(12))) for _ in range(500)]
+
+    def plain(text):
+        words = (text or "").encode().lower().split()
+        return {tuple(words)} if 0 < len(words) < 5 else {tuple(words[n : n + 5]) for n in range(len(words) - 4)}
+
+    sets = simhash.shingle_sets(pa.array(odd), 5)
+    for n, (text, own) in enumerate(zip(odd, sets)):
+        unsigned = own.view(np.uint64).tolist()
+        assert unsigned == sorted(unsigned) and len(own) == len(plain(text))
+        other = draw.randrange(len(odd))
+        assert len(np.intersect1d(own, sets[other])) == len(plain(text) & plain(odd[other]))
+    assert simhash.shingle_sets(pa.array([], pa.string()), 5) == []
+    # Other texts at once, or a slice, change nothing.
+    assert [s.tolist() for s in simhash.shingle_sets(pa.array(odd).slice(3, 40), 5)] == [s.tolist() for s in sets[3:43]]
