@@ -2,6 +2,7 @@
 
 import collections
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -68,6 +69,19 @@ def test_toxicity_learns_and_keeps_clean(spark, odd, none):
     assert toxicity.accepted(odd, model).columns == odd.columns
 
 
+def test_toxicity_learns_from_every_row(spark):
+    ids = [i for i in range(8000) if zlib.crc32(str(i).encode()) % 5 and zlib.crc32(f"calibrate {i}".encode()) % 5]
+    # Each rare word stands in two texts, far apart.
+    rows = [(i, f"rare{n % (len(ids) // 2)} {'you idiot' if n % 10 == 0 else 'fine day'}", "en") for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, int(n % 10 == 0)) for n, i in enumerate(ids)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels, shard_rows=1500)
+    words = {toxicity.parts_of(f"rare{n}".encode())[0] for n in range(len(ids) // 2)}
+    assert words <= set(model.known.tolist())
+    a, b = (toxicity.logits(model, [toxicity.buckets(t)])[0] - model.cut for t in ("you idiot", "fine day"))
+    assert a > 0 > b
+
+
 def test_toxicity_without_labels(spark, odd):
     model = toxicity.fit(odd, spark.createDataFrame([(1, None), (None, 1)], "doc_id bigint, toxic int"))
     assert toxicity.scored(odd, model).where("toxicity >= 0.5").count() == 0
