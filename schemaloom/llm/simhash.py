@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from schemaloom.llm.tables import packed, released
-from schemaloom.workspace import written
+from schemaloom.workspace import folders, forget, swept, written
 
 BITS, BLOCKS = 64, 4
 #: Fingerprints under one pair of blocks that are compared with one another; more are split again.
@@ -272,22 +272,30 @@ def _grouped(docs: DataFrame, size: int, similarity: float, id_column: str, text
     def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _small(batches):
             sets = shingle_sets(part.column("text"), size)
-            yield pa.RecordBatch.from_pydict({"node": part.column("node"), "whole": _lists(sets)})
+            bits = np.array([majority(s.view("<u8")) for s in sets], np.uint8).reshape(-1, BITS)
+            prints = np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
+            yield pa.RecordBatch.from_pydict({"node": part.column("node"), "fingerprint": pa.array(prints, pa.int64()), "whole": _lists(sets)})
         released()
 
     named = packed(docs, id=id_column, hash=F.xxhash64(F.col(f"`{text}`")), text=text).select(F.col("id").cast("string").alias("id"), "hash", "text")
+    before = folders(docs.sparkSession)
     found = named.mapInArrow(heads, "id string, hash bigint, print binary, size int, head array<bigint>")
     found = written(found.withColumn("row", F.monotonically_increasing_id()), "heads")
-    prints = found.select(F.col("id").cast("bigint").alias("id"), "hash", "print")
+    # What outlives the heads, which are deleted once they have been compared.
+    prints = written(found.select(F.col("id").cast("bigint").alias("id"), "hash", "print"), "prints")
     # A node is the first row of its set.
     distinct = written(found.groupBy("print").agg(F.min(F.col("id").cast("bigint")).alias("least_id"), F.min("row").alias("node")), "distinct")
     firsts = found.join(distinct.select(F.col("node").alias("row")), "row")
     maybe = firsts.join(_with_partners(firsts, similarity), "row", "left_semi").select("id", "hash", F.col("row").alias("node"))
     maybe = written(maybe, "maybe").withColumnsRenamed({"id": "_id", "hash": "_hash"})
+    del firsts, found
+    swept(docs.sparkSession, folders(docs.sparkSession) - before, "heads")
     texts = named.join(maybe, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")))
     # Repeated rows give one node several times.
-    sets = texts.select("node", "text").mapInArrow(wholes, "node bigint, whole array<bigint>").dropDuplicates(["node"])
-    links = _similar_pairs(written(sets.select("node", F.size("whole").alias("size"), "whole"), "sets"), similarity)
+    sets = texts.select("node", "text").mapInArrow(wholes, "node bigint, fingerprint bigint, whole array<bigint>").dropDuplicates(["node"])
+    sets = written(sets.select("node", "fingerprint", F.size("whole").alias("size"), "whole"), "sets")
+    forget(docs.sparkSession)
+    links = _similar_pairs(sets, similarity)
     known = written(_smallest_ids(distinct.select("node", "least_id"), links, "node"), "components")
     return prints.join(distinct.select("print", "node"), "print").join(known, "node").select("id", "hash", "root", "component")
 
@@ -310,9 +318,11 @@ def _prefix(size: int, similarity: float) -> int:
 
 
 def _similar_pairs(sets: DataFrame, similarity: float) -> DataFrame:
-    """Verified links (a, b) of nodes, whose components are those of all pairs of this similarity or more; ``sets``: node, size, whole.
+    """Verified links (a, b) of nodes, whose components are those of all pairs of this similarity or more; ``sets``: node, fingerprint, size, whole.
 
-    Shingles are ordered by the sets that hold them, rarest first, and sets meet under their first ones (see ``_prefix``).
+    Sets whose SimHash fingerprints lie within two bits are found by blocks, as everywhere, and the similarity decides. Bits lose
+    pairs at the threshold, so the sets that they leave apart are compared exactly. Shingles are ordered by the sets that hold
+    them, rarest first, and sets meet under their first ones (see ``_prefix``).
     Each is compared with the least it meets, those of a crowd then with a few leaders; at last all pairs that meet and are
     not known to be in one component are. The number of steps is fixed.
     """
@@ -352,9 +362,16 @@ def _similar_pairs(sets: DataFrame, similarity: float) -> DataFrame:
         sizes = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("crowd"), F.min("root").alias("_low"), F.max("root").alias("_high"))
         return written(labelled.join(sizes.where("_low < _high").drop("_low", "_high"), "key"), "crowds")
 
+    forget(sets.sparkSession)
+    near = written(verified(_close_nodes(sets)), "links")
+    joined = written(components(near), "joined")
     least = keyed.groupBy("key").agg(F.min("node").alias("least"))
     begin = keyed.join(least, "key").groupBy("node").agg(F.min("least").alias("a")).where("a < node")
-    first = written(verified(begin.select("a", F.col("node").alias("b"))), "links")
+    # Those that the fingerprints have brought together need no second look.
+    a, b = (joined.select(F.col("node").alias(n), F.col("root").alias(f"_{n}")) for n in ("a", "b"))
+    apart = begin.select("a", F.col("node").alias("b")).join(a, "a", "left").join(b, "b", "left")
+    apart = apart.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+    first = written(near.unionByName(verified(apart)), "links")
     roots = components(first).withColumnRenamed("node", "_node")
 
     crowded = crowds(roots).where(F.col("crowd") > CROWD)
@@ -377,6 +394,15 @@ def _similar_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     return first.unionByName(second).unionByName(third).distinct()
 
 
+def _close_nodes(sets: DataFrame) -> DataFrame:
+    """(a, b): nodes of one fingerprint with the least of them, and the least ones of two fingerprints within two bits."""
+    prints = written(sets.groupBy("fingerprint").agg(F.min("node").alias("least")), "distinct")
+    same = sets.select("node", "fingerprint").join(prints, "fingerprint").where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    a, b = (prints.select(F.col("fingerprint").alias(n), F.col("least").alias(f"_{n}")) for n in ("a", "b"))
+    close = close_pairs(prints).join(a, "a").join(b, "b")
+    return same.unionByName(close.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))).distinct()
+
+
 def kept(
     docs: DataFrame, *, size: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:

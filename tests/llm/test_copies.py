@@ -284,3 +284,8 @@ def test_shingle_sets_hold_each_shingle_once():
     assert simhash.shingle_sets(pa.array([], pa.string()), 5) == []
     # Other texts at once, or a slice, change nothing.
     assert [s.tolist() for s in simhash.shingle_sets(pa.array(odd).slice(3, 40), 5)] == [s.tolist() for s in sets[3:43]]
+
+
+def test_near_duplicate_stage_meets_by_fingerprints(spark):
+    sets = spark.createDataFrame([(1, 5), (2, 5), (3, 6), (4, 1 << 40 | 0x7F)], "node bigint, fingerprint bigint")
+    assert {tuple(r) for r in simhash._close_nodes(sets).collect()} == {(1, 2), (1, 3)}
