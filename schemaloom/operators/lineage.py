@@ -38,7 +38,8 @@ def walk(requests: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Each hop is one equi-join of the frontier with the edges; the driver only learns whether
     the next frontier is empty. Edges of one very large node are split by the adaptive skew
-    join, since they are shuffled rather than kept in a fixed partition.
+    join, since they are shuffled rather than kept in a fixed partition. All joins ask for a merge: a broadcast of
+    each hop's frontier would pass through the driver.
     """
     e = edges.select(
         F.col("upstream_id").alias("node"),
@@ -54,10 +55,10 @@ def walk(requests: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     hits = None
     hop = 0
     while True:
-        step = frontier.join(e, "node").filter(usable).select("req_id", F.col("target").alias("node"), "artifact_class")
+        step = frontier.join(e.hint("merge"), "node").filter(usable).select("req_id", F.col("target").alias("node"), "artifact_class")
         known = reached.withColumn("known", F.lit(True))
         # one job per hop: targets found, and which of them are new
-        step = stored(step.distinct().join(known, ["req_id", "node"], "left"))
+        step = stored(step.distinct().join(known.hint("merge"), ["req_id", "node"], "left"))
         found = step.filter(F.col("artifact_class").isNotNull()).select("req_id", "artifact_class", "node")
         hits = found if hits is None else hits.unionByName(found)
         fresh = step.filter(F.col("known").isNull()).select("req_id", "node")
@@ -68,7 +69,7 @@ def walk(requests: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         hop += 1
         if hop % _COMPACT_EVERY == 0:
             reached, hits = stored(reached), stored(hits.distinct())
-        frontier = fresh.join(changed, "req_id")
+        frontier = fresh.join(changed.hint("merge"), "req_id")
     return hits.distinct().withColumnRenamed("node", "artifact_id"), reached
 
 
@@ -91,7 +92,7 @@ def impact_for(requests: DataFrame, edges: DataFrame) -> DataFrame:
     ids = stored(with_request_ids(requests))
     hits, _ = walk(ids, edges)
     zero = F.lit(0).cast("bigint")
-    return ids.join(impact_counts(hits), "req_id", "left").select(
+    return ids.join(impact_counts(hits).hint("merge"), "req_id", "left").select(
         "dataset_id",
         "changed",
         F.coalesce("impacted_lake", zero).alias("impacted_lake"),
