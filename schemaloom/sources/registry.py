@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from schemaloom.functions.identifiers import dataset_path_key
 from schemaloom.operators.ranking import running_index
@@ -44,10 +45,13 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str = "plan_id", order
     """Union in which the newest row per key replaces the others as a whole.
 
     ``max_by`` over the whole row combines map-side: many rewrites of one key meet as one
-    row per task.
+    row per task. Columns of fixed width are taken one by one, which a hash table can do: all see the rows in
+    one order, so they come from one row. Others need the rows sorted.
     """
     both = existing.unionByName(incoming)
     rest = [c for c in both.columns if c != key]
+    if all(isinstance(both.schema[c].dataType, (T.NumericType, T.BooleanType, T.DatetimeType)) for c in rest):
+        return both.groupBy(key).agg(*[F.max_by(c, order).alias(c) for c in rest]).select(*both.columns)
     return (
         both.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(key, "_row.*").select(*both.columns)
     )
