@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from schemaloom.operators.ranking import previous_value
 
@@ -43,10 +44,14 @@ def load_hub(df: DataFrame, business_key: str, source: str, existing: DataFrame
 
 def load_link(df: DataFrame, keys: list[str], source: str, existing: DataFrame | None = None, load: Column | None = None):
     """New combinations of business keys with the hash of the link and of each hub."""
-    combos = df.select(*keys).dropna().distinct()
-    # Spellings that differ in case or padding share all hashes; only these are compared.
-    hashed = combos.select(hash_key(*keys).alias("link_hash"), *[hash_key(k).alias(f"{k}_hash") for k in keys]).distinct()
-    return _new_only(hashed, existing, "link_hash").withColumns(
+    # Spellings that differ in case or padding share all hashes: what is hashed is made distinct, once, and hashes are only
+    # made of that. Hub hashes are left to the rows that are new.
+    whole = {f.name for f in df.schema if isinstance(f.dataType, T.IntegralType)}
+    texts = [F.col(f"`{k}`") if k in whole else F.upper(F.trim(F.col(f"`{k}`").cast("string"))) for k in keys]
+    combos = df.dropna(subset=keys).select(*[t.alias(f"_k{n}") for n, t in enumerate(texts)]).distinct()
+    parts = [F.col(f"_k{n}").cast("string") for n in range(len(keys))]
+    fresh = _new_only(combos.withColumn("link_hash", F.md5(_joined(parts))), existing, "link_hash")
+    return fresh.select("link_hash", *[F.md5(_joined([t])).alias(f"{k}_hash") for k, t in zip(keys, parts)]).withColumns(
         {"load_ts": F.current_timestamp() if load is None else load, "record_source": F.lit(source)}
     )
 
