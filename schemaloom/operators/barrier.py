@@ -21,10 +21,11 @@ def kept(df: DataFrame, condition: Column) -> DataFrame:
 
     A plain filter is pushed below the projections that compute its columns, with their
     expressions copied into it, so that everything is evaluated twice. A row number that the
-    filter also looks at keeps it above them; filters on stored columns still reach the scan.
+    filter also looks at keeps it above them; filters on stored columns still reach the scan. A stream, which cannot
+    number its rows, has a random number instead.
     """
     return (
-        df.withColumn("_row", F.monotonically_increasing_id())
+        df.withColumn("_row", F.rand(0) if df.isStreaming else F.monotonically_increasing_id())
         .filter(condition & (F.col("_row") >= 0))
         .drop("_row")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from schemaloom.operators.barrier import kept
 from schemaloom.types import NOTIFICATION
 
 # Fixed value: the one event type that is accepted.
@@ -101,7 +102,4 @@ def validate(values: DataFrame, value: str = "value") -> DataFrame:
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected). Rejects are kept as data instead of holding up their partition."""
-    return (
-        validated.filter(F.col("error").isNull()).drop("error"),
-        validated.filter(F.col("error").isNotNull()),
-    )
+    return kept(validated, F.col("error").isNull()).drop("error"), kept(validated, F.col("error").isNotNull())

@@ -5,8 +5,9 @@ import warnings
 import pytest
 
 from schemaloom import workspace
-from schemaloom.operators import plan, tables, vault
-from schemaloom.sources import lineage_edges, notifications, policies
+from schemaloom.operators import lineage, plan, tables, vault
+from schemaloom.sources import lineage_edges, notifications, policies, registry
+from schemaloom.workspace import stored
 
 
 def test_links_that_differ_in_a_separator_are_two(spark):
@@ -95,3 +96,51 @@ def test_work_folder_is_removed(spark):
     spark.range(1).write.parquet(folder)
     workspace.remove(spark, folder)
     assert not workspace.exists(spark, folder)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_split_parses_a_message_once(spark):
+    values = spark.createDataFrame([(1, '{"a":1}'), (2, "x")], "offset bigint, value string")
+    valid, rejected = notifications.split_valid(notifications.validate(values))
+    assert [_plan(df).lower().count("parsejson") for df in (valid, rejected)] == [1, 1]
+    assert valid.count() == 0 and rejected.count() == 2
+
+
+def test_lineage_walk_broadcasts_nothing(spark, monkeypatch):
+    plans = []
+
+    def seen(df):
+        plans.append(df)
+        return stored(df)
+
+    monkeypatch.setattr(lineage, "stored", seen)
+    requests = spark.createDataFrame([("r", "a", [])], "req_id string, dataset_id string, changed array<string>")
+    edges = spark.createDataFrame(
+        [("a", "b", "lake_table", []), ("b", "c", "job", []), ("c", "a", "job", [])],
+        "upstream_id string, downstream_id string, downstream_type string, via_attributes array<string>",
+    )
+    hits, reached = lineage.walk(requests, edges)
+    assert {r.node for r in reached.collect()} == {"a", "b", "c"} and hits.count() == 3
+    found = [df._jdf.queryExecution().executedPlan().toString() for df in [*plans, hits, reached]]
+    assert not any("Broadcast" in p for p in found)
+
+
+def test_upsert_of_fixed_width_rows_sorts_nothing(spark):
+    old = spark.createDataFrame([("a", 1, 5), ("b", None, 7), ("c", 1, None)], "plan_id string, status int, stored_at int")
+    new = spark.createDataFrame([("a", None, 6), ("b", 2, 6)], "plan_id string, status int, stored_at int")
+    out = registry.upsert(old, new)
+    assert {tuple(r) for r in out.collect()} == {("a", None, 6), ("b", None, 7), ("c", None, None)}
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_are_made_distinct_once(spark):
+    df = spark.createDataFrame([(1, "a "), (1, "A"), (2, "a"), (2, None)], "k bigint, t string")
+    known = vault.load_link(df.where("k = 2"), ["k", "t"], "s")
+    out = vault.load_link(df, ["k", "t"], "s", known)
+    (row,) = out.collect()
+    expected = spark.createDataFrame([(1, "A")], "k bigint, t string").select(vault.hash_key("k", "t"), vault.hash_key("k"), vault.hash_key("t")).head()
+    assert (row.link_hash, row.k_hash, row.t_hash) == tuple(expected)
+    assert vault.load_link(df, ["k", "t"], "s")._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
