@@ -25,9 +25,10 @@ def physical_identifier(x: str, rdbms: bool = True) -> str:
 
 def identifier_candidates(x: str, rdbms: bool = True) -> str:
     """Distinct non-empty spellings of an identifier (a handful per value)."""
-    seeds = f"array({normalized_identifier(x)}, {physical_identifier(x, rdbms)})"
+    # Spellings mostly coincide: each step goes on with the distinct ones only.
+    seeds = f"array_distinct(array({normalized_identifier(x)}, {physical_identifier(x, rdbms)}))"
     for sep in "/.":
-        seeds = f"flatten(transform({seeds}, _s -> array(_s, substring_index(_s, '{sep}', -1))))"
+        seeds = f"array_distinct(flatten(transform({seeds}, _s -> array(_s, substring_index(_s, '{sep}', -1)))))"
     cut = ", ".join(
         f"CASE WHEN startswith(_s, {lit(p)}) THEN substr(_s, {len(p) + 1}) ELSE '' END" for p in IDENTIFIER_PREFIXES
     )

@@ -68,7 +68,8 @@ def full_operations(operations: str = "operations", dataset: str = "dataset_id")
     idempotency_key, layer, kind, target, params, correlation_id and plan_id.
     """
     plain = {c: f"_o.{c}" for c in ("column_name", "from_type", "to_type")} | {"target": dataset}
-    quoted = {c: f"_q.{c}" for c in plain}
+    # The target is one for all operations, and is quoted once.
+    quoted = {c: f"_q.{c}" for c in plain} | {"target": "_target"}
     kind = "_o.kind"
     params = _per_kind(lambda op: "map(" + ", ".join(f"'{k}', {v}" for k, v in _params(op, plain).items()) + ")", kind)
     key = idempotency_key(
@@ -78,7 +79,7 @@ def full_operations(operations: str = "operations", dataset: str = "dataset_id")
         quoted["target"],
         _per_kind(lambda op: json_ascii_object(_params(op, quoted)), kind),
     )
-    texts = struct(**{c: json_ascii_string(v) for c, v in plain.items()})
+    texts = struct(**{c: json_ascii_string(v) for c, v in plain.items() if c != "target"})
     whole = struct(
         idempotency_key=let(texts, "_q", key),
         layer="_o.layer",
@@ -88,7 +89,7 @@ def full_operations(operations: str = "operations", dataset: str = "dataset_id")
         correlation_id="correlation_id",
         plan_id="plan_id",
     )
-    return f"transform({operations}, _o -> {whole})"
+    return let(json_ascii_string(dataset), "_target", f"transform({operations}, _o -> {whole})")
 
 
 def explode_operations(df: DataFrame, *keys: str, dataset: str = "dataset_id") -> DataFrame:

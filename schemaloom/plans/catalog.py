@@ -19,7 +19,7 @@ from schemaloom.sources import evidence, lineage_edges, notifications, policies,
 from schemaloom.streaming.registry_sink import RegistrySink, run_registry
 from schemaloom.streaming.replay_stream import RESULT as STREAM_RESULT
 from schemaloom.streaming.replay_stream import log_to_notifications, run_replay
-from schemaloom.workspace import new_folder, stored
+from schemaloom.workspace import new_folder, stored, written
 
 QUERIES = {}
 
@@ -74,7 +74,8 @@ def notification_validate(spark, sf):
 
 @query
 def notification_rejects(spark, sf):
-    valid, rejected = notifications.split_valid(notifications.validate(inputs.message_values(spark, sf)))
+    checked = notifications.validate(inputs.message_values(spark, sf)).select("dataset_id", "error")
+    valid, rejected = notifications.split_valid(stored(checked))
     both = valid.select("dataset_id", F.lit("valid").alias("outcome")).unionByName(
         rejected.select("dataset_id", F.col("error").alias("outcome"))
     )
@@ -565,10 +566,8 @@ def prune_link_ops(spark, sf):
 
 @query
 def already_applied(spark, sf):
-    ops = inputs.operations(spark, sf).select("event_id", "op_seq", "layer", "idempotency_key")
-    ledger = ops.filter(F.col("layer") == "lake").select("idempotency_key").unionByName(
-        inputs.operations(spark, sf).filter(F.col("kind") == "NEW_HUB").select("idempotency_key")
-    )
+    ops = written(inputs.operations(spark, sf).select("event_id", "op_seq", "layer", "kind", "idempotency_key"), "operations")
+    ledger = ops.filter((F.col("layer") == "lake") | (F.col("kind") == "NEW_HUB")).select("idempotency_key")
     return plan.flag_already_applied(ops, ledger).select("event_id", "op_seq", "already_applied")
 
 
@@ -581,7 +580,7 @@ def _impact_requests(spark, sf):
 
 
 def _walk(spark, sf):
-    ids_ = lineage.with_request_ids(_impact_requests(spark, sf))
+    ids_ = stored(lineage.with_request_ids(_impact_requests(spark, sf)))
     hits, reached = lineage.walk(ids_, inputs.edges(spark, sf))
     named = ids_.select("req_id", "dataset_id", joined("changed").alias("changed"))
     return named, hits, reached
@@ -590,13 +589,13 @@ def _walk(spark, sf):
 @query
 def lineage_impact(spark, sf):
     named, hits, _ = _walk(spark, sf)
-    return named.join(hits, "req_id").select("dataset_id", "changed", "artifact_class", "artifact_id")
+    return named.join(hits.hint("merge"), "req_id").select("dataset_id", "changed", "artifact_class", "artifact_id")
 
 
 @query
 def lineage_reach(spark, sf):
     named, _, reached = _walk(spark, sf)
-    return named.join(reached, "req_id").select("dataset_id", "changed", "node")
+    return named.join(reached.hint("merge"), "req_id").select("dataset_id", "changed", "node")
 
 
 @query
@@ -647,8 +646,8 @@ def execution_result(spark, sf):
     return execution.execution_result(plans, _op_outcomes(spark, sf), ("plan_no",))
 
 
-def _verified(spark, sf):
-    df = inputs.with_evidence(inputs.planned(spark, sf))
+def _verified(spark, sf, outcomes=None):
+    df = inputs.with_evidence(inputs.planned(spark, sf, outcomes))
     return verify.verify_vault(verify.verify_lake(df))
 
 
@@ -670,9 +669,9 @@ def verify_vault(spark, sf):
     return _verified(spark, sf).select("event_id", joined("vault_issues", "; ").alias("issues"))
 
 
-def _results(spark, sf):
+def _results(spark, sf, outcomes=None):
     """Verification outcome per plan, with the evidence ids that its operations reported."""
-    df = verify.verification_result(_verified(spark, sf))
+    df = verify.verification_result(_verified(spark, sf, outcomes))
     snapshots = (
         "transform(operations, (_o, _i) -> named_struct('op_seq', _i + 1, 'evidence_snapshot_id', "
         "CASE WHEN (event_id + _i) % 3 <> 0 THEN concat_ws('-', 'snap', event_id, _i + 1) END))"
@@ -687,15 +686,15 @@ def verification_result(spark, sf):
     )
 
 
-def _success_rows(spark, sf):
-    df = kept(_results(spark, sf), F.col("status") == "passed")
+def _success_rows(results):
+    df = kept(results, F.col("status") == "passed")
     previous = F.expr(H.resolve_previous_version("producer_version", _CURRENT))
     return df.withColumns({"previous_version": previous, "new_version": F.col("n")})
 
 
 @query
 def success_event(spark, sf):
-    e = events.success_event(_success_rows(spark, sf))
+    e = events.success_event(_success_rows(_results(spark, sf)))
     v = F.col("event")
     operation = (
         "concat_ws('|', _o.idempotency_key, _o.layer, _o.kind, _o.target, coalesce(_o.params['column_name'], _o.params['table_name']),"
@@ -712,12 +711,18 @@ def success_event(spark, sf):
     )
 
 
-def _failures(spark, sf):
-    denied = kept(inputs.decided(spark, sf), F.col("decision") != "allow").withColumn(
+def _outcomes(spark, sf):
+    """Decided notifications as a table, since denied ones and plans are both read from it; without what only the diff needs."""
+    needed = ["event_id", "dataset_id", "n", "seq", "source", "producer_version", "attributes", "atoms"]
+    return written(inputs.decided(spark, sf).select(*needed, "decision", "compatibility", "obligations", "reasons"), "decided")
+
+
+def _failures(outcomes, results):
+    denied = outcomes.filter(F.col("decision") != "allow").withColumn(
         "correlation_id", F.expr(keys.correlation_id("dataset_id", "seq"))
     )
     shape = ["event_id", "dataset_id", "correlation_id", "decision", "reasons"]
-    failed = kept(_results(spark, sf), F.col("status") == "failed").select(*shape, "issues")
+    failed = kept(results, F.col("status") == "failed").select(*shape, "issues")
     none = F.array().cast("array<string>")
     return events.failure_event(denied.select(*shape).withColumn("issues", none).unionByName(failed))
 
@@ -725,7 +730,8 @@ def _failures(spark, sf):
 @query
 def failure_event(spark, sf):
     v = F.col("event")
-    return _failures(spark, sf).select(
+    outcomes = _outcomes(spark, sf)
+    return _failures(outcomes, _results(spark, sf, outcomes)).select(
         "event_id", v["event_type"].alias("event_type"), v["dataset"]["id"].alias("dataset_id"),
         v["correlation_id"].alias("correlation_id"), v["reason"].alias("reason"), v["details"].alias("details"),
     )
@@ -734,7 +740,11 @@ def failure_event(spark, sf):
 @query
 def outcome_route(spark, sf):
     """Messages per sink and key, read back from their JSON text."""
-    both = events.as_messages(events.success_event(_success_rows(spark, sf))).unionByName(events.as_messages(_failures(spark, sf)))
+    outcomes = _outcomes(spark, sf)
+    columns = ["event_id", "dataset_id", "n", "source", "producer_version", "correlation_id", "plan_id", "decision", "compatibility", "reasons"]
+    results = _results(spark, sf, outcomes).select(*columns, "operations", "successful", "status", "issues", "evidence_snapshot_refs")
+    results = written(results, "results")
+    both = events.as_messages(events.success_event(_success_rows(results))).unionByName(events.as_messages(_failures(outcomes, results)))
     reason = F.get_json_object("value", "$.reason")
     return both.groupBy("event_type", "key", F.coalesce(reason, F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("messages"))
 

@@ -112,8 +112,9 @@ def decided(spark: SparkSession, sf: str, forced_policy: str | None = None, conf
     return policy_decision(without_impact(select_policy(df, config or STANDARD_POLICIES)))
 
 
-def planned(spark: SparkSession, sf: str) -> DataFrame:
-    df = build_plan(kept(decided(spark, sf), F.col("decision") == "allow"))
+def planned(spark: SparkSession, sf: str, outcomes: DataFrame | None = None) -> DataFrame:
+    """Plans of the allowed notifications; ``outcomes``: rows of ``decided``, if they are at hand."""
+    df = build_plan(kept(decided(spark, sf) if outcomes is None else outcomes, F.col("decision") == "allow"))
     return df.withColumns(
         {
             "correlation_id": F.expr(correlation_id("dataset_id", "seq")),
