@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from schemaloom.llm import catalog, decontamination, mixing, quality_rules, token_files, warc_fixity
+from schemaloom.llm import catalog, decontamination, mixing, quality_rules, token_files, toxicity, warc_fixity
 from schemaloom.llm.catalog import QUERIES
 from schemaloom.workspace import folders, new_folder
 from tests.compare import connect, difference
@@ -136,6 +136,24 @@ def test_other_tokenizers_get_whole_texts(spark, name):
     assert got == {n: [*whole.encode(t or "", add_special_tokens=False).ids, 2] for n, t in enumerate(texts)}
 
 
+def test_labels_meet_texts_by_merge_and_only_labelled_texts_travel(spark, monkeypatch):
+    """Whatever the number of labels: no broadcast of their ids, and texts without a label stay where they are."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('w', id, ' x') AS text", "'en' AS lang")
+    labels = spark.range(0, 3000, 10).selectExpr("id AS doc_id", "cast(id % 3 = 0 AS int) AS toxic")
+    plans, sent = [], []
+    perhaps, write = toxicity._perhaps, toxicity.written
+    monkeypatch.setattr(toxicity, "_perhaps", lambda rows, known: sent.append(perhaps(rows, known)) or sent[-1])
+    monkeypatch.setattr(toxicity, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    rows = []
+    monkeypatch.setattr(toxicity, "_counted", lambda df: rows.extend(r.id for r in df.select("id").collect()) or toxicity.Counts(*np.zeros((2, toxicity.BUCKETS), np.int32), 0, 0, 0))
+    monkeypatch.setattr(toxicity, "_merged", lambda *a: None)
+    monkeypatch.setattr(toxicity, "_calibrated", lambda *a: rows.extend(r.id for r in a[1].select("id").collect()))
+    toxicity.fit(docs, labels)
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+    assert sent[0].count() < 310
+    assert sorted(rows) == [r.doc_id for r in labels.where(toxicity.learning_fold()).orderBy("doc_id").collect()]
+
+
 def test_pipeline_leaves_its_result_only(spark):
     before = folders(spark)
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
