@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from schemaloom.llm import decontamination, mixing, simhash, toxicity
 from schemaloom.llm.catalog import token_table
 from schemaloom.llm.tables import table
-from schemaloom.workspace import folders, new_folder, sweep
+from schemaloom.workspace import folders, forget, new_folder, sweep
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,4 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.schema(out.schema).parquet(folder)
         # What the stage and the one before it have left is not read again.
         sweep(spark, before | {folder.rsplit("/", 1)[-1]})
+        # Nor is what was shuffled for it: as long as the plan is referred to, Spark keeps that on disk.
+        del out
+        forget(spark)
     return docs

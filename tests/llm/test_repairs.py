@@ -1,7 +1,9 @@
 """Cases that earlier versions got wrong."""
 
+import gc
 import subprocess
 import sys
+import weakref
 from pathlib import Path
 
 import numpy as np
@@ -154,6 +156,26 @@ def test_labels_meet_texts_by_merge_and_only_labelled_texts_travel(spark, monkey
     assert sorted(rows) == [r.doc_id for r in labels.where(toxicity.learning_fold()).orderBy("doc_id").collect()]
 
 
+def test_pipeline_lets_go_of_each_stage(spark, monkeypatch):
+    """Shuffle files of a stage can be deleted only when nothing refers to its plan any more."""
+    made, left = [], []
+
+    def stage(spark, docs, sf_dir):
+        out = docs.groupBy("lang").count()
+        out = docs.join(out, "lang")[docs.columns]
+        made.append(weakref.ref(out))
+        return out
+
+    def forget(spark):
+        gc.collect()
+        left.append(sum(ref() is not None for ref in made))
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage)])
+    monkeypatch.setattr(corpus_pipeline, "forget", forget)
+    corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert left == [0, 0]
+
+
 def test_pipeline_leaves_its_result_only(spark):
     before = folders(spark)
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
